@@ -119,7 +119,7 @@ def safe_str(c: Column, trim: bool = False) -> Column:
 
 
 # Fixed value: the decimal number texts that count as numbers.
-_NUMBER = r"^[+-]?([0-9]+(_?[0-9]+)*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def safe_int(c: Column) -> Column:
