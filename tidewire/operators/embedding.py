@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,15 +103,16 @@ def encode_column(encoder: Encoder, max_chars: int | None = None):
     """A function from a text column to a vector column; null stays null."""
     limit = max_chars or encoder.max_chars
 
-    @F.pandas_udf(_VECTOR)
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_VECTOR)
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder.load()
         for texts in batches:
-            present = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if present.any():
-                out[present] = list(encode(texts[present].tolist()))
-            yield out
+            present = texts.is_valid().to_numpy(zero_copy_only=False)
+            values = encode(texts.drop_null().to_pylist()).astype(np.float32)
+            ends = np.cumsum(np.r_[0, present * encoder.width])
+            yield pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(values.ravel()), mask=pa.array(~present)
+            )
 
     def apply(text: Column) -> Column:
         return vectors(truncate(text, limit) if limit else text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.times import DAY_MS
@@ -12,6 +12,7 @@ from tidewire.operators.embedding import Encoder
 from tidewire.operators.increment import cap_new, keep_last, not_in_both
 from tidewire.operators.normalise import nested_to_text, normalise, with_id
 from tidewire.plans.embed import common_vector, named_vectors
+from tidewire.session import materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
 
@@ -33,60 +34,58 @@ def ingest(
 ) -> dict | None:
     """Take in what is new of a source and commit both tables and the mark.
 
-    The articles of the batch are written first and read back from there for the
-    embedding, so the source is read and compared once.
+    The source is parsed once, into the shared folder. The articles of the batch
+    are written next and read back from there for the embedding, so neither the
+    comparison with the tables nor the encoder runs twice.
     """
     store.ensure()
     if epoch is not None and store.has_epoch(source, epoch):
         return None
     order = order or ["_seq"]
-    seen = Observation(f"{source}-seen")
-    corrupt = F.col(readers.CORRUPT) if readers.CORRUPT in raw.columns else F.lit(None)
-    counted = raw.observe(
-        seen, F.count("*").alias("total"), F.count(corrupt).alias("corrupt")
-    )
-    sound = counted.where(corrupt.isNull())
-    valid = with_id(normalise(sound.drop(readers.CORRUPT), trim))
+    if readers.CORRUPT not in raw.columns:
+        raw = raw.withColumn(readers.CORRUPT, F.lit(None).cast("string"))
+    staged = materialise(normalise(raw, trim))
+    unreadable = F.col(readers.CORRUPT).isNotNull()
+    counts = staged.agg(
+        F.count("*").alias("total"), F.count(readers.CORRUPT).alias("corrupt")
+    ).first()
+
     batch = store.next_batch()
     held_articles, held_vectors = store.read("articles"), store.read("vectors")
-    fresh = keep_last(not_in_both(valid, held_articles, held_vectors), "id", *order)
-    written = store.write("articles", batch, cap_new(fresh, limit, *order))
+    fresh = not_in_both(with_id(staged.where(~unreadable)), held_articles, held_vectors)
+    chosen = cap_new(keep_last(fresh, "id", *order), limit, *order)
+    written = store.write("articles", batch, chosen)
     good, bad = store.check_vectors(vectorise(written, encoder))
     vectors = store.write("vectors", batch, good)
-
-    unreadable = raw.where(corrupt.isNotNull()).select(
-        F.lit(None).cast("string").alias("id"),
-        F.lit("unreadable record").alias("reason"),
-        corrupt.cast("string").alias("record"),
+    refused = staged.where(unreadable).select(
+        "id", F.lit("unreadable record").alias("reason"), F.col(readers.CORRUPT).alias("record")
     )
-    refused = bad.unionByName(unreadable) if readers.CORRUPT in raw.columns else bad
-    quarantined = store.write("quarantine", batch, refused)
-
-    counts = seen.get
-    stamp = F.col("published_time_unix")
-    done = written.agg(F.count("*").alias("n"), F.max(stamp).alias("top")).first()
-    errors = quarantined.count()
-    ingested = vectors.count()
-    skipped = counts["total"] - counts["corrupt"] - done["n"]
-    reached = max(done["top"] or 0, since)
+    errors = store.write("quarantine", batch, bad.unionByName(refused)).count()
+
+    done = vectors.agg(F.count("*").alias("n"), F.max("timestamp").alias("top")).first()
+    n_written = written.count()
+    waiting = 0
+    if limit is not None and n_written == limit:
+        waiting = fresh.select("id").distinct().count() - n_written
     ids = written.select("id")
     replaces = not ids.join(held_articles.select("id"), "id").isEmpty() or not ids.join(
         held_vectors.select(F.col("article_id").alias("id")), "id"
     ).isEmpty()
+    skipped = counts["total"] - counts["corrupt"] - n_written - waiting
     run = {
         "source": source,
         "epoch": epoch,
         "total": counts["total"],
-        "ingested": ingested,
+        "ingested": done["n"],
         "skipped": skipped,
         "errors": errors,
-        "mark": reached if ingested and not errors else since,
+        "mark": max(done["top"] or 0, since),
         "replaces": replaces,
-        "message": f"{ingested} new articles added, {skipped} skipped",
+        "message": f"{done['n']} new articles added, {skipped} skipped",
     }
-    if ingested or errors or epoch is not None:
+    if done["n"] or errors or epoch is not None:
         store.commit(batch, **run)
-    return run
+    return {**run, "remaining": waiting}
 
 
 def ingest_lake(
