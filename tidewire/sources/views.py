@@ -1,10 +1,11 @@
-"""Articles, vectors and requests as views over the supplied tables."""
+"""Articles, vectors, requests and portfolios as views over the supplied tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import summary
 from tidewire.operators.skew import hot_keys, skew_join
 
 FIRST_PUBLISHED_MS = 1_704_067_200_000
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _published(doc_id):
+def _published(doc_id: Column) -> Column:
     return F.lit(FIRST_PUBLISHED_MS) + doc_id * HOUR_MS
 
 
@@ -42,22 +43,28 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per article with its three vectors, looked up by position."""
+    """The vector table: three vectors per article, looked up by position.
+
+    Some titles and summaries are empty and some stamps missing, as in rows
+    indexed by older runs.
+    """
     d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "embeddings")
     n = e.count()
-    vectors = e.select(F.col("vec_id"), F.col("embedding"))
 
-    def named(slot, name):
-        return vectors.select(F.col("vec_id").alias(slot), F.col("embedding").alias(name))
+    def named(slot: str, name: str) -> DataFrame:
+        return e.select(F.col("vec_id").alias(slot), F.col("embedding").alias(name))
 
     doc = F.col("doc_id")
+    first_line = F.split(F.col("text"), "\n", 2)[0]
     return (
         d.select(
             doc.cast("string").alias("article_id"),
             doc.alias("point_id"),
+            F.when(doc % 7 == 0, "").otherwise(first_line).alias("title"),
+            F.when(doc % 5 != 0, summary(F.col("text"))).alias("summary"),
             F.array("lang", "source").alias("tags"),
-            _published(doc).alias("timestamp"),
+            F.when(doc % 11 != 0, _published(doc)).alias("timestamp"),
             (doc % n).alias("_t"),
             ((doc * 7 + 3) % n).alias("_d"),
             ((doc * 13 + 5) % n).alias("_g"),
@@ -80,7 +87,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per user: the document clicked last, with derived filters.
 
     Users whose number divides by three ask for one source, by four for recent
-    articles only.
+    articles only, by five for the newest articles.
     """
     n_docs = table(spark, sf_dir, "documents").count()
     user = F.col("user_id")
@@ -104,3 +111,135 @@ def vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = e.select("vec_id", F.col("embedding").alias("query_vec"))
     hot = hot_keys(asked, "vec_id")
     return skew_join(asked, vectors, "vec_id", "inner", ["request_id"], hot).drop("vec_id")
+
+
+def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the clicked text and free-text interests.
+
+    The interests are the first user turn of the conversation of that number.
+    """
+    asked = requests(spark, sf_dir)
+    clicked = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("clicked_id"), F.col("text").alias("clicked_news")
+    )
+    said = (
+        table(spark, sf_dir, "conversations")
+        .where(F.col("role") == "user")
+        .groupBy("conv_id")
+        .agg(F.min(F.struct("turn", "text"))["text"].alias("interests"))
+        .select(F.col("conv_id").cast("string").alias("request_id"), "interests")
+    )
+    hot = hot_keys(asked, "clicked_id")
+    met = skew_join(asked, clicked, "clicked_id", "left", ["request_id"], hot)
+    return met.join(said, "request_id", "left")
+
+
+def _holding_account(key: Column, holdings: Column) -> Column:
+    """An account as JSON text; a lone holding is an object and not a list."""
+    body = F.when(F.size(holdings) == 1, F.to_json(holdings[0])).otherwise(F.to_json(holdings))
+    return F.concat(
+        F.lit('"'), key, F.lit('":{"summary":{"investment":{"holdings":{"holding":'), body, F.lit("}}}}")
+    )
+
+
+def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio document per customer.
+
+    Equities are the parts ordered: an account per order and a holding per part
+    name and type, where it comes first. Pairs of name and type are few, so the
+    holdings of one customer are bounded whatever the number of orders, and the
+    minima are combined before each shuffle. Some customers also hold funds,
+    insurance and deposits.
+    """
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", "l_partkey")
+        .agg(F.min("l_linenumber").alias("line"))
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    first = F.min(F.struct("l_orderkey", "line", "l_partkey")).alias("at")
+    held = (
+        lines.join(parts, "l_partkey")
+        .join(orders, "l_orderkey")
+        .groupBy("o_custkey", "p_name", "p_type")
+        .agg(first)
+    )
+    holding = F.struct(F.col("p_name").alias("issuerName"), F.col("p_type").alias("description"))
+    accounts = (
+        held.groupBy("o_custkey", F.col("at.l_orderkey").alias("order"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", holding.alias("h")))).alias("hs"))
+        .select("o_custkey", "order", F.transform("hs", lambda x: x["h"]).alias("holdings"))
+    )
+    account = _holding_account(F.concat(F.lit("E"), F.col("order").cast("string")), F.col("holdings"))
+    equities = (
+        accounts.select("o_custkey", F.struct("order", account.alias("json")).alias("a"))
+        .groupBy(F.col("o_custkey").alias("c_custkey"))
+        .agg(F.sort_array(F.collect_list("a")).alias("accounts"))
+        .select(
+            "c_custkey",
+            F.concat(
+                F.lit('"EQUITIES":{'),
+                F.array_join(F.transform("accounts", lambda a: a["json"]), ","),
+                F.lit("}"),
+            ).alias("equities"),
+        )
+    )
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    cust = F.col("c_custkey")
+    fund = F.array(
+        F.struct(
+            F.when(cust % 4 == 0, "").otherwise(F.col("n_name")).alias("amc"),
+            F.col("n_name").alias("issuerName"),
+            F.col("c_mktsegment").alias("schemeCode"),
+        )
+    )
+    policy = F.to_json(
+        F.struct(
+            F.col("c_name").alias("policyName"),
+            F.concat(F.lit("TERM_"), F.col("c_mktsegment")).alias("policyType"),
+            F.lit("LIFE").alias("coverType"),
+        )
+    )
+    deposit = F.to_json(
+        F.struct(
+            F.lit("SAVINGS").alias("accountType"),
+            F.lit("null").alias("facility"),
+            F.col("c_mktsegment").alias("description"),
+        )
+    )
+    sections = F.array(
+        F.when(cust % 5 == 0, F.concat(F.lit('"DEPOSIT_V2":{"summary":['), deposit, F.lit("]}"))),
+        F.when(cust % 3 == 0, F.concat(
+            F.lit('"INSURANCE_POLICIES":{"p":{"summary":'), policy, F.lit("}}"))),
+        F.when(cust % 2 == 0, F.concat(
+            F.lit('"MUTUALFUNDS":{'), _holding_account(F.lit("m"), fund), F.lit("}"))),
+        F.col("equities"),
+    )
+    return (
+        table(spark, sf_dir, "customer")
+        .join(nations, "c_nationkey")
+        .join(equities, "c_custkey", "left")
+        .select(
+            cust.cast("string").alias("request_id"),
+            F.concat(F.lit("{"), F.array_join(sections, ","), F.lit("}")).alias("portfolio"),
+            F.when(cust % 7 == 0, " gold ").otherwise("").alias("interests"),
+        )
+    )
+
+
+def stored_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An incoming batch, and the two stores it meets.
+
+    The article store holds every second document and the vector store every
+    third. The batch is all documents; every tenth comes twice, the later time
+    with a mark on its title.
+    """
+    a = articles(spark, sf_dir).withColumn("_seq", F.col("id").cast("bigint"))
+    again = a.where(F.col("_seq") % 10 == 0).withColumns(
+        {"title": F.concat("title", F.lit("*")), "_seq": F.col("_seq") + 1_000_000_000_000}
+    )
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    article_store = d.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("id"))
+    vector_store = d.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("article_id"))
+    return a.unionByName(again), article_store, vector_store
