@@ -213,7 +213,7 @@ slots AS (
   FROM words GROUP BY ALL),
 parts AS (
   SELECT {key}, {field}, slot,
-         CAST(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY {key}, {field}) AS DOUBLE)) AS FLOAT) AS value
+         CAST(n / nullif(sqrt(CAST(sum(n * n) OVER (PARTITION BY {key}, {field}) AS DOUBLE)), 0) AS FLOAT) AS value
   FROM slots)"""
 
 
@@ -272,12 +272,12 @@ lines AS (
   SELECT o_custkey AS cust, l_orderkey, l_partkey, min(l_linenumber) AS line
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
 held AS (
-  SELECT cust, p_name, p_type, min(row(l_orderkey, line, l_partkey)) AS at
+  SELECT cust, p_name, p_type, min(row(l_orderkey, line, l_partkey)) AS first_at
   FROM lines JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 placed AS (
-  SELECT cust, 1 AS section, row_number() OVER (PARTITION BY cust ORDER BY at) * 2 AS pos, p_name AS txt FROM held
+  SELECT cust, 1 AS section, row_number() OVER (PARTITION BY cust ORDER BY first_at) * 2 AS pos, p_name AS txt FROM held
   UNION ALL
-  SELECT cust, 1, row_number() OVER (PARTITION BY cust ORDER BY at) * 2 + 1, p_type FROM held
+  SELECT cust, 1, row_number() OVER (PARTITION BY cust ORDER BY first_at) * 2 + 1, p_type FROM held
   UNION ALL
   SELECT c_custkey, 2, 1, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0
   UNION ALL SELECT c_custkey, 2, 2, c_mktsegment FROM customer WHERE c_custkey % 2 = 0
@@ -291,11 +291,11 @@ placed AS (
   UNION ALL SELECT c_custkey, 5, 3, 'insurance life cover financial planning' FROM customer WHERE c_custkey % 3 = 0
   UNION ALL SELECT c_custkey, 5, 4, 'bank savings deposit interest rate' FROM customer WHERE c_custkey % 5 = 0
   UNION ALL SELECT c_custkey, 6, 1, 'gold' FROM customer WHERE c_custkey % 7 = 0),
-firsts AS (SELECT cust, txt, min(row(section, pos)) AS at FROM placed GROUP BY ALL),
+firsts AS (SELECT cust, txt, min(row(section, pos)) AS first_at FROM placed GROUP BY ALL),
 portfolio_texts AS (
   SELECT CAST(c_custkey AS VARCHAR) AS request_id, coalesce(txt, '') AS txt
   FROM customer LEFT JOIN (
-    SELECT cust, string_agg(txt, '. ' ORDER BY at) AS txt FROM firsts GROUP BY cust)
+    SELECT cust, string_agg(txt, '. ' ORDER BY first_at) AS txt FROM firsts GROUP BY cust)
   ON cust = c_custkey)"""
 
 _PORTFOLIO = f"""WITH {_ARTICLES}, {_PORTFOLIO_PARTS},
@@ -448,7 +448,7 @@ SELECT request_id, txt AS query_text FROM portfolio_texts""",
         "portfolio_rejected": f"""WITH {_PORTFOLIO_PARTS}
 SELECT request_id, 'no content to search for' AS reason FROM portfolio_texts WHERE txt = ''""",
         "portfolio_sections": f"""WITH {_PORTFOLIO_PARTS}, equities AS (
-  SELECT cust, CAST(count(DISTINCT at[1]) AS INTEGER) AS n FROM held GROUP BY cust)
+  SELECT cust, CAST(count(DISTINCT first_at[1]) AS INTEGER) AS n FROM held GROUP BY cust)
 SELECT CAST(c_custkey AS VARCHAR) AS request_id, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS deposits,
        n AS equities, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS mutualfunds,
        CASE WHEN c_custkey % 3 = 0 THEN 1 END AS insurance_policies, CAST(NULL AS INTEGER) AS sip

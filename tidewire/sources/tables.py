@@ -81,10 +81,14 @@ class Store:
         raw = self._raw(table)
         if raw is None:
             return empty
-        runs = self.runs().select("batch", "replaces")
-        seen = raw.join(F.broadcast(runs.select("batch")), "batch", "left_semi")
+        done = self.runs().agg(F.max("batch").alias("last"), F.max("replaces").alias("replaces")).first()
+        if done["last"] is None:
+            return empty
+        # Numbers are given out in turn, so the committed ones are all up to the
+        # last; a folder past it is left over from a run that did not end.
+        seen = raw.where(F.col("batch") <= done["last"])
         key = _KEYS[table]
-        if key and not runs.where("replaces").isEmpty():
+        if key and done["replaces"]:
             repeated = (
                 seen.groupBy(key)
                 .agg(F.count("*").alias("_n"), F.max("batch").alias("_last"))
