@@ -237,7 +237,7 @@ def held(*holdings):
 
 def test_portfolio_text(spark):
     def text_of(doc, interests=""):
-        return one(spark, portfolio.portfolio_text, doc, interests)
+        return one(spark, lambda d, i: portfolio.portfolio_text(portfolio.sections_of(d), i), doc, interests)
 
     doc = (
         '{"REIT":{"r1":' + held('{"issuerName":"X"}') + '},'
@@ -267,11 +267,12 @@ def test_portfolio_keeps_account_order(spark):
     doc = (
         '{"EQUITIES":{"E1":' + held('{"issuerName":"b"}') + ',"E0":' + held('{"issuerName":"a"}') + "}}"
     )
-    got = one(spark, portfolio.portfolio_text, doc, "")
+    row = spark.createDataFrame([(doc, "")], "portfolio string, interests string")
+    got = portfolio.with_portfolio_text(row).first()["query_text"]
     assert got.startswith("b. a. ")
 
 
 def test_section_counts(spark):
     doc = '{"EQUITIES":{"a":{},"b":{}},"DEPOSIT_V2":{"summary":[{},{},{}]},"REIT":{}}'
-    got = one(spark, portfolio.section_counts, doc)
+    got = one(spark, lambda d: portfolio.section_counts(portfolio.sections_of(d)), doc)
     assert (got["deposits"], got["equities"], got["reit"], got["sip"]) == (3, 2, 0, None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ACCOUNTS = "map<string,string>"
@@ -119,9 +119,8 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def portfolio_text(document: Column, interests: Column) -> Column:
+def portfolio_text(sections: Column, interests: Column) -> Column:
     """Section texts, theme phrases and interests, each text once, in order."""
-    sections = sections_of(document)
 
     def has(name: str) -> Column:
         return F.coalesce(F.map_contains_key(sections, name), F.lit(False))
@@ -136,9 +135,18 @@ def portfolio_text(document: Column, interests: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ". ")
 
 
-def section_counts(document: Column) -> Column:
+def with_portfolio_text(df: DataFrame) -> DataFrame:
+    """Add ``query_text`` to rows with ``portfolio`` and ``interests``.
+
+    The sections are a column of their own, so a document is parsed once.
+    """
+    parsed = df.withColumn("_sections", sections_of(F.col("portfolio")))
+    text = portfolio_text(F.col("_sections"), F.col("interests"))
+    return parsed.withColumn("query_text", text).drop("_sections")
+
+
+def section_counts(sections: Column) -> Column:
     """Accounts per present section; deposits count their summary items."""
-    sections = sections_of(document)
 
     def accounts(name: str) -> Column:
         return F.size(F.map_keys(F.from_json(sections[name], _ACCOUNTS)))

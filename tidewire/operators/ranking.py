@@ -18,7 +18,7 @@ LATEST_CANDIDATES = 100
 
 
 def with_vectors(
-    candidates: DataFrame, requests: DataFrame, vectors: DataFrame, width: int, hot: DataFrame
+    candidates: DataFrame, requests: DataFrame, vectors: DataFrame, width: int, hot: DataFrame | None
 ) -> DataFrame:
     """Bring each candidate its user vector and its scoring vector.
 
@@ -51,7 +51,7 @@ def score_and_rank(
     requests: DataFrame,
     vectors: DataFrame,
     scorer: Scorer,
-    hot: DataFrame,
+    hot: DataFrame | None,
     k: int = RESULTS,
 ) -> DataFrame:
     paired = with_vectors(candidates, requests, vectors, scorer.width, hot)
@@ -59,7 +59,7 @@ def score_and_rank(
 
 
 def enrich(
-    ranked: DataFrame, payload: DataFrame, articles: DataFrame, hot: DataFrame, spread_by: list[str]
+    ranked: DataFrame, payload: DataFrame, articles: DataFrame, hot: DataFrame | None, spread_by: list[str]
 ) -> DataFrame:
     """Attach payload and full article; fill title, summary and stamp if empty.
 

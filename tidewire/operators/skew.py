@@ -16,19 +16,22 @@ _COPIES = "_copies"
 
 def hot_keys(
     df: DataFrame, key: str, share: int = HOT_SHARE, min_piece: int = MIN_PIECE
-) -> DataFrame:
+) -> DataFrame | None:
     """The hot keys of a table and the number of pieces to cut each into.
 
     Rows are counted per key with map-side partial sums, and the total comes in
-    as a scalar subquery.
+    as a scalar subquery. Fewer than ``share`` rows reach the driver, by the
+    definition of a hot key; None means that no key is hot.
     """
     keyed = df.where(F.col(key).isNotNull())
     total = keyed.agg(F.count("*")).scalar()
     piece = F.greatest(total / share, F.lit(min_piece))
     counts = keyed.groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > piece).select(
+    hot = counts.where(F.col("_n") > piece).select(
         key, F.ceil(F.col("_n") / piece).cast("int").alias(_COPIES)
     )
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def skew_join(
@@ -37,7 +40,7 @@ def skew_join(
     key: str,
     how: str,
     spread_by: list[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
 ) -> DataFrame:
     """Equi-join of many rows to a table with one row per key.
 
@@ -47,6 +50,8 @@ def skew_join(
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how}")
+    if hot is None:
+        return left.join(right, key, how)
     small = F.broadcast(hot)
     piece = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col(_COPIES)).cast("int")
     salted = left.join(small, key, "left").withColumn(_SALT, F.coalesce(piece, F.lit(0)))

@@ -78,7 +78,7 @@ def article_normalise(spark, sf_dir):
 @query
 def payload_projection(spark, sf_dir):
     """Pages to vector payloads: markup removed, entities decoded, summary cut."""
-    pages = views.table(spark, sf_dir, "pages")
+    pages = views.texts(spark, sf_dir, "pages")
     raw = pages.select(
         F.col("page_id").cast("string").alias("id"),
         F.col("url").alias("title"),
@@ -93,7 +93,7 @@ def payload_projection(spark, sf_dir):
 def html_text(spark, sf_dir):
     """Whole pages as plain text."""
     plain = text.strip_html(F.col("html"))
-    return views.table(spark, sf_dir, "pages").select(
+    return views.texts(spark, sf_dir, "pages").select(
         "page_id", F.length(plain).alias("chars"), F.md5(plain).alias("digest")
     )
 
@@ -128,7 +128,7 @@ def tags_parse(spark, sf_dir):
         .otherwise(F.concat("lang", F.lit(" , "), "source"))
     )
     tags = text.parse_tags(raw)
-    return views.table(spark, sf_dir, "documents").select(
+    return views.texts(spark, sf_dir, "documents").select(
         "doc_id", F.size(tags).alias("n"), F.array_join(tags, "|").alias("tags"),
         text.tags_as_text(tags).alias("tags_text"),
     )
@@ -161,7 +161,7 @@ def typed_articles(spark, sf_dir):
         cat('[{"type": "S", "entity": [{"name": "', source, '", "score": "', digit,
             '", "reason": "r", "perception_line": "', lang, '"}]}]')
     )
-    raw = views.table(spark, sf_dir, "documents").select(
+    raw = views.texts(spark, sf_dir, "documents").select(
         "doc_id",
         economy.alias("economyimpact"),
         lines.alias("perception_lines"),
@@ -425,25 +425,24 @@ def recommend_portfolio(spark, sf_dir):
 @query
 def portfolio_text(spark, sf_dir):
     """The text of each portfolio document."""
-    whole = portfolio.portfolio_text(F.col("portfolio"), F.col("interests"))
-    return views.portfolios(spark, sf_dir).select("request_id", whole.alias("query_text"))
+    return portfolio.with_portfolio_text(views.portfolios(spark, sf_dir)).select("request_id", "query_text")
 
 
 @query
 def portfolio_rejected(spark, sf_dir):
     """Requests whose document holds nothing to search for."""
-    whole = portfolio.portfolio_text(F.col("portfolio"), F.col("interests"))
-    _, rejected = filters.split_blank(
-        views.portfolios(spark, sf_dir).withColumn("query_text", whole), "query_text"
-    )
+    asked = portfolio.with_portfolio_text(views.portfolios(spark, sf_dir))
+    _, rejected = filters.split_blank(asked, "query_text")
     return rejected.select("request_id", "reason")
 
 
 @query
 def portfolio_sections(spark, sf_dir):
     """Accounts per section of each document."""
-    counts = portfolio.section_counts(F.col("portfolio")).alias("c")
-    return views.portfolios(spark, sf_dir).select("request_id", counts).select(
+    parsed = views.portfolios(spark, sf_dir).select(
+        "request_id", portfolio.sections_of(F.col("portfolio")).alias("s")
+    )
+    return parsed.select("request_id", portfolio.section_counts(F.col("s")).alias("c")).select(
         "request_id", "c.deposits", "c.equities", "c.mutualfunds", "c.insurance_policies", "c.sip"
     )
 
@@ -535,7 +534,7 @@ def embed_common(spark, sf_dir):
 @query
 def embed_dedupe(spark, sf_dir):
     """Vectors of all documents, each distinct text encoded once, some from a cache."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = views.texts(spark, sf_dir, "documents").select("doc_id", "text")
     cache = embedding.embedding_cache(d.where("doc_id % 4 = 0"), "text", ENCODER)
     rows = embedding.embed_with_reuse(d, "text", "vec", ENCODER, cache)
     return _components(rows, "doc_id", {"vec": "text"})
@@ -675,7 +674,7 @@ def ingest_runs(spark, sf_dir):
 def hourly_stream(spark, sf_dir):
     """Hourly files, streamed to the vector table."""
     path = work_dir(spark, "hourly")
-    d = views.table(spark, sf_dir, "documents")
+    d = views.texts(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     fd = F.struct(
         F.when(doc % 3 != 0, F.split("text", "\n", 2)[0]).alias("title"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.portfolio import portfolio_text
+from tidewire.functions.portfolio import with_portfolio_text
 from tidewire.functions.text import user_query_text
 from tidewire.operators import ranking
 from tidewire.operators.embedding import Encoder, encode_column
@@ -49,7 +49,7 @@ def recommend(
     The articles that very many requests share are counted on the kept rows.
     """
     found = materialise(candidates(requests, vectors, **search))
-    hot = materialise(hot_keys(found, "article_id"))
+    hot = hot_keys(found, "article_id")
     ranked = ranking.score_and_rank(found, requests, vectors, scorer, hot, k).select(
         "request_id", "rank", "article_id", "score"
     )
@@ -67,10 +67,7 @@ def context_requests(requests: DataFrame, encoder: Encoder) -> DataFrame:
 
 def portfolio_requests(requests: DataFrame, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
     """Requests with a portfolio document, embedded; and those without content."""
-    asked = requests.withColumn(
-        "query_text", portfolio_text(F.col("portfolio"), F.col("interests"))
-    )
-    accepted, rejected = split_blank(asked, "query_text")
+    accepted, rejected = split_blank(with_portfolio_text(requests), "query_text")
     return _encoded(accepted, encoder), rejected
 
 

@@ -16,13 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, for work that is heavy per row.
+
+    Files with fewer splits than the cluster has cores are dealt out by key; a
+    table of many files is read as it lies.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 def _published(doc_id: Column) -> Column:
     return F.lit(FIRST_PUBLISHED_MS) + doc_id * HOUR_MS
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the text form of the article table."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     blank = F.lit("")
     published = _published(F.col("doc_id"))
     return d.select(
@@ -48,7 +61,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some titles and summaries are empty and some stamps missing, as in rows
     indexed by older runs.
     """
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "embeddings")
     n = e.count()
 
@@ -119,7 +132,7 @@ def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     The interests are the first user turn of the conversation of that number.
     """
     asked = requests(spark, sf_dir)
-    clicked = table(spark, sf_dir, "documents").select(
+    clicked = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("clicked_id"), F.col("text").alias("clicked_news")
     )
     said = (
