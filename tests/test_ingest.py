@@ -103,7 +103,7 @@ def test_last_duplicate_wins_and_half_written_is_repaired(spark, store, tmp_path
     jobs.ingest_drop_in(store, path, ENCODER)
     assert rows_of(store.read("articles"), "id")["1"]["title"] == "Newer"
     # A batch that reached only the article table.
-    batch = store.next_batch()
+    batch = store.state().next_batch
     lone = spark.createDataFrame([("9",)], "id string")
     full = readers.known_columns(lone)
     from tidewire.operators.normalise import normalise

@@ -38,8 +38,8 @@ def ingest(
     are written next and read back from there for the embedding, so neither the
     comparison with the tables nor the encoder runs twice.
     """
-    store.ensure()
-    if epoch is not None and store.has_epoch(source, epoch):
+    state = store.state(source)
+    if state.has_epoch(epoch):
         return None
     order = order or ["_seq"]
     if readers.CORRUPT not in raw.columns:
@@ -50,12 +50,13 @@ def ingest(
         F.count("*").alias("total"), F.count(readers.CORRUPT).alias("corrupt")
     ).first()
 
-    batch = store.next_batch()
-    held_articles, held_vectors = store.read("articles"), store.read("vectors")
-    fresh = not_in_both(with_id(staged.where(~unreadable)), held_articles, held_vectors)
+    batch = state.next_batch
+    fresh = with_id(staged.where(~unreadable))
+    if state.last is not None:
+        fresh = not_in_both(fresh, store.read("articles", state), store.read("vectors", state))
     chosen = cap_new(keep_last(fresh, "id", *order), limit, *order)
     written = store.write("articles", batch, chosen)
-    good, bad = store.check_vectors(vectorise(written, encoder))
+    good, bad = store.check_vectors(materialise(vectorise(written, encoder)))
     vectors = store.write("vectors", batch, good)
     refused = staged.where(unreadable).select(
         "id", F.lit("unreadable record").alias("reason"), F.col(readers.CORRUPT).alias("record")
@@ -67,10 +68,7 @@ def ingest(
     waiting = 0
     if limit is not None and n_written == limit:
         waiting = fresh.select("id").distinct().count() - n_written
-    ids = written.select("id")
-    replaces = not ids.join(held_articles.select("id"), "id").isEmpty() or not ids.join(
-        held_vectors.select(F.col("article_id").alias("id")), "id"
-    ).isEmpty()
+    replaces = store.any_held(written.select("id"), state, ["articles", "vectors"])
     skipped = counts["total"] - counts["corrupt"] - n_written - waiting
     run = {
         "source": source,

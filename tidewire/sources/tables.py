@@ -8,6 +8,7 @@ together, a run that dies leaves nothing visible, and no run rewrites old data.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from tidewire.functions.vectors import is_valid_vector
 from tidewire.operators.increment import keep_last
 from tidewire.schemas import ARTICLE, VECTOR_COLUMNS, VECTORS
+from tidewire.session import materialise
 
 RUN = T.StructType(
     [
@@ -43,6 +45,24 @@ _KEYS = {"articles": "id", "vectors": "article_id", "quarantine": None}
 _SCHEMAS = {"articles": ARTICLE, "vectors": VECTORS, "quarantine": QUARANTINE, "runs": RUN}
 
 
+@dataclass(frozen=True)
+class State:
+    """The committed runs, summed up; mark and epoch are those of one source."""
+
+    last: int | None
+    replaces: bool
+    mark: int
+    epoch: int | None
+
+    @property
+    def next_batch(self) -> int:
+        return 0 if self.last is None else self.last + 1
+
+    def has_epoch(self, epoch: int | None) -> bool:
+        """Epochs of a stream rise, so one up to the highest is done."""
+        return epoch is not None and self.epoch is not None and epoch <= self.epoch
+
+
 @dataclass(frozen=True)
 class Store:
     """The tables below one folder, with one vector width."""
@@ -71,24 +91,35 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return raw
 
-    def read(self, table: str) -> DataFrame:
+    def state(self, source: str | None = None) -> State:
+        """What the committed runs amount to, in one pass over their records."""
+        mine = F.col("source") == F.lit(source)
+        r = self.runs().agg(
+            F.max("batch").alias("last"),
+            F.max("replaces").alias("replaces"),
+            F.max(F.when(F.col("width") != self.width, F.col("width"))).alias("other"),
+            F.max(F.when(mine, F.col("mark"))).alias("mark"),
+            F.max(F.when(mine, F.col("epoch"))).alias("epoch"),
+        ).first()
+        if r["other"] is not None:
+            raise ValueError(f"the vector table has width {r['other']}, not {self.width}")
+        return State(r["last"], bool(r["replaces"]), r["mark"] or 0, r["epoch"])
+
+    def read(self, table: str, state: State | None = None) -> DataFrame:
         """The committed rows, the last batch winning per id.
 
         The pass over ids is needed only if some run replaced rows; plain
         appends are read as they are.
         """
-        empty = self.spark.createDataFrame([], _SCHEMAS[table])
-        raw = self._raw(table)
+        state = state or self.state()
+        raw = self._raw(table) if state.last is not None else None
         if raw is None:
-            return empty
-        done = self.runs().agg(F.max("batch").alias("last"), F.max("replaces").alias("replaces")).first()
-        if done["last"] is None:
-            return empty
+            return self.spark.createDataFrame([], _SCHEMAS[table])
         # Numbers are given out in turn, so the committed ones are all up to the
         # last; a folder past it is left over from a run that did not end.
-        seen = raw.where(F.col("batch") <= done["last"])
+        seen = raw.where(F.col("batch") <= state.last)
         key = _KEYS[table]
-        if key and done["replaces"]:
+        if key and state.replaces:
             repeated = (
                 seen.groupBy(key)
                 .agg(F.count("*").alias("_n"), F.max("batch").alias("_last"))
@@ -103,22 +134,14 @@ class Store:
 
     def mark(self, source: str) -> int:
         """The highest committed mark of a source; zero before its first run."""
-        top = self.runs().where(F.col("source") == source).agg(F.max("mark")).first()[0]
-        return top or 0
-
-    def has_epoch(self, source: str, epoch: int) -> bool:
-        same = (F.col("source") == source) & (F.col("epoch") == epoch)
-        return not self.runs().where(same).isEmpty()
-
-    def ensure(self) -> None:
-        """Refuse to go on with another vector width than the table has."""
-        other = self.runs().where(F.col("width") != self.width).select("width").first()
-        if other:
-            raise ValueError(f"the vector table has width {other['width']}, not {self.width}")
+        return self.state(source).mark
 
-    def next_batch(self) -> int:
-        top = self.runs().agg(F.max("batch")).first()[0]
-        return 0 if top is None else top + 1
+    def any_held(self, ids: DataFrame, state: State, tables: list[str]) -> bool:
+        """Whether some of the ids, in a column ``id``, are in the tables already."""
+        if state.last is None:
+            return False
+        held = [self.read(t, state).select(F.col(_KEYS[t]).alias("id")) for t in tables]
+        return not ids.join(reduce(DataFrame.union, held), "id").isEmpty()
 
     def write(self, table: str, batch: int, rows: DataFrame) -> DataFrame:
         """Write a batch, not visible yet, and return it as written."""
@@ -149,16 +172,20 @@ class Store:
     def upsert_vectors(
         self, rows: DataFrame, source: str, order: list[str] | None = None, epoch: int | None = None
     ) -> int:
-        """Write vector rows, last one winning per id; returns how many."""
-        self.ensure()
-        batch = self.next_batch()
+        """Write vector rows, last one winning per id; returns how many.
+
+        A batch whose epoch is committed already is not written again.
+        """
+        state = self.state(source)
+        if state.has_epoch(epoch):
+            return 0
+        batch = state.next_batch
         last = keep_last(rows, "article_id", *order) if order else rows.dropDuplicates(["article_id"])
-        good, bad = self.check_vectors(last)
+        good, bad = self.check_vectors(materialise(last))
         written = self.write("vectors", batch, good)
-        refused = self.write("quarantine", batch, bad)
-        n, errors = written.count(), refused.count()
-        held = self.read("vectors").select("article_id")
-        replaces = not written.select("article_id").join(held, "article_id").isEmpty()
+        errors = self.write("quarantine", batch, bad).count()
+        n = written.count()
+        replaces = self.any_held(written.select(F.col("article_id").alias("id")), state, ["vectors"])
         self.commit(
             batch, source=source, epoch=epoch, total=n + errors, ingested=n, skipped=0,
             errors=errors, mark=0, replaces=replaces, message=f"{n} vectors written",

@@ -64,8 +64,6 @@ def stream_hourly(
     source = f"hourly:{path}"
 
     def each(files: DataFrame, epoch: int) -> None:
-        if store.has_epoch(source, epoch):
-            return
         ordered = files.where(F.col("articles").isNotNull())
         store.upsert_vectors(
             hourly_vectors(ordered, encoder), source, ["timestamp", "title"], epoch
