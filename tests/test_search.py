@@ -179,7 +179,8 @@ def test_enrichment_fills_only_what_is_empty(spark):
         "id string, title string, introductory_paragraph string, published_time_unix bigint",
     )
     for hot in (None, spark.createDataFrame([("a", 3)], "article_id string, _copies int")):
-        got = {r["article_id"]: r for r in ranking.enrich(ranked, payload, articles, hot, ["request_id"]).collect()}
+        wanted = ranking.Wanted(ranked.select("article_id"), hot)
+        got = {r["article_id"]: r for r in ranking.enrich(ranked, payload, articles, wanted, ["request_id"]).collect()}
         assert (got["a"]["title"], got["a"]["summary"], got["a"]["timestamp"]) == ("Full", "<p>raw</p>", 9)
         assert (got["b"]["title"], got["b"]["summary"], got["b"]["timestamp"], got["b"]["category"]) == ("Own", "own", 5, [])
         assert got["gone"]["full_article"] is None and got["gone"]["title"] == "Kept"

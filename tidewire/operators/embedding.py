@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidewire.functions.ids import content_key
 from tidewire.functions.text import truncate
 from tidewire.functions.vectors import projection_matrix
+from tidewire.operators.skew import hot_keys, skew_join
 
 _VECTOR = T.ArrayType(T.FloatType())
 
@@ -126,36 +127,37 @@ def embed(df: DataFrame, texts: dict[str, Column], encoder: Encoder, max_chars:
     return df.withColumns({name: encode(text) for name, text in texts.items()})
 
 
-def embed_with_reuse(
-    df: DataFrame, text: str, out: str, encoder: Encoder, cache: DataFrame | None = None
+def embedding_cache(
+    df: DataFrame, text: str, encoder: Encoder, cache: DataFrame | None = None
 ) -> DataFrame:
-    """Encode each distinct text once, and none that the cache already holds.
+    """Vectors of the distinct texts not yet in the cache, keyed by content.
 
-    ``cache`` has the columns ``content_key`` and ``vector``. Distinct texts are
-    found with map-side combining, so a text on a third of all rows is encoded
-    once; the copies then meet their vector in a salted join.
+    Copies are combined before the shuffle, so a text on a third of all rows is
+    encoded once, and once only it meets the cache.
     """
-    from tidewire.operators.skew import hot_keys, skew_join
-
-    keyed = df.withColumn("content_key", content_key(F.col(text)))
-    fresh = keyed.where(F.col("content_key").isNotNull()).select("content_key", text)
+    keyed = df.where(F.col(text).isNotNull()).select(
+        content_key(F.col(text)).alias("content_key"), F.col(text).alias("_text")
+    )
+    fresh = keyed.dropDuplicates(["content_key"])
     if cache is not None:
         fresh = fresh.join(cache.select("content_key"), "content_key", "left_anti")
-    fresh = fresh.dropDuplicates(["content_key"])
-    made = fresh.select("content_key", encode_column(encoder)(F.col(text)).alias("vector"))
-    known = made if cache is None else made.unionByName(cache.select("content_key", "vector"))
-    keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
-    hot = hot_keys(keyed, "content_key")
-    joined = skew_join(keyed, known, "content_key", "left", ["_row"], hot)
-    return joined.withColumnRenamed("vector", out).drop("_row")
+    return fresh.select("content_key", encode_column(encoder)(F.col("_text")).alias("vector"))
 
 
-def embedding_cache(df: DataFrame, text: str, encoder: Encoder, cache: DataFrame | None = None) -> DataFrame:
-    """Vectors of the distinct texts not yet in the cache, keyed by content."""
-    keyed = df.select(content_key(F.col(text)).alias("content_key"), F.col(text).alias("_text"))
-    fresh = keyed.where(F.col("content_key").isNotNull())
-    if cache is not None:
-        fresh = fresh.join(cache.select("content_key"), "content_key", "left_anti")
-    return fresh.dropDuplicates(["content_key"]).select(
-        "content_key", encode_column(encoder)(F.col("_text")).alias("vector")
+def embed_with_reuse(
+    df: DataFrame, text: str, out: str, encoder: Encoder, cache: DataFrame | None = None
+) -> DataFrame:
+    """Encode each distinct text once, and none that the cache already holds.
+
+    ``cache`` has the columns ``content_key`` and ``vector``. The copies of a
+    text meet its vector in a salted join.
+    """
+    made = embedding_cache(df, text, encoder, cache)
+    known = made if cache is None else made.unionByName(cache.select("content_key", "vector"))
+    keyed = df.withColumn("content_key", content_key(F.col(text))).withColumn(
+        "_row", F.monotonically_increasing_id()
     )
+    joined = skew_join(
+        keyed, known, "content_key", "left", ["_row"], hot_keys(keyed, "content_key")
+    )
+    return joined.withColumnRenamed("vector", out).drop("_row")

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.skew import sized
+
 
 def present_in_both(ids: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:
     """Which of the given ids both stores hold.
 
-    The stores give only their id column, and the join starts from the given
-    ids, so a small batch is broadcast to the scans.
+    The stores give only their id column. A batch of bounded size is broadcast
+    to the scans of both, which then are not shuffled.
     """
-    asked = ids.select("id").distinct()
+    asked = sized(ids.select("id").distinct())
     held = asked.join(articles.select("id"), "id")
     return held.join(vectors.select(F.col("article_id").alias("id")), "id").select("id").distinct()
 
 
 def not_in_both(incoming: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:
     """Rows whose id is missing from either store; a half-written one comes again."""
-    return incoming.join(present_in_both(incoming, articles, vectors), "id", "left_anti")
+    both = sized(present_in_both(incoming, articles, vectors))
+    return incoming.join(both, "id", "left_anti")
 
 
 def keep_last(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,36 @@ from tidewire.functions.scoring import blend
 from tidewire.functions.text import none_if_empty
 from tidewire.functions.vectors import scoring_vector
 from tidewire.operators.scorer import Scorer, score_candidates
-from tidewire.operators.skew import skew_join
+from tidewire.operators.skew import hot_keys, sized, skew_join
 from tidewire.schemas import VECTOR_COLUMNS
 
 RESULTS = 50
 LATEST_CANDIDATES = 100
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """The articles that candidates name: their ids, and the hot ones among them.
+
+    If the ids are few they are broadcast to the scans of the large tables, so
+    that of vectors and bodies only the wanted rows are ever shuffled.
+    """
+
+    ids: DataFrame
+    hot: DataFrame | None
+
+    @staticmethod
+    def of(candidates: DataFrame) -> Wanted:
+        return Wanted(
+            sized(candidates.select("article_id").distinct()), hot_keys(candidates, "article_id")
+        )
+
+    def only(self, table: DataFrame) -> DataFrame:
+        return table.join(self.ids, "article_id", "left_semi")
+
+
 def with_vectors(
-    candidates: DataFrame, requests: DataFrame, vectors: DataFrame, width: int, hot: DataFrame | None
+    candidates: DataFrame, requests: DataFrame, vectors: DataFrame, width: int, wanted: Wanted
 ) -> DataFrame:
     """Bring each candidate its user vector and its scoring vector.
 
@@ -28,7 +51,9 @@ def with_vectors(
     present = [F.col(c) if c in vectors.columns else F.lit(None) for c in VECTOR_COLUMNS]
     news = vectors.select("article_id", scoring_vector(*present, width).alias("news_vec"))
     users = requests.select("request_id", F.col("query_vec").alias("user_vec"))
-    paired = skew_join(candidates, news, "article_id", "left", ["request_id"], hot)
+    paired = skew_join(
+        candidates, wanted.only(news), "article_id", "left", ["request_id"], wanted.hot
+    )
     zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
     return paired.withColumn("news_vec", F.coalesce("news_vec", zeros)).join(users, "request_id")
 
@@ -51,15 +76,15 @@ def score_and_rank(
     requests: DataFrame,
     vectors: DataFrame,
     scorer: Scorer,
-    hot: DataFrame | None,
+    wanted: Wanted,
     k: int = RESULTS,
 ) -> DataFrame:
-    paired = with_vectors(candidates, requests, vectors, scorer.width, hot)
+    paired = with_vectors(candidates, requests, vectors, scorer.width, wanted)
     return rerank(score_candidates(paired, scorer), k)
 
 
 def enrich(
-    ranked: DataFrame, payload: DataFrame, articles: DataFrame, hot: DataFrame | None, spread_by: list[str]
+    ranked: DataFrame, payload: DataFrame, articles: DataFrame, wanted: Wanted, spread_by: list[str]
 ) -> DataFrame:
     """Attach payload and full article; fill title, summary and stamp if empty.
 
@@ -75,8 +100,10 @@ def enrich(
     full = articles.select(
         F.col("id").alias("article_id"), F.struct(*articles.columns).alias("full_article")
     )
-    joined = skew_join(ranked, light, "article_id", "left", spread_by, hot)
-    joined = skew_join(joined, full, "article_id", "left", spread_by, hot)
+    # Payload and body are one row each per article: they meet first, so that the
+    # many ranked rows are shuffled by article once.
+    both = wanted.only(light).join(wanted.only(full), "article_id", "full")
+    joined = skew_join(ranked, both, "article_id", "left", spread_by, wanted.hot)
     fa = F.col("full_article")
     stamp = fa["published_time_unix"]
     return joined.select(

@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import materialise
+
 # A hot key owns more than one row in HOT_SHARE, so there are fewer than
 # HOT_SHARE hot keys whatever the size of the table: that bounds the broadcast.
 # Below MIN_PIECE rows a key is never worth cutting.
 HOT_SHARE = 1000
 MIN_PIECE = 10_000
+# Rows of ids, and at most a number beside them, up to which they are broadcast:
+# some tens of megabytes.
+BROADCAST_ROWS = 500_000
 _SALT = "_salt"
 _COPIES = "_copies"
 
 
+def sized(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Narrow rows, counted, and marked for broadcast if they are few.
+
+    Estimates of an aggregate or a join follow the size of their input, so
+    without a count the planner would shuffle a whole table to meet a few ids.
+    """
+    kept = materialise(ids)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def hot_keys(
     df: DataFrame, key: str, share: int = HOT_SHARE, min_piece: int = MIN_PIECE
 ) -> DataFrame | None:

@@ -51,11 +51,11 @@ def ingest(
     ).first()
 
     batch = state.next_batch
-    fresh = with_id(staged.where(~unreadable))
+    # The last row per id first: a repeated id is then one row in every join.
+    fresh = keep_last(with_id(staged.where(~unreadable)), "id", *order)
     if state.last is not None:
         fresh = not_in_both(fresh, store.read("articles", state), store.read("vectors", state))
-    chosen = cap_new(keep_last(fresh, "id", *order), limit, *order)
-    written = store.write("articles", batch, chosen)
+    written = store.write("articles", batch, cap_new(fresh, limit, *order))
     good, bad = store.check_vectors(materialise(vectorise(written, encoder)))
     vectors = store.write("vectors", batch, good)
     refused = staged.where(unreadable).select(
@@ -67,7 +67,7 @@ def ingest(
     n_written = written.count()
     waiting = 0
     if limit is not None and n_written == limit:
-        waiting = fresh.select("id").distinct().count() - n_written
+        waiting = fresh.count() - n_written
     replaces = store.any_held(written.select("id"), state, ["articles", "vectors"])
     skipped = counts["total"] - counts["corrupt"] - n_written - waiting
     run = {

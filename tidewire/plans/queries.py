@@ -454,15 +454,17 @@ def portfolio_sections(spark, sf_dir):
 def idempotent_new(spark, sf_dir):
     """Rows missing from either store, the last one per id."""
     incoming, article_store, vector_store = views.stored_parts(spark, sf_dir)
-    new = increment.not_in_both(incoming, article_store, vector_store)
-    return increment.keep_last(new, "id", "_seq").select("id", "title", F.col("_seq").alias("seq"))
+    last = increment.keep_last(incoming, "id", "_seq")
+    new = increment.not_in_both(last, article_store, vector_store)
+    return new.select("id", "title", F.col("_seq").alias("seq"))
 
 
 @query
 def capped_new(spark, sf_dir):
     """The next 500 new rows of a run, in source order."""
     incoming, article_store, vector_store = views.stored_parts(spark, sf_dir)
-    new = increment.keep_last(increment.not_in_both(incoming, article_store, vector_store), "id", "_seq")
+    last = increment.keep_last(incoming, "id", "_seq")
+    new = increment.not_in_both(last, article_store, vector_store)
     return increment.cap_new(new, 500, "_seq").select("id", F.col("_seq").alias("seq"))
 
 

@@ -12,7 +12,6 @@ from tidewire.operators.embedding import Encoder, encode_column
 from tidewire.operators.filters import split_blank
 from tidewire.operators.scorer import Scorer
 from tidewire.operators.search import fusion_topk
-from tidewire.operators.skew import hot_keys
 from tidewire.session import materialise
 
 REQUEST_COLUMNS = ["request_id", "categories", "days", "as_of_ms", "use_latest"]
@@ -49,11 +48,11 @@ def recommend(
     The articles that very many requests share are counted on the kept rows.
     """
     found = materialise(candidates(requests, vectors, **search))
-    hot = hot_keys(found, "article_id")
-    ranked = ranking.score_and_rank(found, requests, vectors, scorer, hot, k).select(
+    wanted = ranking.Wanted.of(found)
+    ranked = ranking.score_and_rank(found, requests, vectors, scorer, wanted, k).select(
         "request_id", "rank", "article_id", "score"
     )
-    return ranking.enrich(ranked, vectors, articles, hot, ["request_id"])
+    return ranking.enrich(ranked, vectors, articles, wanted, ["request_id"])
 
 
 def context_requests(requests: DataFrame, encoder: Encoder) -> DataFrame:

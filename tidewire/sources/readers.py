@@ -31,8 +31,11 @@ CSV_OPTIONS = {
 
 
 def _with_order(df: DataFrame) -> DataFrame:
-    """Source order: files in scan order, rows in file order."""
-    return df.withColumn("_seq", F.monotonically_increasing_id())
+    """Source order: files by name, splits by offset, rows as they come."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return df.withColumn("_seq", place)
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -61,14 +64,18 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         .schema(schema)
         .csv(path)
     )
-    return _with_order(known_columns(rows))
+    return known_columns(_with_order(rows))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A file that is one JSON list of articles; list-valued tags become JSON text."""
-    whole = spark.read.text(path, wholetext=True)
-    lists = whole.where(~F.regexp_like("value", F.lit(r"^[\s﻿]*\["))).limit(1)
-    if not lists.isEmpty():
+    # What comes before the first brace: blank for an object, a bracket for a list.
+    # Cut at braces, even a file of one line is read in small pieces.
+    pieces = spark.read.option("lineSep", "{").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")
+    )
+    starts = pieces.groupBy("file").agg(F.min_by("value", "at").alias("start"))
+    if not starts.where(~F.regexp_like("start", F.lit(r"^[\s\ufeff]*\["))).isEmpty():
         raise ValueError("a JSON source must be a list of articles")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*ARTICLE_COLUMNS, CORRUPT]])
     rows = (
@@ -78,7 +85,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         .schema(schema)
         .json(path)
     )
-    return _with_order(known_columns(rows))
+    return known_columns(_with_order(rows))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

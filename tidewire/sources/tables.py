@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewire.functions.vectors import is_valid_vector
 from tidewire.operators.increment import keep_last
+from tidewire.operators.skew import sized
 from tidewire.schemas import ARTICLE, VECTOR_COLUMNS, VECTORS
 from tidewire.session import materialise
 
@@ -126,8 +127,8 @@ class Store:
                 .where("_n > 1")
                 .select(key, "_last")
             )
-            # Only the few replaced ids take part; most rows pass by.
-            seen = seen.join(repeated, key, "left").where(
+            # The replaced ids are few as a rule, and then no row is shuffled.
+            seen = seen.join(sized(repeated), key, "left").where(
                 F.col("_last").isNull() | (F.col("_last") == F.col("batch"))
             )
         return seen.select(*_SCHEMAS[table].fieldNames())

@@ -93,7 +93,9 @@ def stream_csv(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def each(rows: DataFrame, epoch: int) -> None:
-        placed = rows.withColumn("_seq", F.monotonically_increasing_id())
+        row = F.monotonically_increasing_id()
+        placed = rows.withColumn("_seq", F.struct("file", row)).drop("file")
         ingest(store, placed, encoder, source, common_vector, epoch=epoch)
 
-    return _start(reader.csv(path), each, checkpoint, every)
+    rows = reader.csv(path).withColumn("file", F.col("_metadata.file_path"))
+    return _start(rows, each, checkpoint, every)
