@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.ids import result_id
 from tidewire.functions.scoring import blend
 from tidewire.functions.text import none_if_empty
-from tidewire.functions.vectors import scoring_vector
+from tidewire.functions.vectors import cosine, scoring_vector
 from tidewire.operators.scorer import Scorer, score_candidates
 from tidewire.operators.skew import hot_keys, sized, skew_join
 from tidewire.schemas import VECTOR_COLUMNS
@@ -78,8 +78,20 @@ def score_and_rank(
     scorer: Scorer,
     wanted: Wanted,
     k: int = RESULTS,
+    blend_on: str = "fused",
 ) -> DataFrame:
+    """Score each candidate and keep the best k of each request.
+
+    The blend takes the fused retrieval score, which may exceed one, or with
+    ``blend_on="cosine"`` the cosine of the request and the scoring vector.
+    """
     paired = with_vectors(candidates, requests, vectors, scorer.width, wanted)
+    if blend_on == "cosine":
+        paired = paired.withColumn(
+            "retrieval_score", cosine(F.col("user_vec"), F.col("news_vec"))
+        )
+    elif blend_on != "fused":
+        raise ValueError(f"blend on fused or cosine, not {blend_on}")
     return rerank(score_candidates(paired, scorer), k)
 
 

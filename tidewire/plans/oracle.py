@@ -152,6 +152,19 @@ _RECOMMEND = f"""WITH {_ARTICLES}, {_CORPUS}, {_REQUESTS}, {_CANDIDATES}, {_DOT_
 {_ranked(50)} {_RESULTS}"""
 
 
+_COSINE = f"""WITH {_ARTICLES}, {_CORPUS}, {_REQUESTS}, {_SEARCHING},
+{_fused(50, f'{_TAGS_OK} AND {_RECENT_OK}', 'searching').replace('(2 + place - 1)', '(61 + place - 1)')}, {_FEED},
+cands AS (
+  SELECT request_id, article_id, rr FROM fused
+  UNION ALL
+  SELECT r.request_id, c.article_id, f.rr FROM feed f JOIN corpus c USING (article_id)
+  JOIN requests r ON r.use_latest AND {_TAGS_OK} AND {_RECENT_OK}),
+scored AS (
+  SELECT cands.*, list_cosine_similarity(r.q, c.v0) AS q, 0.5 * (1 + list_dot_product(r.q, c.v0)) AS n
+  FROM cands JOIN requests r USING (request_id) JOIN corpus c USING (article_id)),
+{_ranked(20)} {_RESULTS}"""
+
+
 def _weights(layer: int, fan_out: int, fan_in: int) -> str:
     """A layer of seeded Xavier-uniform weights as one list per unit."""
     unit = (
@@ -437,6 +450,7 @@ SELECT f.article_id, CASE WHEN c.title <> '' THEN c.title WHEN a.title <> '' THE
        100.0::DOUBLE AS match_percent
 FROM feed f JOIN corpus c USING (article_id) JOIN articles a ON a.id = f.article_id WHERE rr <= 50""",
         "recommend": _RECOMMEND,
+        "recommend_cosine": _COSINE,
         "recommend_mlp": _MLP,
         "recommend_latest": f"""WITH {_CORPUS}, {_REQUESTS}, {_FEED}
 SELECT r.request_id, c.article_id, f.rr AS retrieval_rank
@@ -458,6 +472,14 @@ FROM customer LEFT JOIN equities ON cust = c_custkey""",
         "incremental_since": f"""WITH {_ARTICLES}
 SELECT id, stamp AS published_time_unix, length(title) AS title_chars FROM articles
 WHERE stamp > {FIRST_MS} + {_N_DOCS} // 2 * {HOUR_MS}""",
+        "oldest_articles": f"""WITH {_ARTICLES}
+SELECT id, stamp AS published_time_unix FROM articles ORDER BY stamp, id LIMIT 100""",
+        "nested_text": """SELECT doc_id, '{"score":' || doc_id % 10 || ',"reason":"' || lang || '"}' AS economyimpact,
+       '[{"type":"Sector","entity":[{"name":"' || source || '","score":"' || doc_id % 5
+         || '","reason":"r"}]}]' AS impact_matrix,
+       '[{"tag":"' || lang || '","text":"' || source || '"}]' AS perception_lines,
+       '["' || lang || '","' || source || '"]' AS tags
+FROM documents""",
         "max_published": f"""WITH {_ARTICLES}
 SELECT max(stamp) AS max_published, count(*) AS n, max(stamp) FILTER (WHERE stamp % 2 = 0) AS mark
 FROM articles""",
@@ -488,6 +510,7 @@ SELECT pair * 2 + 1, anchor_id, negative_id, 0.0::DOUBLE FROM negatives""",
 SELECT article_id, array_to_string(tags, '|') AS tags FROM indexed WHERE idx < 500""",
         "ingest_lake": _tables(_SUMMARY),
         "ingest_backfill": _tables(_SUMMARY),
+        "ingest_json": _tables(_SUMMARY),
         "csv_stream": _tables(_SUMMARY),
         "ingest_runs": f"""WITH {_ARTICLES}, c AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS part, max(stamp) AS top,

@@ -378,6 +378,18 @@ def recommend_mlp(spark, sf_dir):
     )
 
 
+@query
+def recommend_cosine(spark, sf_dir):
+    """The same with the blend on cosine and filters on the newest articles."""
+    return _items(
+        rec.recommend(
+            views.vector_requests(spark, sf_dir), views.corpus(spark, sf_dir),
+            views.articles(spark, sf_dir), DotScorer(WIDTH), 20,
+            blend_on="cosine", filter_latest=True, rrf_k=60, rank_base=1,
+        )
+    )
+
+
 @query
 def recommend_latest(spark, sf_dir):
     """Newest 100 as candidates of every request that asks, filters applied."""
@@ -477,6 +489,31 @@ def incremental_since(spark, sf_dir):
     return newer.select("id", "published_time_unix", F.length("title").alias("title_chars"))
 
 
+@query
+def oldest_articles(spark, sf_dir):
+    """The first 100 articles by publish number."""
+    first = increment.oldest_first(views.articles(spark, sf_dir), 100)
+    return first.select("id", "published_time_unix")
+
+
+@query
+def nested_text(spark, sf_dir):
+    """The lake form's nested columns as JSON text."""
+    d = views.texts(spark, sf_dir, "documents")
+    entity = F.struct(
+        F.col("source").alias("name"), (F.col("doc_id") % 5).cast("string").alias("score"),
+        F.lit("r").alias("reason"), F.lit(None).cast("string").alias("perception_line"),
+    )
+    lake = d.select(
+        "doc_id",
+        F.struct((F.col("doc_id") % 10).cast("int").alias("score"), F.col("lang").alias("reason")).alias("economyimpact"),
+        F.array(F.struct(F.lit("Sector").alias("type"), F.array(entity).alias("entity"))).alias("impact_matrix"),
+        F.array(F.struct(F.col("lang").alias("tag"), F.col("source").alias("text"))).alias("perception_lines"),
+        F.array("lang", "source").alias("tags"),
+    )
+    return normalise.nested_to_text(lake)
+
+
 @query
 def max_published(spark, sf_dir):
     """The newest stamp, the row count, and the mark after a batch."""
@@ -594,6 +631,20 @@ def train_scorer(spark, sf_dir):
     )
 
 
+@query
+def refit_scorer(spark, sf_dir):
+    """Two refits: from the start, then a warm start on what came later."""
+    a = views.articles(spark, sf_dir)
+    half = views.FIRST_PUBLISHED_MS + views.table(spark, sf_dir, "documents").count() // 2 * views.HOUR_MS
+    root = work_dir(spark, "model")
+    sizes = {"n_pairs": 600, "epochs": 1, "batch": 200, "seed": SEED, "max_articles": 300}
+    older = a.where(F.col("published_time_unix") <= half)
+    first, mark = training.refit(older, ENCODER, root, "0001", **sizes)
+    second, last = training.refit(a, ENCODER, root, "0002", since=mark, **sizes)
+    rows = [("0001", mark, float(first.losses[-1])), ("0002", last, float(second.losses[-1]))]
+    return spark.createDataFrame(rows, "version string, mark bigint, mean_loss double")
+
+
 # Jobs that write tables, in the shared folder
 
 
@@ -657,6 +708,20 @@ def ingest_backfill(spark, sf_dir):
     return _table_rows(store)
 
 
+@query
+def ingest_json(spark, sf_dir):
+    """A drop-in of JSON lists, a file per day of articles."""
+    a = views.articles(spark, sf_dir)
+    day = F.floor(F.col("id").cast("bigint") / 24)
+    lists = a.groupBy(day.alias("day")).agg(F.to_json(F.collect_list(F.struct(*a.columns))).alias("value"))
+    path = work_dir(spark, "json")
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    store = _store(spark, "json-store")
+    rows = readers.require_rows(readers.read_json(spark, path))
+    ingest_plans.ingest(store, rows, ENCODER, "json", embed_plans.common_vector)
+    return _table_rows(store)
+
+
 @query
 def ingest_runs(spark, sf_dir):
     """The run records of a drop-in ingest that comes twice, then grows."""

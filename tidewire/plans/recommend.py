@@ -39,6 +39,7 @@ def recommend(
     articles: DataFrame,
     scorer: Scorer,
     k: int = ranking.RESULTS,
+    blend_on: str = "fused",
     **search,
 ) -> DataFrame:
     """Recommendations of requests that already carry a ``query_vec``.
@@ -49,7 +50,7 @@ def recommend(
     """
     found = materialise(candidates(requests, vectors, **search))
     wanted = ranking.Wanted.of(found)
-    ranked = ranking.score_and_rank(found, requests, vectors, scorer, wanted, k).select(
+    ranked = ranking.score_and_rank(found, requests, vectors, scorer, wanted, k, blend_on).select(
         "request_id", "rank", "article_id", "score"
     )
     return ranking.enrich(ranked, vectors, articles, wanted, ["request_id"])

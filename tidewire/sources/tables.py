@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,15 @@ _KEYS = {"articles": "id", "vectors": "article_id", "quarantine": None}
 _SCHEMAS = {"articles": ARTICLE, "vectors": VECTORS, "quarantine": QUARANTINE, "runs": RUN}
 
 
+def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 @dataclass(frozen=True)
 class State:
     """The committed runs, summed up; mark and epoch are those of one source."""
@@ -78,12 +89,7 @@ class Store:
     def _raw(self, table: str) -> DataFrame | None:
         """All batches of a table with their number; None before the first."""
         schema = T.StructType([*_SCHEMAS[table].fields, T.StructField("batch", T.LongType())])
-        path = self._path(table)
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return None
-        return self.spark.read.schema(schema).option("basePath", path).parquet(path)
+        return _read_if_there(self.spark, self._path(table), schema)
 
     def runs(self) -> DataFrame:
         raw = self._raw("runs")
@@ -206,14 +212,10 @@ def save_model(spark: SparkSession, root: str, version: str, params: dict) -> No
 
 def load_model(spark: SparkSession, root: str, width: int | None = None) -> dict | None:
     """The newest version, or None when there is none yet."""
-    import numpy as np
-
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
     schema = "name string, shape array<int>, values array<double>, version string"
-    every = spark.read.schema(schema).option("basePath", root).parquet(root)
+    every = _read_if_there(spark, root, schema)
+    if every is None:
+        return None
     newest = every.agg(F.max("version")).first()[0]
     rows = every.where(F.col("version") == newest).collect()
     params = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}
