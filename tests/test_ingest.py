@@ -225,6 +225,30 @@ def test_hourly_stream_equals_batch_and_restarts(spark, store, tmp_path):
     assert len(again) == 3 and again["1"]["title"] == "changed"
 
 
+def test_stream_keeps_on_at_an_interval(spark, store, tmp_path):
+    folder = str(tmp_path / "in")
+    hourly_file(folder, "et_01.json", [hourly_article(1)])
+    query = streams.stream_hourly(store, folder, ENCODER, str(tmp_path / "cp"), every="1 second")
+    try:
+        query.processAllAvailable()
+        hourly_file(folder, "et_02.json", [hourly_article(2)])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(rows_of(store.read("vectors"), "article_id")) == ["1", "2"]
+
+
+def test_unreadable_file_is_quarantined_or_skipped(spark, store, tmp_path):
+    folder = str(tmp_path / "in")
+    hourly_file(folder, "et_01.json", [hourly_article(1)])
+    with open(folder + "/et_02.json", "w") as f:
+        f.write('{"articles": [{"id": ')
+    streams.stream_hourly(store, folder, ENCODER, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(rows_of(store.read("vectors"), "article_id")) == ["1"]
+    bad = store.read("quarantine").first()
+    assert (bad["id"], bad["reason"]) == ("et_02.json", "unreadable record")
+
+
 def test_csv_stream_reports_runs(spark, store, tmp_path):
     folder = tmp_path / "drop"
     folder.mkdir()

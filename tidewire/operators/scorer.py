@@ -132,12 +132,13 @@ class NeuralScorer:
     def score(self, user: np.ndarray, news: np.ndarray) -> np.ndarray:
         """Scores of row-wise pairs.
 
-        The first layer is a sum of a user part and a news part, so each
-        distinct user of the batch is multiplied once.
+        The first layer is a sum of a user part and a news part. Rows of one user
+        come together, so each run of equal users is multiplied once.
         """
         w = self.params["w0"]
-        users, at = np.unique(user, axis=0, return_inverse=True)
-        first = (users @ w[:, : self.width].T)[at.ravel()] + news @ w[:, self.width :].T
+        starts = np.r_[True, (user[1:] != user[:-1]).any(axis=1)]
+        users = user[starts] @ w[:, : self.width].T
+        first = users[np.cumsum(starts) - 1] + news @ w[:, self.width :].T
         return forward(self.params, None, first=first)[0]
 
 
@@ -161,23 +162,21 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def score_candidates(pairs: DataFrame, scorer: Scorer) -> DataFrame:
     """Add ``neural_score`` to rows that carry ``user_vec`` and ``news_vec``.
 
-    The vectors are dropped. Weights are of fixed size and go out once per task
-    as a broadcast variable.
+    The vectors are dropped. The scorer is of fixed size and travels with the
+    function, which Spark sends once per executor when it is large.
     """
     kept = [c for c in pairs.columns if c not in ("user_vec", "news_vec")]
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in kept
     )
-    sent = pairs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            score = model.score(
-                _matrix(batch.column("user_vec"), model.width),
-                _matrix(batch.column("news_vec"), model.width),
+            score = scorer.score(
+                _matrix(batch.column("user_vec"), scorer.width),
+                _matrix(batch.column("news_vec"), scorer.width),
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(score, pa.float64())],

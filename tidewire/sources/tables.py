@@ -177,11 +177,17 @@ class Store:
         one.coalesce(1).write.mode("overwrite").parquet(f"{self._path('runs')}/batch={batch}")
 
     def upsert_vectors(
-        self, rows: DataFrame, source: str, order: list[str] | None = None, epoch: int | None = None
+        self,
+        rows: DataFrame,
+        source: str,
+        order: list[str] | None = None,
+        epoch: int | None = None,
+        unreadable: DataFrame | None = None,
     ) -> int:
         """Write vector rows, last one winning per id; returns how many.
 
-        A batch whose epoch is committed already is not written again.
+        A batch whose epoch is committed already is not written again. Rows with
+        an invalid vector, and records that could not be read, are quarantined.
         """
         state = self.state(source)
         if state.has_epoch(epoch):
@@ -190,7 +196,8 @@ class Store:
         last = keep_last(rows, "article_id", *order) if order else rows.dropDuplicates(["article_id"])
         good, bad = self.check_vectors(materialise(last))
         written = self.write("vectors", batch, good)
-        errors = self.write("quarantine", batch, bad).count()
+        refused = bad if unreadable is None else bad.unionByName(unreadable)
+        errors = self.write("quarantine", batch, refused).count()
         n = written.count()
         replaces = self.any_held(written.select(F.col("article_id").alias("id")), state, ["vectors"])
         self.commit(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import summary
-from tidewire.operators.skew import hot_keys, skew_join
+from tidewire.operators.skew import hot_keys, sized, skew_join
 
 FIRST_PUBLISHED_MS = 1_704_067_200_000
 HOUR_MS = 3_600_000
@@ -144,6 +144,8 @@ def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min(F.struct("turn", "text"))["text"].alias("interests"))
         .select(F.col("conv_id").cast("string").alias("request_id"), "interests")
     )
+    wanted = sized(asked.select("clicked_id").distinct())
+    clicked = clicked.join(wanted, "clicked_id", "left_semi")
     hot = hot_keys(asked, "clicked_id")
     met = skew_join(asked, clicked, "clicked_id", "left", ["request_id"], hot)
     return met.join(said, "request_id", "left")

@@ -64,10 +64,14 @@ def stream_hourly(
     source = f"hourly:{path}"
 
     def each(files: DataFrame, epoch: int) -> None:
-        ordered = files.where(F.col("articles").isNotNull())
-        store.upsert_vectors(
-            hourly_vectors(ordered, encoder), source, ["timestamp", "title"], epoch
+        listed = F.col("articles").isNotNull()
+        unreadable = files.where(~listed & F.col(readers.CORRUPT).isNotNull()).select(
+            F.col("file").alias("id"),
+            F.lit("unreadable record").alias("reason"),
+            F.col(readers.CORRUPT).alias("record"),
         )
+        vectors = hourly_vectors(files.where(listed), encoder)
+        store.upsert_vectors(vectors, source, ["timestamp", "title"], epoch, unreadable)
 
     stream = readers.hourly_stream(store.spark, path, files_per_batch)
     return _start(stream, each, checkpoint, every)
