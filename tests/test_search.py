@@ -76,6 +76,7 @@ SIZES = [
     {"broadcast_bytes": 6000},
     {"broadcast_bytes": 0},
     {"broadcast_bytes": 0, "corpus_block_bytes": 4000, "request_block_bytes": 500},
+    {"broadcast_bytes": 0, "corpus_block_bytes": 9000, "request_block_bytes": 700, "corpus_copies": 3},
 ]
 
 

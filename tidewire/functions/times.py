@@ -4,7 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+# The zone of the hourly feed, and the texts shown when there is none.
 FEED_ZONE = "Asia/Kolkata"
+NO_TITLE = "Untitled Article"
+NO_SUMMARY = "No summary available for this article."
 
 
 def hour_key(ts: Column, zone: str = FEED_ZONE) -> Column:
@@ -36,11 +39,11 @@ def display_date(timestamp: Column, unix_ms: Column, published: Column) -> Colum
 
 
 def feed_title(title: Column, full_title: Column) -> Column:
-    return _first_text(title, full_title, F.lit("Untitled Article"))
+    return _first_text(title, full_title, F.lit(NO_TITLE))
 
 
 def feed_summary(summary: Column, full_intro: Column) -> Column:
-    return _first_text(summary, full_intro, F.lit("No summary available for this article."))
+    return _first_text(summary, full_intro, F.lit(NO_SUMMARY))
 
 
 def _first_text(*options: Column) -> Column:

@@ -15,6 +15,7 @@ from tidewire.operators.scorer import Scorer, score_candidates
 from tidewire.operators.skew import hot_keys, sized, skew_join
 from tidewire.schemas import VECTOR_COLUMNS
 
+# Results per request, and candidates in the mode of newest articles.
 RESULTS = 50
 LATEST_CANDIDATES = 100
 

@@ -16,6 +16,7 @@ from tidewire.session import materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
 
+# Fixed value: new articles per backfill run.
 RUN_LIMIT = 1000
 Vectorise = Callable[[DataFrame, Encoder], DataFrame]
 

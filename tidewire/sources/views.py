@@ -168,24 +168,23 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     minima are combined before each shuffle. Some customers also hold funds,
     insurance and deposits.
     """
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_partkey")
-        .agg(F.min("l_linenumber").alias("line"))
-    )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    first = F.min(F.struct("l_orderkey", "line", "l_partkey")).alias("at")
+    # Line and part as one number, so that the minima stay in hashed aggregates.
+    line = F.shiftleft(F.col("l_linenumber").cast("bigint"), 40) + F.col("l_partkey")
     held = (
-        lines.join(parts, "l_partkey")
+        table(spark, sf_dir, "lineitem")
+        .join(parts, "l_partkey")
+        .groupBy("l_orderkey", "p_name", "p_type")
+        .agg(F.min(line).alias("line"))
         .join(orders, "l_orderkey")
         .groupBy("o_custkey", "p_name", "p_type")
-        .agg(first)
+        .agg(F.min("l_orderkey").alias("order"), F.min_by("line", "l_orderkey").alias("line"))
     )
     holding = F.struct(F.col("p_name").alias("issuerName"), F.col("p_type").alias("description"))
     accounts = (
-        held.groupBy("o_custkey", F.col("at.l_orderkey").alias("order"))
-        .agg(F.sort_array(F.collect_list(F.struct("at", holding.alias("h")))).alias("hs"))
+        held.groupBy("o_custkey", "order")
+        .agg(F.sort_array(F.collect_list(F.struct("line", holding.alias("h")))).alias("hs"))
         .select("o_custkey", "order", F.transform("hs", lambda x: x["h"]).alias("holdings"))
     )
     account = _holding_account(F.concat(F.lit("E"), F.col("order").cast("string")), F.col("holdings"))
