@@ -618,13 +618,14 @@ def training_sample(spark, sf_dir):
 
 @query
 def train_scorer(spark, sf_dir):
-    """Fit the scorer on pairs over the vector table; loss per epoch."""
+    """Fit the scorer on two pairs per article of the vector table; loss per epoch."""
+    pairs = 2 * views.table(spark, sf_dir, "documents").count()
     vectors_ = views.corpus(spark, sf_dir).select(
         "article_id", "tags", F.col("title_vec").alias("vec")
     )
     fitted = training.fit_on_articles(
-        vectors_, initial_params(WIDTH, SEED), n_pairs=2000, epochs=2, batch=500, seed=SEED,
-        max_articles=500,
+        vectors_, initial_params(WIDTH, SEED), n_pairs=pairs, epochs=2,
+        batch=max(training.BATCH, pairs // 4), seed=SEED, max_articles=None,
     )
     return spark.createDataFrame(
         [(i + 1, float(loss)) for i, loss in enumerate(fitted.losses)], "epoch int, mean_loss double"
@@ -635,9 +636,12 @@ def train_scorer(spark, sf_dir):
 def refit_scorer(spark, sf_dir):
     """Two refits: from the start, then a warm start on what came later."""
     a = views.articles(spark, sf_dir)
-    half = views.FIRST_PUBLISHED_MS + views.table(spark, sf_dir, "documents").count() // 2 * views.HOUR_MS
+    n = views.table(spark, sf_dir, "documents").count()
+    half = views.FIRST_PUBLISHED_MS + n // 2 * views.HOUR_MS
     root = work_dir(spark, "model")
-    sizes = {"n_pairs": 600, "epochs": 1, "batch": 200, "seed": SEED, "max_articles": 300}
+    sizes = {
+        "n_pairs": n, "epochs": 1, "batch": max(training.BATCH, n // 4), "seed": SEED, "max_articles": None,
+    }
     older = a.where(F.col("published_time_unix") <= half)
     first, mark = training.refit(older, ENCODER, root, "0001", **sizes)
     second, last = training.refit(a, ENCODER, root, "0002", since=mark, **sizes)
