@@ -180,6 +180,20 @@ def test_distributed_gradient_is_the_local_one(spark, pairs):
         assert np.allclose(got, training.flat(grads), atol=1e-9)
 
 
+def test_optimiser_steps_by_hand():
+    opt = training.AdamW(2)
+    start = np.array([1.0, -2.0])
+    # The first step of this rule moves by the rate, whatever the gradient's size.
+    first = opt.step(start, np.array([0.3, -0.4]), 0.1)
+    assert np.allclose(first, start * (1 - 0.1 * 1e-4) - 0.1 * np.array([1.0, -1.0]), atol=1e-6)
+    # A long gradient is cut to length one before it enters the means.
+    opt = training.AdamW(2)
+    opt.step(start, np.array([30.0, -40.0]), 0.1)
+    assert np.allclose(opt.m, 0.1 * np.array([0.6, -0.8]), atol=1e-6)
+    assert training.cosine_rate(0, 2) == pytest.approx(1e-3)
+    assert training.cosine_rate(1, 2) == pytest.approx(5e-4)
+
+
 def test_dropout_rates():
     masks = training.dropout_masks(np.arange(4000), [16, 8], 0, 0)
     assert (masks[0] == 0).mean() == pytest.approx(0.3, abs=0.02)
