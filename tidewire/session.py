@@ -7,10 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER = "spark.checkpoint.dir"
+
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "tidewire") -> SparkSession:
-    """A session for tests and the local benchmark; a cluster brings its own."""
-    spark = (
+    """A session for tests and the local benchmark; a cluster brings its own.
+
+    Driver and executors are one machine here, so where no shared folder is set a
+    temporary one will do.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
@@ -19,26 +25,24 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "tidewire")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not _named(spark) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+def _named(spark: SparkSession) -> str | None:
+    return spark.conf.get(_FOLDER, None) or spark.sparkContext.getConf().get(_FOLDER)
 
-    Only a local master, where driver and executors are one machine, may fall
-    back to a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="tidewire-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the session names it."""
+    found = _named(spark) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise RuntimeError(f"set {_FOLDER} to a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -52,3 +56,27 @@ def materialise(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Written tables of one run, below a folder of its own in the shared one.
+
+    A kept table is read back from its files: its lineage ends there, so a lost
+    executor costs no earlier step, and the planner knows its size. Tables that no
+    later step reads are dropped; what a result still reads stays.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark = spark
+        self.root = work_dir(spark, purpose)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(conf).delete(path, True)
