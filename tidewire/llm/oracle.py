@@ -75,6 +75,33 @@ FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
 JOIN taken t ON d.source IS NOT DISTINCT FROM t.source AND d.place = t.place
 """
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS t
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM g GROUP BY r
+), near AS (
+  SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.t = b.t AND a.r < b.r
+  JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r
+  WHERE 100 * least(na.n, nb.n) >= 90 * greatest(na.n, nb.n)
+  GROUP BY a.r, b.r, na.n, nb.n HAVING 190 * count(*) >= 90 * (na.n + nb.n)
+), links AS (
+  SELECT a, b FROM near UNION SELECT b, a FROM near
+), reach AS (
+  SELECT a, b FROM links UNION SELECT x.a, l.b FROM reach x JOIN links l ON x.b = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o ON o.r = reach.b
+GROUP BY d.r, d.doc_id, n.n
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op8_quality_rules": OP8}
+    return {"op1_mixing": OP1, "op6_ngram_join": OP6, "op8_quality_rules": OP8}

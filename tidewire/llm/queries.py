@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import mixing, quality
+from tidewire.llm import mixing, ngram_join, quality
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,12 @@ def op1_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     words = F.size(space_words(F.col("text")))
     return mixing.mix(spark, docs, words).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_ngram_join(spark, sf_dir):
+    """The component of every document by links of near copies."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return ngram_join.groups(spark, docs, n=3, percent=90).select(
+        "doc_id", F.col("size").alias("n_shingles"), "component_id"
+    )
