@@ -102,6 +102,36 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o ON o
 GROUP BY d.r, d.doc_id, n.n
 """
 
+_SIGN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP4 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SIGN_WORD}') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SIGN_WORD}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT k FROM windows
+), runs AS (
+  SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS t
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN sizes ON len(w) >= k)
+), found AS (
+  SELECT r, i, runs.k, item_id FROM runs JOIN windows USING (k, t)
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op6_ngram_join": OP6, "op8_quality_rules": OP8}
+    return {"op1_mixing": OP1, "op4_decontaminate": OP4, "op6_ngram_join": OP6, "op8_quality_rules": OP8}

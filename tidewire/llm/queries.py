@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import mixing, ngram_join, quality
+from tidewire.llm import decontaminate, mixing, ngram_join, quality
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,14 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.groups(spark, docs, n=3, percent=90).select(
         "doc_id", F.col("size").alias("n_shingles"), "component_id"
     )
+
+
+@query
+def op4_decontaminate(spark, sf_dir):
+    """Benchmark words and items inside every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.scan(spark, docs, benchmark).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
