@@ -82,27 +82,48 @@ def words(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.nd
     return mix(np.add.reduceat(part, at - at[0])), first
 
 
-def shingles(data: np.ndarray, ends: np.ndarray, inside: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """Per text the sorted distinct hashes of its n-word shingles.
+def shingles(
+    data: np.ndarray, ends: np.ndarray, inside: np.ndarray, n: int, weight: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Per text the sorted distinct hashes of its n-word shingles, and what they weigh.
 
     A text of fewer words, but not none, is one shingle; without words it has none.
+    ``weight`` is a table by the first bits of a word's hash; a shingle weighs the sum
+    over its words.
     """
     h, first = words(data, ends, inside)
     keys = _power(n + 1)[1 : n + 1]
     run = np.zeros(len(h), dtype=np.uint64)
+    heavy = None
+    if weight is not None:
+        each = weight[bucket(h, len(weight))]
+        heavy = np.zeros(len(h), dtype=weight.dtype)
     for k in range(min(n, len(h))):
         run[: len(h) - k] += h[k:] * keys[k]
+        if heavy is not None:
+            heavy[: len(h) - k] += each[k:]
     run = mix(run)
     for i in range(len(ends) - 1):
         a, b = first[i], first[i + 1]
         if b - a >= n:
-            yield np.unique(run[a : b - n + 1])
-        elif b > a:
-            yield mix((h[a:b] * keys[: b - a]).sum(keepdims=True, dtype=np.uint64) ^ np.uint64(b - a))
+            if heavy is None:
+                yield np.unique(run[a : b - n + 1]), None
+            else:
+                found, at = np.unique(run[a : b - n + 1], return_index=True)
+                yield found, heavy[a + at]
         else:
-            yield np.zeros(0, np.uint64)
+            short = np.zeros(0, np.uint64)
+            if b > a:
+                short = mix((h[a:b] * keys[: b - a]).sum(keepdims=True, dtype=np.uint64) ^ np.uint64(b - a))
+            yield short, None if heavy is None else np.zeros(len(short), heavy.dtype)
 
 
-def shingle_sets(column, n: int, inside: np.ndarray = SPACE_WORD) -> Iterator[np.ndarray]:
+def bucket(h: np.ndarray, size: int) -> np.ndarray:
+    """The place of a hash in a table of 2^k places: its first k bits."""
+    return (h >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+
+
+def shingle_sets(column, n: int, inside: np.ndarray = SPACE_WORD, weight: np.ndarray | None = None):
+    """(sorted distinct shingles, their weights) of every row, in order."""
     for _, data, ends in slices(column):
-        yield from shingles(data, ends, inside, n)
+        yield from shingles(data, ends, inside, n, weight)

@@ -1,16 +1,20 @@
 """Near copies by an exact Jaccard self-join of word shingles.
 
-The order is rare first: a fixed table of 2^20 counters, summed over all documents,
-ranks shingles by how often their hash bucket occurs, then by hash. Any order that all
-documents share gives whole results; a good one keeps common shingles out of the
-prefixes. Two sets that meet the threshold share a shingle of their prefixes.
-
-Equal texts are one node, so copies never meet. Among the nodes of a shingle, each is
-first held against the least and the greatest one only; once those links are merged,
-only nodes still in different components are paired, if lengths, places of the shared
-shingle and counts by hash range (a suffix filter with fixed cuts) allow it. A pair is
-verified once, on whole texts. A group of near copies so costs pairs in proportion to
-its size, and every link between different components is still found.
+The order is rare first. Two fixed tables of 2^20 counters, summed over all documents,
+say how often the hash buckets of words and of shingles occur. Shingles of a bucket far
+above the mean come last; the others are ranked by the product of their words' counts,
+then by hash. Any order that all documents share gives whole results; a good one keeps
+common shingles out of the prefixes. Two sets that meet the threshold share a shingle
+of their prefixes.
+
+Equal texts are one node, so copies never meet. Of a prefix only shingles that another
+node has as well count further, which tells how many of the earlier ones can match at
+all: the bound by place uses it. Among the nodes of a shingle each is first held against
+one hub, the node with the fewest shingles of its own before it. Once those links are
+merged, only nodes still in different components are paired, if lengths and places allow
+it. Before texts move, counts by hash range bound the overlap (a suffix filter with
+fixed cuts). A pair is verified once, on whole texts. A group of near copies so costs
+pairs in proportion to its size, and every link between components is still found.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import grams
@@ -35,16 +39,18 @@ LEAVES = 256
 _FULL = np.iinfo(np.uint16).max
 
 
-def _histogram(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles by hash bucket: one fixed table per task, summed by Spark."""
+def _counters(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and words by hash bucket: fixed tables per task, summed by Spark."""
+    size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        total = np.zeros(2 * size, dtype=np.int64)
         for batch in batches:
-            for found in grams.shingle_sets(batch.column(0), n):
-                if len(found):
-                    at = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                    np.add.at(total, at, 1)
+            for _, data, ends in grams.slices(batch.column(0)):
+                h, _ = grams.words(data, ends, grams.SPACE_WORD)
+                np.add.at(total, grams.bucket(h, size) + size, 1)
+                for found, _ in grams.shingles(data, ends, grams.SPACE_WORD, n):
+                    np.add.at(total, grams.bucket(found, size), 1)
         rows = total.reshape(-1, ACROSS)
         used = np.flatnonzero(rows.any(axis=1))
         for some in np.array_split(used, max(1, len(used) // 4096)):
@@ -54,21 +60,31 @@ def _histogram(docs: DataFrame, n: int) -> np.ndarray:
     names = [f"c{k}" for k in range(ACROSS)]
     schema = "row long, " + ", ".join(f"{c} long" for c in names)
     summed = docs.select("text").mapInArrow(count, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in names])
-    table = np.zeros((1 << BUCKET_BITS) // ACROSS * ACROSS, dtype=np.int64).reshape(-1, ACROSS)
+    table = np.zeros((2 * size // ACROSS, ACROSS), dtype=np.int64)
     got = summed.toArrow()
-    table[got["row"].to_numpy()] = np.column_stack([got[c].to_numpy() for c in names]) if len(got) else 0
-    return table.ravel()
+    if len(got):
+        table[got["row"].to_numpy()] = np.column_stack([got[c].to_numpy() for c in names])
+    return table.ravel()[:size], table.ravel()[size:]
+
+
+def _ranks(shingles: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of shingle buckets, 0 for all that chance explains; weights of words."""
+    mean = shingles.mean()
+    chance = mean + 8 * np.sqrt(mean) + 8
+    kind = np.ceil(4 * np.log2(np.maximum(shingles / chance, 1))).astype(np.uint8)
+    return kind, (64 * np.log2(words + 1)).astype(np.int32)
 
 
 def _prefixes(docs: DataFrame, ranks, n: int, percent: int) -> DataFrame:
     """Per row its set's size; per node and task also its prefix and counts by range."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = ranks.value, set()
+        (kinds, weight), seen = ranks.value, set()
         for batch in batches:
             nodes = batch.column("node").to_pylist()
             sizes, tokens, counts = [], [], []
-            for node, found in zip(nodes, grams.shingle_sets(batch.column("text"), n), strict=True):
+            sets = grams.shingle_sets(batch.column("text"), n, weight=weight)
+            for node, (found, weights) in zip(nodes, sets, strict=True):
                 m = len(found)
                 sizes.append(m)
                 if not m or node in seen:
@@ -76,8 +92,8 @@ def _prefixes(docs: DataFrame, ranks, n: int, percent: int) -> DataFrame:
                     counts.append(None)
                     continue
                 seen.add(node)
-                kind = rank[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                order = np.argsort(kind, kind="stable")  # found is sorted by hash
+                kind = kinds[grams.bucket(found, len(kinds))].astype(np.int64)
+                order = np.argsort((kind << 32) + weights, kind="stable")  # found is sorted by hash
                 tokens.append(found[order[: m - -(-percent * m // 100) + 1]].view(np.int64))
                 spread = np.bincount((found & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
                 counts.append(np.minimum(spread, _FULL).astype(np.uint16).tobytes())
@@ -99,16 +115,21 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _fits(percent: int, a: str = "a", b: str = "b") -> Column:
-    """Length filter, and what the places of a shared shingle still allow."""
-    sa, sb, pa_, pb = (F.col(f"{s}.{f}") for f in ("size", "pos") for s in (a, b))
-    most = F.least(pa_, pb) + 1 + F.least(sa - pa_, sb - pb) - 1
-    return (
-        (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & (most >= _needed(sa, sb, percent))
-    )
+    """Length filter, and what the places of a shared shingle still allow.
+
+    Before it at most the earlier shingles that other nodes have as well can match,
+    ``rank`` of them; behind it at most what is left of the smaller set.
+    """
+    size, pos, rank = ((F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in ("size", "pos", "rank"))
+    most = F.least(*rank) + 1 + F.least(size[0] - pos[0], size[1] - pos[1]) - 1
+    return (100 * F.least(*size) >= percent * F.greatest(*size)) & (most >= _needed(*size, percent))
 
 
-def _overlap_bound(pairs: DataFrame, percent: int) -> DataFrame:
+def _overlap_bound(pairs: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
     """Pairs whose counts by hash range can still add up to the overlap they need."""
+    for side in ("a", "b"):
+        own = [F.col(c).alias(f"{o}{side}") for c, o in (("node", ""), ("counts", "c"), ("size", "s"))]
+        pairs = pairs.join(spread.select(*own), side)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +172,7 @@ def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n: int, perce
         for batch in batches:
             a, node, leaf = (batch.column(c).to_pylist() for c in ("a", "node", "leaf"))
             kept: list[int] = []
-            for i, found in enumerate(grams.shingle_sets(batch.column("text"), n)):
+            for i, (found, _) in enumerate(grams.shingle_sets(batch.column("text"), n)):
                 if not leaf[i]:
                     pivot = found
                     continue
@@ -175,8 +196,9 @@ def groups(
     row_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(id, node, size, component_id) of every row, linked at ``percent`` of Jaccard.
+    """(id, node, size, component, component_id) of every row, linked at ``percent`` of Jaccard.
 
+    ``node`` is the hash of the text and ``component`` the least node of the group.
     Words lie between ASCII spaces, A-Z lower-cased. A text without words, or null, has
     size 0 and is linked with nothing, its like included. Equal texts are linked. A
     component is named by its least id; a null id counts as none, and a group of null
@@ -187,45 +209,83 @@ def groups(
         F.col(f"`{row_id}`").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"),
         F.col(f"`{text}`").alias("text"),
     )
-    counts = _histogram(docs, n)
-    ranks = spark.sparkContext.broadcast(np.ceil(8 * np.log2(counts + 1)).astype(np.uint16))
+    ranks = spark.sparkContext.broadcast(_ranks(*_counters(docs, n)))
     sets = scratch.keep(_prefixes(docs, ranks, n, percent), "sets")
+    spread = sets.where(F.col("counts").isNotNull()).select("node", "counts", "size").dropDuplicates(["node"])
+
+    place = F.struct("size", F.col("pos").cast("long").alias("pos")).alias("at")
     posts = sets.where(F.col("tokens").isNotNull()).select("node", "size", F.posexplode("tokens").alias("pos", "token"))
-    one = F.struct("node", "size", "pos")
-    ends = posts.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node < high.node")
-    shared = scratch.keep(posts.join(ends, "token"), "shared")
-    ended = shared.select(F.explode(F.array("low", "high")).alias("a"), one.alias("b"))
-    star = ended.where((F.col("a.node") != F.col("b.node")) & _fits(percent))
-    first = _verified(
-        scratch, docs, star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), n, percent, "star"
-    )
+    one = Window.partitionBy("token")
+    shared = (
+        posts.select("token", "node", place)
+        .withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)})
+        .where("low < high").select("token", "node", "at.*").distinct()
+    )
+    shared = scratch.keep(shared, "shared")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("pos", "token")).cast("long") - 1
+    ranked = scratch.keep(shared.withColumn("rank", rank), "ranked")
+    node = F.struct("node", "size", "pos", "rank")
+    hubs = ranked.groupBy("token").agg(F.min(F.struct((F.col("pos") - F.col("rank")).alias("own"), node.alias("a"))).alias("hub"))
+    star = ranked.select("token", node.alias("b")).join(hubs.select("token", "hub.a"), "token")
+    star = star.where((F.col("a.node") != F.col("b.node")) & _fits(percent))
+    star = star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    first = _verified(scratch, docs, _overlap_bound(star, spread, percent), n, percent, "star")
     merged = scratch.keep(components(scratch, first, "merge"), "merged")
 
     label = F.coalesce("label", "node").alias("label")
-    named = shared.select("token", "node", "size", "pos").join(merged, "node", "left")
-    named = scratch.keep(named.select("token", "node", "size", "pos", label).distinct(), "named")
+    named = ranked.join(merged, "node", "left").select("token", "node", "size", "pos", "rank", label)
+    named = scratch.keep(named, "named")
     mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
     left = named.join(mixed.select("token"), "token", "left_semi")
-    a = left.select("token", F.struct("node", "size", "pos", "label").alias("a"))
-    b = left.select("token", F.struct("node", "size", "pos", "label").alias("b"))
+    a = left.select("token", F.struct("node", "size", "pos", "rank", "label").alias("a"))
+    b = left.select("token", F.struct("node", "size", "pos", "rank", "label").alias("b"))
     across = a.join(b, "token").where((F.col("a.label") < F.col("b.label")) & _fits(percent))
-    across = across.select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb")
-    )
-    pairs = scratch.keep(across.distinct(), "across")
-    spread = sets.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
-    for side in ("a", "b"):
-        own = spread.select(F.col("node").alias(side), F.col("counts").alias(f"c{side}"))
-        pairs = pairs.join(own, side)
-    second = _verified(scratch, docs, _overlap_bound(pairs, percent), n, percent, "rest")
+    across = across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    second = _verified(scratch, docs, _overlap_bound(across, spread, percent), n, percent, "rest")
     labels = scratch.keep(components(scratch, first.union(second), "joined"), "labels")
 
     members = sets.select("_id", "node", "size").join(labels, "node", "left")
     members = scratch.keep(members.select("_id", "node", "size", label), "members")
     least = members.where("size > 0").groupBy("label").agg(F.min("_id").alias("component_id"))
     found = members.join(least, "label", "left").select(
-        F.col("_id").alias(row_id), "node", "size",
+        F.col("_id").alias(row_id), "node", "size", F.col("label").alias("component"),
         F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    scratch.drop("sets", "shared", "named", "across", "merged", "labels", "star-pairs", "rest-pairs", "star-links", "rest-links")
+    scratch.drop("sets", "shared", "ranked", "named", "merged", "labels", "star-pairs", "rest-pairs", "star-links", "rest-links")
     return found
+
+
+def keep_one(
+    spark: SparkSession,
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 80,
+    row_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """One row of each group, with the columns it came with.
+
+    The least id stays, null last, then the least text hash; of equal rows one stays.
+    Rows without words stay, as they are in no group. Only the keys of rows that go
+    are joined to the texts: broadcast if they are few, else by a shuffle.
+    """
+    scratch = Scratch(spark, "ngram-keep")
+    key = F.when(F.col(f"`{row_id}`").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(f"`{row_id}`").cast("string")))
+    found = groups(spark, docs, n, percent, row_id, text)
+    rows = scratch.keep(
+        found.where("size > 0").select(F.col(f"`{row_id}`").alias("_id"), key.alias("_key"), "node", "component"), "rows"
+    )
+    rank = F.struct(F.col("_id").isNull(), "_id", "node", "_key")
+    first = rows.groupBy("component").agg(F.min(rank).alias("first"))
+    kept = first.select(F.col("first._key").alias("_key"), F.col("first.node").alias("node"))
+    gone = sized(rows.select("_key", "node").distinct().join(kept, ["_key", "node"], "left_anti"))
+    again = sized(
+        rows.groupBy("_key", "node").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+        .join(kept, ["_key", "node"], "left_semi")
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, key.alias("_key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"))
+    left = keyed.join(gone, ["_key", "node"], "left_anti")
+    single = left.join(again, ["_key", "node"], "left_anti")
+    repeated = left.join(again, ["_key", "node"], "left_semi").dropDuplicates(["_key", "node"])
+    return single.unionByName(repeated).select("_row.*")
