@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, mixing, ngram_join, quality
+from tidewire.llm import decontaminate, mixing, ngram_join, pseudonyms, quality
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The key of the registered queries; a deployment passes its own secret.
+PSEUDONYM_KEY = b"tidewire-pseudonyms"
 _QUERIES: dict[str, Query] = {}
 
 
@@ -62,3 +64,12 @@ def op4_decontaminate(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op5_pseudonyms(spark, sf_dir):
+    """Every document's text with its personal data replaced, and what was found."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY).select(
+        "doc_id", "text", "n_found", F.array_join(F.array_sort(F.map_keys("kinds")), ",").alias("kinds")
+    )
