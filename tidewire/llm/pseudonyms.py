@@ -313,17 +313,18 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
     Input columns named as a result give way to it; all others pass unchanged.
     """
     kept = without(docs, RESULT)
+    names = kept.columns
     result = T.StructType([*kept.schema.fields]).add("n_found", "long").add("kinds", T.MapType(T.StringType(), T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Pseudonyms(key, back)
+        moved = Pseudonyms(key, back)
         for batch in batches:
             texts, counts = [], []
             for value in batch.column(text).to_pylist():
-                new, found = (None, Counter()) if value is None else names.replace(value)
+                new, found = (None, Counter()) if value is None else moved.replace(value)
                 texts.append(new)
                 counts.append(found)
-            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept.columns]
+            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
             columns += [
                 pa.array([c.total() for c in counts], pa.int64()),
                 pa.array([sorted(c.items()) for c in counts], pa.map_(pa.string(), pa.int64())),

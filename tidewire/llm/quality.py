@@ -142,7 +142,12 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with the columns they came with and in their order."""
+    """The rows that pass, with the columns they came with and in their order.
+
+    They leave through a generator, not a filter: the optimiser would copy the measures
+    into a filter, once for each place that reads them.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text"))
-    return judge(rows, "_text", rules).where("kept").select("_row.*")
+    passed = F.when(F.col("kept"), F.array("_row"))
+    return judge(rows, "_text", rules).select(F.inline(passed))
