@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, mixing, ngram_join, pseudonyms, quality
+from tidewire.llm import decontaminate, language, mixing, ngram_join, pseudonyms, quality
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,14 @@ def op5_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY).select(
         "doc_id", "text", "n_found", F.array_join(F.array_sort(F.map_keys("kinds")), ",").alias("kinds")
     )
+
+
+@query
+def op2_language(spark, sf_dir):
+    """The language of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"), 5)
+    known = language.dictionaries(language.sample(docs.where(~held)))
+    return language.identify(spark, docs.select("doc_id", "text"), known).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "rejected"
+    )
