@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewire.llm.licenses import PHRASES, TEMPLATES, template_words
 from tidewire.llm.quality import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -132,6 +133,50 @@ SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n,
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+_NOTICES = ", ".join(
+    f"({i}, '{label}', {template_words(text)!r})" for i, (label, text) in enumerate(TEMPLATES)
+)
+_PHRASES = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in PHRASES.items())
+
+OP9 = rf"""
+WITH t(template, label, words) AS (VALUES {_NOTICES}),
+p(label, phrase, k) AS (VALUES {_PHRASES}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, text,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SIGN_WORD}') AS w
+  FROM documents
+), places AS (
+  SELECT r, label, i - 1 AS place
+  FROM (SELECT r, w, label, phrase, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, p WHERE len(w) >= k)
+  WHERE array_to_string(w[i:i + k - 1], ' ') = phrase
+), base AS (
+  SELECT r, count(*) AS n, min(place) AS a, max(place) AS z,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
+), lines AS (
+  SELECT r, list_distinct(regexp_extract_all({_LOWER.format("line")}, '{_SIGN_WORD}')) AS s
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)
+), found AS (
+  SELECT r, label, len(list_intersect(s, words)) AS n, len(words) AS size FROM lines, t
+), notices AS (
+  SELECT r, label, n / size AS share FROM found WHERE n >= ceil(round(0.9::DOUBLE * size, 9))
+), labels AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM notices UNION SELECT r, label FROM places) GROUP BY r
+), best AS (
+  SELECT r, max(share) AS share FROM notices GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(labels.labels, '') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN labels USING (r) LEFT JOIN best USING (r)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op4_decontaminate": OP4, "op6_ngram_join": OP6, "op8_quality_rules": OP8}
+    return {
+        "op1_mixing": OP1,
+        "op4_decontaminate": OP4,
+        "op6_ngram_join": OP6,
+        "op8_quality_rules": OP8,
+        "op9_licenses": OP9,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, mixing, ngram_join, pseudonyms, quality
+from tidewire.llm import decontaminate, language, licenses, mixing, ngram_join, pseudonyms, quality
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,11 @@ def op2_language(spark, sf_dir):
     return language.identify(spark, docs.select("doc_id", "text"), known).select(
         "doc_id", held.alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+@query
+def op9_licenses(spark, sf_dir):
+    """License phrases and notices of every document."""
+    return licenses.scan(spark, table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
