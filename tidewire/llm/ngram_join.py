@@ -8,12 +8,11 @@ common shingles out of the prefixes. Two sets that meet the threshold share a sh
 of their prefixes.
 
 Equal texts are one node, so copies never meet. Of a prefix only shingles that another
-node has as well count further, which tells how many of the earlier ones can match at
-all: the bound by place uses it. Among the nodes of a shingle each is first held against
+node has as well count further. Among the nodes of a shingle each is first held against
 one hub, the node with the fewest shingles of its own before it. Once those links are
-merged, only nodes still in different components are paired, if lengths and places allow
-it. Before texts move, counts by hash range bound the overlap (a suffix filter with
-fixed cuts). A pair is verified once, on whole texts. A group of near copies so costs
+merged, only nodes still in different components are paired, where they first share a
+shingle, if lengths and places allow it. Before texts move, counts by hash range bound
+the overlap (a suffix filter with fixed cuts). A pair is verified once, on whole texts. A group of near copies so costs
 pairs in proportion to its size, and every link between components is still found.
 """
 
@@ -114,15 +113,23 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
+def _alike(percent: int, a: str = "a", b: str = "b") -> Column:
+    """Length filter."""
+    size = (F.col(f"{a}.size"), F.col(f"{b}.size"))
+    return 100 * F.least(*size) >= percent * F.greatest(*size)
+
+
 def _fits(percent: int, a: str = "a", b: str = "b") -> Column:
-    """Length filter, and what the places of a shared shingle still allow.
+    """Length filter, and what is left of both sets where they first share a shingle.
 
-    Before it at most the earlier shingles that other nodes have as well can match,
-    ``rank`` of them; behind it at most what is left of the smaller set.
+    At the first shared shingle nothing before it matches, so the overlap is at most it
+    and what is left of the smaller rest. If both nodes have the same shared shingle
+    just before, this is not the first one, and the pair is met there.
     """
-    size, pos, rank = ((F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in ("size", "pos", "rank"))
-    most = F.least(*rank) + 1 + F.least(size[0] - pos[0], size[1] - pos[1]) - 1
-    return (100 * F.least(*size) >= percent * F.greatest(*size)) & (most >= _needed(*size, percent))
+    size, pos, prev = ((F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in ("size", "pos", "prev"))
+    most = F.least(size[0] - pos[0], size[1] - pos[1])
+    later = F.coalesce(prev[0] == prev[1], F.lit(False))
+    return _alike(percent, a, b) & (most >= _needed(*size, percent)) & ~later
 
 
 def _overlap_bound(pairs: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
@@ -222,23 +229,24 @@ def groups(
         .where("low < high").select("token", "node", "at.*").distinct()
     )
     shared = scratch.keep(shared, "shared")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("pos", "token")).cast("long") - 1
-    ranked = scratch.keep(shared.withColumn("rank", rank), "ranked")
-    node = F.struct("node", "size", "pos", "rank")
-    hubs = ranked.groupBy("token").agg(F.min(F.struct((F.col("pos") - F.col("rank")).alias("own"), node.alias("a"))).alias("hub"))
+    inside = Window.partitionBy("node").orderBy("pos", "token")
+    own = (F.col("pos") + 1 - F.row_number().over(inside)).alias("own")
+    ranked = scratch.keep(shared.select("*", F.lag("token").over(inside).alias("prev"), own), "ranked")
+    node = F.struct("node", "size", "pos", "prev")
+    hubs = ranked.groupBy("token").agg(F.min(F.struct("own", node.alias("a"))).alias("hub"))
     star = ranked.select("token", node.alias("b")).join(hubs.select("token", "hub.a"), "token")
-    star = star.where((F.col("a.node") != F.col("b.node")) & _fits(percent))
+    star = star.where((F.col("a.node") != F.col("b.node")) & _alike(percent))
     star = star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     first = _verified(scratch, docs, _overlap_bound(star, spread, percent), n, percent, "star")
     merged = scratch.keep(components(scratch, first, "merge"), "merged")
 
     label = F.coalesce("label", "node").alias("label")
-    named = ranked.join(merged, "node", "left").select("token", "node", "size", "pos", "rank", label)
+    named = ranked.join(merged, "node", "left").select("token", "node", "size", "pos", "prev", label)
     named = scratch.keep(named, "named")
     mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
     left = named.join(mixed.select("token"), "token", "left_semi")
-    a = left.select("token", F.struct("node", "size", "pos", "rank", "label").alias("a"))
-    b = left.select("token", F.struct("node", "size", "pos", "rank", "label").alias("b"))
+    a = left.select("token", F.struct("node", "size", "pos", "prev", "label").alias("a"))
+    b = left.select("token", F.struct("node", "size", "pos", "prev", "label").alias("b"))
     across = a.join(b, "token").where((F.col("a.label") < F.col("b.label")) & _fits(percent))
     across = across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     second = _verified(scratch, docs, _overlap_bound(across, spread, percent), n, percent, "rest")
