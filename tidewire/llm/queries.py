@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, language, licenses, mixing, ngram_join, pseudonyms, quality
+from tidewire.llm import spans
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +93,9 @@ def op9_licenses(spark, sf_dir):
     return licenses.scan(spark, table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query
+def op3_spans(spark, sf_dir):
+    """Every document without the sentence runs that an earlier one holds."""
+    return spans.dedup(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
