@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, licenses, mixing, ngram_join, pseudonyms, quality
+from tidewire.llm import decontaminate, language, licenses, lm, mixing, ngram_join, pseudonyms, quality
 from tidewire.llm import spans
 from tidewire.llm.words import space_words
 
@@ -99,3 +99,12 @@ def op9_licenses(spark, sf_dir):
 def op3_spans(spark, sf_dir):
     """Every document without the sentence runs that an earlier one holds."""
     return spans.dedup(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_lm_score(spark, sf_dir):
+    """Every document's score, learned from nine folds of ten."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = language.held_out(F.col("doc_id"), 10)
+    scored = lm.score(spark, docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), *lm.RESULT)
