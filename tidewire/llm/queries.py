@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, language, licenses, lm, mixing, ngram_join, pseudonyms, quality
+from tidewire.llm import decontaminate, extract, language, licenses, lm, mixing, ngram_join, pseudonyms, quality
 from tidewire.llm import spans
 from tidewire.llm.words import space_words
 
@@ -108,3 +108,9 @@ def op10_lm_score(spark, sf_dir):
     held = language.held_out(F.col("doc_id"), 10)
     scored = lm.score(spark, docs, ~held)
     return scored.select("doc_id", held.alias("held_out"), *lm.RESULT)
+
+
+@query
+def op7_extract(spark, sf_dir):
+    """The main text of every page."""
+    return extract.extract(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
