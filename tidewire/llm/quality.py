@@ -101,6 +101,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text has no words, lines or symbols. A line is a ``\\n``-split part with a
     word, and repeats if it equals an earlier one. Copies of a row have equal measures.
+
+    The measures leave through a generator of one row: a filter on them would else be
+    pushed into the scan with a copy of their expressions for each place that reads them.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = without(docs, RESULT)
@@ -112,16 +115,22 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("_places", _places(F.col("_windows")))
         .select(
             *columns,
-            F.size("_words").cast("bigint").alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-            F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-            _covered(F.col("_places")).alias("n_repeat_words"),
-            F.size("_lines").cast("bigint").alias("n_lines"),
-            F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS)))
-            .cast("bigint").alias("n_stop_words"),
+            F.inline_outer(
+                F.array(
+                    F.struct(
+                        F.size("_words").cast("bigint").alias("n_words"),
+                        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+                        F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+                        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+                        _covered(F.col("_places")).alias("n_repeat_words"),
+                        F.size("_lines").cast("bigint").alias("n_lines"),
+                        F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS)))
+                        .cast("bigint").alias("n_stop_words"),
+                    )
+                )
+            ),
         )
-    )
+    )
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -142,12 +151,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with the columns they came with and in their order.
-
-    They leave through a generator, not a filter: the optimiser would copy the measures
-    into a filter, once for each place that reads them.
-    """
+    """The rows that pass, with the columns they came with and in their order."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text"))
-    passed = F.when(F.col("kept"), F.array("_row"))
-    return judge(rows, "_text", rules).select(F.inline(passed))
+    return judge(rows, "_text", rules).where("kept").select("_row.*")
