@@ -64,7 +64,7 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
-    """(host, reference, constant): one row per host; ``pages`` has _host and _html."""
+    """(_host, _reference, _constant): one row per host; ``pages`` has _host and _html."""
     shapes = scratch.keep(
         pages.mapInArrow(_shapes, "_host string, page long, shape string, nodes array<int>, texts array<long>"), "shapes"
     )
@@ -79,7 +79,9 @@ def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
     constant = of_node.where((F.col("pages") >= LEAST_PAGES) & (F.col("most") >= SAME * F.col("pages")))
     listed = constant.groupBy("_host").agg(F.array_sort(F.collect_list("node")).alias("constant"))
     found = reference.join(listed, "_host", "left")
-    kept = scratch.keep(found, "wrappers")
+    kept = scratch.keep(
+        found.select("_host", F.col("reference").alias("_reference"), F.col("constant").alias("_constant")), "wrappers"
+    )
     scratch.drop("shapes", "reference")
     return kept
 
@@ -118,4 +120,4 @@ def extract(
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in result.fields])
 
     joined = rows.join(found, "_host", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "_html", "reference", "constant").mapInArrow(run, result)
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "_html", "_reference", "_constant").mapInArrow(run, result)
