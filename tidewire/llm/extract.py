@@ -106,7 +106,7 @@ def extract(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            columns = [batch.column(c).to_pylist() for c in ("_html", "reference", "constant")]
+            columns = [batch.column(c).to_pylist() for c in ("_html", "_reference", "_constant")]
             for source, reference, constant in zip(*columns, strict=True):
                 page = dom.parse(source or "")
                 shape, number = dom.shape(page)
