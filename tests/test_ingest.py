@@ -103,7 +103,7 @@ def test_last_duplicate_wins_and_half_written_is_repaired(spark, store, tmp_path
     jobs.ingest_drop_in(store, path, ENCODER)
     assert rows_of(store.read("articles"), "id")["1"]["title"] == "Newer"
     # A batch that reached only the article table.
-    batch = store.state().next_batch
+    batch, _ = store.claim(store.state())
     lone = spark.createDataFrame([("9",)], "id string")
     full = readers.known_columns(lone)
     from tidewire.operators.normalise import normalise
@@ -211,8 +211,8 @@ def test_hourly_stream_equals_batch_and_restarts(spark, store, tmp_path):
     hourly_file(folder + "/2026/04/05", "et_11.json", [])
     streams.stream_hourly(store, folder, ENCODER, checkpoint, files_per_batch=1).awaitTermination()
     got = rows_of(store.read("vectors"), "article_id")
-    assert sorted(got) == ["1", "2", "et_09.json-1"]
-    assert got["et_09.json-1"]["title"] == "orig "
+    assert sorted(got) == ["1", "2", "2026/04/05/et_09.json-1"]
+    assert got["2026/04/05/et_09.json-1"]["title"] == "orig "
     assert got["2"]["economy_impact"] == 7
     assert got["1"]["timestamp"] == 1775383200000
     batch = readers.read_hourly(spark, folder + "/*/*/*")
@@ -225,6 +225,40 @@ def test_hourly_stream_equals_batch_and_restarts(spark, store, tmp_path):
     assert len(again) == 3 and again["1"]["title"] == "changed"
 
 
+def test_hourly_rows_are_never_lost(spark, store, tmp_path):
+    """Equal names on two days, a new checkpoint on an old folder, and corrections."""
+    folder = str(tmp_path / "in")
+    for day in ("05", "06"):
+        hourly_file(f"{folder}/2026/04/{day}", "et_09.json", [hourly_article("", title=f"day {day}")])
+    streams.stream_hourly(store, folder, ENCODER, str(tmp_path / "one")).awaitTermination()
+    assert store.read("vectors").count() == 2
+    fixed = [hourly_article(7, title="Zulu"), hourly_article(7, title="Alpha")]
+    hourly_file(folder + "/2026/04/07", "et_09.json", fixed)
+    streams.stream_hourly(store, folder, ENCODER, str(tmp_path / "two")).awaitTermination()
+    got = rows_of(store.read("vectors"), "article_id")
+    assert len(got) == 3 and got["7"]["title"] == "Alpha"  # the later place in the file
+
+
+def test_runs_at_the_same_time_do_not_meet(spark, store, tmp_path):
+    empty = store.state()
+    first, alone = store.claim(empty)
+    second, others = store.claim(empty)
+    assert (first, alone, second, others) == (0, False, 1, True)
+    rows = store.read("articles")
+    jobs.ingest_drop_in(store, write_csv(tmp_path / "a.csv", [article(1)]), ENCODER)
+    state = store.state()
+    assert state.last == 2 and state.open == (0, 1) and state.replaces
+    # What an open run has written is not seen, and what it commits later is.
+    store.write("articles", first, rows)
+    store.write("vectors", first, store.read("vectors"))
+    assert store.read("vectors").count() == 1
+    store.commit(first, source="late", total=1, ingested=1, mark=0, replaces=False)
+    assert store.state().open == (1,)
+    assert store.read("articles").count() == 1
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        store.commit(first, source="again", total=0, ingested=0, mark=0, replaces=False)
+
+
 def test_stream_keeps_on_at_an_interval(spark, store, tmp_path):
     folder = str(tmp_path / "in")
     hourly_file(folder, "et_01.json", [hourly_article(1)])
@@ -273,5 +307,11 @@ def test_model_versions(spark, tmp_path):
     save_model(spark, root, "20260101_000000", {"w0": np.ones((2, 4))})
     save_model(spark, root, "20260201_000000", {"w0": np.zeros((2, 4))})
     assert load_model(spark, root)["w0"].sum() == 0
+    other = root + "-numbers"
+    for version in ("9", "10"):
+        save_model(spark, other, version, {"w0": np.full((1, 1), int(version))})
+    assert load_model(spark, other)["w0"].sum() == 10
+    with pytest.raises(ValueError):
+        save_model(spark, other, "latest", {"w0": np.ones((1, 1))})
     with pytest.raises(ValueError, match="width"):
         load_model(spark, root, width=3)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import strip_space
+
 _ACCOUNTS = "map<string,string>"
 _HOLDINGS = "$.summary.investment.holdings.holding"
 _TEXTS = "array<string>"
@@ -32,7 +34,7 @@ def sections_of(document: Column) -> Column:
 
 def safe(value: Column) -> Column:
     absent = value.isNull() | value.isin("", "null")
-    return F.when(absent, F.lit("")).otherwise(F.trim(value))
+    return F.when(absent, F.lit("")).otherwise(strip_space(value))
 
 
 def _no_texts() -> Column:
@@ -130,7 +132,7 @@ def portfolio_text(sections: Column, interests: Column) -> Column:
     for names, phrase in THEMES:
         present = F.array_max(F.array(*[has(n) for n in names]))
         themes.append(F.when(present, F.lit(phrase)).otherwise(F.lit("")))
-    extra = F.trim(F.coalesce(interests, F.lit("")))
+    extra = strip_space(F.coalesce(interests, F.lit("")))
     parts = F.concat(*extracted, F.array(*themes, extra))
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ". ")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import strip_space
 from tidewire.functions.times import recency_cutoff
 
 
@@ -36,6 +37,6 @@ def by_ids(articles: DataFrame, ids: DataFrame) -> DataFrame:
 
 def split_blank(requests: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Requests with text to search for, and the rejected rest with a reason."""
-    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    blank = strip_space(F.coalesce(F.col(text), F.lit(""))) == ""
     rejected = requests.where(blank).withColumn("reason", F.lit("no content to search for"))
     return requests.where(~blank), rejected

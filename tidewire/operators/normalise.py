@@ -70,7 +70,8 @@ def hourly_items(files: DataFrame) -> DataFrame:
     """Articles of hourly files, flattened, with the fallbacks for title and id.
 
     A missing id becomes the file and the place in it, which is the same on
-    every reading. ``files`` has ``articles`` and the file name as ``file``.
+    every reading. ``files`` has ``articles`` and the path of the file as ``file``;
+    both, as ``_file`` and ``_at``, give the source order.
     """
     placed = files.select("file", F.posexplode("articles").alias("place", "a"))
     fd = F.col("a.formatted_data")
@@ -89,6 +90,8 @@ def hourly_items(files: DataFrame) -> DataFrame:
         F.col("a.published_time").alias("published_time"),
         fd["economyImpact"]["score"].alias("economy_impact"),
         stamp.alias("timestamp"),
+        F.col("file").alias("_file"),
+        F.col("place").alias("_at"),
     )
 
 

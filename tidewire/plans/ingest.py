@@ -16,8 +16,6 @@ from tidewire.session import materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
 
-# Fixed value: new articles per backfill run.
-RUN_LIMIT = 1000
 Vectorise = Callable[[DataFrame, Encoder], DataFrame]
 
 
@@ -32,6 +30,7 @@ def ingest(
     order: list[str] | None = None,
     since: int = 0,
     epoch: int | None = None,
+    query: str | None = None,
 ) -> dict | None:
     """Take in what is new of a source and commit both tables and the mark.
 
@@ -39,7 +38,7 @@ def ingest(
     are written next and read back from there for the embedding, so neither the
     comparison with the tables nor the encoder runs twice.
     """
-    state = store.state(source)
+    state = store.state(source, query)
     if state.has_epoch(epoch):
         return None
     order = order or ["_seq"]
@@ -51,7 +50,7 @@ def ingest(
         F.count("*").alias("total"), F.count(readers.CORRUPT).alias("corrupt")
     ).first()
 
-    batch = state.next_batch
+    batch, others = store.claim(state)
     # The last row per id first: a repeated id is then one row in every join.
     fresh = keep_last(with_id(staged.where(~unreadable)), "id", *order)
     if state.last is not None:
@@ -69,11 +68,12 @@ def ingest(
     waiting = 0
     if limit is not None and n_written == limit:
         waiting = fresh.count() - n_written
-    replaces = store.any_held(written.select("id"), state, ["articles", "vectors"])
+    replaces = others or store.any_held(written.select("id"), state, ["articles", "vectors"])
     skipped = counts["total"] - counts["corrupt"] - n_written - waiting
     run = {
         "source": source,
         "epoch": epoch,
+        "query": query,
         "total": counts["total"],
         "ingested": done["n"],
         "skipped": skipped,
@@ -109,9 +109,9 @@ def ingest_lake(
 
 
 def ingest_backfill(
-    store: Store, path: str, encoder: Encoder, limit: int | None = RUN_LIMIT, dry_run: bool = False
+    store: Store, path: str, encoder: Encoder, limit: int | None = None, dry_run: bool = False
 ) -> dict | None:
-    """The next new rows of a CSV file, in file order; None as limit takes all."""
+    """All new rows of a CSV file, or the next ones in file order up to ``limit``."""
     rows = readers.read_csv(store.spark, path)
     if dry_run:
         return {"total": rows.count()}

@@ -625,7 +625,7 @@ def train_scorer(spark, sf_dir):
     )
     fitted = training.fit_on_articles(
         vectors_, initial_params(WIDTH, SEED), n_pairs=pairs, epochs=2,
-        batch=max(training.BATCH, pairs // 4), seed=SEED, max_articles=None,
+        batch=training.BATCH, seed=SEED, max_articles=None,
     )
     return spark.createDataFrame(
         [(i + 1, float(loss)) for i, loss in enumerate(fitted.losses)], "epoch int, mean_loss double"
@@ -640,7 +640,7 @@ def refit_scorer(spark, sf_dir):
     half = views.FIRST_PUBLISHED_MS + n // 2 * views.HOUR_MS
     root = work_dir(spark, "model")
     sizes = {
-        "n_pairs": n, "epochs": 1, "batch": max(training.BATCH, n // 4), "seed": SEED, "max_articles": None,
+        "n_pairs": n, "epochs": 1, "batch": training.BATCH, "seed": SEED, "max_articles": None,
     }
     older = a.where(F.col("published_time_unix") <= half)
     first, mark = training.refit(older, ENCODER, root, "0001", **sizes)

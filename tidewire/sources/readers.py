@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,9 +123,23 @@ def training_articles(articles: DataFrame) -> DataFrame:
     return articles.select(*TRAINING_COLUMNS)
 
 
+def _below(spark: SparkSession, root: str) -> Column:
+    """A file's path below the folder that is read: names repeat from day to day.
+
+    Of a pattern the folder before its first sign counts.
+    """
+    root = re.sub(r"[^/]*[*?\[{].*$", "", root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start = fs.makeQualified(path).toUri().getRawPath().rstrip("/") + "/"
+    whole = F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    inside = F.substring(whole, F.lit(len(start) + 1), F.length(whole))
+    return F.when(F.startswith(whole, F.lit(start)), inside).otherwise(whole)
+
+
 def read_hourly(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("multiLine", "true").schema(HOURLY_FILE).json(path)
-    return files.withColumn("file", F.col("_metadata.file_name"))
+    return files.withColumn("file", _below(spark, path))
 
 
 def hourly_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -135,7 +150,7 @@ def hourly_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path).withColumn("file", F.col("_metadata.file_name"))
+    return reader.json(path).withColumn("file", _below(spark, path))
 
 
 def hour_file(spark: SparkSession, root: str, at: datetime) -> str:

@@ -1,12 +1,14 @@
 """The article table, the vector table, and the runs that tie them together.
 
-Every run appends one batch folder to each table and then one row to ``runs``.
-Readers see only batches that have such a row, so both tables and the mark move
-together, a run that dies leaves nothing visible, and no run rewrites old data.
+Every run claims a batch number that no other run has, appends one batch folder to
+each table and then one row to ``runs``. Readers see only batches that have such a row,
+so both tables and the mark move together, a run that dies leaves nothing visible, runs
+at the same time do not meet, and no run rewrites old data.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,6 +37,7 @@ RUN = T.StructType(
         T.StructField("replaces", T.BooleanType()),
         T.StructField("status", T.StringType()),
         T.StructField("message", T.StringType()),
+        T.StructField("query", T.StringType()),
     ]
 )
 QUARANTINE = T.StructType(
@@ -59,16 +62,18 @@ def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
 
 @dataclass(frozen=True)
 class State:
-    """The committed runs, summed up; mark and epoch are those of one source."""
+    """The committed runs, summed up.
+
+    The mark is that of one source, the epoch that of one streaming query: another
+    query over the same folder, with a checkpoint of its own, counts anew. ``open`` are
+    the numbers below the last one that dead or running runs hold.
+    """
 
     last: int | None
     replaces: bool
     mark: int
     epoch: int | None
-
-    @property
-    def next_batch(self) -> int:
-        return 0 if self.last is None else self.last + 1
+    open: tuple[int, ...] = ()
 
     def has_epoch(self, epoch: int | None) -> bool:
         """Epochs of a stream rise, so one up to the highest is done."""
@@ -98,19 +103,43 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return raw
 
-    def state(self, source: str | None = None) -> State:
+    def state(self, source: str | None = None, query: str | None = None) -> State:
         """What the committed runs amount to, in one pass over their records."""
         mine = F.col("source") == F.lit(source)
-        r = self.runs().agg(
+        runs = self.runs()
+        r = runs.agg(
+            F.count_distinct("batch").alias("batches"),
             F.max("batch").alias("last"),
             F.max("replaces").alias("replaces"),
             F.max(F.when(F.col("width") != self.width, F.col("width"))).alias("other"),
             F.max(F.when(mine, F.col("mark"))).alias("mark"),
-            F.max(F.when(mine, F.col("epoch"))).alias("epoch"),
+            F.max(F.when(mine & F.col("query").eqNullSafe(F.lit(query)), F.col("epoch"))).alias("epoch"),
         ).first()
         if r["other"] is not None:
             raise ValueError(f"the vector table has width {r['other']}, not {self.width}")
-        return State(r["last"], bool(r["replaces"]), r["mark"] or 0, r["epoch"])
+        gaps: tuple[int, ...] = ()
+        if r["last"] is not None and r["batches"] <= r["last"]:
+            every = self.spark.range(r["last"] + 1).withColumnRenamed("id", "batch")
+            gaps = tuple(x["batch"] for x in every.join(runs.select("batch"), "batch", "left_anti").collect())
+        return State(r["last"], bool(r["replaces"]), r["mark"] or 0, r["epoch"], gaps)
+
+    def claim(self, state: State) -> tuple[int, bool]:
+        """A batch number of one's own, and whether other runs may be at work.
+
+        A number is held by whoever creates its file first. A run that finds earlier
+        numbers held but not committed cannot know their ids, so what it writes counts
+        as replacing.
+        """
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        batch = first = 0 if state.last is None else state.last + 1
+        while True:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self._path('claims')}/{batch}")
+            fs = path.getFileSystem(conf)
+            fs.mkdirs(path.getParent())
+            if fs.createNewFile(path):
+                return batch, batch != first or bool(state.open)
+            batch += 1
 
     def read(self, table: str, state: State | None = None) -> DataFrame:
         """The committed rows, the last batch winning per id.
@@ -122,9 +151,9 @@ class Store:
         raw = self._raw(table) if state.last is not None else None
         if raw is None:
             return self.spark.createDataFrame([], _SCHEMAS[table])
-        # Numbers are given out in turn, so the committed ones are all up to the
-        # last; a folder past it is left over from a run that did not end.
-        seen = raw.where(F.col("batch") <= state.last)
+        # Numbers are given out in turn: the committed ones are all up to the last,
+        # but for those of runs that died or still go on.
+        seen = raw.where((F.col("batch") <= state.last) & ~F.col("batch").isin(list(state.open)))
         key = _KEYS[table]
         if key and state.replaces:
             repeated = (
@@ -153,7 +182,7 @@ class Store:
     def write(self, table: str, batch: int, rows: DataFrame) -> DataFrame:
         """Write a batch, not visible yet, and return it as written."""
         path = f"{self._path(table)}/batch={batch}"
-        rows.select(*_SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(path)
+        rows.select(*_SCHEMAS[table].fieldNames()).write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(_SCHEMAS[table]).parquet(path)
 
     def check_vectors(self, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +203,7 @@ class Store:
         row["width"] = self.width
         row["status"] = row["status"] or "done"
         one = self.spark.createDataFrame([tuple(row[f.name] for f in RUN.fields)], RUN)
-        one.coalesce(1).write.mode("overwrite").parquet(f"{self._path('runs')}/batch={batch}")
+        one.coalesce(1).write.mode("errorifexists").parquet(f"{self._path('runs')}/batch={batch}")
 
     def upsert_vectors(
         self,
@@ -183,32 +212,38 @@ class Store:
         order: list[str] | None = None,
         epoch: int | None = None,
         unreadable: DataFrame | None = None,
+        query: str | None = None,
     ) -> int:
         """Write vector rows, last one winning per id; returns how many.
 
         A batch whose epoch is committed already is not written again. Rows with
         an invalid vector, and records that could not be read, are quarantined.
         """
-        state = self.state(source)
+        state = self.state(source, query)
         if state.has_epoch(epoch):
             return 0
-        batch = state.next_batch
+        batch, others = self.claim(state)
         last = keep_last(rows, "article_id", *order) if order else rows.dropDuplicates(["article_id"])
         good, bad = self.check_vectors(materialise(last))
         written = self.write("vectors", batch, good)
         refused = bad if unreadable is None else bad.unionByName(unreadable)
         errors = self.write("quarantine", batch, refused).count()
         n = written.count()
-        replaces = self.any_held(written.select(F.col("article_id").alias("id")), state, ["vectors"])
+        replaces = others or self.any_held(written.select(F.col("article_id").alias("id")), state, ["vectors"])
         self.commit(
-            batch, source=source, epoch=epoch, total=n + errors, ingested=n, skipped=0,
+            batch, source=source, epoch=epoch, query=query, total=n + errors, ingested=n, skipped=0,
             errors=errors, mark=0, replaces=replaces, message=f"{n} vectors written",
         )
         return n
 
 
 def save_model(spark: SparkSession, root: str, version: str, params: dict) -> None:
-    """A new version of the scorer; older versions stay as they are."""
+    """A new version of the scorer; older versions stay as they are.
+
+    Versions are numbers or stamps, digits and underscores; the largest is the newest.
+    """
+    if not re.fullmatch(r"[0-9_]*[0-9][0-9_]*", version):
+        raise ValueError(f"a version is made of digits and underscores, not {version!r}")
     rows = [
         (name, list(value.shape), [float(x) for x in value.ravel()])
         for name, value in sorted(params.items())
@@ -223,7 +258,8 @@ def load_model(spark: SparkSession, root: str, width: int | None = None) -> dict
     every = _read_if_there(spark, root, schema)
     if every is None:
         return None
-    newest = every.agg(F.max("version")).first()[0]
+    number = F.regexp_replace("version", "_", "").cast("decimal(38,0)")
+    newest = every.agg(F.max_by("version", F.struct(number, "version"))).first()[0]
     rows = every.where(F.col("version") == newest).collect()
     params = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}
     if width is not None and params["w0"].shape[1] != 2 * width:

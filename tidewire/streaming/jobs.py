@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewire.functions import text
 from tidewire.functions.ids import point_id
 from tidewire.operators.embedding import HOURLY_CHARS, Encoder, embed
+from tidewire.operators.increment import keep_last
 from tidewire.operators.normalise import hourly_items
 from tidewire.plans.embed import common_vector, vector_rows
 from tidewire.plans.ingest import ingest
@@ -27,10 +30,17 @@ def _start(stream: DataFrame, each, checkpoint: str, every: str | None) -> Strea
     return writer.trigger(**trigger).start()
 
 
+def query_id(store: Store, checkpoint: str) -> str:
+    """The id of the streaming query that a checkpoint folder belongs to."""
+    told = store.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(told)["id"]
+
+
 def hourly_vectors(files: DataFrame, encoder: Encoder) -> DataFrame:
     """Vector rows of hourly files, every payload column filled."""
-    items = hourly_items(files)
-    limit = HOURLY_CHARS if encoder.max_chars else None
+    # Of a repeated id the last in source order counts: a later file corrects.
+    items = keep_last(hourly_items(files), "article_id", "_file", "_at").drop("_file", "_at")
+    limit = min(HOURLY_CHARS, encoder.max_chars) if encoder.max_chars else None
 
     def cleaned(c):
         return text.strip_space(c)
@@ -58,8 +68,8 @@ def stream_hourly(
 ) -> StreamingQuery:
     """Every hourly file that has not been seen, to the vector table.
 
-    A batch that comes again after a failure has the number it had before, which
-    the run table knows, so it is written once.
+    A batch that comes again after a failure has the number it had before in its query,
+    which the run table knows, so it is written once.
     """
     source = f"hourly:{path}"
 
@@ -71,7 +81,7 @@ def stream_hourly(
             F.col(readers.CORRUPT).alias("record"),
         )
         vectors = hourly_vectors(files.where(listed), encoder)
-        store.upsert_vectors(vectors, source, ["timestamp", "title"], epoch, unreadable)
+        store.upsert_vectors(vectors, source, None, epoch, unreadable, query_id(store, checkpoint))
 
     stream = readers.hourly_stream(store.spark, path, files_per_batch)
     return _start(stream, each, checkpoint, every)
@@ -99,7 +109,9 @@ def stream_csv(
     def each(rows: DataFrame, epoch: int) -> None:
         row = F.monotonically_increasing_id()
         placed = rows.withColumn("_seq", F.struct("file", row)).drop("file")
-        ingest(store, placed, encoder, source, common_vector, epoch=epoch)
+        ingest(
+            store, placed, encoder, source, common_vector, epoch=epoch, query=query_id(store, checkpoint)
+        )
 
     rows = reader.csv(path).withColumn("file", F.col("_metadata.file_path"))
     return _start(rows, each, checkpoint, every)
