@@ -461,8 +461,9 @@ FROM feed f JOIN corpus c USING (article_id) JOIN requests r ON {_TAGS_OK} AND {
 SELECT request_id, txt AS query_text FROM portfolio_texts""",
         "portfolio_rejected": f"""WITH {_PORTFOLIO_PARTS}
 SELECT request_id, 'no content to search for' AS reason FROM portfolio_texts WHERE txt = ''""",
-        "portfolio_sections": f"""WITH {_PORTFOLIO_PARTS}, equities AS (
-  SELECT cust, CAST(count(DISTINCT first_at[1]) AS INTEGER) AS n FROM held GROUP BY cust)
+        "portfolio_sections": """WITH equities AS (
+  SELECT o_custkey AS cust, CAST(count(DISTINCT o_orderkey) AS INTEGER) AS n
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY cust)
 SELECT CAST(c_custkey AS VARCHAR) AS request_id, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS deposits,
        n AS equities, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS mutualfunds,
        CASE WHEN c_custkey % 3 = 0 THEN 1 END AS insurance_policies, CAST(NULL AS INTEGER) AS sip

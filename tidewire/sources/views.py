@@ -162,25 +162,21 @@ def _holding_account(key: Column, holdings: Column) -> Column:
 def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A portfolio document per customer.
 
-    Equities are the parts ordered: an account per order and a holding per part
-    name and type, where it comes first. Pairs of name and type are few, so the
-    holdings of one customer are bounded whatever the number of orders, and the
-    minima are combined before each shuffle. Some customers also hold funds,
-    insurance and deposits.
+    Equities are the parts ordered: an account per order and a holding per line. Some
+    customers also hold funds, insurance and deposits.
     """
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    # Line and part as one number, so that the minima stay in hashed aggregates.
-    line = F.shiftleft(F.col("l_linenumber").cast("bigint"), 40) + F.col("l_partkey")
     held = (
         table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey", "l_linenumber")
         .join(parts, "l_partkey")
-        .groupBy("l_orderkey", "p_name", "p_type")
-        .agg(F.min(line).alias("line"))
         .join(orders, "l_orderkey")
-        .groupBy("o_custkey", "p_name", "p_type")
-        .agg(F.min("l_orderkey").alias("order"), F.min_by("line", "l_orderkey").alias("line"))
-    )
+        .select(
+            "o_custkey", F.col("l_orderkey").alias("order"), "p_name", "p_type",
+            F.struct("l_linenumber", "l_partkey").alias("line"),
+        )
+    )
     holding = F.struct(F.col("p_name").alias("issuerName"), F.col("p_type").alias("description"))
     accounts = (
         held.groupBy("o_custkey", "order")
