@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators.embedding import HashingEncoder
+from tidewire.operators.normalise import hourly_parsed
 from tidewire.plans import ingest as jobs
 from tidewire.schemas import ARTICLE_COLUMNS, LAKE_ARTICLE
 from tidewire.sources import readers
@@ -216,7 +217,7 @@ def test_hourly_stream_equals_batch_and_restarts(spark, store, tmp_path):
     assert got["2"]["economy_impact"] == 7
     assert got["1"]["timestamp"] == 1775383200000
     batch = readers.read_hourly(spark, folder + "/*/*/*")
-    whole = rows_of(streams.hourly_vectors(batch, ENCODER), "article_id")
+    whole = rows_of(streams.hourly_vectors(hourly_parsed(batch)[0], ENCODER), "article_id")
     assert {k: r["title_vec"] for k, r in whole.items()} == {k: r["title_vec"] for k, r in got.items()}
     # A restart sees only the new file; an id that comes again is replaced.
     hourly_file(folder + "/2026/04/05", "et_12.json", [hourly_article(1, title="changed")])
@@ -239,6 +240,37 @@ def test_hourly_rows_are_never_lost(spark, store, tmp_path):
     assert len(got) == 3 and got["7"]["title"] == "Alpha"  # the later place in the file
 
 
+def test_a_bad_article_costs_no_other(spark, store, tmp_path):
+    folder = str(tmp_path / "in")
+    bad = [5, "text", None, hourly_article(3, tags="x"), hourly_article(4, economyImpact={"score": "high"})]
+    hourly_file(folder, "et_01.json", [hourly_article(1), *bad, hourly_article(2)])
+    streams.stream_hourly(store, folder, ENCODER, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(rows_of(store.read("vectors"), "article_id")) == ["1", "2"]
+    held = rows_of(store.read("quarantine"), "id")
+    assert sorted(held) == [f"et_01.json-{i}" for i in range(1, 6)]
+    assert {r["reason"] for r in held.values()} == {"unreadable article"}
+
+
+def test_csv_files_go_by_their_own_headers(spark, store, tmp_path):
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    write_csv(folder / "a b.csv", [article(1)])
+    write_csv(folder / "b.csv", [article(2)], ["published_time_unix", "title", " id "])
+    write_csv(folder / "c.csv", [article(3)], ["title", "id", "unknown"])
+    write_csv(folder / "d.csv", [article(4)], ["title", "tags"])
+    (folder / "e.csv").write_text("")
+    streams.stream_csv(store, str(folder), ENCODER, str(tmp_path / "cp")).awaitTermination()
+    held = rows_of(store.read("articles"), "id")
+    assert {k: r["title"] for k, r in held.items()} == {str(i): f"Title {i}" for i in (1, 2, 3)}
+    assert held["2"]["published_time_unix"] == 1002 and held["3"]["published_time_unix"] is None
+    refused = store.read("quarantine").collect()
+    assert len(refused) == 1 and refused[0]["id"].endswith("d.csv") and "id" in refused[0]["reason"]
+    with pytest.raises(ValueError, match="required columns"):
+        readers.read_csv(spark, str(folder))
+    (folder / "d.csv").unlink()
+    assert readers.read_csv(spark, str(folder)).count() == 3
+
+
 def test_runs_at_the_same_time_do_not_meet(spark, store, tmp_path):
     empty = store.state()
     first, alone = store.claim(empty)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import semistructured, text
-from tidewire.schemas import ARTICLE_COLUMNS, ARTICLE_TEXT_COLUMNS, NESTED_COLUMNS
+from tidewire.schemas import ARTICLE_COLUMNS, ARTICLE_TEXT_COLUMNS, HOURLY_ARTICLE, NESTED_COLUMNS
 
 
 def known_columns(df: DataFrame) -> DataFrame:
@@ -66,14 +66,31 @@ def typed(articles: DataFrame) -> DataFrame:
     )
 
 
-def hourly_items(files: DataFrame) -> DataFrame:
-    """Articles of hourly files, flattened, with the fallbacks for title and id.
+def hourly_parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles of hourly files, one by one, and quarantine rows of those that fail.
 
-    A missing id becomes the file and the place in it, which is the same on
-    every reading. ``files`` has ``articles`` and the path of the file as ``file``;
-    both, as ``_file`` and ``_at``, give the source order.
+    ``files`` has ``articles``, a list of JSON texts, and the path of the file as
+    ``file``. A good article is ``a``, with ``file`` and its ``place`` in the list. An
+    element that is no object, or a field of another type, fails that article alone.
+    """
+    told = files.select("file", F.posexplode("articles").alias("place", "text"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = told.withColumn("a", F.from_json("text", HOURLY_ARTICLE, options))
+    good = F.col("a").isNotNull() & F.col("a._corrupt_record").isNull() & F.col("text").rlike(r"^\s*\{")
+    bad = parsed.where(~F.coalesce(good, F.lit(False))).select(
+        F.concat_ws("-", "file", "place").alias("id"),
+        F.lit("unreadable article").alias("reason"),
+        F.col("text").alias("record"),
+    )
+    return parsed.where(good).select("file", "place", "a"), bad
+
+
+def hourly_items(placed: DataFrame) -> DataFrame:
+    """Parsed articles of hourly files, flattened, with the fallbacks for title and id.
+
+    A missing id becomes the file and the place in it, which is the same on every
+    reading; both, as ``_file`` and ``_at``, give the source order.
     """
-    placed = files.select("file", F.posexplode("articles").alias("place", "a"))
     fd = F.col("a.formatted_data")
     blank = F.lit("")
     given = text.none_if_empty(F.col("a.id"))

@@ -31,6 +31,7 @@ def ingest(
     since: int = 0,
     epoch: int | None = None,
     query: str | None = None,
+    refused: DataFrame | None = None,
 ) -> dict | None:
     """Take in what is new of a source and commit both tables and the mark.
 
@@ -58,10 +59,12 @@ def ingest(
     written = store.write("articles", batch, cap_new(fresh, limit, *order))
     good, bad = store.check_vectors(materialise(vectorise(written, encoder)))
     vectors = store.write("vectors", batch, good)
-    refused = staged.where(unreadable).select(
+    broken = staged.where(unreadable).select(
         "id", F.lit("unreadable record").alias("reason"), F.col(readers.CORRUPT).alias("record")
     )
-    errors = store.write("quarantine", batch, bad.unionByName(refused)).count()
+    for more in [broken, refused]:
+        bad = bad if more is None else bad.unionByName(more)
+    errors = store.write("quarantine", batch, bad).count()
 
     done = vectors.agg(F.count("*").alias("n"), F.max("timestamp").alias("top")).first()
     n_written = written.count()

@@ -25,8 +25,6 @@ TRAINING_COLUMNS = ["id", "title", "introductory_paragraph", "tags"]
 VECTOR_FIELDS = ["title", "description", "tags"]
 VECTOR_COLUMNS = ["title_vec", "description_vec", "tags_vec"]
 
-RAW_ARTICLE = T.StructType([T.StructField(c, T.StringType()) for c in ARTICLE_COLUMNS])
-
 ARTICLE = T.StructType(
     [T.StructField(c, T.StringType()) for c in ARTICLE_TEXT_COLUMNS]
     + [T.StructField("published_time_unix", T.LongType())]
@@ -50,9 +48,10 @@ LAKE_ARTICLE = (
 HOURLY_ARTICLE = (
     "struct<id:string, original_title:string, published_time:string, "
     "formatted_data:struct<title:string, descriptive_paragraph:string, "
-    "tags:array<string>, economyImpact:struct<score:int>>>"
+    "tags:array<string>, economyImpact:struct<score:int>>, _corrupt_record:string>"
 )
-HOURLY_FILE = f"articles array<{HOURLY_ARTICLE}>, _corrupt_record string"
+# Articles stay text until each is parsed by itself: one that is malformed costs no other.
+HOURLY_FILE = "articles array<string>, _corrupt_record string"
 
 VECTORS = T.StructType(
     [

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from datetime import datetime
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +42,14 @@ def _with_order(df: DataFrame) -> DataFrame:
     return df.withColumn("_seq", place)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file; only the header line is read."""
-    return spark.read.options(**CSV_OPTIONS).option("multiLine", "true").csv(path).columns
+def headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every header that occurs; empty files have none."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    return [(next(csv.reader([r["line"].lstrip("\ufeff")]), []), [unquote(f) for f in r["files"]]) for r in found]
 
 
 def check_columns(columns: list[str]) -> None:
@@ -50,22 +58,39 @@ def check_columns(columns: list[str]) -> None:
         raise ValueError(f"required columns missing: {', '.join(missing)}")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """All texts; only the empty field is null.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task;
-    a feed without them is read in splits when it is off.
+    Columns go by the names in each file's own header, in any order, and optional ones
+    may be absent. Quoted line breaks need ``multi_line``, which reads each file in one
+    task; a feed without them is read in splits when it is off.
     """
-    columns = _header(spark, path)
-    check_columns(columns)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    rows = (
-        spark.read.options(**CSV_OPTIONS)
-        .option("multiLine", str(multi_line).lower())
-        .schema(schema)
-        .csv(path)
-    )
-    return known_columns(_with_order(rows))
+    found = headers(spark, path)
+    for names, _ in found or [([], [])]:
+        check_columns(names)
+    return _by_header(spark, found, multi_line)
+
+
+def _by_header(spark: SparkSession, found: list[tuple[list[str], list[str]]], multi_line: bool) -> DataFrame:
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower())
+    frames = []
+    for names, files in found:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+        frames.append(known_columns(_with_order(reader.schema(schema).csv(files))))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def read_dropped_csv(spark: SparkSession, files: list[str], multi_line: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of the files that have the required columns, and quarantine rows of the others."""
+    good, refused = [], []
+    for names, some in headers(spark, files):
+        try:
+            check_columns(names)
+            good.append((names, some))
+        except ValueError as error:
+            refused += [(f, str(error), ",".join(names)) for f in some]
+    bad = spark.createDataFrame(refused, "id string, reason string, record string")
+    return _by_header(spark, good, multi_line) if good else None, bad
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

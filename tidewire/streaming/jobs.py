@@ -6,14 +6,13 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions import text
 from tidewire.functions.ids import point_id
 from tidewire.operators.embedding import HOURLY_CHARS, Encoder, embed
 from tidewire.operators.increment import keep_last
-from tidewire.operators.normalise import hourly_items
+from tidewire.operators.normalise import hourly_items, hourly_parsed
 from tidewire.plans.embed import common_vector, vector_rows
 from tidewire.plans.ingest import ingest
 from tidewire.schemas import ARTICLE_COLUMNS
@@ -36,10 +35,10 @@ def query_id(store: Store, checkpoint: str) -> str:
     return json.loads(told)["id"]
 
 
-def hourly_vectors(files: DataFrame, encoder: Encoder) -> DataFrame:
-    """Vector rows of hourly files, every payload column filled."""
+def hourly_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
+    """Vector rows of parsed hourly articles, every payload column filled."""
     # Of a repeated id the last in source order counts: a later file corrects.
-    items = keep_last(hourly_items(files), "article_id", "_file", "_at").drop("_file", "_at")
+    items = keep_last(hourly_items(parsed), "article_id", "_file", "_at").drop("_file", "_at")
     limit = min(HOURLY_CHARS, encoder.max_chars) if encoder.max_chars else None
 
     def cleaned(c):
@@ -80,7 +79,9 @@ def stream_hourly(
             F.lit("unreadable record").alias("reason"),
             F.col(readers.CORRUPT).alias("record"),
         )
-        vectors = hourly_vectors(files.where(listed), encoder)
+        parsed, malformed = hourly_parsed(files.where(listed))
+        unreadable = unreadable.unionByName(malformed)
+        vectors = hourly_vectors(parsed, encoder)
         store.upsert_vectors(vectors, source, None, epoch, unreadable, query_id(store, checkpoint))
 
     stream = readers.hourly_stream(store.spark, path, files_per_batch)
@@ -94,24 +95,31 @@ def stream_csv(
     checkpoint: str,
     every: str | None = None,
     files_per_batch: int | None = None,
+    multi_line: bool = True,
 ) -> StreamingQuery:
-    """Every CSV file dropped into a folder, to both tables; progress in ``runs``."""
+    """Every CSV file dropped into a folder, to both tables; progress in ``runs``.
+
+    The stream is of file names; each file is then read by its own header, as in a
+    batch. A file without the required columns is quarantined by name.
+    """
     source = f"csv-drop:{path}"
-    names = [*ARTICLE_COLUMNS, readers.CORRUPT]
-    reader = (
-        store.spark.readStream.options(**readers.CSV_OPTIONS)
-        .option("multiLine", "true")
-        .schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    reader = store.spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary"
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def each(rows: DataFrame, epoch: int) -> None:
-        row = F.monotonically_increasing_id()
-        placed = rows.withColumn("_seq", F.struct("file", row)).drop("file")
+    def each(names: DataFrame, epoch: int) -> None:
+        files = [r["path"] for r in names.collect()]  # the files of one batch
+        if not files:
+            return
+        rows, refused = readers.read_dropped_csv(store.spark, files, multi_line)
+        if rows is None:
+            columns = [*ARTICLE_COLUMNS, readers.CORRUPT]
+            rows = store.spark.createDataFrame([], ", ".join(f"{c} string" for c in [*columns, "_seq"]))
         ingest(
-            store, placed, encoder, source, common_vector, epoch=epoch, query=query_id(store, checkpoint)
-        )
+            store, rows, encoder, source, common_vector, epoch=epoch, query=query_id(store, checkpoint),
+            refused=refused,
+        )
 
-    rows = reader.csv(path).withColumn("file", F.col("_metadata.file_path"))
-    return _start(rows, each, checkpoint, every)
+    return _start(reader.load(path).select("path"), each, checkpoint, every)
