@@ -220,13 +220,15 @@ def groups(
     sets = scratch.keep(_prefixes(docs, ranks, n, percent), "sets")
     spread = sets.where(F.col("counts").isNotNull()).select("node", "counts", "size").dropDuplicates(["node"])
 
-    place = F.struct("size", F.col("pos").cast("long").alias("pos")).alias("at")
+    # size and place as one number: the widest shuffle carries three columns
+    at = (F.shiftleft("size", 32) + F.col("pos")).alias("at")
+    size, pos = F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
     posts = sets.where(F.col("tokens").isNotNull()).select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     one = Window.partitionBy("token")
     shared = (
-        posts.select("token", "node", place)
+        posts.select("token", "node", at)
         .withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)})
-        .where("low < high").select("token", "node", "at.*").distinct()
+        .where("low < high").select("token", "node", size, pos).distinct()
     )
     shared = scratch.keep(shared, "shared")
     inside = Window.partitionBy("node").orderBy("pos", "token")
