@@ -256,7 +256,9 @@ def groups(
 
     members = sets.select("_id", "node", "size").join(labels, "node", "left")
     members = scratch.keep(members.select("_id", "node", "size", label), "members")
+    # written, so that the join deals labels anew and may split a large group
     least = members.where("size > 0").groupBy("label").agg(F.min("_id").alias("component_id"))
+    least = scratch.keep(least, "least")
     found = members.join(least, "label", "left").select(
         F.col("_id").alias(row_id), "node", "size", F.col("label").alias("component"),
         F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
