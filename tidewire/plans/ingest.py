@@ -87,6 +87,8 @@ def ingest(
     }
     if done["n"] or errors or epoch is not None:
         store.commit(batch, **run)
+    else:
+        store.release(batch)
     return {**run, "remaining": waiting}
 
 

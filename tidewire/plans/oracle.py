@@ -513,6 +513,9 @@ SELECT article_id, array_to_string(tags, '|') AS tags FROM indexed WHERE idx < 5
         "ingest_backfill": _tables(_SUMMARY),
         "ingest_json": _tables(_SUMMARY),
         "csv_stream": _tables(_SUMMARY),
+        "ingest_drop_in": _tables(_SUMMARY),
+        "quarantined": """SELECT CAST(doc_id AS VARCHAR) AS article_id,
+       CASE WHEN doc_id % 7 = 0 THEN 'unreadable article' ELSE 'stored' END AS outcome FROM documents""",
         "ingest_runs": f"""WITH {_ARTICLES}, c AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS part, max(stamp) AS top,
          max(stamp) FILTER (WHERE doc_id % 3 = 0) AS part_top FROM articles)

@@ -726,6 +726,40 @@ def ingest_json(spark, sf_dir):
     return _table_rows(store)
 
 
+@query
+def ingest_drop_in(spark, sf_dir):
+    """A drop-in by its suffix; half of its CSV files have other columns in another order."""
+    path = f"{work_dir(spark, 'drop-in')}.csv"
+    a = views.articles(spark, sf_dir)
+    out = {"header": "true", "quoteAll": "true", "escape": '"'}
+    odd = F.col("id").cast("bigint") % 2 == 1
+    a.where(~odd).write.options(**out).csv(path)
+    turned = [c for c in reversed(a.columns) if c != "ai_image_prompt"]
+    a.where(odd).select(*turned, F.lit("x").alias("unknown")).write.mode("append").options(**out).csv(path)
+    store = _store(spark, "drop-in-store")
+    ingest_plans.ingest_drop_in(store, path, ENCODER)
+    return _table_rows(store)
+
+
+@query
+def quarantined(spark, sf_dir):
+    """Hourly articles of which every seventh is malformed: what is stored, what is not."""
+    path = work_dir(spark, "malformed")
+    d = views.texts(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    score = F.when(doc % 7 == 0, F.lit('"high"')).otherwise((doc % 10).cast("string"))
+    article = F.format_string(
+        '{"id":"%s","formatted_data":{"title":"t %s","economyImpact":{"score":%s}}}', doc.cast("string"), doc.cast("string"), score
+    )
+    files = d.groupBy(F.floor(doc / 24).alias("day")).agg(F.array_join(F.collect_list(article), ",").alias("list"))
+    files.select(F.format_string('{"articles":[%s]}', "list").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    store = _store(spark, "malformed-store")
+    streams.stream_hourly(store, path, ENCODER, work_dir(spark, "malformed-checkpoint")).awaitTermination()
+    stored = store.read("vectors").select("article_id", F.lit("stored").alias("outcome"))
+    refused = store.read("quarantine").select(F.get_json_object("record", "$.id").alias("article_id"), F.col("reason").alias("outcome"))
+    return stored.union(refused)
+
+
 @query
 def ingest_runs(spark, sf_dir):
     """The run records of a drop-in ingest that comes twice, then grows."""

@@ -185,6 +185,15 @@ class Store:
         rows.select(*_SCHEMAS[table].fieldNames()).write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(_SCHEMAS[table]).parquet(path)
 
+    def release(self, batch: int) -> None:
+        """Give back a claimed number with nothing to commit; its holder alone may."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folders = [f"{self._path(t)}/batch={batch}" for t in _KEYS]
+        for name in [*folders, f"{self._path('claims')}/{batch}"]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
     def check_vectors(self, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows whose vectors are all valid, and the ids of the others."""
         ok = F.lit(True)
