@@ -304,7 +304,7 @@ placed AS (
   UNION ALL SELECT c_custkey, 5, 3, 'insurance life cover financial planning' FROM customer WHERE c_custkey % 3 = 0
   UNION ALL SELECT c_custkey, 5, 4, 'bank savings deposit interest rate' FROM customer WHERE c_custkey % 5 = 0
   UNION ALL SELECT c_custkey, 6, 1, 'gold' FROM customer WHERE c_custkey % 7 = 0),
-firsts AS (SELECT cust, txt, min(row(section, pos)) AS first_at FROM placed GROUP BY ALL),
+firsts AS (SELECT cust, txt, min(row(section, pos)) AS first_at FROM placed WHERE cust % 11 <> 0 GROUP BY ALL),
 portfolio_texts AS (
   SELECT CAST(c_custkey AS VARCHAR) AS request_id, coalesce(txt, '') AS txt
   FROM customer LEFT JOIN (
@@ -464,9 +464,12 @@ SELECT request_id, 'no content to search for' AS reason FROM portfolio_texts WHE
         "portfolio_sections": """WITH equities AS (
   SELECT o_custkey AS cust, CAST(count(DISTINCT o_orderkey) AS INTEGER) AS n
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY cust)
-SELECT CAST(c_custkey AS VARCHAR) AS request_id, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS deposits,
-       n AS equities, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS mutualfunds,
-       CASE WHEN c_custkey % 3 = 0 THEN 1 END AS insurance_policies, CAST(NULL AS INTEGER) AS sip
+SELECT CAST(c_custkey AS VARCHAR) AS request_id,
+       CASE WHEN c_custkey % 5 = 0 AND c_custkey % 11 <> 0 THEN 1 END AS deposits,
+       CASE WHEN c_custkey % 11 <> 0 THEN n END AS equities,
+       CASE WHEN c_custkey % 2 = 0 AND c_custkey % 11 <> 0 THEN 1 END AS mutualfunds,
+       CASE WHEN c_custkey % 3 = 0 AND c_custkey % 11 <> 0 THEN 1 END AS insurance_policies,
+       CAST(NULL AS INTEGER) AS sip
 FROM customer LEFT JOIN equities ON cust = c_custkey""",
         "idempotent_new": f"WITH {_INCOMING} SELECT id, title, seq FROM fresh",
         "capped_new": f"WITH {_INCOMING} SELECT id, seq FROM fresh ORDER BY seq LIMIT 500",

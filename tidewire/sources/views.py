@@ -163,7 +163,8 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A portfolio document per customer.
 
     Equities are the parts ordered: an account per order and a holding per line. Some
-    customers also hold funds, insurance and deposits.
+    customers also hold funds, insurance and deposits, and one in eleven has nothing but
+    white space.
     """
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
@@ -220,6 +221,7 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("description"),
         )
     )
+    blank = cust % 11 == 0
     sections = F.array(
         F.when(cust % 5 == 0, F.concat(F.lit('"DEPOSIT_V2":{"summary":['), deposit, F.lit("]}"))),
         F.when(cust % 3 == 0, F.concat(
@@ -234,8 +236,8 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(equities, "c_custkey", "left")
         .select(
             cust.cast("string").alias("request_id"),
-            F.concat(F.lit("{"), F.array_join(sections, ","), F.lit("}")).alias("portfolio"),
-            F.when(cust % 7 == 0, " gold ").otherwise("").alias("interests"),
+            F.when(blank, "{}").otherwise(F.concat(F.lit("{"), F.array_join(sections, ","), F.lit("}"))).alias("portfolio"),
+            F.when(blank, "\t\n").when(cust % 7 == 0, "\n\tgold \n").otherwise("").alias("interests"),
         )
     )
 
