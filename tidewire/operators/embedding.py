@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -100,6 +100,16 @@ class ProjectedEncoder:
         return project
 
 
+def _encoded(texts: pa.Array, encode: Callable[[list[str]], np.ndarray], width: int) -> pa.Array:
+    """A vector per text; null stays null."""
+    present = texts.is_valid().to_numpy(zero_copy_only=False)
+    values = encode(texts.drop_null().to_pylist()).astype(np.float32)
+    ends = np.cumsum(np.r_[0, present * width])
+    return pa.ListArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.array(values.ravel()), mask=pa.array(~present)
+    )
+
+
 def encode_column(encoder: Encoder, max_chars: int | None = None):
     """A function from a text column to a vector column; null stays null."""
     limit = max_chars or encoder.max_chars
@@ -108,12 +118,7 @@ def encode_column(encoder: Encoder, max_chars: int | None = None):
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder.load()
         for texts in batches:
-            present = texts.is_valid().to_numpy(zero_copy_only=False)
-            values = encode(texts.drop_null().to_pylist()).astype(np.float32)
-            ends = np.cumsum(np.r_[0, present * encoder.width])
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(values.ravel()), mask=pa.array(~present)
-            )
+            yield _encoded(texts, encode, encoder.width)
 
     def apply(text: Column) -> Column:
         return vectors(truncate(text, limit) if limit else text)
@@ -122,9 +127,20 @@ def encode_column(encoder: Encoder, max_chars: int | None = None):
 
 
 def embed(df: DataFrame, texts: dict[str, Column], encoder: Encoder, max_chars: int | None = None) -> DataFrame:
-    """Add one vector column per named text."""
-    encode = encode_column(encoder, max_chars)
-    return df.withColumns({name: encode(text) for name, text in texts.items()})
+    """Add one vector column per named text; all texts of a row cross to Python once."""
+    limit = max_chars or encoder.max_chars
+    names = list(texts)
+
+    @F.arrow_udf(T.StructType([T.StructField(n, _VECTOR) for n in names]))
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = encoder.load()
+        for rows in batches:
+            columns = [_encoded(rows.field(i), encode, encoder.width) for i in range(len(names))]
+            yield pa.StructArray.from_arrays(columns, names)
+
+    told = F.struct(*[(truncate(c, limit) if limit else c).alias(n) for n, c in texts.items()])
+    kept = [c for c in df.columns if c not in texts]
+    return df.withColumn("_vectors", vectors(told)).select(*kept, "_vectors.*")
 
 
 def embedding_cache(
