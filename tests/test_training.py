@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.ids import seeded_order
 from tidewire.operators import embedding, sampling, scorer
 from tidewire.plans import training
-from tidewire.sources.tables import load_model
+from tidewire.sources.tables import load_mark, load_model
 
 WIDTH = 4
 HIDDEN = (16, 8, 4)
@@ -222,7 +222,8 @@ def test_refit_warm_starts_and_versions(spark, tmp_path):
     encoder = embedding.HashingEncoder(WIDTH)
     first, mark = training.refit(df, encoder, root, "1", n_pairs=10, epochs=1, batch=10)
     assert mark == 111
-    assert training.refit(df, encoder, root, "2", since=mark) is None
+    assert training.refit(df, encoder, root, "2") is None
+    assert load_mark(spark, root) == mark
     later = df.withColumn("published_time_unix", F.col("published_time_unix") + 12)
     second, mark = training.refit(later, encoder, root, "2", since=111, n_pairs=10, epochs=1, batch=10)
     assert mark == 123

@@ -644,7 +644,7 @@ def refit_scorer(spark, sf_dir):
     }
     older = a.where(F.col("published_time_unix") <= half)
     first, mark = training.refit(older, ENCODER, root, "0001", **sizes)
-    second, last = training.refit(a, ENCODER, root, "0002", since=mark, **sizes)
+    second, last = training.refit(a, ENCODER, root, "0002", **sizes)
     rows = [("0001", mark, float(first.losses[-1])), ("0002", last, float(second.losses[-1]))]
     return spark.createDataFrame(rows, "version string, mark bigint, mean_loss double")
 

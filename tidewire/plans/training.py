@@ -18,7 +18,7 @@ from tidewire.operators.sampling import dense_index, random_cap, training_pairs
 from tidewire.operators.scorer import DROPOUT, Params, gradients, initial_params
 from tidewire.session import materialise, work_dir
 from tidewire.sources.readers import training_articles
-from tidewire.sources.tables import load_model, save_model
+from tidewire.sources.tables import load_mark, load_model, save_model
 
 # Fixed values of the optimiser.
 RATE = 1e-3
@@ -246,7 +246,7 @@ def refit(
     encoder: Encoder,
     model_root: str,
     version: str,
-    since: int = 0,
+    since: int | None = None,
     n_pairs: int = PAIRS,
     epochs: int = EPOCHS,
     batch: int = BATCH,
@@ -255,10 +255,13 @@ def refit(
 ) -> tuple[Fitted, int] | None:
     """Fine-tune the newest model on articles past the mark; save a new version.
 
-    Starts from seeded weights when there is no model yet. Returns the fit and
-    the new mark, which is a publish time; None when nothing is new.
+    Starts from seeded weights when there is no model yet. The mark, a publish time, is
+    kept with the version and read from the newest one unless ``since`` is given.
+    Returns the fit and the new mark; None when nothing is new.
     """
     spark = articles.sparkSession
+    if since is None:
+        since = load_mark(spark, model_root)
     fresh = articles.where(F.col("published_time_unix") > since)
     top = fresh.agg(F.max("published_time_unix")).first()[0]
     if top is None:
@@ -274,5 +277,5 @@ def refit(
     fitted = fit_on_articles(
         embedded, params, n_pairs, epochs, batch, seed=seed, max_articles=None
     )
-    save_model(spark, model_root, version, fitted.params)
+    save_model(spark, model_root, version, fitted.params, top)
     return fitted, top

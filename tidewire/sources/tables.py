@@ -246,10 +246,14 @@ class Store:
         return n
 
 
-def save_model(spark: SparkSession, root: str, version: str, params: dict) -> None:
+_MARK = "mark"
+
+
+def save_model(spark: SparkSession, root: str, version: str, params: dict, mark: int | None = None) -> None:
     """A new version of the scorer; older versions stay as they are.
 
     Versions are numbers or stamps, digits and underscores; the largest is the newest.
+    ``mark`` is the publish time up to which it has learned.
     """
     if not re.fullmatch(r"[0-9_]*[0-9][0-9_]*", version):
         raise ValueError(f"a version is made of digits and underscores, not {version!r}")
@@ -257,20 +261,33 @@ def save_model(spark: SparkSession, root: str, version: str, params: dict) -> No
         (name, list(value.shape), [float(x) for x in value.ravel()])
         for name, value in sorted(params.items())
     ]
+    if mark is not None:
+        rows.append((_MARK, [], [float(mark)]))
     df = spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
     df.coalesce(1).write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={version}")
 
 
-def load_model(spark: SparkSession, root: str, width: int | None = None) -> dict | None:
-    """The newest version, or None when there is none yet."""
+def _newest(spark: SparkSession, root: str) -> list:
     schema = "name string, shape array<int>, values array<double>, version string"
     every = _read_if_there(spark, root, schema)
     if every is None:
-        return None
+        return []
     number = F.regexp_replace("version", "_", "").cast("decimal(38,0)")
     newest = every.agg(F.max_by("version", F.struct(number, "version"))).first()[0]
-    rows = every.where(F.col("version") == newest).collect()
-    params = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}
+    return every.where(F.col("version") == newest).collect()
+
+
+def load_model(spark: SparkSession, root: str, width: int | None = None) -> dict | None:
+    """The newest version, or None when there is none yet."""
+    rows = _newest(spark, root)
+    if not rows:
+        return None
+    params = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows if r["name"] != _MARK}
     if width is not None and params["w0"].shape[1] != 2 * width:
         raise ValueError(f"the model takes width {params['w0'].shape[1] // 2}, not {width}")
     return params
+
+
+def load_mark(spark: SparkSession, root: str) -> int:
+    """The mark kept with the newest version; zero without one."""
+    return next((int(r["values"][0]) for r in _newest(spark, root) if r["name"] == _MARK), 0)
