@@ -85,14 +85,14 @@ class Compressors:
 
     def sizes(self, word: list[str]) -> list[int]:
         data = " ".join(dict.fromkeys(word)).encode()
-        pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+        pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)] or [b""]
         return [sum(len(t.compress(p)) for p in pieces) for t in self.tools]
 
     def name(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, whether the margin is too narrow to trust it)."""
-        word = letters(text or "")
-        if not word or not self.names:
+        if not self.names or not any(map(str.isalpha, text or "")):
             return "und", 0.0, True
+        word = letters(text)
         found = self.sizes(word)
         best = min(range(len(found)), key=found.__getitem__)
         if len(found) == 1:

@@ -25,7 +25,7 @@ from tidewire.llm.words import without
 from tidewire.session import Scratch
 
 #: A run has at least so many sentences and so many words.
-SENTENCES, WORDS = 2, 16
+SENTENCES, WORDS = 2, 12
 #: Longer sentences are cut behind one word in about CUT_EVERY.
 LONG, CUT_EVERY = 24, 8
 #: Places of removed runs that are broadcast to the texts; more are joined by shuffle.
