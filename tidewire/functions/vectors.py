@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,7 +56,3 @@ def projection_matrix(native: int, width: int, seed: int) -> np.ndarray:
     limit = float(np.sqrt(6.0 / (native + width)))
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.uniform(-limit, limit, size=(native, width)).astype(np.float32)
-
-
-def any_vector(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [c.isNotNull() for c in columns])
