@@ -32,10 +32,11 @@ from tidewire.session import Scratch
 
 BUCKET_BITS = 20
 ACROSS = 32
-RANGES = 64
+#: Shingles per hash range, on average; ranges are a power of two up to 2^MOST_RANGE_BITS.
+RANGE_SIZE, MOST_RANGE_BITS = 4, 12
 #: Texts held against one pivot in one sorted run; more go to further runs.
 LEAVES = 256
-_FULL = np.iinfo(np.uint16).max
+_FULL = np.iinfo(np.uint8).max
 
 
 def _counters(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +95,7 @@ def _prefixes(docs: DataFrame, ranks, n: int, percent: int) -> DataFrame:
                 kind = kinds[grams.bucket(found, len(kinds))].astype(np.int64)
                 order = np.argsort((kind << 32) + weights, kind="stable")  # found is sorted by hash
                 tokens.append(found[order[: m - -(-percent * m // 100) + 1]].view(np.int64))
-                spread = np.bincount((found & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
-                counts.append(np.minimum(spread, _FULL).astype(np.uint16).tobytes())
+                counts.append(_by_range(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"), batch.column("node"), pa.array(sizes, pa.int64()),
@@ -108,6 +108,26 @@ def _prefixes(docs: DataFrame, ranks, n: int, percent: int) -> DataFrame:
     return docs.select("_id", "node", "text").mapInArrow(prefixes, schema)
 
 
+def _by_range(found: np.ndarray) -> bytes:
+    """How many shingles fall into each range of their last bits, a byte each."""
+    size = 1 << min(MOST_RANGE_BITS, (len(found) // RANGE_SIZE).bit_length())
+    spread = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(spread, _FULL).astype(np.uint8).tobytes()
+
+
+def _most_shared(a: bytes, b: bytes) -> int | None:
+    """The overlap that two counts by range allow; None if a count is not exact.
+
+    The ranges of the longer one are halves, quarters and so on of the other's.
+    """
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if x.max() == _FULL or y.max() == _FULL:
+        return None
+    size = min(len(x), len(y))
+    x, y = (v.reshape(-1, size).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _needed(a: Column, b: Column, percent: int) -> Column:
     """Shared shingles that sets of these sizes need: I >= percent (a + b) / (100 + percent)."""
     return F.ceil(percent * (a + b) / (100 + percent))
@@ -140,17 +160,12 @@ def _overlap_bound(pairs: DataFrame, spread: DataFrame, percent: int) -> DataFra
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, RANGES)
-                for c in ("ca", "cb")
-            )
-            least = np.minimum(a, b)
-            most = least.sum(axis=1, dtype=np.int64)
-            sizes = batch.column("sa").to_numpy() + batch.column("sb").to_numpy()
-            ok = ((100 + percent) * most >= percent * sizes) | (least == _FULL).any(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            columns = [batch.column(c).to_pylist() for c in ("ca", "cb", "sa", "sb")]
+            ok = []
+            for a, b, size_a, size_b in zip(*columns, strict=True):
+                most = _most_shared(a, b)
+                ok.append(most is None or (100 + percent) * most >= percent * (size_a + size_b))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.mapInArrow(bound, "a long, b long")
 
