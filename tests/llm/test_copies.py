@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -41,6 +42,20 @@ def test_components(spark, n, percent, rows):
     assert sorted(((r.doc_id, r["size"], r.component_id) for r in found), key=str) == want
 
 
+def test_overlap_bound():
+    """Counts by range never allow less than the overlap, and tell unlike sets apart."""
+    rng = np.random.default_rng(5)
+    for n, m, k in [(0, 5, 0), (30, 40, 25), (600, 500, 100), (5000, 1200, 0), (70_000, 60_000, 59_000)]:
+        both = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, x - k, dtype=np.uint64)])) for x in (n, m))
+        most = ngram_join._most_shared(ngram_join._by_range(a), ngram_join._by_range(b))
+        assert most is None or most >= k
+        if k == 100:
+            assert 190 * most < 90 * (n + m)
+    same = ngram_join._by_range(np.zeros(300, np.uint64))
+    assert ngram_join._most_shared(same, same) is None
+
+
 def test_keep_one(spark):
     rows = cases.ROWS + _random_docs(3)
     df = cases.clashing(cases.docs(spark, rows))
