@@ -96,6 +96,52 @@ def test_spans(spark):
     assert spans.dedup(spark, cases.docs(spark, [])).collect() == []
 
 
+def _stripped(texts):
+    """Texts in order, each without the sentences under runs that were there before."""
+    seen, out = set(), []
+    for text in texts:
+        old = []
+        for n, (h, _, _) in enumerate(spans.runs(spans.sentences(text))):
+            old += [n] if h in seen else []
+            seen.add(h)
+        out.append(spans.strip(text, old)[0])
+    return out
+
+
+def test_runs_cover_a_passage():
+    """Also behind its last run from a start, and texts too short for a run."""
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = [rng.randrange(1, 9) for _ in range(rng.randrange(2, 9))]
+        sizes[0] += max(0, 12 - sum(sizes))
+        passage = " ".join(" ".join(f"p{rng.randrange(10**6)}" for _ in range(n)) + "." for n in sizes)
+        around = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 15))) + "." for _ in range(4)]
+        first, second = f"{around[0]} {passage} {around[1]}", f"{around[2]} {passage} {around[3]}"
+        assert _stripped([first, second]) == [first, f"{around[2]} {around[3]}"]
+        assert _stripped([passage, passage]) == [passage, ""]
+    for short in ("one two", "Only this. And that.", "one sentence " * 8):
+        assert _stripped([short, short.upper(), short + "more"]) == [short, "", short + "more"]
+
+
+def test_long_sentences_share_pieces():
+    """Fifty words that stand in two sentences without end give a run, wherever they stand."""
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [f"{c}{rng.randrange(10**6)}" for c in "abc" for _ in range(50)]
+        first = " ".join(words[: rng.randrange(50)] + words[50:100])
+        second = " ".join(words[50:100] + words[100 : 100 + rng.randrange(50)])
+        kept = _stripped([first, second])[1].split()
+        assert len(kept) <= len(second.split()) - spans.WORDS
+        assert not {w for w in second.split() if w[0] == "c"} - set(kept)
+
+
+def test_spans_of_short_texts(spark):
+    passage = "The ferry that crossed the wide river in the morning was slow. It was late. So it goes."
+    texts = ["No end", f"First of all. {passage} And then they left.", f"Later on. {passage} Nobody came.", "no  END", "one sentence " * 8, "one sentence " * 8]
+    got = spans.dedup(spark, cases.docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == ["No end", texts[1], "Later on. Nobody came.", "", texts[4], ""]
+
+
 @pytest.fixture(scope="module")
 def small(spark, sf_dir, tmp_path_factory):
     """Documents, awkward ones among them, and the benchmark, in a folder of their own."""

@@ -1,10 +1,12 @@
 """Substring dedup by sliding spans of sentences.
 
-From every sentence the shortest run of several sentences with enough words is hashed;
-runs are met globally, and the sentences under every run but the first of its kind go.
-The first is that of the least id, then of the earliest place. A sentence too long to be
-matched whole is cut behind words that their own hash names, so that copies of a passage
-are cut alike wherever they stand.
+The shortest run of several sentences with enough words that begins with a sentence, and
+the shortest that ends with it, are hashed, so that the runs inside a passage cover all of
+it wherever it stands; a text too short for a run is one as a whole. Runs are met
+globally, and the sentences under every run but the first of its kind go. The first is
+that of the least id, then of the earliest place. A sentence too long to be matched whole
+is cut behind the word of least hash in every window of words, so that copies of a
+passage are cut alike wherever they stand.
 
 A hash keeps its least place by a partial aggregate, and all its places meet that one
 row in a join whose hot side Spark may split: no group of equal runs is gathered.
@@ -26,8 +28,10 @@ from tidewire.session import Scratch
 
 #: A run has at least so many sentences and so many words.
 SENTENCES, WORDS = 2, 12
-#: Longer sentences are cut behind one word in about CUT_EVERY.
-LONG, CUT_EVERY = 24, 8
+#: Longer sentences are cut at least once in every WINDOW words. Copies of 5 * WINDOW words
+#: share all cuts but those in the WINDOW - 1 words at either end, hence more than WORDS
+#: words in two pieces or more.
+LONG, WINDOW = 24, 10
 #: Places of removed runs that are broadcast to the texts; more are joined by shuffle.
 BROADCAST_PLACES = 1_000_000
 RESULT = ["n_sentences", "n_removed"]
@@ -50,41 +54,64 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int, list[str]]]:
-    words, first = [], None
-    for m in _WORD.finditer(text, start, stop):
-        first = m.start() if first is None else first
-        words.append(m[0].lower())
-        if xxhash.xxh3_64_intdigest(words[-1]) % CUT_EVERY == 0:
-            yield first, m.end(), words
-            words, first = [], None
-    if words:
-        yield first, stop, words
+    places = [m.span() for m in _WORD.finditer(text, start, stop)]
+    words = [text[a:b].lower() for a, b in places]
+    at = 0
+    for cut in [*_cuts(words), len(words) - 1]:
+        if cut >= at:
+            yield places[at][0], places[cut][1] if cut + 1 < len(words) else stop, words[at : cut + 1]
+            at = cut + 1
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """The words with the least hash of a window, the last one of equals."""
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    out, least = [], 0
+    for end, h in enumerate(hashes):
+        if least <= end - WINDOW:
+            least = min(range(end, end - WINDOW, -1), key=hashes.__getitem__)
+        elif h <= hashes[least]:
+            least = end
+        if end >= WINDOW - 1 and (not out or out[-1] != least):
+            out.append(least)
+    return out
 
 
 def runs(found: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentence behind the last) of the run from each sentence."""
+    """(hash, first sentence, sentence behind the last) of the shortest run from each
+    sentence and of the shortest up to each, in order; or of all if that is too short."""
     counts = [len(w) for _, _, w in found]
     joined = [" ".join(w) for _, _, w in found]
-    out, end, held = [], 0, 0
+    places: set[tuple[int, int]] = set()
+    end = held = 0
     for i in range(len(found)):
         while end < len(found) and (held < WORDS or end - i < SENTENCES):
             held += counts[end]
             end += 1
         if held < WORDS or end - i < SENTENCES:
             break
-        digest = xxhash.xxh3_64_intdigest("\n".join(joined[i:end]))
-        out.append((digest - (1 << 63), i, end))
+        places.add((i, end))
         held -= counts[i]
-    return out
+    i = held = 0
+    for end in range(1, len(found) + 1):
+        held += counts[end - 1]
+        while held - counts[i] >= WORDS and end - i > SENTENCES:
+            held -= counts[i]
+            i += 1
+        if held >= WORDS and end - i >= SENTENCES:
+            places.add((i, end))
+    if found and not places:
+        places.add((0, len(found)))
+    return [(xxhash.xxh3_64_intdigest("\n".join(joined[i:end])) - (1 << 63), i, end) for i, end in sorted(places)]
 
 
 def strip(text: str, places: list[int]) -> tuple[str, int, int]:
-    """The text without the sentences under the runs that start at ``places``."""
+    """The text without the sentences under the runs of these numbers."""
     found = sentences(text)
     gone: set[int] = set()
-    reach = {i: end for _, i, end in runs(found)} if places else {}
+    of_text = runs(found) if places else []
     for i in places:
-        gone.update(range(i, reach[i]))
+        gone.update(range(*of_text[i][1:]))
     if not gone:
         return text, len(found), 0
     # a sentence goes with the space behind it
