@@ -218,6 +218,29 @@ def test_page():
     assert len(dom.parse("<div>" * 3000 + "x").blocks) == 1
 
 
+def _article(html):
+    page = dom.parse(html)
+    return dom.article(page, dom.shape(page)[1], set())
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<svg class="i"/><article>text</article><svg></svg>', "text"),
+        ("<article>a<math/>b</article>", "a\n\nb"),
+        ('<article>a<svg title="x>y"><path/>no</svg>b</article>', "a\n\nb"),
+        ("<iframe src=x><article>text</article>", "text"),
+        ("<object><canvas><select><article>text</article><object>no</object>", "text"),
+        ("<article><video-player></video-player>a<template-box>b</template-box></article>", "a\n\nb"),
+        ("<article>a<video>no</video >b<SCRIPT>no</Script>c</article>", "a\n\nb\n\nc"),
+        ("<article>a</article><script>no <article>no</article>", "a"),
+        ("<article>a<svg>b</article>" + "<svg>" * 20_000, "a\n\nb"),
+    ],
+)
+def test_raw_elements(html, text):
+    assert _article(html) == text
+
+
 def test_alignment():
     a, number = dom.shape(dom.parse("<div><p>1<p>2<p>3</div><ul><li>x</ul>"))
     assert a == "((div(p))(ul(li)))" and number == [0, 1, 2, 2, 2, 3, 4]

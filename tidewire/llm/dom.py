@@ -16,6 +16,8 @@ INLINE = set(
     "span strike strong sub sup time tt u var".split()
 )
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|title|select"
+#: Those that end at the first end tag or with the page; others nest, and not closed only their tag goes.
+RAW_TO_END = {"script", "style", "textarea", "title"}
 #: What a start tag closes if it is open right above it.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -34,11 +36,15 @@ ASIDE_WORDS = set(
 )
 NEVER_ASIDE = {"html", "body", "article", "main"}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
+_RAW_TAG = {
+    tag: re.compile(rf"<(/?){tag}(?=[\s/>])(?:(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>|[^>]*>)", re.I) for tag in RAW.split("|")
+}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TO_END}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -77,6 +83,18 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *words]), aside
 
 
+def _closed(html: str, raw: str) -> dict[int, int]:
+    """Where every element of this kind begins that has an end tag of its own, and that one's end."""
+    found, open_ = {}, []
+    for m in _RAW_TAG[raw].finditer(html):
+        if not m[1]:
+            if raw not in ("svg", "math") or not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def parse(html: str) -> Page:
     """The tree of block elements; inline ones are text, and what is not closed ends late."""
     nodes = [Node("", "", False, -1)]
@@ -90,14 +108,23 @@ def parse(html: str) -> Page:
             if words:
                 blocks.append((open_[-1], words))
 
-    for m in _TOKEN.finditer(html):
-        name = m[3]
+    at, closed = 0, {}  # every character is in a token
+    while m := _TOKEN.match(html, at):
+        at, name = m.end(), m[3]
         if name is None:
             part = m[0]
             if part[0] != "<" or len(part) == 1:
                 text.append(part)
             elif m[1] is not None:
                 flush()
+                raw = m[1].lower()
+                if raw in RAW_TO_END:
+                    end = _RAW_END[raw].search(html, at)
+                    at = end.end() if end else len(html)
+                else:
+                    if raw not in closed:
+                        closed[raw] = _closed(html, raw)
+                    at = closed[raw].get(m.start(), at)
             continue
         tag = name.lower()
         if tag in ("br", "wbr", "hr", "img", "input"):
