@@ -241,6 +241,27 @@ def test_raw_elements(html, text):
     assert _article(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article>one</article><div>x</div><article>two two</article>", "one\n\ntwo two"),
+        ("<main><h1>head</h1><article>one</article>more</main><article>two</article><p>x", "head\n\none\n\nmore\n\ntwo"),
+        ("<div class='layout has-sidebar'><article>one</article><div class=sidebar>no</div></div>", "one"),
+        ("<div class='with-comments'><main>one<form>no</form></main></div><div class=related><article>no</article></div>", "one"),
+        ("<form><p>x</p><article>one</article></form>", "one"),
+        ("<main><h1>head</h1><div class=has-sidebar><article>one</article></div></main>", "head\n\none"),
+        ("<article>one</article><div id=comments><article>a long comment</article></div>", "one"),
+        ("<div class=has-sidebar><article>one</article><div id=comments><article>a long comment</article></div></div>", "one"),
+        ("<article>one<div class=comments>a long comment</div></article>", "one"),
+        ("<aside><article>no</article></aside><nav><main>no</main></nav><article>one</article>", "one"),
+        ("<form><div>one story</div><p>two</p><div class=comments>no</div></form><p>x</p>", "one story\n\ntwo\n\nx"),
+        ("<div>one story</div><div class=comments>no</div>", "one story"),
+    ],
+)
+def test_article_is_whole(html, text):
+    assert _article(html) == text
+
+
 def test_alignment():
     a, number = dom.shape(dom.parse("<div><p>1<p>2<p>3</div><ul><li>x</ul>"))
     assert a == "((div(p))(ul(li)))" and number == [0, 1, 2, 2, 2, 3, 4]

@@ -23,7 +23,10 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
 }
-#: Elements and roles that never hold an article.
+#: What a node says of itself: nothing, by class, id or form that it is beside the article
+#: (a wrapper may say so too), or by element, role or being hidden that it is.
+SOFT, HARD = 1, 2
+#: Elements and roles that never hold an article, but that a form may be round the page.
 ASIDE_TAGS = set("nav footer aside form button fieldset dialog menu head datalist legend".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of classes and ids that name what stands around an article.
@@ -54,7 +57,7 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 class Node:
     tag: str
     label: str
-    aside: bool
+    aside: int
     parent: int
     children: list[int] = field(default_factory=list)
 
@@ -68,18 +71,17 @@ class Page:
 
 
 @lru_cache(maxsize=1 << 12)
-def _described(tag: str, attributes: str) -> tuple[str, bool]:
-    """(label, whether it names itself as something beside the article)."""
+def _described(tag: str, attributes: str) -> tuple[str, int]:
+    """(label, whether it names itself as something beside the article: 0, SOFT or HARD)."""
     names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)}
     words = [w.lower() for k in ("class", "id") for w in _PART.findall(names.get(k, ""))]
-    aside = tag in ASIDE_TAGS or (
-        tag not in NEVER_ASIDE
-        and (
-            not ASIDE_WORDS.isdisjoint(words)
-            or names.get("role", "").lower() in ASIDE_ROLES
-            or bool(_HIDDEN.search(attributes))
-        )
-    )
+    role = names.get("role", "").lower()
+    aside = 0
+    if tag not in NEVER_ASIDE:
+        if (tag in ASIDE_TAGS and tag != "form") or (role in ASIDE_ROLES and role != "form") or _HIDDEN.search(attributes):
+            aside = HARD
+        elif tag == "form" or role == "form" or not ASIDE_WORDS.isdisjoint(words):
+            aside = SOFT
     return ".".join([tag, *words]), aside
 
 
@@ -97,7 +99,7 @@ def _closed(html: str, raw: str) -> dict[int, int]:
 
 def parse(html: str) -> Page:
     """The tree of block elements; inline ones are text, and what is not closed ends late."""
-    nodes = [Node("", "", False, -1)]
+    nodes = [Node("", "", 0, -1)]
     blocks: list[tuple[int, str]] = []
     open_, text = [0], []
 
@@ -265,30 +267,84 @@ def slots(page: Page, number: list[int]) -> dict[int, int]:
     return {n: xxhash.xxh3_64_intdigest("\n".join(t)) - (1 << 63) for n, t in texts.items()}
 
 
+def _wrappers(page: Page, mass: list[int], marks: list[bool], enough: float) -> set[int]:
+    """Nodes that are SOFT and yet wrap what they should stand beside.
+
+    ``mass`` is the text of each node, ``marks`` the nodes to be found: the outermost
+    that wraps most is taken until more than ``enough`` of the marked text is free.
+    """
+    size = len(page.nodes)
+    held = [m if k else 0 for m, k in zip(mass, marks, strict=True)]
+    for i in range(size - 1, 0, -1):
+        held[page.nodes[i].parent] += held[i]
+    found: set[int] = set()
+    free, outermost, todo = held[0], [], [0]
+    while True:
+        while todo:  # down to the next SOFT nodes
+            for c in page.nodes[todo.pop()].children:
+                if page.nodes[c].aside == SOFT:
+                    outermost.append(c)
+                    free -= held[c]
+                else:
+                    todo.append(c)
+        best = max(outermost, key=lambda c: (held[c], -c), default=0)
+        if not best or not held[best] or free > enough * held[0]:
+            return found
+        found.add(best)
+        outermost.remove(best)
+        free += held[best]
+        todo.append(best)
+
+
 def article(page: Page, number: list[int], constant: set[int]) -> str:
     """The blocks of the article, two line breaks between them.
 
-    ``constant`` are nodes of the shape that the site's template fills. An article or
-    main element bounds the text if there is one: the one with most text of its own.
+    ``constant`` are nodes of the shape that the site's template fills. Article and main
+    elements bound the text if there are any with text. A class, id or form speaks for
+    all below it, unless a main is below, or no article stands outside of such nodes,
+    or, on a page without articles, half of the text does not.
     """
     size = len(page.nodes)
-    aside, home, inside = [False] * size, [0] * size, [False] * size
+    hard, home, story, inside = [False] * size, [0] * size, [0] * size, [False] * size
     for i in range(1, size):  # parents come first
         node = page.nodes[i]
         inside[i] = inside[node.parent] or node.tag in ("article", "main")
         header = node.tag == "header" and not inside[i]
-        aside[i] = aside[node.parent] or node.aside or header
-        home[i] = i if node.tag in ("article", "main") and not node.aside else home[node.parent]
+        hard[i] = hard[node.parent] or node.aside == HARD or header
+        own = node.tag in ("article", "main") and not node.aside
+        home[i] = i if own else home[node.parent]
+        story[i] = i if own and node.tag == "article" else story[node.parent]
+    mass = [0] * size
+    for n, t in page.blocks:
+        if not hard[n] and number[n] not in constant:
+            mass[n] += len(t)
+    wraps: set[int] = set()
+    main = [False] * size
+    for i in range(1, size):
+        own = page.nodes[i].tag == "main" and not hard[i]
+        main[i] = own or main[page.nodes[i].parent]
+        if own:
+            while i and i not in wraps:
+                wraps.add(i)
+                i = page.nodes[i].parent
+    if any(m and k for m, k in zip(mass, main, strict=True)):  # then all else is beside it
+        mass = [m if k else 0 for m, k in zip(mass, main, strict=True)]
+    freed = Page([Node(n.tag, n.label, 0 if i in wraps else n.aside, n.parent, n.children) for i, n in enumerate(page.nodes)], [])
+    if any(n.aside == SOFT for n in freed.nodes):
+        if any(m and k for m, k in zip(mass, story, strict=True)):
+            # an article stands for itself: what is SOFT inside of it wraps nothing
+            texts = [0] * size
+            for i, m in enumerate(mass):
+                texts[story[i]] += m
+            texts[0] = 0
+            wraps |= _wrappers(freed, texts, [bool(t) for t in texts], 0.0)
+        else:
+            homes = any(m and k for m, k in zip(mass, home, strict=True))
+            wraps |= _wrappers(freed, mass, [bool(h) or not homes for h in home], 0.5)
+    aside = hard
+    for i in range(1, size):
+        aside[i] = aside[i] or aside[page.nodes[i].parent] or (page.nodes[i].aside == SOFT and i not in wraps)
     kept = [(n, t) for n, t in page.blocks if not aside[n] and number[n] not in constant]
-    mass: dict[int, int] = {}
-    for n, t in kept:
-        if home[n]:
-            mass[home[n]] = mass.get(home[n], 0) + len(t)
-    if mass:
-        best = max(mass, key=lambda h: (mass[h], -h))
-        nested = {best}
-        for i in range(best + 1, size):
-            if page.nodes[i].parent in nested:
-                nested.add(i)
-        kept = [(n, t) for n, t in kept if n in nested]
+    if any(home[n] for n, _ in kept):
+        kept = [(n, t) for n, t in kept if home[n]]
     return "\n\n".join(t for _, t in kept)
