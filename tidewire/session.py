@@ -69,8 +69,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = work_dir(spark, purpose)
+        self._kept: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._kept.add(name)
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
@@ -80,3 +82,8 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+            self._kept.discard(name)
+
+    def drop_but(self, *names: str) -> None:
+        """Drop every table but those that the result reads."""
+        self.drop(*sorted(self._kept - {*names}))
