@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, extract, language, licenses, lm, mixing, ngram_join, pseudonyms, quality
-from tidewire.llm import spans
+from tidewire.llm import decontaminate, extract, language, licenses, lm, merkle, mixing, ngram_join, pseudonyms, quality
+from tidewire.llm import sharding, spans, trie
 from tidewire.llm.words import space_words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,32 @@ def op10_lm_score(spark, sf_dir):
 def op7_extract(spark, sf_dir):
     """The main text of every page."""
     return extract.extract(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    """The trie of all rebuilt conversations."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return trie.prefix_trie(spark, turns, splice=True).select(*trie.RESULT)
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, roots, proof and tamper check of every document."""
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents", *names)
+    other = merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in names])
+    signed = merkle.manifest(
+        spark, docs, names, "lang", "doc_id", F.when(language.held_out(F.col("doc_id"), 7), other)
+    )
+    siblings = F.array_join(F.transform("proof", lambda step: F.concat(step.before, step.after)), "")
+    return signed.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+@query
+def op13_sharding(spark, sf_dir):
+    """Eight shards of near equal bytes; equal texts share one."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sharding.shards(spark, docs).select("doc_id", *sharding.RESULT)
