@@ -208,6 +208,74 @@ def test_shuffle_is_a_permutation(spark):
             assert sorted(r["p"] for r in got) == list(range(n))
 
 
+def _local_fit(rows, epochs, batch, rate, seed, n):
+    """The same descent, one mini-batch after the other in one place."""
+    rows = {r["pair_id"]: r for r in rows}
+    weights, opt, losses = training.flat(params()), training.AdamW(training.flat(params()).size), []
+    for epoch in range(epochs):
+        rng = np.random.Generator(np.random.PCG64([seed, epoch]))
+        factor = int(rng.integers(1, n))
+        while np.gcd(factor, n) != 1:
+            factor = factor % n + 1
+        shift, total = int(rng.integers(0, n)), 0.0
+        order = sorted(rows, key=lambda i: (i * factor + shift) % n)
+        for at in range(0, n, batch):
+            some = [rows[i] for i in order[at : at + batch]]
+            x = np.float32([list(r["user_vec"]) + list(r["news_vec"]) for r in some]).astype(float)
+            ids = np.array([r["pair_id"] for r in some])
+            masks = training.dropout_masks(ids, [16, 8], epoch, seed)
+            labels = np.array([r["label"] for r in some])
+            loss, grads = scorer.gradients(training.unflat(weights, params()), x, labels, masks)
+            weights = opt.step(weights, training.flat(grads) / len(some), training.cosine_rate(epoch, epochs, rate))
+            total += loss
+        losses.append(total / n)
+    return weights, losses
+
+
+@pytest.mark.parametrize("batch,a_task", [(7, 4096), (16, 4096), (20, 7), (64, 16), (7, 2)])
+def test_fit_is_the_local_descent(spark, pairs, monkeypatch, batch, a_task):
+    """In one task, in several that gather, and in a job per step."""
+    monkeypatch.setattr(training, "PAIRS_A_TASK", a_task)
+    tasks = training.barrier_tasks(batch, training.flat(params()).size, 4)
+    assert tasks == {(7, 4096): 1, (16, 4096): 1, (20, 7): 3, (64, 16): 4, (7, 2): 4}[batch, a_task]
+    want, losses = _local_fit(pairs.collect(), 2, batch, 0.02, 2, 64)
+    fitted = training.fit(pairs.repartition(5), 64, params(), 2, batch, 0.02, 2)
+    assert np.allclose(fitted.losses, losses, atol=1e-9, rtol=0)
+    assert np.allclose(training.flat(fitted.params), want, atol=1e-9, rtol=0)
+
+
+def test_large_batches_take_a_job_per_step(pairs, monkeypatch):
+    gathered = training.fit(pairs, 64, params(), 1, 32, 0.02, 2)
+    monkeypatch.setattr(training, "GATHERED_BYTES", 0)
+    monkeypatch.setattr(training, "PAIRS_A_TASK", 16)
+    assert training.barrier_tasks(32, 1000, 4) == 0
+    by_jobs = training.fit(pairs, 64, params(), 1, 32, 0.02, 2)
+    assert np.allclose(gathered.losses, by_jobs.losses, atol=1e-9, rtol=0)
+    assert np.allclose(training.flat(gathered.params), training.flat(by_jobs.params), atol=1e-9, rtol=0)
+
+
+def test_fit_goes_on_behind_the_last_epoch(pairs, tmp_path, monkeypatch):
+    whole = training.fit(pairs, 64, params(), 3, 16, 0.02, 2)
+    folder, ran = str(tmp_path / "fit"), []
+    stage = training._epoch_in_stage
+
+    def dies(*plan):
+        if len(ran) == 2:
+            raise RuntimeError("lost")
+        ran.append(plan[4])
+        return stage(*plan)
+
+    monkeypatch.setattr(training, "_epoch_in_stage", dies)
+    with pytest.raises(RuntimeError):
+        training.fit(pairs, 64, params(), 3, 16, 0.02, 2, checkpoint=folder)
+    monkeypatch.setattr(training, "_epoch_in_stage", lambda *plan: ran.append(plan[4]) or stage(*plan))
+    again = training.fit(pairs, 64, params(), 3, 16, 0.02, 2, checkpoint=folder)
+    assert ran == [0, 1, 2]
+    assert np.array_equal(training.flat(again.params), training.flat(whole.params)) and again.losses == whole.losses
+    with pytest.raises(ValueError):
+        training.fit(pairs, 64, params(), 3, 8, 0.02, 2, checkpoint=folder)
+
+
 def test_loss_falls(pairs):
     fitted = training.fit(pairs, 64, params(), epochs=4, batch=16, rate=0.02, seed=2, dropout=False)
     assert fitted.losses[-1] < fitted.losses[0]

@@ -1,14 +1,24 @@
-"""Fitting the scorer: distributed gradients, one update per mini-batch."""
+"""Fitting the scorer: distributed gradients, one update per mini-batch.
+
+An epoch is one barrier stage. Its tasks hold the pairs of every mini-batch between
+them, in step order, gather each other's gradient sums at every step, add them up in
+the order of the tasks and make the same update, so no step is a job of its own. A
+gradient has the size of the model and every task gets them all: the number of tasks
+follows from the batch, up to what one message may carry. A batch past that is summed
+by a job per step, whose cost its size then outweighs.
+"""
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.ids import seeded_order
@@ -18,7 +28,7 @@ from tidewire.operators.sampling import dense_index, random_cap, training_pairs
 from tidewire.operators.scorer import DROPOUT, Params, gradients, initial_params
 from tidewire.session import materialise, work_dir
 from tidewire.sources.readers import training_articles
-from tidewire.sources.tables import load_mark, load_model, save_model
+from tidewire.sources.tables import load_mark, load_model, read_if_there, save_model
 
 # Fixed values of the optimiser.
 RATE = 1e-3
@@ -29,6 +39,11 @@ CLIP = 1.0
 PAIRS, EPOCHS, BATCH, ARTICLES = 2000, 2, 128, 500
 _PART = 1 << 14
 _SUM_FAN_IN = 32
+#: Pairs of a mini-batch that one barrier task takes, and bytes of gradients that
+#: all tasks of a step may send each other: half of what a message of Spark may hold.
+PAIRS_A_TASK = 4096
+GATHERED_BYTES = 64 << 20
+_EPOCH = "epoch int, setting string, weights binary, mean binary, spread binary, turns long, loss double, rows long"
 
 
 @dataclass
@@ -81,6 +96,20 @@ def shuffled(pair: str, n: int, epoch: int, seed: int):
     return product.cast("bigint")
 
 
+def _summed_rows(batch: pa.RecordBatch, params: Params, widths: list[int], epoch: int, seed: int, dropout: bool):
+    """Gradient as one vector, and loss, summed over some pairs."""
+    width = params["w0"].shape[1] // 2
+    both = [
+        batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        for c in ("user_vec", "news_vec")
+    ]
+    x = np.concatenate(both, axis=1).astype(np.float64)
+    pair_ids = batch.column("pair_id").to_numpy()
+    masks = dropout_masks(pair_ids, widths, epoch, seed) if dropout else None
+    loss, grads = gradients(params, x, batch.column("label").to_numpy(), masks)
+    return flat(grads), loss
+
+
 def _gradient_parts(sent, widths: list[int], epoch: int, seed: int, dropout: bool):
     """Summed gradient of the rows of a task, cut into parts."""
 
@@ -90,16 +119,7 @@ def _gradient_parts(sent, widths: list[int], epoch: int, seed: int, dropout: boo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            width = params["w0"].shape[1] // 2
-            both = [
-                batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                for c in ("user_vec", "news_vec")
-            ]
-            x = np.concatenate(both, axis=1).astype(np.float64)
-            pair_ids = batch.column("pair_id").to_numpy()
-            masks = dropout_masks(pair_ids, widths, epoch, seed) if dropout else None
-            step_loss, grads = gradients(params, x, batch.column("label").to_numpy(), masks)
-            vector = flat(grads)
+            vector, step_loss = _summed_rows(batch, params, widths, epoch, seed, dropout)
             total = vector if total is None else total + vector
             loss, rows = loss + step_loss, rows + batch.num_rows
         if total is None:
@@ -175,6 +195,137 @@ def cosine_rate(epoch: int, epochs: int, rate: float = RATE) -> float:
     return rate * (1 + math.cos(math.pi * epoch / epochs)) / 2
 
 
+@dataclass
+class _Progress:
+    """Weights and optimiser after some epochs, and what the last one cost."""
+
+    weights: np.ndarray
+    optimiser: AdamW
+    losses: list[float]
+
+
+def _steps(batches: Iterable[pa.RecordBatch], batch: int, n_steps: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of step 0, 1, 2 ... in turn, as pieces; rows come in step order."""
+    step, held = 0, []
+    for rows in batches:
+        steps = rows.column("place").to_numpy() // batch
+        cuts = np.flatnonzero(np.diff(steps)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, len(steps)], strict=True):
+            if start == stop:
+                continue
+            while step < steps[start]:
+                yield held
+                step, held = step + 1, []
+            held.append(rows.slice(start, stop - start))
+    for _ in range(step, n_steps):
+        yield held
+        held = []
+
+
+def _epoch_in_stage(
+    pairs: DataFrame, n_pairs: int, params: Params, now: _Progress, epoch: int, batch: int, rate: float, seed: int,
+    dropout: bool, tasks: int,
+) -> tuple[_Progress, float, int]:
+    """One epoch as one barrier stage; every task makes every update."""
+    widths = [params["w0"].shape[0], params["w1"].shape[0]]
+    shapes = {k: v.shape for k, v in params.items()}
+    n_steps = math.ceil(n_pairs / batch)
+    spark = pairs.sparkSession
+    sent = spark.sparkContext.broadcast((now.weights, now.optimiser.m, now.optimiser.v, now.optimiser.t))
+    place = shuffled("pair_id", n_pairs, epoch, seed)
+    dealt = pairs.select("pair_id", "user_vec", "news_vec", "label", place.alias("place"))
+    if tasks == 1:
+        dealt = dealt.repartition(1)
+    else:
+        share = F.floor(F.col("place") % batch * tasks / batch)
+        dealt = dealt.repartitionByRange(tasks, share)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        like = {k: np.empty(s) for k, s in shapes.items()}
+        optimiser = AdamW(0)
+        weights, optimiser.m, optimiser.v, optimiser.t = sent.value
+        total, seen = 0.0, 0
+        for rows in _steps(batches, batch, n_steps):
+            packed = np.zeros(len(weights) + 2)
+            params = unflat(weights, like)
+            for some in rows:
+                vector, loss = _summed_rows(some, params, widths, epoch, seed, dropout)
+                packed[:-2] += vector
+                packed[-2:] += loss, some.num_rows
+            if tasks > 1:
+                said = context.allGather(base64.b64encode(packed.tobytes()).decode() if rows else "")
+                packed = np.sum([np.frombuffer(base64.b64decode(m)) for m in said if m], axis=0)
+            if packed[-1]:
+                weights = optimiser.step(weights, packed[:-2] / packed[-1], rate)
+                total, seen = total + packed[-2], seen + int(packed[-1])
+        if context.partitionId() == 0:
+            arrays = [v.tobytes() for v in (weights, optimiser.m, optimiser.v)]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([a], pa.binary()) for a in arrays], pa.array([optimiser.t]), pa.array([total]), pa.array([seen])],
+                names=["weights", "mean", "spread", "turns", "loss", "rows"],
+            )
+
+    schema = "weights binary, mean binary, spread binary, turns long, loss double, rows long"
+    found = dealt.sortWithinPartitions("place").mapInArrow(run, schema, barrier=True).collect()[0]
+    sent.unpersist()
+    return _restored(found, now.losses), found["loss"], found["rows"]
+
+
+def _restored(row, losses: list[float]) -> _Progress:
+    optimiser = AdamW(len(row["mean"]) // 8)
+    optimiser.m, optimiser.v, optimiser.t = np.frombuffer(row["mean"]), np.frombuffer(row["spread"]), row["turns"]
+    return _Progress(np.frombuffer(row["weights"]), optimiser, losses)
+
+
+def _epoch_in_jobs(
+    pairs: DataFrame, n_pairs: int, params: Params, now: _Progress, epoch: int, batch: int, rate: float, seed: int,
+    dropout: bool,
+) -> tuple[_Progress, float, int]:
+    """One epoch as a job per step, for batches too large to gather gradients.
+
+    The pairs are laid out in step order, once; a step reads its own row groups by
+    filter pushdown.
+    """
+    path = work_dir(pairs.sparkSession, f"epoch-{epoch}")
+    place = shuffled("pair_id", n_pairs, epoch, seed)
+    dealt = pairs.withColumn("place", place).withColumn("step", F.floor(F.col("place") / batch))
+    dealt.repartitionByRange("place").sortWithinPartitions("place").write.parquet(path)
+    laid_out = pairs.sparkSession.read.parquet(path)
+    total, seen = 0.0, 0
+    for step in range(math.ceil(n_pairs / batch)):
+        grad, loss, rows = batch_gradient(
+            laid_out.where(F.col("step") == step), unflat(now.weights, params), epoch, seed, dropout
+        )
+        now.weights = now.optimiser.step(now.weights, grad / rows, rate)
+        total, seen = total + loss, seen + rows
+    return now, total, seen
+
+
+def barrier_tasks(batch: int, n_params: int, slots: int) -> int:
+    """Tasks of a barrier stage; zero if a batch needs more than can be had."""
+    message = 8 * (n_params + 2) * 4 // 3
+    most = max(1, min(slots, GATHERED_BYTES // message))
+    wanted = max(1, math.ceil(batch / PAIRS_A_TASK))
+    return wanted if wanted <= most else 0
+
+
+def _setting(n_pairs: int, params: Params, epochs: int, batch: int, rate: float, seed: int, dropout: bool) -> str:
+    return repr((n_pairs, flat(params).size, epochs, batch, rate, seed, dropout))
+
+
+def _resumed(spark: SparkSession, folder: str, setting: str, start: _Progress) -> tuple[int, _Progress]:
+    """The last epoch that a folder holds and what it left; the start if it holds none."""
+    kept = read_if_there(spark, folder, _EPOCH)
+    rows = [] if kept is None else kept.select("epoch", "setting", "loss", "rows").orderBy("epoch").collect()
+    if not rows:
+        return 0, start
+    if any(r["setting"] != setting for r in rows):
+        raise ValueError(f"{folder} holds epochs of another fit")
+    last = kept.where(F.col("epoch") == rows[-1]["epoch"]).first()
+    return last["epoch"] + 1, _restored(last, [r["loss"] / r["rows"] for r in rows])
+
+
 def fit(
     pairs: DataFrame,
     n_pairs: int,
@@ -184,31 +335,31 @@ def fit(
     rate: float = RATE,
     seed: int = 0,
     dropout: bool = True,
+    checkpoint: str | None = None,
 ) -> Fitted:
     """Mini-batch descent over pairs numbered 0 … n-1.
 
-    Each epoch deals the pairs anew into mini-batches and lays them out in that
-    order, once; a step then reads its own row groups by filter pushdown. At
-    scale choose the batch so that an epoch has some thousands of steps.
+    Each epoch deals the pairs anew into mini-batches. ``checkpoint`` names a folder,
+    new for each fit, that gets the weights and the optimiser after every epoch; a fit
+    that finds epochs of its own there goes on behind them.
     """
     spark = pairs.sparkSession
-    optimiser = AdamW(flat(params).size)
-    weights, losses = flat(params), []
-    for epoch in range(epochs):
-        path = work_dir(spark, f"epoch-{epoch}")
-        place = shuffled("pair_id", n_pairs, epoch, seed)
-        dealt = pairs.withColumn("place", place).withColumn("step", F.floor(F.col("place") / batch))
-        dealt.repartitionByRange("place").sortWithinPartitions("place").write.parquet(path)
-        laid_out = spark.read.parquet(path)
-        total, seen = 0.0, 0
-        for step in range(math.ceil(n_pairs / batch)):
-            grad, loss, rows = batch_gradient(
-                laid_out.where(F.col("step") == step), unflat(weights, params), epoch, seed, dropout
-            )
-            weights = optimiser.step(weights, grad / rows, cosine_rate(epoch, epochs, rate))
-            total, seen = total + loss, seen + rows
-        losses.append(total / seen)
-    return Fitted(unflat(weights, params), losses)
+    now = _Progress(flat(params), AdamW(flat(params).size), [])
+    setting = _setting(n_pairs, params, epochs, batch, rate, seed, dropout)
+    first = 0
+    if checkpoint:
+        first, now = _resumed(spark, checkpoint, setting, now)
+    tasks = barrier_tasks(batch, now.weights.size, spark.sparkContext.defaultParallelism)
+    for epoch in range(first, epochs):
+        plan = (pairs, n_pairs, params, now, epoch, batch, cosine_rate(epoch, epochs, rate), seed, dropout)
+        now, total, seen = _epoch_in_stage(*plan, tasks) if tasks else _epoch_in_jobs(*plan)
+        now.losses = [*now.losses, total / seen]
+        if checkpoint:
+            arrays = [bytearray(v.tobytes()) for v in (now.weights, now.optimiser.m, now.optimiser.v)]
+            row = (epoch, setting, *arrays, now.optimiser.t, float(total), seen)
+            one = spark.createDataFrame([row], _EPOCH).coalesce(1)
+            one.write.mode("overwrite").parquet(f"{checkpoint.rstrip('/')}/fitted={epoch}")
+    return Fitted(unflat(now.weights, params), now.losses)
 
 
 def pairs_with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

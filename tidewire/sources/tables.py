@@ -51,7 +51,7 @@ _KEYS = {"articles": "id", "vectors": "article_id", "quarantine": None}
 _SCHEMAS = {"articles": ARTICLE, "vectors": VECTORS, "quarantine": QUARANTINE, "runs": RUN}
 
 
-def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
     try:
         return spark.read.schema(schema).option("basePath", path).parquet(path)
     except AnalysisException as error:
@@ -94,7 +94,7 @@ class Store:
     def _raw(self, table: str) -> DataFrame | None:
         """All batches of a table with their number; None before the first."""
         schema = T.StructType([*_SCHEMAS[table].fields, T.StructField("batch", T.LongType())])
-        return _read_if_there(self.spark, self._path(table), schema)
+        return read_if_there(self.spark, self._path(table), schema)
 
     def runs(self) -> DataFrame:
         raw = self._raw("runs")
@@ -269,7 +269,7 @@ def save_model(spark: SparkSession, root: str, version: str, params: dict, mark:
 
 def _newest(spark: SparkSession, root: str) -> list:
     schema = "name string, shape array<int>, values array<double>, version string"
-    every = _read_if_there(spark, root, schema)
+    every = read_if_there(spark, root, schema)
     if every is None:
         return []
     number = F.regexp_replace("version", "_", "").cast("decimal(38,0)")
