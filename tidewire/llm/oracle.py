@@ -172,6 +172,103 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN labels USING (r) LEFT JOIN best USING
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::UBIGINT)"
+    steps = "list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda a, b: {steps}), 4294967295::UBIGINT)::BIGINT"
+
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations
+), own AS (
+  SELECT c, list({{'role': role, 'text': text}} ORDER BY place) AS turns FROM t GROUP BY c
+), h AS (
+  SELECT c, turns, {_crc32("c::VARCHAR")} % 4 AS h FROM own
+), rebuilt AS (
+  SELECT h.c, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20
+), members AS (
+  SELECT c, len(turns) AS n, turns[1:d] AS prefix, d
+  FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM members GROUP BY prefix, d
+), kids AS (
+  SELECT prefix[1:d - 1] AS prefix, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), valued AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (prefix, d)
+), above AS (
+  SELECT prefix[1:e] AS prefix, e AS d, n_children = 0 AS leaf, (n_convs - 1) * words AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM valued)
+), totals AS (
+  SELECT prefix, d, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY ALL
+)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN totals USING (prefix, d)
+LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.prefix = v.prefix[1:v.d - 1]
+"""
+
+
+def _digest(values: list[str]) -> str:
+    parts = [f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+_LEVELS = """
+  SELECT {key}, 0 AS lvl, pos, h FROM {leaves}
+  UNION ALL
+  SELECT {key}, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, max(pos) OVER (PARTITION BY {key}) AS top FROM {name}) WHERE top > 0 GROUP BY {key}, lvl, pos // 2
+"""
+# A fold takes one level at a time: the digest beside its siblings, in order.
+_FOLDS = """
+  SELECT doc_id, {key}, 0 AS lvl, pos, new, '' AS proof FROM {leaves}
+  UNION ALL
+  SELECT f.doc_id, f.{key}, f.lvl + 1, f.pos // 2,
+         sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.new ELSE f.new || coalesce(s.h, '') END),
+         f.proof || coalesce(s.h, '')
+  FROM {name} f JOIN heights t ON t.{key} IS NOT DISTINCT FROM f.{key} AND f.lvl < t.height
+  LEFT JOIN up s ON s.{key} IS NOT DISTINCT FROM f.{key} AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1)
+"""
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, {_digest(["doc_id", "source", "lang", "n_chars", "text"])} AS h,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN
+           {_digest(["doc_id", "source", "lang", "(n_chars + 1)", "text"])} END AS other
+  FROM documents
+), leaves AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, h, coalesce(other, h) AS new FROM d
+), up AS ({_LEVELS.format(key="k", leaves="leaves", name="up")}
+), heights AS (
+  SELECT k, max(lvl) AS height FROM up GROUP BY k
+), low AS ({_FOLDS.format(key="k", leaves="leaves", name="low")}
+), subroots AS (
+  SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos FROM up JOIN heights USING (k) WHERE lvl = height
+), groups AS (
+  SELECT 0 AS g, pos, subroot AS h FROM subroots
+), over AS ({_LEVELS.format(key="g", leaves="groups", name="over")}
+), tallest AS (
+  SELECT max(lvl) AS height FROM over
+), high AS (
+  SELECT doc_id, low.k, 0 AS lvl, s.pos, new, proof FROM low JOIN heights t ON t.k = low.k AND lvl = height JOIN subroots s ON s.k = low.k
+  UNION ALL
+  SELECT f.doc_id, f.k, f.lvl + 1, f.pos // 2,
+         sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.new ELSE f.new || coalesce(s.h, '') END),
+         f.proof || coalesce(s.h, '')
+  FROM high f JOIN tallest t ON f.lvl < t.height LEFT JOIN over s ON s.lvl = f.lvl AND s.pos = xor(f.pos, 1)
+)
+SELECT high.doc_id, leaves.h AS leaf, subroot, over.h AS root, sha256(proof) AS proof_sha256, high.new AS folded_root, high.new = over.h AS verified
+FROM high JOIN tallest ON lvl = height JOIN over ON over.lvl = height JOIN leaves USING (doc_id) JOIN subroots ON subroots.k = leaves.k
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_mixing": OP1,
@@ -179,4 +276,6 @@ def all_sql() -> dict[str, str]:
         "op6_ngram_join": OP6,
         "op8_quality_rules": OP8,
         "op9_licenses": OP9,
+        "op11_prefix_trie": OP11,
+        "op12_merkle_manifest": OP12,
     }
