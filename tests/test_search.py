@@ -1,6 +1,7 @@
 """Search, fusion and skewed joins against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ SIZES = [
     {},
     {"broadcast_bytes": 6000},
     {"broadcast_bytes": 0},
-    {"broadcast_bytes": 0, "corpus_block_bytes": 4000, "request_block_bytes": 500},
-    {"broadcast_bytes": 0, "corpus_block_bytes": 9000, "request_block_bytes": 700, "corpus_copies": 3},
+    {"broadcast_bytes": 0, "wave_bytes": 1500, "sample_rows": 10},
+    {"broadcast_bytes": 0, "wave_bytes": 4000, "sample_rows": 1},
 ]
 
 
@@ -115,6 +116,84 @@ def test_fusion_against_brute_force(tables):
         assert {a for a, _ in ours} <= union
 
 
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line]
+
+
+def test_corpus_stays_in_place(spark, tables, tmp_path):
+    corpus, asked, *_ = tables
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    hits = search.topk(asked, stored, 5, broadcast_bytes=0, sample_rows=10)
+    assert _exchanges(hits)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition") :]
+    scan = below.splitlines()[1]
+    assert "MapInArrow" in scan and "vec" not in scan.split("function")[-1].split("[request_id", 1)[-1]
+    for line in _exchanges(hits):
+        assert "vec" not in line and "tags" not in line
+
+
+def test_tasks_emit_only_what_reaches_the_bound(spark):
+    """With floors of a sample, hits per request stay far below k times the batches."""
+    rng = np.random.default_rng(8)
+    rows = [(str(i), rng.normal(size=WIDTH).astype(np.float32).tolist(), None, None) for i in range(6000)]
+    corpus = spark.createDataFrame(rows, "article_id string, title_vec array<float>, tags array<string>, timestamp bigint")
+    asked = spark.createDataFrame(
+        [(f"r{i}", rng.normal(size=WIDTH).astype(np.float32).tolist(), None, None) for i in range(5)],
+        "request_id string, query_vec array<float>, categories array<string>, cutoff_ms bigint",
+    )
+    plan = (asked, corpus.repartition(40), ["title_vec"], [0], 10)
+    sample = corpus.where(F.pmod(F.xxhash64("article_id"), F.lit(16)) == 0)
+    found = search._ranked(search._nearest_in_place(asked, sample, ["title_vec"], [0], 10, None), 10)
+    floors = found.where("place = 10").select("request_id", "list", "score")
+    loose = search._nearest_in_place(*plan, None)
+    tight = search._nearest_in_place(*plan, floors)
+    assert loose.count() == 5 * 10 * 40
+    assert tight.count() <= 5 * 10 * 30
+    best = [sorted(map(tuple, search._ranked(x, 10).collect())) for x in (loose, tight)]
+    assert best[0] == best[1]
+
+
+def test_products_follow_the_filters(monkeypatch):
+    """Multiplications are those of the pairs that the filters allow."""
+    rng = np.random.default_rng(2)
+    n, done = 500, []
+    tags = [[f"t{i % 20}", "all"] if i % 9 else None for i in range(n)]
+    stamps = [None if i % 11 == 0 else i for i in range(n)]
+    stored = search._block(
+        pa.table({
+            "article_id": [str(i) for i in range(n)], "v": [None if i % 50 == 3 else rng.normal(size=WIDTH).tolist() for i in range(n)],
+            "tags": pa.array(tags, pa.list_(pa.string())), "timestamp": pa.array(stamps, pa.int64()),
+        }), "article_id", ["v"], "timestamp", "tags", WIDTH,
+    )
+    wanted = [["t1"], ["t1", "t2", None], None, None, ["none"], ["t1"], ["all"]]
+    cutoffs = [None, 250, 400, None, None, 480, 100]
+    asked = search._block(
+        pa.table({
+            "request_id": [f"r{i}" for i in range(7)], "v": [rng.normal(size=WIDTH).tolist() for _ in range(7)],
+            "categories": pa.array(wanted, pa.list_(pa.string())), "cutoff_ms": pa.array(cutoffs, pa.int64()),
+        }), "request_id", ["v"], "cutoff_ms", "categories", WIDTH,
+    )
+    product = search._product
+    monkeypatch.setattr(search, "_product", lambda q, u: done.append(len(q) * len(u)) or product(q, u))
+    hits = {}
+    for _, rows, scores, ids in search._cell(asked, stored, 600):
+        for r, a in zip(rows, ids, strict=True):
+            hits.setdefault(int(r), set()).add(int(a))
+    allowed = {
+        r: {
+            i for i in range(n)
+            if i % 50 != 3 and (wanted[r] is None or set(wanted[r]) & set(tags[i] or []))
+            and (cutoffs[r] is None or (stamps[i] is not None and stamps[i] >= cutoffs[r]))
+        }
+        for r in range(7)
+    }
+    assert hits == {r: a for r, a in allowed.items() if a}
+    assert sum(done) == sum(map(len, allowed.values()))
+
+
 def test_search_of_nothing(spark, tables):
     corpus, asked, *_ = tables
     assert search.topk(asked.limit(0), corpus, 5).count() == 0

@@ -307,11 +307,11 @@ def topk_filtered(spark, sf_dir):
 
 @query
 def topk_by_cells(spark, sf_dir):
-    """The same search cut into block pairs, as for requests too many to send."""
+    """The same search with the corpus in place: bounds from samples, requests in waves."""
     asked = views.vector_requests(spark, sf_dir)
     hits = search.topk(
         asked, views.corpus(spark, sf_dir), 50, "tags",
-        broadcast_bytes=0, corpus_block_bytes=128 << 10, request_block_bytes=16 << 10,
+        broadcast_bytes=0, wave_bytes=512 << 10, sample_rows=256,
     )
     return hits.select("request_id", "article_id", _score("retrieval_score"), "retrieval_rank")
 
