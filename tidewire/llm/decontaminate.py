@@ -6,15 +6,20 @@ step per word, and a match ends at the number of a word. Hits map back to offset
 the original text. The corpus is one narrow pass: no shuffle, and a lost executor
 costs its own splits.
 
+Only the text crosses to Python, and only what was found comes back; other columns stay
+where they are.
+
 The benchmark is broadcast. Its size is taken first: up to ``most_bytes`` of text go
-into one automaton; a larger benchmark is dealt by hash into as many automata as needed,
-which the texts pass one after the other, with equal results.
+into one automaton. A larger benchmark is dealt by hash into as many as needed, and the
+corpus is scanned once for each, a job at a time, so that a worker never holds more than
+one: the hits of each distinct text that has some are written, and joined back at the end.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import ahocorasick
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm.words import without
+from tidewire.operators.skew import hot_keys, skew_join
+from tidewire.session import Scratch
 
 WINDOW = 10
 #: Text in one automaton: some 200,000 windows of ten words, about 100 MB in a worker.
@@ -72,9 +79,9 @@ class Windows:
         return spans, items
 
 
-def _union(a: list, b: list) -> list[tuple[int, int]]:
+def _union(spans: list) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for start, stop in sorted([*a, *b]):
+    for start, stop in sorted(spans):
         if out and out[-1][1] >= start:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
         else:
@@ -82,41 +89,83 @@ def _union(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(items, last: bool, schema: T.StructType):
-    """One automaton's way over the texts, adding to what earlier ones found."""
+_SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
+_FOUND = (
+    T.StructType().add("n_words", "long").add("hits", _SPANS).add("n_hit", "long")
+    .add("items", T.ArrayType(T.StringType())).add("spans", _SPANS)
+)
+
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items.value)
-        rest = [f.name for f in schema.fields][: -len(RESULT) + 1] if last else None
-        for batch in batches:
-            n_words, hits, named, places = [], [], [], []
-            known = batch.column("_hits").to_pylist()
-            names = batch.column("_items").to_pylist()
-            for text, before, owned in zip(batch.column("_text").to_pylist(), known, names, strict=True):
+def _scanner(share):
+    """A function of (text, hits, items): what is known, and what these items add to it.
+
+    ``hits`` are stretches of words, ``spans`` the same as code points.
+    """
+
+    @F.arrow_udf(_FOUND)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        windows = Windows(share.value)
+        pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for rows in batches:
+            n_words, hits, items, spans = [], [], [], []
+            for text, known, owners in zip(*(rows.field(i).to_pylist() for i in range(3)), strict=True):
                 word = split(text)
-                found, owners = windows.scan(word)
-                spans = _union([tuple(x) for x in before], found)
+                new, more = windows.scan(word)
+                both = _union([*new, *((x["start"], x["end"]) for x in known or ())])
+                at = [m.span() for m in _WORD.finditer(text)] if both else []
                 n_words.append(len(word))
-                hits.append(spans)
-                named.append(sorted({*owned, *owners}))
-                at = [m.span() for m in _WORD.finditer(text)] if last and spans else []
-                places.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in spans] if at else [])
-            pair = pa.list_(pa.int64())
-            found_items = pa.array(named, pa.list_(pa.string()))
-            if last:
-                spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                columns = [batch.column(c) for c in rest] + [
-                    pa.array(n_words, pa.int64()),
-                    pa.array([sum(b - a for a, b in h) for h in hits], pa.int64()),
-                    found_items, pa.array(places, spans_type),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
-            else:
-                kept = [c for c in batch.schema.names if c not in ("_hits", "_items")]
-                columns = [batch.column(c) for c in kept] + [pa.array(hits, pa.list_(pair)), found_items]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "_hits", "_items"])
-
-    return scan
+                hits.append([{"start": a, "end": b} for a, b in both])
+                items.append(sorted({*more, *(owners or ())}))
+                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in both])
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array(n_words, pa.int64()), pa.array(hits, pairs),
+                    pa.array([sum(x["end"] - x["start"] for x in h) for h in hits], pa.int64()),
+                    pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs),
+                ],
+                names=_FOUND.names,
+            )
+
+    return found
+
+
+def _found(
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, most_bytes: int
+) -> DataFrame:
+    """Each row as ``_row``, with ``_found``: what the benchmark's windows hit in its text."""
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // most_bytes))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    own = F.col("_text")
+    hits, named = F.lit(None).cast(_SPANS).alias("hits"), F.lit(None).cast("array<string>").alias("items")
+
+    def scanner(k: int):
+        some = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
+        return _scanner(spark.sparkContext.broadcast([tuple(r) for r in some.collect()]))
+
+    if parts == 1:
+        return rows.withColumn("_found", scanner(0)(F.struct(own, hits, named)))
+    scratch = Scratch(spark, "decontaminate")
+    key = F.coalesce(F.md5(own), F.lit(""))
+    passes = []
+    for k in range(parts):
+        scanned = rows.select(key.alias("_key"), scanner(k)(F.struct(own, hits, named)).alias("found"))
+        passes.append(
+            scratch.keep(
+                scanned.where("found.n_hit > 0").select("_key", "found.hits", "found.items").dropDuplicates(["_key"]), f"part{k}"
+            )
+        )
+    every = reduce(DataFrame.unionByName, passes)
+    met = every.groupBy("_key").agg(
+        F.flatten(F.collect_list("hits")).alias("_hits"), F.flatten(F.collect_list("items")).alias("_items")
+    )
+    met = scratch.keep(met, "met")
+    keyed = rows.withColumn("_key", key).withColumn("_at", F.monotonically_increasing_id())
+    joined = skew_join(keyed, met, "_key", "left", ["_at"], hot_keys(met.join(keyed.select("_key"), "_key").select("_key"), "_key"))
+    told = F.struct(own, F.col("_hits").alias("hits"), F.col("_items").alias("items"))
+    nothing = _scanner(spark.sparkContext.broadcast([]))
+    return joined.select("_row", nothing(told).alias("_found"))
 
 
 def scan(
@@ -137,30 +186,13 @@ def scan(
     words. Repeated items and rows change nothing. Input columns named as a result
     give way to it.
     """
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // most_bytes))
-    kept = without(docs, RESULT)
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text}`").alias("_text"),
-        F.array().cast("array<array<bigint>>").alias("_hits"), F.array().cast("array<string>").alias("_items"),
-    )
-    result = T.StructType([*kept.schema.fields])
-    result = (
-        result.add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType()))
-        .add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
-    )
-    for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
-        share = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-        last = k == parts - 1
-        schema = result if last else rows.schema
-        rows = rows.mapInArrow(_pass(share, last, schema), schema)
-    return rows.withColumn("contaminated", F.col("n_hit") > 0)
+    found = _found(spark, docs, benchmark, text, item_id, item_text, most_bytes)
+    kept = [F.col(f"_row.`{c}`") for c in without(docs, RESULT).columns]
+    told = [F.col(f"_found.{c}").alias(c) for c in RESULT[:-1]]
+    return found.select(*kept, *told, (F.col("_found.n_hit") > 0).alias("contaminated"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows without a benchmark window, with the columns they came with."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("_row"), F.col(f"`{text}`").alias("text"))
-    return scan(spark, rows, benchmark).where(~F.col("contaminated")).select("_row.*")
+    found = _found(spark, docs, benchmark, text, "item_id", "text", MOST_BYTES)
+    return found.where("_found.n_hit = 0").select("_row.*")

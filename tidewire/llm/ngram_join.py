@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import grams
 from tidewire.llm.graph import components
 from tidewire.operators.skew import sized
-from tidewire.session import Scratch
+from tidewire.session import Scratch, batches_of
 
 BUCKET_BITS = 20
 ACROSS = 32
@@ -36,6 +36,8 @@ ACROSS = 32
 RANGE_SIZE, MOST_RANGE_BITS = 4, 12
 #: Texts held against one pivot in one sorted run; more go to further runs.
 LEAVES = 256
+#: Bytes of rows that go to Python at a time, however long the texts.
+BATCH_BYTES = 4 << 20
 _FULL = np.iinfo(np.uint8).max
 
 
@@ -226,6 +228,11 @@ def groups(
     component is named by its least id; a null id counts as none, and a group of null
     ids only has a null component. Copies of a row are members like others.
     """
+    with batches_of(spark, BATCH_BYTES):
+        return _groups(spark, docs, n, percent, row_id, text)
+
+
+def _groups(spark: SparkSession, docs: DataFrame, n: int, percent: int, row_id: str, text: str) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(
         F.col(f"`{row_id}`").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"),
