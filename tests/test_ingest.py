@@ -3,14 +3,18 @@
 import csv
 import json
 import os
+import threading
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators.embedding import HashingEncoder
+from tidewire.operators.embedding import HashingEncoder, ProjectedEncoder, isolated
+from tidewire.operators.increment import presence
 from tidewire.operators.normalise import hourly_parsed
 from tidewire.plans import ingest as jobs
+from tidewire.plans.embed import common_vector
 from tidewire.schemas import ARTICLE_COLUMNS, LAKE_ARTICLE
 from tidewire.sources import readers
 from tidewire.sources.tables import Store, load_model, save_model
@@ -347,3 +351,172 @@ def test_model_versions(spark, tmp_path):
         save_model(spark, other, "latest", {"w0": np.ones((1, 1))})
     with pytest.raises(ValueError, match="width"):
         load_model(spark, root, width=3)
+
+
+class FailingEncoder(HashingEncoder):
+    """Raises on any batch that holds a text that says so."""
+
+    def load(self):
+        encode = super().load()
+
+        def run(texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("cannot encode")
+            return encode(texts)
+
+        return run
+
+
+def _lost(store):
+    """Ids in the vector table, and in quarantine."""
+    return sorted(rows_of(store.read("vectors"), "article_id")), sorted(rows_of(store.read("quarantine"), "id"))
+
+
+def test_a_failing_text_costs_its_own_article(spark, tmp_path):
+    """In all five jobs."""
+    failing, good = FailingEncoder(16), [str(i) for i in range(12) if i != 5]
+    path = write_csv(tmp_path / "a.csv", [article(i, title="poison" if i == 5 else f"T {i}") for i in range(12)])
+    for n, job in enumerate((jobs.ingest_backfill, jobs.ingest_drop_in)):
+        store = Store(spark, str(tmp_path / f"s{n}"), 16)
+        run = job(store, path, failing)
+        assert (run["total"], run["ingested"], run["errors"], run["skipped"]) == (12, 11, 1, 0)
+        assert _lost(store) == (sorted(good), ["5"])
+        assert sorted(rows_of(store.read("articles"), "id")) == sorted(good)
+        again = job(store, path, ENCODER)  # an encoder that has recovered
+        assert (again["ingested"], again["errors"], again["skipped"]) == (1, 0, 11)
+        assert not again["replaces"]
+    lake_path = str(tmp_path / "lake")
+    lake(spark, lake_path, [(i, 100 + i) for i in range(5)])
+    rows = spark.read.parquet(lake_path).withColumn("title", F.when(F.col("id") == 3, "poison").otherwise(F.col("title")))
+    rows.write.parquet(lake_path + "-odd")
+    store = Store(spark, str(tmp_path / "s2"), 16)
+    assert jobs.ingest_lake(store, lake_path + "-odd", failing)["errors"] == 1
+    assert _lost(store) == (["0", "1", "2", "4"], ["3"])
+    folder = str(tmp_path / "hours")
+    hourly_file(folder, "et_01.json", [hourly_article(i, title="poison" if i == 2 else f"t {i}") for i in range(6)])
+    store = Store(spark, str(tmp_path / "s3"), 16)
+    streams.stream_hourly(store, folder, failing, str(tmp_path / "c3")).awaitTermination()
+    assert _lost(store) == (["0", "1", "3", "4", "5"], ["2"])
+    (tmp_path / "drop").mkdir()
+    os.rename(path, tmp_path / "drop" / "a.csv")
+    store = Store(spark, str(tmp_path / "s4"), 16)
+    streams.stream_csv(store, str(tmp_path / "drop"), failing, str(tmp_path / "c4")).awaitTermination()
+    assert _lost(store) == (sorted(good), ["5"])
+
+
+def test_isolation_halves_batches():
+    calls = []
+
+    def encode(texts):
+        calls.append(len(texts))
+        if "x" in texts:
+            raise ValueError
+        return np.full((len(texts), 2), 7.0)
+
+    out, made = isolated(encode, ["a"] * 300 + ["x"] + ["a"] * 211, 2)
+    assert not made[300] and made.sum() == 511 and (out[made] == 7).all() and not out[300].any()
+    assert len(calls) <= 2 * 9 + 1
+    assert isolated(encode, [], 2)[0].shape == (0, 2)
+
+
+def _exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+
+
+def test_compaction(spark, store, tmp_path):
+    for n in range(4):
+        jobs.ingest_drop_in(store, write_csv(tmp_path / f"{n}.csv", [article(i) for i in range(3 * n, 3 * n + 3)]), ENCODER)
+    batch, _ = store.claim(store.state())  # half of article 4 once more, so that a read must look for replaced ids
+    store.write("articles", batch, store.read("articles").where("id = '4'").withColumn("title", F.lit("Newer")))
+    store.write("vectors", batch, store.read("vectors").limit(0))
+    store.commit(batch, source="x", total=1, ingested=0, mark=0, replaces=True)
+    before = {t: sorted(map(repr, store.read(t).collect())) for t in ("articles", "vectors")}
+    began = store.state()
+    assert began.replaces and store.compact() == 4
+    after = store.state()
+    assert (after.base, after.last, after.replaces) == (4, 4, False)
+    for table, rows in before.items():
+        assert sorted(map(repr, store.read(table, began).collect())) == rows  # a reader that had begun
+        assert sorted(map(repr, store.read(table).collect())) == rows
+        assert not _exchanges(store.read(table))
+    store.vacuum()
+    assert store.compact() is None
+    run = jobs.ingest_drop_in(store, write_csv(tmp_path / "z.csv", [article(1), article(99)]), ENCODER)
+    assert (run["ingested"], run["skipped"], run["replaces"]) == (1, 1, False)
+    assert store.read("articles").count() == 13 and rows_of(store.read("articles"), "id")["4"]["title"] == "Newer"
+    assert store.compact() == 5 and store.read("vectors").count() == 13
+    assert store.mark("x") == 0 and store.runs().count() == 6
+
+
+def test_claims_end_with_their_lease(spark, store, tmp_path):
+    dead, _ = store.claim(store.state())
+    jobs.ingest_drop_in(store, write_csv(tmp_path / "a.csv", [article(1)]), ENCODER)
+    assert store.state().open == (dead,)
+    store.write("articles", dead, store.read("articles").withColumn("id", F.lit("ghost")))
+    assert store.compact() is None  # nothing below the open number
+    short = Store(spark, store.root, 16, lease_ms=-1)
+    state = short.begin()
+    assert state.open == () and [r["id"] for r in store.read("articles").collect()] == ["1"]
+    with pytest.raises(RuntimeError, match="ended"):
+        store.commit(dead, source="late", total=1, ingested=1, mark=0, replaces=False)
+    run = jobs.ingest_drop_in(store, write_csv(tmp_path / "b.csv", [article(2)]), ENCODER)
+    assert not run["replaces"] and store.compact() == 2
+    assert sorted(rows_of(store.read("articles"), "id")) == ["1", "2"]
+
+
+def test_another_projection_is_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 8)
+    encoder = ProjectedEncoder(HashingEncoder(16), 8, seed=3)
+    jobs.ingest_drop_in(store, write_csv(tmp_path / "a.csv", [article(1)]), encoder)
+    path = write_csv(tmp_path / "b.csv", [article(2)])
+    for other in (ProjectedEncoder(HashingEncoder(16), 8, seed=4), HashingEncoder(8), ProjectedEncoder(HashingEncoder(32), 8, seed=3)):
+        with pytest.raises(ValueError, match="vectors of"):
+            jobs.ingest_drop_in(store, path, other)
+    jobs.ingest_drop_in(store, path, encoder)
+    kept = store.bind(encoder)
+    assert kept.kept is not None and np.array_equal(kept.matrix, encoder.matrix)
+    want = kept.load()(["Title 2. Intro 2"])
+    assert np.array_equal(want, encoder.load()(["Title 2. Intro 2"]))
+    assert rows_of(store.read("vectors"), "article_id")["2"]["title_vec"] == want[0].tolist()
+
+
+class SlowEncoder(HashingEncoder):
+    def load(self):
+        encode = super().load()
+
+        def run(texts):
+            time.sleep(0.4 * len(texts))
+            return encode(texts)
+
+        return run
+
+
+def test_progress_can_be_polled_while_a_run_goes_on(spark, store, tmp_path):
+    rows = spark.createDataFrame([article(i) for i in range(16)]).repartition(16).withColumn("_seq", F.col("id").cast("long"))
+    worker = threading.Thread(
+        target=lambda: jobs.ingest(store, readers.known_columns(rows), SlowEncoder(16), "slow", common_vector, every=0.2)
+    )
+    worker.start()
+    polled = []
+    while worker.is_alive():
+        done = [r["done"] for r in store.progress().where("phase = 'encoding'").collect()]
+        polled.append(max(done, default=-1))
+        time.sleep(0.2)
+    worker.join()
+    between = {n for n in polled if 0 < n < 16}
+    assert between and polled == sorted(polled)
+    last = store.progress().orderBy(F.desc("at_ms")).first()
+    assert (last["phase"], last["total"], last["done"], last["remaining"]) == ("done", 16, 16, 0)
+    assert store.runs().first()["remaining"] == 0
+
+
+def test_presence_moves_no_bodies(spark, store, tmp_path):
+    """What meets the tables' ids is ids, order and row numbers."""
+    jobs.ingest_drop_in(store, write_csv(tmp_path / "a.csv", [article(1)]), ENCODER)
+    state = store.state()
+    ids = spark.createDataFrame([("1",), ("2",)], "id string")
+    plan = presence(F.broadcast(ids), store.read("articles", state), store.read("vectors", state))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in text.splitlines() if "FileScan" in x]
+    assert len(scans) == 2 and not any("title" in x.split("ReadSchema")[1] or "vec" in x.split("ReadSchema")[1] for x in scans)
+    assert [tuple(r) for r in plan.collect()] == [("1", True, True)]

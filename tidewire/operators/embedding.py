@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +31,13 @@ class Encoder(Protocol):
     """Turns a batch of texts into a float32 matrix of fixed width.
 
     ``load`` runs once per Python worker. ``max_chars`` is the context limit of
-    the model, or None when it reads whole texts.
+    the model, or None when it reads whole texts. Encoders of one ``fingerprint`` give
+    equal vectors.
     """
 
     width: int
     max_chars: int | None
+    fingerprint: str
 
     def load(self): ...
 
@@ -50,6 +53,10 @@ class HashingEncoder:
     width: int = 64
     max_chars: int | None = None
 
+    @property
+    def fingerprint(self) -> str:
+        return f"hashing:{self.width}:{self.max_chars}"
+
     def load(self):
         words = re.compile(r"[^\W_]+")
         seen: dict[str, tuple[int, float]] = {}
@@ -78,19 +85,34 @@ class HashingEncoder:
 
 @dataclass(frozen=True)
 class ProjectedEncoder:
-    """An encoder of another width, brought to ``width`` by a seeded projection."""
+    """An encoder of another width, brought to ``width`` by a projection.
+
+    The matrix follows from the seed, unless one is given that a table has kept.
+    """
 
     base: Encoder
     width: int
     seed: int = 0
+    kept: tuple[tuple[float, ...], ...] | None = None
 
     @property
     def max_chars(self) -> int | None:
         return self.base.max_chars
 
+    @property
+    def matrix(self) -> np.ndarray:
+        if self.kept is not None:
+            return np.array(self.kept, dtype=np.float32)
+        return projection_matrix(self.base.width, self.width, self.seed)
+
+    @property
+    def fingerprint(self) -> str:
+        digest = hashlib.sha256(np.ascontiguousarray(self.matrix, dtype=np.float32).tobytes()).hexdigest()
+        return f"{fingerprint(self.base)}>projected:{self.width}:{self.seed}:{digest[:16]}"
+
     def load(self):
         encode = self.base.load()
-        matrix = projection_matrix(self.base.width, self.width, self.seed)
+        matrix = self.matrix
 
         def project(texts: list[str]) -> np.ndarray:
             out = encode(texts).astype(np.float64) @ matrix.astype(np.float64)
@@ -100,13 +122,42 @@ class ProjectedEncoder:
         return project
 
 
+def fingerprint(encoder: Encoder) -> str:
+    """The encoder's own, or its class and width."""
+    return getattr(encoder, "fingerprint", None) or f"{type(encoder).__name__}:{encoder.width}"
+
+
+def isolated(encode: Callable[[list[str]], np.ndarray], texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the texts, and which of them there are.
+
+    A batch on which the encoder raises is halved until the text that fails is alone:
+    it costs no other text, and about twice the logarithm of the batch in calls.
+    """
+    out, made = np.zeros((len(texts), width), dtype=np.float32), np.ones(len(texts), dtype=bool)
+    todo = [(0, len(texts))] if texts else []
+    while todo:
+        start, stop = todo.pop()
+        try:
+            found = encode(texts[start:stop])
+        except Exception:  # whatever a model raises on a text
+            if stop - start == 1:
+                made[start] = False
+            else:
+                middle = (start + stop) // 2
+                todo += [(middle, stop), (start, middle)]
+            continue
+        out[start:stop] = found
+    return out, made
+
+
 def _encoded(texts: pa.Array, encode: Callable[[list[str]], np.ndarray], width: int) -> pa.Array:
-    """A vector per text; null stays null."""
-    present = texts.is_valid().to_numpy(zero_copy_only=False)
-    values = encode(texts.drop_null().to_pylist()).astype(np.float32)
+    """A vector per text; null stays null, and a text that cannot be encoded gets null."""
+    present = texts.is_valid().to_numpy(zero_copy_only=False).copy()
+    values, made = isolated(encode, texts.drop_null().to_pylist(), width)
+    present[present] = made
     ends = np.cumsum(np.r_[0, present * width])
     return pa.ListArray.from_arrays(
-        pa.array(ends, pa.int32()), pa.array(values.ravel()), mask=pa.array(~present)
+        pa.array(ends, pa.int32()), pa.array(values[made].ravel()), mask=pa.array(~present)
     )
 
 
@@ -126,8 +177,13 @@ def encode_column(encoder: Encoder, max_chars: int | None = None):
     return apply
 
 
-def embed(df: DataFrame, texts: dict[str, Column], encoder: Encoder, max_chars: int | None = None) -> DataFrame:
-    """Add one vector column per named text; all texts of a row cross to Python once."""
+def embed(
+    df: DataFrame, texts: dict[str, Column], encoder: Encoder, max_chars: int | None = None, seen: Accumulator | None = None
+) -> DataFrame:
+    """Add one vector column per named text; all texts of a row cross to Python once.
+
+    ``seen`` counts the rows of tasks that are done.
+    """
     limit = max_chars or encoder.max_chars
     names = list(texts)
 
@@ -136,6 +192,8 @@ def embed(df: DataFrame, texts: dict[str, Column], encoder: Encoder, max_chars:
         encode = encoder.load()
         for rows in batches:
             columns = [_encoded(rows.field(i), encode, encoder.width) for i in range(len(names))]
+            if seen is not None:
+                seen.add(len(rows))
             yield pa.StructArray.from_arrays(columns, names)
 
     told = F.struct(*[(truncate(c, limit) if limit else c).alias(n) for n, c in texts.items()])

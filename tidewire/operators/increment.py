@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from tidewire.operators.skew import sized
 
 
+def presence(ids: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, in_articles, in_vectors) of those of the given ids that a store holds.
+
+    Each store gives its id column, once. Ids that the caller has marked for broadcast
+    go to both scans, which then are not shuffled.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    held = articles.select("id", yes.alias("in_articles"), no.alias("in_vectors")).union(
+        vectors.select(F.col("article_id").alias("id"), no, yes)
+    )
+    found = held.join(ids.select("id"), "id", "left_semi").groupBy("id")
+    return found.agg(F.max("in_articles").alias("in_articles"), F.max("in_vectors").alias("in_vectors"))
+
+
 def present_in_both(ids: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:
     """Which of the given ids both stores hold.
 
-    The stores give only their id column. A batch of bounded size is broadcast
-    to the scans of both, which then are not shuffled.
+    Half-written ones are not among them.
     """
     asked = sized(ids.select("id").distinct())
-    held = asked.join(articles.select("id"), "id")
-    return held.join(vectors.select(F.col("article_id").alias("id")), "id").select("id").distinct()
+    return presence(asked, articles, vectors).where("in_articles and in_vectors").select("id")
 
 
 def not_in_both(incoming: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:

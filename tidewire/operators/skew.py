@@ -26,7 +26,12 @@ def sized(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     without a count the planner would shuffle a whole table to meet a few ids.
     """
     kept = materialise(ids)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    return few(kept, kept.count(), most)
+
+
+def few(kept: DataFrame, n: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of so many narrow rows, marked for broadcast if they are few."""
+    return F.broadcast(kept) if n <= most else kept
 
 
 def hot_keys(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +11,15 @@ from tidewire.functions.ids import point_id
 from tidewire.operators.embedding import Encoder, embed
 from tidewire.schemas import VECTOR_COLUMNS, VECTORS
 
+#: A whole article, carried beside the vectors that are made of it.
+ARTICLE_OF_ROW = "_article"
+
 
 def vector_rows(rows: DataFrame) -> DataFrame:
     """Every column of the vector table, absent ones as null.
 
-    A missing named vector takes the common one, ``vector``, if there is one.
+    A missing named vector takes the common one, ``vector``, if there is one. The
+    article that a row was made of stays beside it, if it came along.
     """
     def column(field):
         if field.name in VECTOR_COLUMNS and "vector" in rows.columns:
@@ -24,7 +29,11 @@ def vector_rows(rows: DataFrame) -> DataFrame:
             return F.col(field.name).cast(field.dataType)
         return F.lit(None).cast(field.dataType)
 
-    return rows.select(*[column(f).alias(f.name) for f in VECTORS])
+    return rows.select(*[column(f).alias(f.name) for f in VECTORS], *_along(rows))
+
+
+def _along(rows: DataFrame) -> list[str]:
+    return [ARTICLE_OF_ROW] if ARTICLE_OF_ROW in rows.columns else []
 
 
 def _light(articles: DataFrame, *extra) -> DataFrame:
@@ -37,10 +46,11 @@ def _light(articles: DataFrame, *extra) -> DataFrame:
         F.col("published_time_unix").alias("timestamp"),
         "published_time",
         *extra,
+        *_along(articles),
     )
 
 
-def named_vectors(articles: DataFrame, encoder: Encoder) -> DataFrame:
+def named_vectors(articles: DataFrame, encoder: Encoder, seen: Accumulator | None = None) -> DataFrame:
     """Title, introduction and tags embedded apart."""
     rows = _light(articles, F.col("introductory_paragraph").alias("intro"))
     texts = {
@@ -48,11 +58,11 @@ def named_vectors(articles: DataFrame, encoder: Encoder) -> DataFrame:
         "description_vec": F.col("intro"),
         "tags_vec": text.tags_as_text(F.col("tags")),
     }
-    return vector_rows(embed(rows, texts, encoder))
+    return vector_rows(embed(rows, texts, encoder, seen=seen))
 
 
-def common_vector(articles: DataFrame, encoder: Encoder) -> DataFrame:
+def common_vector(articles: DataFrame, encoder: Encoder, seen: Accumulator | None = None) -> DataFrame:
     """One vector of title and introduction, used under all three names."""
     whole = text.news_embedding_text(F.col("title"), F.col("introductory_paragraph"))
     rows = _light(articles, whole.alias("whole"))
-    return vector_rows(embed(rows, {"vector": F.col("whole")}, encoder))
+    return vector_rows(embed(rows, {"vector": F.col("whole")}, encoder, seen=seen))

@@ -9,14 +9,38 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.times import DAY_MS
 from tidewire.operators.embedding import Encoder
-from tidewire.operators.increment import cap_new, keep_last, not_in_both
+from tidewire.operators.increment import cap_new, keep_last, presence
 from tidewire.operators.normalise import nested_to_text, normalise, with_id
-from tidewire.plans.embed import common_vector, named_vectors
+from tidewire.operators.skew import few
+from tidewire.plans.embed import ARTICLE_OF_ROW, common_vector, named_vectors
+from tidewire.plans.progress import Reporter
+from tidewire.schemas import ARTICLE
 from tidewire.session import materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
 
-Vectorise = Callable[[DataFrame, Encoder], DataFrame]
+Vectorise = Callable[..., DataFrame]
+_ROW = "_row"
+
+
+def _new_rows(store: Store, named: DataFrame, state, order: list[str], limit: int | None) -> tuple[DataFrame, int, int, bool]:
+    """The rows to take in, by row number, how many, how many more wait, and whether they replace some.
+
+    Only ids and what orders them take part: the last row per id, less the ids that both
+    tables hold, up to the limit. The ids of the tables are read once.
+    """
+    new = materialise(keep_last(named.select("id", *order, _ROW), "id", *order))
+    n, replaces = new.count(), False
+    if state.last is not None and n:
+        held = presence(few(new, n), store.read("articles", state), store.read("vectors", state))
+        known = F.coalesce(F.col("in_articles") & F.col("in_vectors"), F.lit(False))
+        marked = new.join(held, "id", "left").where(~known)
+        new = materialise(marked.select("id", *order, _ROW, F.col("in_articles").isNotNull().alias("half")))
+        n, replaced = new.agg(F.count("*"), F.count_if("half")).first()
+        replaces = replaced > 0
+    if limit is None or n <= limit:
+        return few(new.select(_ROW), n), n, 0, replaces
+    return few(materialise(cap_new(new, limit, *order).select(_ROW)), limit), limit, n - limit, replaces
 
 
 def ingest(
@@ -32,64 +56,68 @@ def ingest(
     epoch: int | None = None,
     query: str | None = None,
     refused: DataFrame | None = None,
+    every: float | None = None,
 ) -> dict | None:
     """Take in what is new of a source and commit both tables and the mark.
 
-    The source is parsed once, into the shared folder. The articles of the batch
-    are written next and read back from there for the embedding, so neither the
-    comparison with the tables nor the encoder runs twice.
+    The source is parsed once, into the shared folder; what is new is decided on ids
+    alone, and only then bodies move, once, to the encoder, whose output both tables
+    are written from. A text on which the encoder fails, or gives no valid vector, costs
+    its own article: that one is quarantined and is in neither table, so that a later
+    run tries it again. Progress is told while the run goes on, ``every`` so many seconds.
     """
-    state = store.state(source, query)
+    state = store.begin(source, query)
     if state.has_epoch(epoch):
         return None
+    encoder = store.bind(encoder)
     order = order or ["_seq"]
     if readers.CORRUPT not in raw.columns:
         raw = raw.withColumn(readers.CORRUPT, F.lit(None).cast("string"))
-    staged = materialise(normalise(raw, trim))
-    unreadable = F.col(readers.CORRUPT).isNotNull()
-    counts = staged.agg(
-        F.count("*").alias("total"), F.count(readers.CORRUPT).alias("corrupt")
-    ).first()
-
     batch, others = store.claim(state)
-    # The last row per id first: a repeated id is then one row in every join.
-    fresh = keep_last(with_id(staged.where(~unreadable)), "id", *order)
-    if state.last is not None:
-        fresh = not_in_both(fresh, store.read("articles", state), store.read("vectors", state))
-    written = store.write("articles", batch, cap_new(fresh, limit, *order))
-    good, bad = store.check_vectors(materialise(vectorise(written, encoder)))
-    vectors = store.write("vectors", batch, good)
-    broken = staged.where(unreadable).select(
-        "id", F.lit("unreadable record").alias("reason"), F.col(readers.CORRUPT).alias("record")
-    )
-    for more in [broken, refused]:
-        bad = bad if more is None else bad.unionByName(more)
-    errors = store.write("quarantine", batch, bad).count()
-
-    done = vectors.agg(F.count("*").alias("n"), F.max("timestamp").alias("top")).first()
-    n_written = written.count()
-    waiting = 0
-    if limit is not None and n_written == limit:
-        waiting = fresh.count() - n_written
-    replaces = others or store.any_held(written.select("id"), state, ["articles", "vectors"])
-    skipped = counts["total"] - counts["corrupt"] - n_written - waiting
-    run = {
-        "source": source,
-        "epoch": epoch,
-        "query": query,
-        "total": counts["total"],
-        "ingested": done["n"],
-        "skipped": skipped,
-        "errors": errors,
-        "mark": max(done["top"] or 0, since),
-        "replaces": replaces,
-        "message": f"{done['n']} new articles added, {skipped} skipped",
-    }
-    if done["n"] or errors or epoch is not None:
-        store.commit(batch, **run)
-    else:
-        store.release(batch)
-    return {**run, "remaining": waiting}
+    with Reporter(store, batch, source, every) as report:
+        staged = materialise(normalise(raw, trim).withColumn(_ROW, F.monotonically_increasing_id()))
+        unreadable = F.col(readers.CORRUPT).isNotNull()
+        counts = staged.agg(
+            F.count("*").alias("total"), F.count(readers.CORRUPT).alias("corrupt")
+        ).first()
+        named = with_id(staged.where(~unreadable))
+        wanted, total, waiting, replaces = _new_rows(store, named, state, order, limit)
+        fresh = named.join(wanted, _ROW, "left_semi")
+        report.tell("encoding", total, 0)
+        article = F.struct(*ARTICLE.fieldNames()).alias(ARTICLE_OF_ROW)
+        made = materialise(vectorise(fresh.select("*", article), encoder, seen=report.seen))
+        good, bad = store.check_vectors(made)
+        report.tell("writing", total, total)
+        store.write("articles", batch, good.select(f"{ARTICLE_OF_ROW}.*"))
+        vectors = store.write("vectors", batch, good)
+        broken = staged.where(unreadable).select(
+            "id", F.lit("unreadable record").alias("reason"), F.col(readers.CORRUPT).alias("record")
+        )
+        for more in [broken, refused]:
+            bad = bad if more is None else bad.unionByName(more)
+        errors = store.write("quarantine", batch, bad).count()
+
+        done = vectors.agg(F.count("*").alias("n"), F.max("timestamp").alias("top")).first()
+        skipped = counts["total"] - counts["corrupt"] - total - waiting
+        run = {
+            "source": source,
+            "epoch": epoch,
+            "query": query,
+            "total": counts["total"],
+            "ingested": done["n"],
+            "skipped": skipped,
+            "errors": errors,
+            "mark": max(done["top"] or 0, since),
+            "replaces": replaces or others,
+            "message": f"{done['n']} new articles added, {skipped} skipped",
+            "remaining": waiting,
+        }
+        if not (done["n"] or errors or epoch is not None):
+            store.release(batch)
+            return run
+        report.tell("done", total, total)
+    store.commit(batch, **run)
+    return run
 
 
 def ingest_lake(

@@ -4,12 +4,17 @@ Every run claims a batch number that no other run has, appends one batch folder
 each table and then one row to ``runs``. Readers see only batches that have such a row,
 so both tables and the mark move together, a run that dies leaves nothing visible, runs
 at the same time do not meet, and no run rewrites old data.
+
+A claim is a lease: a run that has neither committed nor released its number in time
+loses it, and can no longer commit. Compaction writes one base of all batches up to a
+number below which nothing is open; readers then take the base and what came after.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions.vectors import is_valid_vector
+from tidewire.operators.embedding import Encoder, fingerprint
 from tidewire.operators.increment import keep_last
 from tidewire.operators.skew import sized
 from tidewire.schemas import ARTICLE, VECTOR_COLUMNS, VECTORS
@@ -38,8 +44,21 @@ RUN = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("message", T.StringType()),
         T.StructField("query", T.StringType()),
+        T.StructField("remaining", T.LongType()),
+    ]
+)
+PROGRESS = T.StructType(
+    [
+        T.StructField("at_ms", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("phase", T.StringType()),
+        T.StructField("total", T.LongType()),
+        T.StructField("done", T.LongType()),
+        T.StructField("remaining", T.LongType()),
     ]
 )
+#: Milliseconds after which a claim that is not committed ends.
+LEASE_MS = 24 * 3600 * 1000
 QUARANTINE = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -66,7 +85,8 @@ class State:
 
     The mark is that of one source, the epoch that of one streaming query: another
     query over the same folder, with a checkpoint of its own, counts anew. ``open`` are
-    the numbers below the last one that dead or running runs hold.
+    the numbers below the last one that dead or running runs hold. All batches up to
+    ``base`` are in the base of that number.
     """
 
     last: int | None
@@ -74,6 +94,7 @@ class State:
     mark: int
     epoch: int | None
     open: tuple[int, ...] = ()
+    base: int | None = None
 
     def has_epoch(self, epoch: int | None) -> bool:
         """Epochs of a stream rise, so one up to the highest is done."""
@@ -87,6 +108,7 @@ class Store:
     spark: SparkSession
     root: str
     width: int
+    lease_ms: int = LEASE_MS
 
     def _path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
@@ -96,6 +118,65 @@ class Store:
         schema = T.StructType([*_SCHEMAS[table].fields, T.StructField("batch", T.LongType())])
         return read_if_there(self.spark, self._path(table), schema)
 
+    def _file(self, name: str):
+        """The file system and the path of a name below the root."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _create(self, name: str) -> bool:
+        """Create an empty file; false if it is there already."""
+        fs, path = self._file(name)
+        fs.mkdirs(path.getParent())
+        return fs.createNewFile(path)
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._file(folder)
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _delete(self, name: str) -> None:
+        fs, path = self._file(name)
+        fs.delete(path, True)
+
+    def put(self, name: str, text: str) -> None:
+        """Write a small file; one that is there stays."""
+        fs, path = self._file(name)
+        fs.mkdirs(path.getParent())
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.write(bytearray(text.encode()))
+            out.close()
+
+    def get(self, name: str) -> str | None:
+        """The text of a small file, None if it is not there."""
+        fs, path = self._file(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def bind(self, encoder: Encoder) -> Encoder:
+        """The encoder, held against the one whose vectors the table has.
+
+        The first run leaves its fingerprint and, if there is one, its projection, which
+        later runs read instead of drawing it again; an encoder of other vectors is
+        refused.
+        """
+        mine, matrix = fingerprint(encoder), getattr(encoder, "matrix", None)
+        text = self.get("encoder.json")
+        if text is None:
+            rows = None if matrix is None else [[float(x) for x in row] for row in matrix]
+            self.put("encoder.json", json.dumps({"fingerprint": mine, "matrix": rows}))
+            return encoder
+        found = json.loads(text)
+        if found["fingerprint"] != mine:
+            raise ValueError(f"the table holds vectors of {found['fingerprint']}, not of {mine}")
+        if found["matrix"] is not None and hasattr(encoder, "kept"):
+            return replace(encoder, kept=tuple(map(tuple, found["matrix"])))
+        return encoder
+
     def runs(self) -> DataFrame:
         raw = self._raw("runs")
         if raw is None:
@@ -106,11 +187,13 @@ class Store:
     def state(self, source: str | None = None, query: str | None = None) -> State:
         """What the committed runs amount to, in one pass over their records."""
         mine = F.col("source") == F.lit(source)
+        base = max((int(n) for n in self._names("bases")), default=None)
         runs = self.runs()
+        later = F.col("batch") > F.lit(-1 if base is None else base)
         r = runs.agg(
             F.count_distinct("batch").alias("batches"),
             F.max("batch").alias("last"),
-            F.max("replaces").alias("replaces"),
+            F.max(F.when(later, F.col("replaces"))).alias("replaces"),
             F.max(F.when(F.col("width") != self.width, F.col("width"))).alias("other"),
             F.max(F.when(mine, F.col("mark"))).alias("mark"),
             F.max(F.when(mine & F.col("query").eqNullSafe(F.lit(query)), F.col("epoch"))).alias("epoch"),
@@ -121,7 +204,64 @@ class Store:
         if r["last"] is not None and r["batches"] <= r["last"]:
             every = self.spark.range(r["last"] + 1).withColumnRenamed("id", "batch")
             gaps = tuple(x["batch"] for x in every.join(runs.select("batch"), "batch", "left_anti").collect())
-        return State(r["last"], bool(r["replaces"]), r["mark"] or 0, r["epoch"], gaps)
+        return State(r["last"], bool(r["replaces"]), r["mark"] or 0, r["epoch"], gaps, base)
+
+    def begin(self, source: str | None = None, query: str | None = None) -> State:
+        """The state for a run to start from, once claims that have run out are ended."""
+        state = self.state(source, query)
+        return self.state(source, query) if self.end_leases(state) else state
+
+    def end_leases(self, state: State) -> list[int]:
+        """End the open claims that are older than the lease; returns their numbers.
+
+        Whoever creates a number's end file first has it: the run that commits, or this.
+        An ended number gets a row of its own in ``runs`` and loses what was written.
+        """
+        now = self.spark.sparkContext._jvm.System.currentTimeMillis()
+        ended = []
+        for batch in state.open:
+            fs, claim = self._file(f"claims/{batch}")
+            if not self._create(f"claims/{batch}") and fs.getFileStatus(claim).getModificationTime() > now - self.lease_ms:
+                continue
+            if not self._create(f"ends/{batch}"):
+                continue
+            for table in _KEYS:
+                self._delete(f"{table}/batch={batch}")
+            self._record(batch, source=None, total=0, ingested=0, skipped=0, errors=0, mark=0, replaces=False, status="dead")
+            ended.append(batch)
+        return ended
+
+    def compact(self) -> int | None:
+        """Write all batches up to the first open one as one base; returns its number.
+
+        Rows are dealt by the hash of their id and sorted by it. Readers that have
+        begun go on with the batches, which stay until ``vacuum``.
+        """
+        state = self.begin()
+        upto = min(state.open) - 1 if state.open else state.last
+        if upto is None or upto < 0 or (state.base is not None and upto <= state.base):
+            return None
+        view = State(upto, state.replaces, 0, None, (), state.base)
+        for table in ("articles", "vectors"):
+            key = _KEYS[table]
+            rows = self.read(table, view).repartition(key).sortWithinPartitions(key)
+            rows.write.mode("overwrite").parquet(self._path(f"{table}-base/upto={upto}"))
+        self._create(f"bases/{upto}")
+        return upto
+
+    def vacuum(self) -> None:
+        """Delete the batches and bases that the newest base replaces.
+
+        For times when no reader is at work that began before the last compaction.
+        """
+        base = self.state().base
+        for table in ("articles", "vectors"):
+            for name in self._names(table):
+                if name.startswith("batch=") and base is not None and int(name[6:]) <= base:
+                    self._delete(f"{table}/{name}")
+            for name in self._names(f"{table}-base"):
+                if base is not None and int(name[5:]) < base:
+                    self._delete(f"{table}-base/{name}")
 
     def claim(self, state: State) -> tuple[int, bool]:
         """A batch number of one's own, and whether other runs may be at work.
@@ -130,16 +270,10 @@ class Store:
         numbers held but not committed cannot know their ids, so what it writes counts
         as replacing.
         """
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         batch = first = 0 if state.last is None else state.last + 1
-        while True:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self._path('claims')}/{batch}")
-            fs = path.getFileSystem(conf)
-            fs.mkdirs(path.getParent())
-            if fs.createNewFile(path):
-                return batch, batch != first or bool(state.open)
+        while not self._create(f"claims/{batch}"):
             batch += 1
+        return batch, batch != first or bool(state.open)
 
     def read(self, table: str, state: State | None = None) -> DataFrame:
         """The committed rows, the last batch winning per id.
@@ -149,12 +283,18 @@ class Store:
         """
         state = state or self.state()
         raw = self._raw(table) if state.last is not None else None
+        if raw is None and state.base is not None and _KEYS[table]:
+            raw = self.spark.createDataFrame([], T.StructType([*_SCHEMAS[table].fields, T.StructField("batch", T.LongType())]))
         if raw is None:
             return self.spark.createDataFrame([], _SCHEMAS[table])
         # Numbers are given out in turn: the committed ones are all up to the last,
         # but for those of runs that died or still go on.
         seen = raw.where((F.col("batch") <= state.last) & ~F.col("batch").isin(list(state.open)))
         key = _KEYS[table]
+        if key and state.base is not None:
+            base = self.spark.read.schema(_SCHEMAS[table]).parquet(self._path(f"{table}-base/upto={state.base}"))
+            base = base.withColumn("batch", F.lit(state.base).cast("long"))
+            seen = base.unionByName(seen.where(F.col("batch") > state.base))
         if key and state.replaces:
             repeated = (
                 seen.groupBy(key)
@@ -187,12 +327,15 @@ class Store:
 
     def release(self, batch: int) -> None:
         """Give back a claimed number with nothing to commit; its holder alone may."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        folders = [f"{self._path(t)}/batch={batch}" for t in _KEYS]
-        for name in [*folders, f"{self._path('claims')}/{batch}"]:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        for name in [*[f"{t}/batch={batch}" for t in [*_KEYS, "progress"]], f"claims/{batch}"]:
+            self._delete(name)
+
+    def progress(self) -> DataFrame:
+        """What runs have told of themselves, while they ran too."""
+        schema = T.StructType([*PROGRESS.fields, T.StructField("batch", T.LongType())])
+        if not self._names("progress"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self._path("progress")).json(self._path("progress"))
 
     def check_vectors(self, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows whose vectors are all valid, and the ids of the others."""
@@ -207,7 +350,14 @@ class Store:
         return vectors.where(ok), bad
 
     def commit(self, batch: int, **run) -> None:
-        """Make a batch visible in all tables at once."""
+        """Make a batch visible in all tables at once; refused once its lease has ended."""
+        if not self._create(f"ends/{batch}"):
+            held = self.runs().where(F.col("batch") == batch).first()
+            if held is None or held["status"] == "dead":
+                raise RuntimeError(f"batch {batch} was not committed in time and has been ended")
+        self._record(batch, **run)
+
+    def _record(self, batch: int, **run) -> None:
         row = {f.name: run.get(f.name) for f in RUN.fields}
         row["width"] = self.width
         row["status"] = row["status"] or "done"
@@ -228,7 +378,7 @@ class Store:
         A batch whose epoch is committed already is not written again. Rows with
         an invalid vector, and records that could not be read, are quarantined.
         """
-        state = self.state(source, query)
+        state = self.begin(source, query)
         if state.has_epoch(epoch):
             return 0
         batch, others = self.claim(state)

@@ -81,7 +81,7 @@ def stream_hourly(
         )
         parsed, malformed = hourly_parsed(files.where(listed))
         unreadable = unreadable.unionByName(malformed)
-        vectors = hourly_vectors(parsed, encoder)
+        vectors = hourly_vectors(parsed, store.bind(encoder))
         store.upsert_vectors(vectors, source, None, epoch, unreadable, query_id(store, checkpoint))
 
     stream = readers.hourly_stream(store.spark, path, files_per_batch)
