@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 from html import unescape
 
 import xxhash
@@ -53,6 +52,20 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
+def _remembered(fn):
+    """Results of the last calls, kept by whoever runs the function: it travels with its task."""
+    held: dict = {}
+
+    def run(*key):
+        if key not in held:
+            if len(held) >= 1 << 12:
+                held.clear()
+            held[key] = fn(*key)
+        return held[key]
+
+    return run
+
+
 @dataclass
 class Node:
     tag: str
@@ -70,7 +83,7 @@ class Page:
     blocks: list[tuple[int, str]]
 
 
-@lru_cache(maxsize=1 << 12)
+@_remembered
 def _described(tag: str, attributes: str) -> tuple[str, int]:
     """(label, whether it names itself as something beside the article: 0, SOFT or HARD)."""
     names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)}
@@ -88,7 +101,7 @@ def _described(tag: str, attributes: str) -> tuple[str, int]:
 def _closed(html: str, raw: str) -> dict[int, int]:
     """Where every element of this kind begins that has an end tag of its own, and that one's end."""
     found, open_ = {}, []
-    for m in _RAW_TAG[raw].finditer(html):
+    for m in _RAW_TAG[raw].finditer(html, 0, html.rfind(">") + 1):
         if not m[1]:
             if raw not in ("svg", "math") or not m[0].endswith("/>"):
                 open_.append(m.start())
@@ -110,12 +123,15 @@ def parse(html: str) -> Page:
             if words:
                 blocks.append((open_[-1], words))
 
-    at, closed = 0, {}  # every character is in a token
-    while m := _TOKEN.match(html, at):
+    # every character up to the last end of a tag is in a token; behind it is text
+    at, closed, last = 0, {}, html.rfind(">") + 1
+    while m := _TOKEN.match(html, at, last):
         at, name = m.end(), m[3]
         if name is None:
             part = m[0]
-            if part[0] != "<" or len(part) == 1:
+            if at == last and part.startswith("<!--") and not part.endswith("-->"):
+                at = len(html)
+            elif part[0] != "<" or len(part) == 1:
                 text.append(part)
             elif m[1] is not None:
                 flush()
@@ -158,6 +174,9 @@ def parse(html: str) -> Page:
         nodes.append(Node(tag, label, aside, open_[-1]))
         nodes[open_[-1]].children.append(len(nodes) - 1)
         open_.append(len(nodes) - 1)
+    rest = html[max(at, last) :]
+    comment = rest.find("<!--")
+    text.append(rest if comment < 0 else rest[:comment])
     flush()
     return Page(nodes, blocks)
 
@@ -221,7 +240,7 @@ def read_shape(text: str) -> list[tuple[str, list[int]]]:
     return out
 
 
-@lru_cache(maxsize=1 << 12)
+@_remembered
 def align(reference: str, text: str) -> tuple[int, ...]:
     """Simple tree matching: for every node of ``text`` its node in ``reference``, or -1.
 
@@ -229,25 +248,52 @@ def align(reference: str, text: str) -> tuple[int, ...]:
     matching is the largest.
     """
     a, b = read_shape(reference), read_shape(text)
+    if a[0][0] != b[0][0]:
+        return tuple([-1] * len(b))
+    inside = _subtrees(a), _subtrees(b)
+    found = [-1] * len(b)
+    pairs, at, ends = [(0, 0)], 0, {}
+    while at < len(pairs):  # a pair of nodes has one pair of parents: each comes once
+        i, j = pairs[at]
+        at += 1
+        left, right = a[i][1], b[j][1]
+        # equal siblings at either end belong together
+        first = 0
+        while first < min(len(left), len(right)) and inside[0][left[first]] == inside[1][right[first]]:
+            first += 1
+        stop = 0
+        while stop < min(len(left), len(right)) - first and inside[0][left[-1 - stop]] == inside[1][right[-1 - stop]]:
+            stop += 1
+        ends[i, j] = first, stop
+        middle = left[first : len(left) - stop], right[first : len(right) - stop]
+        pairs += [(p, q) for p in middle[0] for q in middle[1] if a[p][0] == b[q][0]]
+    weight: dict[tuple[int, int], int] = {}
     tables: dict[tuple[int, int], list[list[int]]] = {}
-
-    def weight(i: int, j: int) -> int:
-        if a[i][0] != b[j][0]:
-            return 0
+    for i, j in reversed(pairs):
+        first, stop = ends[i, j]
         left, right = a[i][1], b[j][1]
+        left, right = left[first : len(left) - stop], right[first : len(right) - stop]
         m = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
         for x, p in enumerate(left, 1):
+            above, row = m[x - 1], m[x]
             for y, q in enumerate(right, 1):
-                m[x][y] = max(m[x - 1][y], m[x][y - 1], m[x - 1][y - 1] + weight(p, q))
+                row[y] = max(above[y], row[y - 1], above[y - 1] + weight.get((p, q), 0))
         tables[i, j] = m
-        return m[-1][-1] + 1
-
-    found = [-1] * len(b)
-    todo = [(0, 0)] if weight(0, 0) else []
+        equal = [*a[i][1][:first], *a[i][1][len(a[i][1]) - stop :]]
+        weight[i, j] = m[-1][-1] + 1 + sum(inside[0][p][1] for p in equal)
+    todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         found[j] = i
-        m, x, y = tables[i, j], len(a[i][1]), len(b[j][1])
+        if (i, j) not in tables:  # inside of equal siblings
+            todo += zip(a[i][1], b[j][1], strict=True)
+            continue
+        first, stop = ends[i, j]
+        left, right = a[i][1], b[j][1]
+        todo += zip(left[:first], right[:first], strict=True)
+        todo += zip(left[len(left) - stop :], right[len(right) - stop :], strict=True)
+        left, right = left[first : len(left) - stop], right[first : len(right) - stop]
+        m, x, y = tables[i, j], len(left), len(right)
         while x and y:
             if m[x][y] == m[x - 1][y]:
                 x -= 1
@@ -255,16 +301,31 @@ def align(reference: str, text: str) -> tuple[int, ...]:
                 y -= 1
             else:
                 x, y = x - 1, y - 1
-                todo.append((a[i][1][x], b[j][1][y]))
+                todo.append((left[x], right[y]))
     return tuple(found)
 
 
-def slots(page: Page, number: list[int]) -> dict[int, int]:
-    """Per node of the shape that has text: the hash of its text."""
-    texts: dict[int, list[str]] = {}
-    for node, text in page.blocks:
-        texts.setdefault(number[node], []).append(text)
-    return {n: xxhash.xxh3_64_intdigest("\n".join(t)) - (1 << 63) for n, t in texts.items()}
+def _subtrees(nodes: list[tuple[str, list[int]]]) -> list[tuple[int, int]]:
+    """(hash, nodes) of every subtree; children come after their parents."""
+    out = [(0, 0)] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        label, children = nodes[i]
+        told = label.encode() + b"".join(out[c][0].to_bytes(16, "big") for c in children)
+        out[i] = xxhash.xxh3_128_intdigest(told), 1 + sum(out[c][1] for c in children)
+    return out
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def slots(page: Page, number: list[int]) -> list[tuple[int, int]]:
+    """(node of the shape, hash of a text in it), each once.
+
+    Equal siblings are one node of the shape, but every text of theirs is told apart: a
+    fixed line among varying ones is found as such.
+    """
+    return sorted({(number[node], text_hash(text)) for node, text in page.blocks})
 
 
 def _wrappers(page: Page, mass: list[int], marks: list[bool], enough: float) -> set[int]:
@@ -296,10 +357,12 @@ def _wrappers(page: Page, mass: list[int], marks: list[bool], enough: float) ->
         todo.append(best)
 
 
-def article(page: Page, number: list[int], constant: set[int]) -> str:
+def article(page: Page, number: list[int], constant: set[tuple[int, int]], sure: bool = True) -> str:
     """The blocks of the article, two line breaks between them.
 
-    ``constant`` are nodes of the shape that the site's template fills. Article and main
+    ``constant`` are texts of the site's template: a node of the shape and the hash of a
+    text there. If that is not ``sure``, they are only left out while most of the text stays: pages that share
+    more are copies of one story. Article and main
     elements bound the text if there are any with text. A class, id or form speaks for
     all below it, unless a main is below, or no article stands outside of such nodes,
     or, on a page without articles, half of the text does not.
@@ -315,8 +378,9 @@ def article(page: Page, number: list[int], constant: set[int]) -> str:
         home[i] = i if own else home[node.parent]
         story[i] = i if own and node.tag == "article" else story[node.parent]
     mass = [0] * size
-    for n, t in page.blocks:
-        if not hard[n] and number[n] not in constant:
+    fixed = [bool(constant) and (number[n], text_hash(t)) in constant for n, t in page.blocks]
+    for (n, t), same in zip(page.blocks, fixed, strict=True):
+        if not hard[n] and not same:
             mass[n] += len(t)
     wraps: set[int] = set()
     main = [False] * size
@@ -344,7 +408,11 @@ def article(page: Page, number: list[int], constant: set[int]) -> str:
     aside = hard
     for i in range(1, size):
         aside[i] = aside[i] or aside[page.nodes[i].parent] or (page.nodes[i].aside == SOFT and i not in wraps)
-    kept = [(n, t) for n, t in page.blocks if not aside[n] and number[n] not in constant]
+    kept = [(n, t) for (n, t), same in zip(page.blocks, fixed, strict=True) if not aside[n] and not same]
     if any(home[n] for n, _ in kept):
         kept = [(n, t) for n, t in kept if home[n]]
-    return "\n\n".join(t for _, t in kept)
+    text = "\n\n".join(t for _, t in kept)
+    if sure or not constant:
+        return text
+    whole = article(page, number, set())
+    return whole if 2 * len(text) < len(whole) else text

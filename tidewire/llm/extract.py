@@ -2,9 +2,9 @@
 
 Per host the most frequent page shape is the wrapper's reference. Every page of the host
 is aligned with it by simple tree matching, and per node of the reference all texts that
-fill it are counted, equal pages once. A node whose text hardly changes belongs to the
-template; a slot that varies may be content. The second pass aligns each page again
-and takes the varying slots of the article.
+fill it are counted, equal pages once. A text that hardly a page lacks belongs to the
+template, also beside varying ones of equal siblings; a slot that varies may be content.
+The second pass aligns each page again and takes the varying texts of the article.
 
 Shapes and hashes, not pages, are shuffled, with partial sums before every exchange, so
 one large host is many partial rows and never a group. The templates are broadcast if
@@ -25,9 +25,10 @@ from tidewire.llm import dom
 from tidewire.llm.words import without
 from tidewire.session import Scratch
 
-#: A node is template if one text fills it on this share of its different pages, of which
-#: there must be some.
-SAME, LEAST_PAGES = 0.9, 10
+#: A text is template if it fills a node on this share of the different pages that fill
+#: it, two at least. On fewer than SURE_PAGES that are all of them, and then a page whose
+#: text would mostly go keeps it: the pages may be copies of one story.
+SAME, LEAST_PAGES, SURE_PAGES = 0.9, 2, 10
 RESULT = ["text", "n_chars"]
 
 
@@ -39,24 +40,24 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shape, number = dom.shape(page)
             found = dom.slots(page, number)
             whole = xxhash.xxh3_64_intdigest(html or "") - (1 << 63)
-            rows.append((whole, shape, list(found), list(found.values())))
+            rows.append((whole, shape, [n for n, _ in found], [t for _, t in found]))
         types = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
         yield pa.RecordBatch.from_arrays([batch.column("_host"), *columns], ["_host", "page", "shape", "nodes", "texts"])
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node of the reference, text) of every slot that aligns."""
+    """(host, node of the reference, text) of every slot that aligns; once more without text."""
     for batch in batches:
         hosts, nodes, texts = [], [], []
         columns = [batch.column(c).to_pylist() for c in ("_host", "reference", "shape", "nodes", "texts")]
         for host, reference, shape, own, filled in zip(*columns, strict=True):
             to = dom.align(reference, shape)
-            for n, t in zip(own, filled, strict=True):
-                if to[n] >= 0:
-                    hosts.append(host)
-                    nodes.append(to[n])
-                    texts.append(t)
+            found = [(to[n], t) for n, t in zip(own, filled, strict=True) if to[n] >= 0]
+            found += [(n, None) for n in {n for n, _ in found}]
+            hosts += [host] * len(found)
+            nodes += [n for n, _ in found]
+            texts += [t for _, t in found]
         types = (pa.string(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, t) for x, t in zip((hosts, nodes, texts), types, strict=True)], ["_host", "node", "text"]
@@ -75,14 +76,16 @@ def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
     aligned = once.select("_host", "x.*").join(reference, "_host")
     filled = aligned.mapInArrow(_fill, "_host string, node int, text long")
     same = filled.groupBy("_host", "node", "text").agg(F.count("*").alias("n"))
-    of_node = same.groupBy("_host", "node").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
-    constant = of_node.where((F.col("pages") >= LEAST_PAGES) & (F.col("most") >= SAME * F.col("pages")))
-    listed = constant.groupBy("_host").agg(F.array_sort(F.collect_list("node")).alias("constant"))
+    same = scratch.keep(same, "same")
+    pages_of = same.where("text is null").select("_host", "node", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    constant = same.where("text is not null").join(pages_of, ["_host", "node"]).where(F.col("n") >= SAME * F.col("pages"))
+    # hardly more than the texts of one page
+    listed = constant.groupBy("_host").agg(F.collect_list(F.struct("node", "text", "pages")).alias("constant"))
     found = reference.join(listed, "_host", "left")
     kept = scratch.keep(
         found.select("_host", F.col("reference").alias("_reference"), F.col("constant").alias("_constant")), "wrappers"
     )
-    scratch.drop("shapes", "reference")
+    scratch.drop("shapes", "reference", "same")
     return kept
 
 
@@ -110,11 +113,15 @@ def extract(
             for source, reference, constant in zip(*columns, strict=True):
                 page = dom.parse(source or "")
                 shape, number = dom.shape(page)
-                template: set[int] = set()
+                template, sure = set(), True
                 if constant:
-                    named = set(constant)
-                    template = {j for j, i in enumerate(dom.align(reference, shape)) if i in named}
-                texts.append(dom.article(page, number, template))
+                    named: dict[int, list] = {}
+                    for x in constant:
+                        named.setdefault(x["node"], []).append(x)
+                    to = dom.align(reference, shape)
+                    template = {(j, x["text"]) for j, i in enumerate(to) for x in named.get(i, ())}
+                    sure = all(x["pages"] >= SURE_PAGES for x in constant)
+                texts.append(dom.article(page, number, template, sure))
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in result.fields])

@@ -25,6 +25,9 @@ from pyspark.sql import types as T
 from tidewire.llm.words import without
 
 ROUNDS = 8
+#: Letters and digits of a value that are moved as one number: half of it, at six bits
+#: each, is well below the 64 bytes that are added to it.
+BLOCK = 128
 KINDS = ["email", "secret", "iban", "ip", "card", "ssn", "phone", "date"]
 RESULT = ["n_found", "kinds"]
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -80,10 +83,29 @@ class Permutation:
                 return moved
 
     def alike(self, text: str, tweak: str) -> str:
-        """Letters and digits moved within their class; all other characters stay."""
+        """Letters and digits moved within their class; all other characters stay.
+
+        Long values go in blocks, forth and back: a block is moved under the digest of
+        those before it, then of those behind it, so each depends on all.
+        """
         at = [i for i, c in enumerate(text) if c in DIGITS or c in LOWER or c in UPPER]
         kinds = [next(s for s in (DIGITS, LOWER, UPPER) if text[i] in s) for i in at]
-        return put(text, at, self.chars("".join(text[i] for i in at), kinds, tweak))
+        chars = "".join(text[i] for i in at)
+        if len(chars) <= BLOCK:
+            return put(text, at, self.chars(chars, kinds, tweak))
+        blocks = [chars[i : i + BLOCK] for i in range(0, len(chars), BLOCK)]
+        classes = [kinds[i : i + BLOCK] for i in range(0, len(chars), BLOCK)]
+        ways = [("forth", range(len(blocks))), ("back", range(len(blocks) - 1, -1, -1))]
+        for name, way in reversed(ways) if self.back else ways:
+            blocks = self._chained(blocks, classes, f"{tweak}|{name}|{len(chars)}", way)
+        return put(text, at, "".join(blocks))
+
+    def _chained(self, blocks: list[str], classes: list[list[str]], tweak: str, way: range) -> list[str]:
+        chain, out = hashlib.blake2b(tweak.encode(), key=self.key), list(blocks)
+        for i in way:
+            out[i] = self.chars(blocks[i], classes[i], f"{tweak}|{i}|{chain.hexdigest()}")
+            chain.update((blocks[i] if self.back else out[i]).encode())  # what stands in the moved text
+        return out
 
 
 def put(text: str, at: list[int], chars: str) -> str:
