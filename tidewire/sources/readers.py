@@ -22,6 +22,8 @@ from tidewire.schemas import (
     REQUIRED_COLUMNS,
     TRAINING_COLUMNS,
 )
+from tidewire.session import materialise
+from tidewire.sources import splits
 
 CORRUPT = "_corrupt_record"
 CSV_OPTIONS = {
@@ -44,11 +46,13 @@ def _with_order(df: DataFrame) -> DataFrame:
 
 def headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """(column names, files) for every header that occurs; empty files have none."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
-    found = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    lines = splits.pieces_of(spark, path, "\n").where("block = 0")
+    return _headers(lines.groupBy("file").agg(F.min_by("value", "at").alias("first")))
+
+
+def _headers(first: DataFrame) -> list[tuple[list[str], list[str]]]:
+    line = F.regexp_replace("first", "\r$", "").alias("line")
+    found = first.groupBy(line).agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
     return [(next(csv.reader([r["line"].lstrip("\ufeff")]), []), [unquote(f) for f in r["files"]]) for r in found]
 
 
@@ -62,56 +66,78 @@ def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True
     """All texts; only the empty field is null.
 
     Columns go by the names in each file's own header, in any order, and optional ones
-    may be absent. Quoted line breaks need ``multi_line``, which reads each file in one
-    task; a feed without them is read in splits when it is off.
+    may be absent. Files are read in splits, with ``multi_line`` also those with line
+    breaks in quotes; a feed without them saves a pass when it is off.
     """
-    found = headers(spark, path)
+    found, cut = _csv_files(spark, path, multi_line)
     for names, _ in found or [([], [])]:
         check_columns(names)
-    return _by_header(spark, found, multi_line)
+    return _by_header(spark, found, cut)
 
 
-def _by_header(spark: SparkSession, found: list[tuple[list[str], list[str]]], multi_line: bool) -> DataFrame:
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower())
+def _csv_files(spark: SparkSession, path: str | list[str], multi_line: bool):
+    """Files by header, and the state in which each of their splits begins if it matters."""
+    if not multi_line:
+        return headers(spark, path), None
+    cut = materialise(splits.csv_splits(splits.pieces_of(spark, path, "\n")))
+    return _headers(cut.where("block = 0").select("file", "first")), cut
+
+
+def _by_header(spark: SparkSession, found: list[tuple[list[str], list[str]]], cut: DataFrame | None) -> DataFrame:
     frames = []
     for names, files in found:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-        frames.append(known_columns(_with_order(reader.schema(schema).csv(files))))
+        if cut is None:
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+            rows = _with_order(spark.read.options(**CSV_OPTIONS).schema(schema).csv(files))
+        else:
+            rows = _parsed_csv(splits.records(splits.pieces_of(spark, files, "\n"), cut, splits.csv_cutter(), "\n"), names)
+        frames.append(known_columns(rows))
     return reduce(DataFrame.unionByName, frames)
 
 
+def _parsed_csv(records: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of one header; the header itself, the first record of a file, is not one."""
+    text = F.regexp_replace("text", "\r$", "")
+    rows = records.where("not (block = 0 and row = 0)").withColumn("text", text).where("text <> ''")
+    schema = ", ".join([*[f"c{i} string" for i in range(len(names))], f"{CORRUPT} string"])
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+    parsed = rows.select(F.struct("file", "block", "row").alias("_seq"), F.from_csv("text", schema, options).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], f"r.{CORRUPT}", "_seq")
+
+
 def read_dropped_csv(spark: SparkSession, files: list[str], multi_line: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """Rows of the files that have the required columns, and quarantine rows of the others."""
     good, refused = [], []
-    for names, some in headers(spark, files):
+    found, cut = _csv_files(spark, files, multi_line)
+    for names, some in found:
         try:
             check_columns(names)
             good.append((names, some))
         except ValueError as error:
             refused += [(f, str(error), ",".join(names)) for f in some]
     bad = spark.createDataFrame(refused, "id string, reason string, record string")
-    return _by_header(spark, good, multi_line) if good else None, bad
+    return _by_header(spark, good, cut) if good else None, bad
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one JSON list of articles; list-valued tags become JSON text."""
+    """Files that are one JSON list of articles each, in splits; list-valued tags become JSON text.
+
+    An element that is no object, or is cut short, is a row with its text as corrupt record.
+    """
+    pieces = splits.pieces_of(spark, path, "{")
+    cut = materialise(splits.json_splits(spark, pieces))
     # What comes before the first brace: blank for an object, a bracket for a list.
-    # Cut at braces, even a file of one line is read in small pieces.
-    pieces = spark.read.option("lineSep", "{").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")
-    )
-    starts = pieces.groupBy("file").agg(F.min_by("value", "at").alias("start"))
-    if not starts.where(~F.regexp_like("start", F.lit(r"^[\s\ufeff]*\["))).isEmpty():
+    if not cut.where("block = 0").where(~F.regexp_like("first", F.lit(r"^[\s\ufeff]*\["))).isEmpty():
         raise ValueError("a JSON source must be a list of articles")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*ARTICLE_COLUMNS, CORRUPT]])
-    rows = (
-        spark.read.option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(schema)
-        .json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = splits.records(pieces, cut, splits.json_cutter(), "").select(
+        F.struct("file", "block", "row").alias("_seq"), "text", F.from_json("text", schema, options).alias("r")
+    )
+    odd = F.when(F.col("r").isNull() | ~F.startswith("text", F.lit("{")), F.col("text"))
+    return known_columns(
+        rows.select(*[F.col(f"r.{c}") for c in ARTICLE_COLUMNS], F.coalesce(f"r.{CORRUPT}", odd).alias(CORRUPT), "_seq")
     )
-    return known_columns(_with_order(rows))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
