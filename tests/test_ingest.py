@@ -18,6 +18,7 @@ from tidewire.plans.embed import common_vector
 from tidewire.schemas import ARTICLE_COLUMNS, LAKE_ARTICLE
 from tidewire.sources import readers
 from tidewire.sources.tables import Store, load_model, save_model
+from tidewire.sources.vector_cache import VectorCache
 from tidewire.streaming import jobs as streams
 
 ENCODER = HashingEncoder(16)
@@ -520,3 +521,35 @@ def test_presence_moves_no_bodies(spark, store, tmp_path):
     scans = [x for x in text.splitlines() if "FileScan" in x]
     assert len(scans) == 2 and not any("title" in x.split("ReadSchema")[1] or "vec" in x.split("ReadSchema")[1] for x in scans)
     assert [tuple(r) for r in plan.collect()] == [("1", True, True)]
+
+
+class NeverEncoder(HashingEncoder):
+    """Stands for an encoder that must not be asked."""
+
+    def load(self):
+        def run(texts):
+            raise AssertionError(texts)
+
+        return run
+
+
+def test_a_second_store_encodes_nothing(spark, tmp_path):
+    cache = VectorCache(spark, str(tmp_path / "cache"))
+    rows = [article(i, title="Same" if i % 3 == 0 else f"T {i}", introductory_paragraph="") for i in range(12)]
+    path = write_csv(tmp_path / "a.csv", rows)
+    folder = str(tmp_path / "hours")
+    hourly_file(folder, "et_01.json", [hourly_article(i, title=f"T {i}", descriptive_paragraph=None) for i in range(6)])
+    first, plain = Store(spark, str(tmp_path / "one"), 16), Store(spark, str(tmp_path / "plain"), 16)
+    jobs.ingest_drop_in(first, path, ENCODER, cache=cache)
+    jobs.ingest_drop_in(plain, path, ENCODER)
+    assert cache.read(ENCODER).count() == 9  # eight titles and the common one
+    vectors = {k: r["title_vec"] for k, r in rows_of(first.read("vectors"), "article_id").items()}
+    assert vectors == {k: r["title_vec"] for k, r in rows_of(plain.read("vectors"), "article_id").items()}
+    second = Store(spark, str(tmp_path / "two"), 16)
+    assert jobs.ingest_drop_in(second, path, NeverEncoder(16), cache=cache)["ingested"] == 12
+    assert vectors == {k: r["title_vec"] for k, r in rows_of(second.read("vectors"), "article_id").items()}
+    for n, encoder in enumerate((ENCODER, NeverEncoder(16))):  # the hourly stream, twice
+        hourly = Store(spark, str(tmp_path / f"h{n}"), 16)
+        streams.stream_hourly(hourly, folder, encoder, str(tmp_path / f"c{n}"), cache=cache).awaitTermination()
+        assert hourly.read("vectors").count() == 6 and hourly.read("quarantine").count() == 0
+    assert cache.read(HashingEncoder(8)).count() == 0

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.functions.ids import point_id
 from tidewire.operators.embedding import Encoder, embed
 from tidewire.schemas import VECTOR_COLUMNS, VECTORS
+from tidewire.sources.vector_cache import VectorCache, embed_cached
 
 #: A whole article, carried beside the vectors that are made of it.
 ARTICLE_OF_ROW = "_article"
@@ -50,7 +51,19 @@ def _light(articles: DataFrame, *extra) -> DataFrame:
     )
 
 
-def named_vectors(articles: DataFrame, encoder: Encoder, seen: Accumulator | None = None) -> DataFrame:
+def encoded(
+    rows: DataFrame, texts: dict[str, Column], encoder: Encoder, max_chars: int | None = None,
+    seen: Accumulator | None = None, cache: VectorCache | None = None,
+) -> DataFrame:
+    """Vectors of the texts, from the cache where there is one."""
+    if cache is None:
+        return embed(rows, texts, encoder, max_chars, seen)
+    return embed_cached(rows, texts, encoder, cache, max_chars)
+
+
+def named_vectors(
+    articles: DataFrame, encoder: Encoder, seen: Accumulator | None = None, cache: VectorCache | None = None
+) -> DataFrame:
     """Title, introduction and tags embedded apart."""
     rows = _light(articles, F.col("introductory_paragraph").alias("intro"))
     texts = {
@@ -58,11 +71,13 @@ def named_vectors(articles: DataFrame, encoder: Encoder, seen: Accumulator | Non
         "description_vec": F.col("intro"),
         "tags_vec": text.tags_as_text(F.col("tags")),
     }
-    return vector_rows(embed(rows, texts, encoder, seen=seen))
+    return vector_rows(encoded(rows, texts, encoder, seen=seen, cache=cache))
 
 
-def common_vector(articles: DataFrame, encoder: Encoder, seen: Accumulator | None = None) -> DataFrame:
+def common_vector(
+    articles: DataFrame, encoder: Encoder, seen: Accumulator | None = None, cache: VectorCache | None = None
+) -> DataFrame:
     """One vector of title and introduction, used under all three names."""
     whole = text.news_embedding_text(F.col("title"), F.col("introductory_paragraph"))
     rows = _light(articles, whole.alias("whole"))
-    return vector_rows(embed(rows, {"vector": F.col("whole")}, encoder, seen=seen))
+    return vector_rows(encoded(rows, {"vector": F.col("whole")}, encoder, seen=seen, cache=cache))

@@ -18,6 +18,7 @@ from tidewire.schemas import ARTICLE
 from tidewire.session import materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
+from tidewire.sources.vector_cache import VectorCache
 
 Vectorise = Callable[..., DataFrame]
 _ROW = "_row"
@@ -57,6 +58,7 @@ def ingest(
     query: str | None = None,
     refused: DataFrame | None = None,
     every: float | None = None,
+    cache: VectorCache | None = None,
 ) -> dict | None:
     """Take in what is new of a source and commit both tables and the mark.
 
@@ -85,7 +87,7 @@ def ingest(
         fresh = named.join(wanted, _ROW, "left_semi")
         report.tell("encoding", total, 0)
         article = F.struct(*ARTICLE.fieldNames()).alias(ARTICLE_OF_ROW)
-        made = materialise(vectorise(fresh.select("*", article), encoder, seen=report.seen))
+        made = materialise(vectorise(fresh.select("*", article), encoder, seen=report.seen, cache=cache))
         good, bad = store.check_vectors(made)
         report.tell("writing", total, total)
         store.write("articles", batch, good.select(f"{ARTICLE_OF_ROW}.*"))
@@ -127,6 +129,7 @@ def ingest_lake(
     since_days: int | None = None,
     as_of_ms: int | None = None,
     dry_run: bool = False,
+    cache: VectorCache | None = None,
 ) -> dict | None:
     """Articles at or past the mark; equal stamps come again and are skipped."""
     source = f"lake:{path}"
@@ -137,25 +140,26 @@ def ingest_lake(
     placed = nested_to_text(new).withColumn("_seq", F.monotonically_increasing_id())
     return ingest(
         store, placed, encoder, source, named_vectors, trim=True,
-        order=["published_time_unix", "_seq"], since=since,
+        order=["published_time_unix", "_seq"], since=since, cache=cache,
     )
 
 
 def ingest_backfill(
-    store: Store, path: str, encoder: Encoder, limit: int | None = None, dry_run: bool = False
+    store: Store, path: str, encoder: Encoder, limit: int | None = None, dry_run: bool = False,
+    cache: VectorCache | None = None,
 ) -> dict | None:
     """All new rows of a CSV file, or the next ones in file order up to ``limit``."""
     rows = readers.read_csv(store.spark, path)
     if dry_run:
         return {"total": rows.count()}
-    return ingest(store, rows, encoder, f"csv:{path}", common_vector, limit=limit)
+    return ingest(store, rows, encoder, f"csv:{path}", common_vector, limit=limit, cache=cache)
 
 
 def ingest_drop_in(
-    store: Store, path: str, encoder: Encoder, dry_run: bool = False
+    store: Store, path: str, encoder: Encoder, dry_run: bool = False, cache: VectorCache | None = None
 ) -> dict | None:
     """A CSV or JSON batch, whole."""
     rows = readers.require_rows(readers.read_articles(store.spark, path))
     if dry_run:
         return {"total": rows.count()}
-    return ingest(store, rows, encoder, f"drop:{path}", common_vector)
+    return ingest(store, rows, encoder, f"drop:{path}", common_vector, cache=cache)

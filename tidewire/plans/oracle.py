@@ -41,7 +41,7 @@ articles AS (
   FROM documents)"""
 
 _CORPUS = f"""
-corpus AS (
+corpus AS MATERIALIZED (
   SELECT CAST(doc_id AS VARCHAR) AS article_id, doc_id,
          CASE WHEN doc_id % 7 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS title,
          CASE WHEN doc_id % 5 <> 0 THEN substr({_plain('text')}, 1, 1000) END AS summary,
@@ -107,7 +107,7 @@ fused AS (
 
 
 _FEED = """
-feed AS (
+feed AS MATERIALIZED (
   SELECT article_id, row_number() OVER (ORDER BY coalesce(stamp, 0) DESC, article_id) AS rr
   FROM corpus ORDER BY rr LIMIT 100)"""
 

@@ -10,14 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions import text
 from tidewire.functions.ids import point_id
-from tidewire.operators.embedding import HOURLY_CHARS, Encoder, embed
+from tidewire.operators.embedding import HOURLY_CHARS, Encoder
 from tidewire.operators.increment import keep_last
 from tidewire.operators.normalise import hourly_items, hourly_parsed
-from tidewire.plans.embed import common_vector, vector_rows
+from tidewire.plans.embed import common_vector, encoded, vector_rows
 from tidewire.plans.ingest import ingest
 from tidewire.schemas import ARTICLE_COLUMNS
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
+from tidewire.sources.vector_cache import VectorCache
 
 HOURLY = "1 hour"
 
@@ -35,7 +36,7 @@ def query_id(store: Store, checkpoint: str) -> str:
     return json.loads(told)["id"]
 
 
-def hourly_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
+def hourly_vectors(parsed: DataFrame, encoder: Encoder, cache: VectorCache | None = None) -> DataFrame:
     """Vector rows of parsed hourly articles, every payload column filled."""
     # Of a repeated id the last in source order counts: a later file corrects.
     items = keep_last(hourly_items(parsed), "article_id", "_file", "_at").drop("_file", "_at")
@@ -44,7 +45,7 @@ def hourly_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
     def cleaned(c):
         return text.strip_space(c)
 
-    vectors = embed(
+    vectors = encoded(
         items.withColumn("point_id", point_id(F.col("article_id"))),
         {
             "title_vec": cleaned(F.col("title")),
@@ -53,6 +54,7 @@ def hourly_vectors(parsed: DataFrame, encoder: Encoder) -> DataFrame:
         },
         encoder,
         limit,
+        cache=cache,
     )
     return vector_rows(vectors.withColumn("summary", text.summary(F.col("description"))))
 
@@ -64,6 +66,7 @@ def stream_hourly(
     checkpoint: str,
     every: str | None = None,
     files_per_batch: int | None = None,
+    cache: VectorCache | None = None,
 ) -> StreamingQuery:
     """Every hourly file that has not been seen, to the vector table.
 
@@ -81,7 +84,7 @@ def stream_hourly(
         )
         parsed, malformed = hourly_parsed(files.where(listed))
         unreadable = unreadable.unionByName(malformed)
-        vectors = hourly_vectors(parsed, store.bind(encoder))
+        vectors = hourly_vectors(parsed, store.bind(encoder), cache)
         store.upsert_vectors(vectors, source, None, epoch, unreadable, query_id(store, checkpoint))
 
     stream = readers.hourly_stream(store.spark, path, files_per_batch)
@@ -96,6 +99,7 @@ def stream_csv(
     every: str | None = None,
     files_per_batch: int | None = None,
     multi_line: bool = True,
+    cache: VectorCache | None = None,
 ) -> StreamingQuery:
     """Every CSV file dropped into a folder, to both tables; progress in ``runs``.
 
@@ -119,7 +123,7 @@ def stream_csv(
             rows = store.spark.createDataFrame([], ", ".join(f"{c} string" for c in [*columns, "_seq"]))
         ingest(
             store, rows, encoder, source, common_vector, epoch=epoch, query=query_id(store, checkpoint),
-            refused=refused,
+            refused=refused, cache=cache,
         )
 
     return _start(reader.load(path).select("path"), each, checkpoint, every)
