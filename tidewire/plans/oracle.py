@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewire.functions.vectors import projection_matrix
+
 FIRST_MS = 1_704_067_200_000
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
@@ -364,6 +366,32 @@ FROM articles"""
 _SUMMARY = f"substr({_plain('intro')}, 1, 1000)"
 
 
+def _projected(width: int) -> str:
+    """Rows of the seeded matrix, by component of the result."""
+    matrix = projection_matrix(64, width, SEED)
+    rows = ", ".join(f"({j}, [{', '.join(repr(float(x)) for x in matrix[:, j])}]::DOUBLE[])" for j in range(width))
+    return f"matrix(j, m) AS (VALUES {rows})"
+
+
+_TRUSTS = """WITH held AS (
+  SELECT c_custkey AS cust, n_name, c_mktsegment, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+placed AS (
+  SELECT cust, 1 AS pos, n_name AS txt FROM held WHERE cust % 2 = 0
+  UNION ALL SELECT cust, 2, c_mktsegment FROM held WHERE cust % 2 = 0
+  UNION ALL SELECT cust, 3, n_name FROM held WHERE cust % 3 = 0
+  UNION ALL SELECT cust, 4, c_mktsegment FROM held WHERE cust % 3 = 0
+  UNION ALL SELECT cust, 5, c_name FROM held WHERE cust % 5 = 0
+  UNION ALL SELECT cust, 6, 'mutual funds SIP investment' FROM held WHERE cust % 2 = 0
+  UNION ALL SELECT cust, 7, 'real estate investment trust REIT' FROM held WHERE cust % 3 = 0
+  UNION ALL SELECT cust, 8, 'infrastructure investment trust InvIT' FROM held WHERE cust % 5 = 0),
+firsts AS (SELECT cust, txt, min(pos) AS pos FROM placed GROUP BY cust, txt),
+texts AS (SELECT cust, string_agg(txt, '. ' ORDER BY pos) AS txt FROM firsts GROUP BY cust)
+SELECT CAST(c_custkey AS VARCHAR) AS request_id, coalesce(txt, '') AS query_text,
+       CASE WHEN c_custkey % 2 = 0 THEN 1 END AS sip, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS reit,
+       CASE WHEN c_custkey % 5 = 0 THEN 1 END AS invit
+FROM customer LEFT JOIN texts ON cust = c_custkey"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "article_normalise": f"""WITH raw AS (
@@ -459,6 +487,7 @@ FROM feed f JOIN corpus c USING (article_id) JOIN requests r ON {_TAGS_OK} AND {
         "recommend_portfolio": _PORTFOLIO,
         "portfolio_text": f"""WITH {_PORTFOLIO_PARTS}
 SELECT request_id, txt AS query_text FROM portfolio_texts""",
+        "portfolio_trusts": _TRUSTS,
         "portfolio_rejected": f"""WITH {_PORTFOLIO_PARTS}
 SELECT request_id, 'no content to search for' AS reason FROM portfolio_texts WHERE txt = ''""",
         "portfolio_sections": """WITH equities AS (
@@ -502,6 +531,25 @@ SELECT *, round(100.0::DOUBLE * (ingested + skipped) / total, 1) AS percent_done
          CASE WHEN {_plain('intro')} <> '' THEN {_plain('title')} || '. ' || {_plain('intro')}
               ELSE {_plain('title')} END AS txt FROM articles),
 {_encoded('whole', 'article_id', 'field')} {_components('article_id', 'field')}""",
+        "projected_vectors": f"""WITH {_ARTICLES}, titles AS (SELECT id AS article_id, 'projected' AS field, title AS txt FROM articles),
+{_encoded('titles', 'article_id', 'field')}, {_projected(8)},
+whole AS (
+  SELECT article_id, field, list(coalesce(CAST(value AS DOUBLE), 0) ORDER BY s.slot) AS v
+  FROM (SELECT DISTINCT article_id, field FROM parts) CROSS JOIN (SELECT range AS slot FROM range(64)) s
+  LEFT JOIN parts USING (article_id, field, slot) GROUP BY article_id, field),
+moved AS (SELECT article_id, field, j, list_dot_product(v, m) AS z FROM whole, matrix)
+SELECT article_id, field, CAST(j AS INTEGER) AS slot,
+       round(CAST(CAST(z / sqrt(sum(z * z) OVER (PARTITION BY article_id)) AS FLOAT) AS DOUBLE), 5) AS value
+FROM moved""",
+        "training_scan": f"""WITH {_ARTICLES}
+SELECT id, title, md5(intro) AS intro_digest, '["' || tags[1] || '","' || tags[2] || '"]' AS tags FROM articles""",
+        "dry_run_counts": """SELECT 'backfill' AS job, count(*) AS total, 0::BIGINT AS runs FROM documents
+UNION ALL SELECT 'drop_in', count(*), 0 FROM documents""",
+        "hourly_without_ids": f"""WITH {_ARTICLES}
+SELECT CASE WHEN doc_id % 3 <> 0 THEN id END AS given_id,
+       CASE WHEN doc_id % 3 = 0 THEN CAST(row_number() OVER (PARTITION BY doc_id // 24 ORDER BY doc_id) - 1 AS INTEGER) END AS place, title
+FROM articles""",
+        "hourly_reread": f"""WITH {_ARTICLES} SELECT title, 2::BIGINT AS runs FROM articles""",
         "embed_dedupe": f"""WITH whole AS (SELECT doc_id, 'text' AS field, text AS txt FROM documents),
 {_encoded('whole', 'doc_id', 'field')} {_components('doc_id', 'field')}""",
         "content_groups": """SELECT sha256(text) AS content_key, count(*) AS copies

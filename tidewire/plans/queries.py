@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import ids, portfolio, scoring, text, times, vectors
@@ -23,6 +23,8 @@ from tidewire.streaming import jobs as streams
 WIDTH = 64
 ENCODER = embedding.HashingEncoder(WIDTH)
 SEED = 7
+#: Width of projected vectors.
+PROJECTED = 8
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -440,6 +442,14 @@ def portfolio_text(spark, sf_dir):
     return portfolio.with_portfolio_text(views.portfolios(spark, sf_dir)).select("request_id", "query_text")
 
 
+@query
+def portfolio_trusts(spark, sf_dir):
+    """Texts and accounts of documents that hold plans and trusts."""
+    asked = portfolio.with_portfolio_text(views.trust_portfolios(spark, sf_dir))
+    counts = portfolio.section_counts(portfolio.sections_of(F.col("portfolio")))
+    return asked.withColumn("n", counts).select("request_id", "query_text", "n.sip", "n.reit", "n.invit")
+
+
 @query
 def portfolio_rejected(spark, sf_dir):
     """Requests whose document holds nothing to search for."""
@@ -570,6 +580,17 @@ def embed_common(spark, sf_dir):
     return _components(rows.where(same), "article_id", {"title_vec": "common"})
 
 
+@query
+def projected_vectors(spark, sf_dir):
+    """Titles through the projection that a store keeps from its first run."""
+    encoder = embedding.ProjectedEncoder(ENCODER, PROJECTED, SEED)
+    store = Store(spark, work_dir(spark, "projected-store"), PROJECTED)
+    store.bind(encoder)
+    a = views.articles(spark, sf_dir).select(F.col("id").alias("article_id"), "title")
+    rows = embedding.embed(a, {"vec": F.col("title")}, store.bind(encoder))
+    return _components(rows, "article_id", {"vec": "projected"})
+
+
 @query
 def embed_dedupe(spark, sf_dir):
     """Vectors of all documents, each distinct text encoded once, some from a cache."""
@@ -608,6 +629,14 @@ def training_pairs(spark, sf_dir):
     return sampling.training_pairs(indexed, n, 2 * n, SEED)
 
 
+@query
+def training_scan(spark, sf_dir):
+    """The four columns that training reads."""
+    return readers.training_articles(views.articles(spark, sf_dir)).select(
+        "id", "title", F.md5("introductory_paragraph").alias("intro_digest"), "tags"
+    )
+
+
 @query
 def training_sample(spark, sf_dir):
     """A random 500 articles to train on."""
@@ -741,6 +770,60 @@ def ingest_drop_in(spark, sf_dir):
     return _table_rows(store)
 
 
+@query
+def dry_run_counts(spark, sf_dir):
+    """What each job would read, with nothing written."""
+    a = views.articles(spark, sf_dir)
+    csv_path = _as_csv(spark, a, "dry-run")
+    lists = a.groupBy((F.col("id").cast("bigint") % 7).alias("k")).agg(F.to_json(F.collect_list(F.struct("id", "title"))).alias("value"))
+    json_path = f"{work_dir(spark, 'dry-run')}.json"
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(json_path)
+    store = _store(spark, "dry-run-store")
+    jobs = {"backfill": ingest_plans.ingest_backfill(store, csv_path, ENCODER, dry_run=True)}
+    jobs["drop_in"] = ingest_plans.ingest_drop_in(store, json_path, ENCODER, dry_run=True)
+    rows = [(name, run["total"], store.runs().count()) for name, run in jobs.items()]
+    return spark.createDataFrame(rows, "job string, total bigint, runs bigint")
+
+
+def _hourly_files(spark, sf_dir, purpose: str, given: Column) -> str:
+    """A file per day of articles in the order of their numbers; ``given`` is their id."""
+    d = views.texts(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    fd = F.struct(F.split("text", "\n", 2)[0].alias("title"), F.array("lang").alias("tags"))
+    article = F.struct(given.alias("id"), fd.alias("formatted_data"))
+    listed = F.sort_array(F.collect_list(F.struct(doc, article.alias("a"))))
+    files = d.groupBy(F.floor(doc / 24).alias("day")).agg(listed.alias("articles"))
+    path = work_dir(spark, purpose)
+    named = files.select(F.transform("articles", lambda x: x["a"]).alias("articles"))
+    named.write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+@query
+def hourly_without_ids(spark, sf_dir):
+    """Hourly articles of which every third has no id: it gets its file's name and its place there."""
+    doc = F.col("doc_id")
+    path = _hourly_files(spark, sf_dir, "no-ids", F.when(doc % 3 != 0, doc.cast("string")))
+    store = _store(spark, "no-ids-store")
+    streams.stream_hourly(store, path, ENCODER, work_dir(spark, "no-ids-checkpoint")).awaitTermination()
+    named = F.col("article_id").rlike("[.]json-[0-9]+$")
+    return store.read("vectors").select(
+        F.when(~named, F.col("article_id")).alias("given_id"),
+        F.when(named, F.regexp_extract("article_id", "-([0-9]+)$", 1).cast("int")).alias("place"), "title",
+    )
+
+
+@query
+def hourly_reread(spark, sf_dir):
+    """A folder of hourly files read again under a new checkpoint: the same rows, each once."""
+    path = _hourly_files(spark, sf_dir, "reread", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")))
+    store = _store(spark, "reread-store")
+    for _ in range(2):
+        streams.stream_hourly(store, path, ENCODER, work_dir(spark, "reread-checkpoint")).awaitTermination()
+    runs = store.runs().where("ingested > 0").count()
+    return store.read("vectors").select("title", F.lit(runs).cast("bigint").alias("runs"))
+
+
 @query
 def quarantined(spark, sf_dir):
     """Hourly articles of which every seventh is malformed: what is stored, what is not."""

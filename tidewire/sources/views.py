@@ -242,6 +242,29 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trust_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of plans and trusts, their sections in another order than texts take."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    cust = F.col("c_custkey")
+    plan = F.array(
+        F.struct(
+            F.when(cust % 4 == 0, "").otherwise(F.col("n_name")).alias("amc"),
+            F.col("n_name").alias("issuerName"), F.col("c_mktsegment").alias("schemeCode"),
+        )
+    )
+    estates = F.array(F.struct(F.col("n_name").alias("issuerName")), F.struct(F.col("c_mktsegment").alias("issuerName")))
+    roads = F.array(F.struct(F.col("c_name").alias("issuerName")), F.struct(F.lit("null").alias("issuerName")))
+    sections = F.array(
+        F.when(cust % 5 == 0, F.concat(F.lit('"INVIT":{'), _holding_account(F.lit("i"), roads), F.lit("}"))),
+        F.when(cust % 2 == 0, F.concat(F.lit('"SIP":{'), _holding_account(F.lit("s"), plan), F.lit("}"))),
+        F.when(cust % 3 == 0, F.concat(F.lit('"REIT":{'), _holding_account(F.lit("r"), estates), F.lit("}"))),
+    )
+    return table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(
+        cust.cast("string").alias("request_id"), F.concat(F.lit("{"), F.array_join(sections, ","), F.lit("}")).alias("portfolio"),
+        F.lit(None).cast("string").alias("interests"),
+    )
+
+
 def stored_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An incoming batch, and the two stores it meets.
 
