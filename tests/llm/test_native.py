@@ -97,13 +97,15 @@ def _license(text):
     every = [i for v in at.values() for i in v]
     base = {k for k, v in at.items() if v}
     found, best = set(base), 1.0 if every else 0.0
-    for line in (text or "").split("\n"):
-        s = set(cases.sign_words(line))
-        for label, notice in licenses.TEMPLATES:
-            t = set(licenses.template_words(notice))
-            if len(s & t) >= 0.9 * len(t) - 1e-9:
+    held = set(w)
+    for label, notice in licenses.TEMPLATES:
+        t = set(licenses.template_words(notice))
+        span = -(-5 * len(cases.sign_words(notice)) // 4)
+        if len(held & t) >= 0.9 * len(t) - 1e-9:
+            most = max(len(set(w[i : i + span]) & t) for i in range(len(w)))
+            if most >= 0.9 * len(t) - 1e-9:
                 found.add(label)
-                best = max(best, len(s & t) / len(t))
+                best = max(best, most / len(t))
     return (len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(found)), best)
 
 
@@ -113,6 +115,7 @@ def test_licenses(spark):
         for i, (_, notice) in enumerate(licenses.TEMPLATES)
         for before, after in [("", ""), ("Foo bar. ", " And more\nlines.")]
     ] + [(200, "gnu GENERAL public license mit license cc by cc BY", None, None, None), (201, "apache\nlicense", None, None, None)]
+    more += [(300 + i, notice.replace(" ", "\n * ", 1 + i % 3).replace(" and ", " and then ", 1), None, None, None) for i, (_, notice) in enumerate(licenses.TEMPLATES)]
     for df in (cases.docs(spark, cases.ROWS + more), cases.clashing(cases.docs(spark, cases.ROWS))):
         got = licenses.scan(spark, df).select("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()
         assert len(got) == df.count()
@@ -120,3 +123,20 @@ def test_licenses(spark):
             assert tuple(r)[1:7] == _license(r.text)[:6]
             assert r.score == pytest.approx(_license(r.text)[6])
     assert licenses.scan(spark, cases.docs(spark, [])).collect() == []
+
+
+def test_notices_over_lines(spark):
+    wrapped = "/* This library is free software; you can redistribute it\n * and/or modify it under the terms of\n * the GNU Lesser General Public\n * License as published by the\n * Free Software Foundation\n */"
+    texts = {
+        "This is free and unencumbered software\nreleased into the public domain.": "unlicense",
+        "All rights\nreserved.": "all-rights-reserved",
+        wrapped: "lgpl",
+        "All the boats left. Nobody kept any rights, but the town reserved a place": "",
+        "rights " * 3000 + "all reserved": "all-rights-reserved",
+        "reserved " * 50_000: "",
+        "all " * 30_000 + "rights " * 30_000 + "reserved " * 30_000: "",
+    }
+    docs = cases.docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = {r.text: r.labels for r in licenses.scan(spark, docs).collect()}
+    for text, label in texts.items():
+        assert (label in got[text].split(",")) if label else got[text] == "", text[:80]

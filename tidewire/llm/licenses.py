@@ -1,14 +1,16 @@
 """License scans: an exact set-similarity join of text blocks to license notices.
 
-A block is a line; block and template are sets of words. A template is found where a
-block holds at least THRESHOLD of its words. The words of all templates are ordered by
-how many documents of the whole corpus hold them, rarest first; to reach the threshold
-a block must hold one of the first few words of the template (prefix filter), have
-enough template words at all (length) and enough left behind the shared one
-(positional). What passes is verified once per block and template.
+A block is a run of words as long as a notice and a quarter more, wherever its lines
+break; block and template are sets of words. A template is found where a block holds at
+least THRESHOLD of its words. The words of all templates are ordered by how many
+documents of the whole corpus hold them, rarest first; to reach the threshold a block
+must hold one of the first few words of the template (prefix filter). Around every such
+word, only template words within a block's reach of it count (positional), and there
+must be enough of them (length); then the blocks that hold the word are verified.
 
 All of it is column expressions and joins. The templates are fixed, so is what is
-broadcast; texts are scanned, never shuffled.
+broadcast; texts are scanned, never shuffled. A word of a text costs a look around it
+of bounded size, however often it repeats.
 """
 
 from __future__ import annotations
@@ -62,9 +64,18 @@ TEMPLATES = (
 RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
+def all_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def template_words(text: str) -> list[str]:
     """Distinct words of a notice, sorted."""
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
+    return sorted(set(all_words(text)))
+
+
+def block_words(text: str) -> int:
+    """Words of a block that may hold a notice."""
+    return -(-5 * len(all_words(text)) // 4)
 
 
 @dataclass(frozen=True)
@@ -72,6 +83,7 @@ class Template:
     label: str
     ranks: list[int]
     need: int
+    span: int
 
     @property
     def prefix(self) -> list[int]:
@@ -82,7 +94,7 @@ def word_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> list
     """The templates' words by the number of documents that hold them, then by word."""
     known = sorted({w for _, notice in templates for w in template_words(notice)})
     vocabulary = F.array(*[F.lit(w) for w in known])
-    held = F.array_intersect(sign_words(F.lower(F.col(f"`{text}`"))), vocabulary)
+    held = F.array_intersect(sign_words(lower_ascii(F.col(f"`{text}`"))), vocabulary)
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     found = {r["word"]: r["n"] for r in counts.collect()}  # one row per template word
     return sorted(known, key=lambda w: (found.get(w, 0), w))
@@ -90,36 +102,44 @@ def word_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> list
 
 def ranked(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
     at = {w: i + 1 for i, w in enumerate(order)}
-    sets = [(label, sorted(at[w] for w in template_words(notice))) for label, notice in templates]
-    return [Template(label, ranks, math.ceil(round(threshold * len(ranks), 9))) for label, ranks in sets]
+    sets = [(label, sorted(at[w] for w in template_words(notice)), block_words(notice)) for label, notice in templates]
+    return [Template(label, ranks, math.ceil(round(threshold * len(ranks), 9)), span) for label, ranks, span in sets]
 
 
 def matches(
     spark: SparkSession, docs: DataFrame, order: list[str], templates: list[Template], key: Column, text: str = "text"
 ) -> DataFrame:
-    """(key, label, share) of every block that holds a template, once per block."""
+    """(key, label, share) of every template word of a prefix in whose reach a block holds the template."""
     first = sorted({order[r - 1] for t in templates for r in t.prefix})
     other = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pattern = f"(?i)(?<!{other})(?:{'|'.join(first)})(?!{other})"
     vocabulary = F.array(*[F.lit(w) for w in order])
-    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x: x.rlike(pattern))
-    blocks = docs.select(key.alias("_key"), F.posexplode(lines).alias("block", "line"))
-    ranks = F.transform(F.split(lower_ascii(F.col("line")), SIGNS), lambda w: F.array_position(vocabulary, w).cast("int"))
-    sets = blocks.select("_key", "block", F.sort_array(F.array_distinct(F.filter(ranks, lambda r: r > 0))).alias("set"))
+    some = docs.where(F.col(f"`{text}`").rlike(pattern))
+    words = F.array_remove(F.split(lower_ascii(F.col(f"`{text}`")), SIGNS), "")
+    ranks = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(vocabulary, w).cast("int").alias("rank")))
+    hits = some.select(key.alias("_key"), F.filter(ranks, lambda h: h["rank"] > 0).alias("hits"))
     index = spark.createDataFrame(
-        [(r, i, n, t.label, len(t.ranks), t.need, t.ranks) for n, t in enumerate(templates) for i, r in enumerate(t.prefix)],
-        "rank int, at int, template int, label string, size int, need int, ranks array<int>",
+        [(r, n, t.label, len(t.ranks), t.need, t.span, t.ranks) for n, t in enumerate(templates) for r in t.prefix],
+        "rank int, template int, label string, size int, need int, span int, ranks array<int>",
     )
-    held = sets.select("_key", "block", "set", F.posexplode("set").alias("place", "rank"))
-    left = F.size("set") - F.col("place") - 1
-    reach = F.least("at", "place") + 1 + F.least(F.col("size") - F.col("at") - 1, left)
-    found = (
-        held.join(F.broadcast(index), "rank")
-        .where((F.size("set") >= F.col("need")) & (reach >= F.col("need")))
-        .dropDuplicates(["_key", "block", "template"])
+    held = hits.select("_key", "hits", F.posexplode("hits").alias("k", "hit")).select(
+        "_key", F.col("hit.at").alias("at"), F.col("hit.rank").alias("rank"),
+        # the hits around this one: a place has one word, so no more than a block's words are in reach
+        F.slice("hits", F.greatest(F.col("k") - max(t.span for t in templates), F.lit(0)) + 1, 2 * max(t.span for t in templates) + 1).alias("near"),
+    )
+    reach = F.filter(
+        "near", lambda h: (F.abs(h["at"] - F.col("at")) < F.col("span")) & F.array_contains("ranks", h["rank"])
     )
-    shared = F.size(F.array_intersect("set", "ranks"))
-    return found.where(shared >= F.col("need")).select("_key", "label", (shared / F.col("size")).alias("share"))
+    met = held.join(F.broadcast(index), "rank").withColumn("near", reach)
+    met = met.where(F.size(F.array_distinct("near.rank")) >= F.col("need"))
+
+    def shared(start: Column) -> Column:
+        inside = F.filter("near", lambda h: (h["at"] >= start["at"]) & (h["at"] < start["at"] + F.col("span")))
+        return F.size(F.array_distinct(F.transform(inside, lambda h: h["rank"])))
+
+    most = F.array_max(F.transform(F.filter("near", lambda h: h["at"] <= F.col("at")), shared))
+    found = met.withColumn("most", most).where(F.col("most") >= F.col("need"))
+    return found.select("_key", "label", (F.col("most") / F.col("size")).alias("share"))
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -139,7 +159,7 @@ def _starts(words: Column, phrase: str) -> Column:
 def scan(spark: SparkSession, docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Every row with its words, base places, labels of phrases and of notices, and score.
 
-    ``score`` is 1 with a base phrase, else the best share of a notice that a line holds,
+    ``score`` is 1 with a base phrase, else the best share of a notice that a block holds,
     at least the threshold, else 0. A null text is empty: no words, null places, empty
     labels. Rows of equal id and text are scanned once and get equal results; input
     columns named as a result give way to it.

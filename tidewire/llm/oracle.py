@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm.licenses import PHRASES, TEMPLATES, template_words
+from tidewire.llm.licenses import PHRASES, TEMPLATES, block_words, template_words
 from tidewire.llm.quality import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -134,12 +134,12 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
 _NOTICES = ", ".join(
-    f"({i}, '{label}', {template_words(text)!r})" for i, (label, text) in enumerate(TEMPLATES)
+    f"({i}, '{label}', {template_words(text)!r}, {block_words(text)})" for i, (label, text) in enumerate(TEMPLATES)
 )
 _PHRASES = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in PHRASES.items())
 
 OP9 = rf"""
-WITH t(template, label, words) AS (VALUES {_NOTICES}),
+WITH t(template, label, words, span) AS (VALUES {_NOTICES}),
 p(label, phrase, k) AS (VALUES {_PHRASES}),
 d AS (
   SELECT row_number() OVER () AS r, doc_id, text,
@@ -152,11 +152,14 @@ d AS (
 ), base AS (
   SELECT r, count(*) AS n, min(place) AS a, max(place) AS z,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
-), lines AS (
-  SELECT r, list_distinct(regexp_extract_all({_LOWER.format("line")}, '{_SIGN_WORD}')) AS s
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)
+), close AS (
+  SELECT r, w, label, words, span, len(words) AS size FROM d, t
+  WHERE len(list_intersect(list_distinct(w), words)) >= ceil(round(0.9::DOUBLE * len(words), 9))
+), windows AS (
+  SELECT r, label, words, size, list_distinct(w[i:i + span - 1]) AS s
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM close) WHERE list_contains(words, w[i])
 ), found AS (
-  SELECT r, label, len(list_intersect(s, words)) AS n, len(words) AS size FROM lines, t
+  SELECT r, label, len(list_intersect(s, words)) AS n, size FROM windows
 ), notices AS (
   SELECT r, label, n / size AS share FROM found WHERE n >= ceil(round(0.9::DOUBLE * size, 9))
 ), labels AS (
