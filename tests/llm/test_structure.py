@@ -1,6 +1,7 @@
 """Prefix trie, Merkle manifest and sharding on awkward rows, against plain Python."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -30,7 +31,7 @@ def plain_trie(rows, splice):
         for c in own:
             if c is not None:
                 h = zlib.crc32(str(c).encode()) % 4
-                new[c] = own.get(c - c % 20, [])[:h] + own[c][h:]
+                new[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:]
     members, kids = defaultdict(list), defaultdict(set)
     for c, turns in new.items():
         for d in range(len(turns) + 1):
