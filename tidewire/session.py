@@ -30,6 +30,8 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "tidewire")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("a session of a cluster is running; use that one, with spark.checkpoint.dir set")
     if not _named(spark) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
     return spark
