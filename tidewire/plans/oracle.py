@@ -354,6 +354,31 @@ negatives AS (
   JOIN indexed o USING (idx) LEFT JOIN found USING (pair))"""
 
 
+_LOSSES = f"""WITH {_CORPUS}, {_PAIRS},
+{_weights(0, 512, 128)}, {_weights(1, 128, 512)}, {_weights(2, 32, 128)}, {_weights(3, 1, 32)},
+pairs AS MATERIALIZED (
+  SELECT pair * 2 AS request_id, anchor_id AS user_id, anchor_id AS article_id, 1.0::DOUBLE AS label FROM negatives
+  UNION ALL SELECT pair * 2 + 1, anchor_id, negative_id, 0.0::DOUBLE FROM negatives),
+halves AS MATERIALIZED (
+  SELECT article_id, list(list_dot_product(c.v0, w[1:64]) ORDER BY i) AS pu, list(list_dot_product(c.v0, w[65:128]) ORDER BY i) AS pn
+  FROM corpus c, w0 GROUP BY article_id),
+z0 AS (
+  SELECT request_id, p.article_id, list_transform(list_zip(u.pu, n.pn), lambda x: x[1] + x[2]) AS z
+  FROM pairs p JOIN halves u ON u.article_id = p.user_id JOIN halves n ON n.article_id = p.article_id),
+{_normed_relu('a0', 'z0', 512)},
+z1 AS (
+  SELECT request_id, article_id, list(list_dot_product(a, w) ORDER BY i) AS z
+  FROM a0, w1 GROUP BY request_id, article_id),
+{_normed_relu('a1', 'z1', 128)},
+a2 AS (
+  SELECT request_id, article_id, list(greatest(list_dot_product(a, w), 0) ORDER BY i) AS a
+  FROM a1, w2 GROUP BY request_id, article_id),
+scored AS (
+  SELECT request_id, 1 / (1 + exp(-list_dot_product(a2.a, w3.w))) AS n FROM a2, w3)
+SELECT label, count(*) AS pairs, round(avg(-ln(CASE WHEN label = 1 THEN n ELSE 1 - n END)), 6) AS mean_loss
+FROM pairs JOIN scored USING (request_id) GROUP BY label"""
+
+
 def _tables(summary: str) -> str:
     """Both tables after a whole ingest, side by side."""
     return f"""WITH {_ARTICLES}
@@ -558,6 +583,7 @@ FROM documents GROUP BY 1""",
 SELECT pair * 2 AS pair_id, anchor_id AS user_id, anchor_id AS news_id, 1.0::DOUBLE AS label FROM negatives
 UNION ALL
 SELECT pair * 2 + 1, anchor_id, negative_id, 0.0::DOUBLE FROM negatives""",
+        "pair_losses": _LOSSES,
         "training_sample": f"""WITH {_PAIRS}
 SELECT article_id, array_to_string(tags, '|') AS tags FROM indexed WHERE idx < 500""",
         "ingest_lake": _tables(_SUMMARY),

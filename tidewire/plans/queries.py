@@ -645,6 +645,18 @@ def training_sample(spark, sf_dir):
     )
 
 
+@query
+def pair_losses(spark, sf_dir):
+    """Mean loss of the seeded scorer over all training pairs, before it has learned."""
+    tagged = _tagged(spark, sf_dir)
+    n = tagged.count()
+    order = [ids.seeded_order(SEED, F.col("article_id")), F.col("article_id")]
+    pairs = sampling.training_pairs(sampling.dense_index(tagged, order, "idx"), n, 2 * n, SEED)
+    vecs = views.corpus(spark, sf_dir).select("article_id", F.col("title_vec").alias("vec"))
+    losses = training.mean_losses(training.pairs_with_vectors(pairs, vecs), initial_params(WIDTH, SEED))
+    return losses.select("label", "pairs", F.round("mean_loss", 6).alias("mean_loss"))
+
+
 @query
 def train_scorer(spark, sf_dir):
     """Fit the scorer on two pairs per article of the vector table; loss per epoch."""

@@ -25,7 +25,7 @@ from tidewire.functions.ids import seeded_order
 from tidewire.functions.text import news_embedding_text, parse_tags
 from tidewire.operators.embedding import Encoder, embed
 from tidewire.operators.sampling import dense_index, random_cap, training_pairs
-from tidewire.operators.scorer import DROPOUT, Params, gradients, initial_params
+from tidewire.operators.scorer import DROPOUT, Params, forward, gradients, initial_params
 from tidewire.session import materialise, work_dir
 from tidewire.sources.readers import training_articles
 from tidewire.sources.tables import load_mark, load_model, read_if_there, save_model
@@ -372,6 +372,34 @@ def pairs_with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+def mean_losses(pairs: DataFrame, params: Params) -> DataFrame:
+    """(label, pairs, mean_loss) of a scorer as it stands, without dropout.
+
+    Tasks send a sum per label and batch of rows.
+    """
+
+    def losses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = params["w0"].shape[1] // 2
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = [
+                batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in ("user_vec", "news_vec")
+            ]
+            score, _ = forward(params, np.concatenate(both, axis=1).astype(np.float64))
+            label = batch.column("label").to_numpy()
+            hit = np.clip(np.where(label == 1, score, 1 - score), 1e-12, 1.0)
+            kinds = np.unique(label)
+            sums = [-np.log(hit[label == k]).sum() for k in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds), pa.array(sums, pa.float64()), pa.array([int((label == k).sum()) for k in kinds], pa.int64())],
+                names=["label", "loss", "n"],
+            )
+
+    summed = pairs.select("user_vec", "news_vec", "label").mapInArrow(losses, "label double, loss double, n long")
+    return summed.groupBy("label").agg(F.sum("n").alias("pairs"), (F.sum("loss") / F.sum("n")).alias("mean_loss"))
+
+
 def fit_on_articles(
     articles: DataFrame,
     params: Params,

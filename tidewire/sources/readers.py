@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
 from urllib.parse import unquote
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from tidewire.functions.times import hourly_path
 from tidewire.operators.increment import newer_than, oldest_first
 from tidewire.operators.normalise import known_columns
+from tidewire.operators.skew import few
 from tidewire.schemas import (
     ARTICLE_COLUMNS,
     HOURLY_FILE,
@@ -47,13 +49,18 @@ def _with_order(df: DataFrame) -> DataFrame:
 def headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """(column names, files) for every header that occurs; empty files have none."""
     lines = splits.pieces_of(spark, path, "\n").where("block = 0")
-    return _headers(lines.groupBy("file").agg(F.min_by("value", "at").alias("first")))
+    names, kinds = _kinds(lines.groupBy("file").agg(F.min_by("value", "at").alias("first")))
+    found = kinds.groupBy("kind").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("kind").collect()
+    return [(names[r["kind"]], [unquote(f) for f in r["files"]]) for r in found]
 
 
-def _headers(first: DataFrame) -> list[tuple[list[str], list[str]]]:
-    line = F.regexp_replace("first", "\r$", "").alias("line")
-    found = first.groupBy(line).agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
-    return [(next(csv.reader([r["line"].lstrip("\ufeff")]), []), [unquote(f) for f in r["files"]]) for r in found]
+def _kinds(first: DataFrame) -> tuple[list[list[str]], DataFrame]:
+    """The different headers, as column names, and (file, kind) of every file; only headers reach the driver."""
+    lines = first.select("file", F.regexp_replace("first", "\r$", "").alias("line"))
+    told = [r["line"] for r in lines.select("line").distinct().orderBy("line").collect()]
+    names = [next(csv.reader([line.lstrip("\ufeff")]), []) for line in told]
+    table = first.sparkSession.createDataFrame(list(zip(told, range(len(told)), strict=True)), "line string, kind int")
+    return names, lines.join(F.broadcast(table), "line").select("file", "kind")
 
 
 def check_columns(columns: list[str]) -> None:
@@ -69,54 +76,79 @@ def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True
     may be absent. Files are read in splits, with ``multi_line`` also those with line
     breaks in quotes; a feed without them saves a pass when it is off.
     """
-    found, cut = _csv_files(spark, path, multi_line)
-    for names, _ in found or [([], [])]:
-        check_columns(names)
-    return _by_header(spark, found, cut)
-
-
-def _csv_files(spark: SparkSession, path: str | list[str], multi_line: bool):
-    """Files by header, and the state in which each of their splits begins if it matters."""
     if not multi_line:
-        return headers(spark, path), None
-    cut = materialise(splits.csv_splits(splits.pieces_of(spark, path, "\n")))
-    return _headers(cut.where("block = 0").select("file", "first")), cut
+        found = headers(spark, path)
+        for names, _ in found or [([], [])]:
+            check_columns(names)
+        return _by_files(spark, found)
+    files = _CsvFiles(spark, path)
+    for names in files.names or [[]]:
+        check_columns(names)
+    return files.rows(range(len(files.names)))
 
 
-def _by_header(spark: SparkSession, found: list[tuple[list[str], list[str]]], cut: DataFrame | None) -> DataFrame:
+def _by_files(spark: SparkSession, found: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """Files without line breaks in quotes, by their headers."""
     frames = []
     for names, files in found:
-        if cut is None:
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-            rows = _with_order(spark.read.options(**CSV_OPTIONS).schema(schema).csv(files))
-        else:
-            rows = _parsed_csv(splits.records(splits.pieces_of(spark, files, "\n"), cut, splits.csv_cutter(), "\n"), names)
-        frames.append(known_columns(rows))
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+        frames.append(known_columns(_with_order(spark.read.options(**CSV_OPTIONS).schema(schema).csv(files))))
     return reduce(DataFrame.unionByName, frames)
 
 
-def _parsed_csv(records: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of one header; the header itself, the first record of a file, is not one."""
-    text = F.regexp_replace("text", "\r$", "")
-    rows = records.where("not (block = 0 and row = 0)").withColumn("text", text).where("text <> ''")
-    schema = ", ".join([*[f"c{i} string" for i in range(len(names))], f"{CORRUPT} string"])
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
-    parsed = rows.select(F.struct("file", "block", "row").alias("_seq"), F.from_csv("text", schema, options).alias("r"))
-    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], f"r.{CORRUPT}", "_seq")
+class _CsvFiles:
+    """CSV files with the state in which each of their splits begins, and their headers."""
+
+    def __init__(self, spark: SparkSession, path: str | list[str]):
+        self.lines = splits.pieces_of(spark, path, "\n")
+        self.cut = materialise(splits.csv_splits(self.lines))
+        self.names, kinds = _kinds(self.cut.where("block = 0").select("file", "first"))
+        self.kinds = materialise(kinds)
+
+    def rows(self, wanted: Iterable[int]) -> DataFrame:
+        """Articles of the files with these headers, each record parsed by its own."""
+        kinds = self.kinds.where(F.col("kind").isin(*wanted))
+        records = splits.records(self.lines, self.cut, splits.csv_cutter(), "\n").join(few(kinds, kinds.count()), "file")
+        text = F.regexp_replace("text", "\r$", "")
+        # the header, the first record of a file, is no article
+        rows = records.where("not (block = 0 and row = 0)").withColumn("text", text).where("text <> ''")
+        options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+        parsed, told = rows, []
+        for k in wanted:
+            schema = ", ".join([*[f"c{i} string" for i in range(len(self.names[k]))], f"{CORRUPT} string"])
+            parsed = parsed.withColumn(f"r{k}", F.when(F.col("kind") == k, F.from_csv("text", schema, options)))
+            at = {name.strip(): i for i, name in enumerate(self.names[k])}
+            own = [
+                (F.col(f"r{k}.c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in ARTICLE_COLUMNS
+            ]
+            told.append(F.when(F.col("kind") == k, F.struct(*own, F.col(f"r{k}.{CORRUPT}").alias(CORRUPT))))
+        return parsed.select(F.coalesce(*told).alias("r"), F.struct("file", "block", "row").alias("_seq")).select("r.*", "_seq")
 
 
 def read_dropped_csv(spark: SparkSession, files: list[str], multi_line: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """Rows of the files that have the required columns, and quarantine rows of the others."""
-    good, refused = [], []
-    found, cut = _csv_files(spark, files, multi_line)
-    for names, some in found:
-        try:
-            check_columns(names)
-            good.append((names, some))
-        except ValueError as error:
-            refused += [(f, str(error), ",".join(names)) for f in some]
-    bad = spark.createDataFrame(refused, "id string, reason string, record string")
-    return _by_header(spark, good, cut) if good else None, bad
+    schema = "id string, reason string, record string"
+    if not multi_line:
+        good, refused = [], []
+        for names, some in headers(spark, files):
+            reason = _refusal(names)
+            refused += [(f, reason, ",".join(names)) for f in some if reason]
+            good += [] if reason else [(names, some)]
+        return _by_files(spark, good) if good else None, spark.createDataFrame(refused, schema)
+    found = _CsvFiles(spark, files)
+    reasons = [(k, _refusal(names), ",".join(names)) for k, names in enumerate(found.names)]
+    good = [k for k, reason, _ in reasons if not reason]
+    told = spark.createDataFrame([r for r in reasons if r[1]], "kind int, reason string, record string")
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("id")
+    return found.rows(good) if good else None, found.kinds.join(F.broadcast(told), "kind").select(path, "reason", "record")
+
+
+def _refusal(names: list[str]) -> str | None:
+    try:
+        check_columns(names)
+    except ValueError as error:
+        return str(error)
+    return None
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -21,6 +21,8 @@ from tidewire.sources.tables import Store
 from tidewire.sources.vector_cache import VectorCache
 
 HOURLY = "1 hour"
+#: Dropped files whose names one batch takes to the driver.
+FILES_A_BATCH = 1000
 
 
 def _start(stream: DataFrame, each, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -97,7 +99,7 @@ def stream_csv(
     encoder: Encoder,
     checkpoint: str,
     every: str | None = None,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_A_BATCH,
     multi_line: bool = True,
     cache: VectorCache | None = None,
 ) -> StreamingQuery:
@@ -110,8 +112,7 @@ def stream_csv(
     reader = store.spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary"
     )
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def each(names: DataFrame, epoch: int) -> None:
         files = [r["path"] for r in names.collect()]  # the files of one batch
