@@ -4,13 +4,13 @@ A block is a run of words as long as a notice and a quarter more, wherever its l
 break; block and template are sets of words. A template is found where a block holds at
 least THRESHOLD of its words. The words of all templates are ordered by how many
 documents of the whole corpus hold them, rarest first; to reach the threshold a block
-must hold one of the first few words of the template (prefix filter). Around every such
-word, only template words within a block's reach of it count (positional), and there
-must be enough of them (length); then the blocks that hold the word are verified.
+must hold one of the first few words of the template (prefix filter). Around such words,
+only template words within a block's reach of one count (positional), and there must be
+enough of them (length); then the blocks there are verified.
 
 All of it is column expressions and joins. The templates are fixed, so is what is
-broadcast; texts are scanned, never shuffled. A word of a text costs a look around it
-of bounded size, however often it repeats.
+broadcast; texts are scanned, never shuffled. A stretch of a text is looked at once per
+template, however often a word repeats there.
 """
 
 from __future__ import annotations
@@ -109,35 +109,61 @@ def ranked(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD)
 def matches(
     spark: SparkSession, docs: DataFrame, order: list[str], templates: list[Template], key: Column, text: str = "text"
 ) -> DataFrame:
-    """(key, label, share) of every template word of a prefix in whose reach a block holds the template."""
-    first = sorted({order[r - 1] for t in templates for r in t.prefix})
+    """(key, label, share) of every template that a block holds, once per stretch of the text.
+
+    A stretch is as long as the longest block. Its first prefix word stands for all of
+    it, and takes along the template words that a block of any of them can reach; a place
+    has one word, so they are few.
+    """
+    prefix = sorted({r for t in templates for r in t.prefix})
     other = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    pattern = f"(?i)(?<!{other})(?:{'|'.join(first)})(?!{other})"
-    vocabulary = F.array(*[F.lit(w) for w in order])
+    pattern = f"(?i)(?<!{other})(?:{'|'.join(order[r - 1] for r in prefix)})(?!{other})"
+    vocabulary, long = F.array(*[F.lit(w) for w in order]), max(t.span for t in templates)
+    # the templates that have a rank in their prefix, by rank
+    named = F.array(*[
+        F.array(*[F.lit(n) for n, t in enumerate(templates) if r in t.prefix]).cast("array<int>") for r in range(1, len(order) + 1)
+    ])
     some = docs.where(F.col(f"`{text}`").rlike(pattern))
-    words = F.array_remove(F.split(lower_ascii(F.col(f"`{text}`")), SIGNS), "")
-    ranks = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(vocabulary, w).cast("int").alias("rank")))
-    hits = some.select(key.alias("_key"), F.filter(ranks, lambda h: h["rank"] > 0).alias("hits"))
-    index = spark.createDataFrame(
-        [(r, n, t.label, len(t.ranks), t.need, t.span, t.ranks) for n, t in enumerate(templates) for r in t.prefix],
-        "rank int, template int, label string, size int, need int, span int, ranks array<int>",
+    words = some.select(key.alias("_key"), F.array_remove(F.split(lower_ascii(F.col(f"`{text}`")), SIGNS), "").alias("words"))
+    known = words.withColumn("at", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(order), i))))
+    hits = known.select(
+        "_key",
+        F.transform(
+            "at", lambda i: F.struct(i.alias("at"), F.array_position(vocabulary, F.get("words", i)).cast("int").alias("rank"))
+        ).alias("hits"),
     )
-    held = hits.select("_key", "hits", F.posexplode("hits").alias("k", "hit")).select(
-        "_key", F.col("hit.at").alias("at"), F.col("hit.rank").alias("rank"),
-        # the hits around this one: a place has one word, so no more than a block's words are in reach
-        F.slice("hits", F.greatest(F.col("k") - max(t.span for t in templates), F.lit(0)) + 1, 2 * max(t.span for t in templates) + 1).alias("near"),
-    )
-    reach = F.filter(
-        "near", lambda h: (F.abs(h["at"] - F.col("at")) < F.col("span")) & F.array_contains("ranks", h["rank"])
+    rare = hits.withColumn("rare", F.array_compact(F.transform("hits", lambda h, k: F.when(h["rank"].isin(prefix), k))))
+
+    def stretch(k: Column) -> Column:
+        return F.floor(F.get("hits", k)["at"] / long)
+
+    heads = F.filter("rare", lambda k, i: (i == 0) | (stretch(k) != stretch(F.get("rare", F.greatest(i - 1, F.lit(0))))))
+    around = F.transform(
+        heads,
+        lambda k: F.struct(F.get("hits", k)["at"].alias("at"), F.slice("hits", F.greatest(k - long, F.lit(0)) + 1, 3 * long + 1).alias("near")),
+    )
+    held = rare.select("_key", F.explode(around).alias("x")).select("_key", "x.at", "x.near")
+    ranks = F.transform(
+        F.filter("near", lambda h: (h["at"] >= F.col("at")) & (h["at"] < F.col("at") + long)), lambda h: h["rank"]
+    )
+    asked = F.array_distinct(F.flatten(F.transform(F.array_distinct(ranks), lambda r: F.get(named, r - 1))))
+    table = spark.createDataFrame(
+        [(n, t.label, len(t.ranks), t.need, t.span, t.ranks) for n, t in enumerate(templates)],
+        "template int, label string, size int, need int, span int, ranks array<int>",
     )
-    met = held.join(F.broadcast(index), "rank").withColumn("near", reach)
-    met = met.where(F.size(F.array_distinct("near.rank")) >= F.col("need"))
+    met = held.withColumn("template", F.explode(asked)).join(F.broadcast(table), "template")
+    reach = F.filter(
+        "near",
+        lambda h: (h["at"] > F.col("at") - F.col("span")) & (h["at"] < F.col("at") + long + F.col("span"))
+        & F.array_contains("ranks", h["rank"]),
+    )
+    met = met.withColumn("near", reach).where(F.size(F.array_distinct("near.rank")) >= F.col("need"))
 
     def shared(start: Column) -> Column:
         inside = F.filter("near", lambda h: (h["at"] >= start["at"]) & (h["at"] < start["at"] + F.col("span")))
         return F.size(F.array_distinct(F.transform(inside, lambda h: h["rank"])))
 
-    most = F.array_max(F.transform(F.filter("near", lambda h: h["at"] <= F.col("at")), shared))
+    most = F.array_max(F.transform(F.filter("near", lambda h: h["at"] < F.col("at") + long), shared))
     found = met.withColumn("most", most).where(F.col("most") >= F.col("need"))
     return found.select("_key", "label", (F.col("most") / F.col("size")).alias("share"))
 

@@ -147,17 +147,21 @@ d AS (
   FROM documents
 ), places AS (
   SELECT r, label, i - 1 AS place
-  FROM (SELECT r, w, label, phrase, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, p WHERE len(w) >= k)
+  FROM (SELECT r, w, label, phrase, k,
+               unnest(list_filter(range(1, len(w) - k + 2), lambda i: w[i] = split_part(phrase, ' ', 1))) AS i
+        FROM d, p WHERE len(w) >= k)
   WHERE array_to_string(w[i:i + k - 1], ' ') = phrase
 ), base AS (
   SELECT r, count(*) AS n, min(place) AS a, max(place) AS z,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
-), close AS (
-  SELECT r, w, label, words, span, len(words) AS size FROM d, t
-  WHERE len(list_intersect(list_distinct(w), words)) >= ceil(round(0.9::DOUBLE * len(words), 9))
+), distinct_words AS MATERIALIZED (
+  SELECT r, w, list_distinct(w) AS held FROM d
+), close AS MATERIALIZED (
+  SELECT r, w, label, words, span, len(words) AS size FROM distinct_words, t
+  WHERE len(list_intersect(words, held)) >= ceil(round(0.9::DOUBLE * len(words), 9))
 ), windows AS (
   SELECT r, label, words, size, list_distinct(w[i:i + span - 1]) AS s
-  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM close) WHERE list_contains(words, w[i])
+  FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i]))) AS i FROM close)
 ), found AS (
   SELECT r, label, len(list_intersect(s, words)) AS n, size FROM windows
 ), notices AS (
