@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -138,13 +139,16 @@ class Store:
         fs.delete(path, True)
 
     def put(self, name: str, text: str) -> None:
-        """Write a small file; one that is there stays."""
+        """Write a small file at once; one that is there stays, also if two write it together."""
         fs, path = self._file(name)
         fs.mkdirs(path.getParent())
-        if not fs.exists(path):
-            out = fs.create(path, False)
-            out.write(bytearray(text.encode()))
-            out.close()
+        folder, _, last = name.rpartition("/")
+        _, part = self._file(f"{folder}/.{last}-{uuid.uuid4().hex}".lstrip("/"))  # hidden from readers
+        out = fs.create(part, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(path) or not fs.rename(part, path):
+            fs.delete(part, False)
 
     def get(self, name: str) -> str | None:
         """The text of a small file, None if it is not there."""
@@ -169,7 +173,7 @@ class Store:
         if text is None:
             rows = None if matrix is None else [[float(x) for x in row] for row in matrix]
             self.put("encoder.json", json.dumps({"fingerprint": mine, "matrix": rows}))
-            return encoder
+            text = self.get("encoder.json")  # another first run may have been sooner
         found = json.loads(text)
         if found["fingerprint"] != mine:
             raise ValueError(f"the table holds vectors of {found['fingerprint']}, not of {mine}")
