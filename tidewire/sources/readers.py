@@ -102,13 +102,13 @@ class _CsvFiles:
     def __init__(self, spark: SparkSession, path: str | list[str]):
         self.lines = splits.pieces_of(spark, path, "\n")
         self.cut = materialise(splits.csv_splits(self.lines))
-        self.names, kinds = _kinds(self.cut.where("block = 0").select("file", "first"))
-        self.kinds = materialise(kinds)
+        self.n = self.cut.count()
+        self.names, self.kinds = _kinds(self.cut.where("block = 0").select("file", "first"))
 
     def rows(self, wanted: Iterable[int]) -> DataFrame:
         """Articles of the files with these headers, each record parsed by its own."""
-        kinds = self.kinds.where(F.col("kind").isin(*wanted))
-        records = splits.records(self.lines, self.cut, splits.csv_cutter(), "\n").join(few(kinds, kinds.count()), "file")
+        kinds = few(self.kinds.where(F.col("kind").isin(*wanted)), self.n)  # a file has a split at least
+        records = splits.records(self.lines, self.cut, self.n, splits.csv_cutter(), "\n").join(kinds, "file")
         text = F.regexp_replace("text", "\r$", "")
         # the header, the first record of a file, is no article
         rows = records.where("not (block = 0 and row = 0)").withColumn("text", text).where("text <> ''")
@@ -163,7 +163,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("a JSON source must be a list of articles")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*ARTICLE_COLUMNS, CORRUPT]])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    rows = splits.records(pieces, cut, splits.json_cutter(), "").select(
+    rows = splits.records(pieces, cut, cut.count(), splits.json_cutter(), "").select(
         F.struct("file", "block", "row").alias("_seq"), "text", F.from_json("text", schema, options).alias("r")
     )
     odd = F.when(F.col("r").isNull() | ~F.startswith("text", F.lit("{")), F.col("text"))

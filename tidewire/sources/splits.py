@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.skew import few, sized
-from tidewire.session import materialise
+from tidewire.operators.skew import few
 
 _CHUNK = ["file", "block"]
 _RECORDS = "file string, block long, row long, text string, head boolean, open boolean"
@@ -41,9 +40,7 @@ def pieces_of(spark: SparkSession, paths: str | list[str], separator: str) -> Da
 def csv_splits(pieces: DataFrame) -> DataFrame:
     """(file, block, first, inside, open): the first line of each split, and whether it begins and ends in quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    summed = materialise(
-        pieces.groupBy(*_CHUNK).agg(F.sum(quotes).alias("quotes"), F.min_by("value", "at").alias("first"))
-    )
+    summed = pieces.groupBy(*_CHUNK).agg(F.sum(quotes).alias("quotes"), F.min_by("value", "at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.coalesce(F.sum("quotes").over(before), F.lit(0))
     return summed.select(*_CHUNK, "first", (so_far % 2 == 1).alias("inside"), ((so_far + F.col("quotes")) % 2 == 1).alias("open"))
@@ -89,9 +86,8 @@ def json_splits(spark: SparkSession, pieces: DataFrame) -> DataFrame:
             )
 
     found = pieces.select(*_CHUNK, "value").mapInArrow(summed, "file string, block long, first string, quotes long, out long, in long")
-    kept = materialise(found)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = kept.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    inside = found.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
     step = F.when(F.col("inside"), F.col("in")).otherwise(F.col("out"))
     deep = inside.withColumn("step", step).withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0)))
     ends_inside = F.col("inside") != (F.col("quotes") % 2 == 1)
@@ -161,16 +157,16 @@ def _by_chunk(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) ->
         yield key, (r[-1] for r in group)
 
 
-def records(pieces: DataFrame, splits: DataFrame, cutter, separator: str) -> DataFrame:
+def records(pieces: DataFrame, splits: DataFrame, n: int, cutter, separator: str) -> DataFrame:
     """(file, block, row, text) of every record; ``block`` and ``row`` are where it begins.
 
-    ``separator`` joins what a record has on both sides of a split.
+    ``splits`` is written, and has ``n`` rows; ``separator`` joins what a record has on
+    both sides of a split.
     """
     if "depth" not in splits.columns:
         splits = splits.withColumn("depth", F.lit(0).cast("long"))
-    kept = materialise(splits.select(*_CHUNK, "inside", "depth", "open"))
-    broken = kept.where("open").select("file").distinct()
-    state = few(kept, kept.count())
+    broken = splits.where("open").select("file").distinct()
+    state = few(splits.select(*_CHUNK, "inside", "depth"), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, values in _by_chunk(batches, ("inside", "depth")):
@@ -186,13 +182,13 @@ def records(pieces: DataFrame, splits: DataFrame, cutter, separator: str) -> Dat
                 yield _record_batch(out)
 
     def cut(some: DataFrame) -> DataFrame:
-        told = some.join(state.drop("open"), _CHUNK).select(*_CHUNK, "inside", "depth", "value")
+        told = some.join(state, _CHUNK).select(*_CHUNK, "inside", "depth", "value")
         return told.mapInArrow(run, _RECORDS)
 
     whole = cut(pieces).where("not head and not open").select(*_CHUNK, "row", "text")
     if broken.isEmpty():
         return whole
-    parts = cut(pieces.join(sized(broken), "file", "left_semi")).where("head or open")
+    parts = cut(pieces.join(few(broken, n), "file", "left_semi")).where("head or open")
     order = Window.partitionBy("file").orderBy("block", "row")
     run_of = parts.withColumn("run", F.sum(F.when(F.col("head"), 0).otherwise(1)).over(order))
     joined = run_of.groupBy("file", "run").agg(F.sort_array(F.collect_list(F.struct("block", "row", "text"))).alias("parts"))
