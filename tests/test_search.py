@@ -1,5 +1,7 @@
 """Search, fusion and skewed joins against brute force."""
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -194,6 +196,69 @@ def test_products_follow_the_filters(monkeypatch):
     assert sum(done) == sum(map(len, allowed.values()))
 
 
+def test_copies_of_a_vector_are_multiplied_once(monkeypatch):
+    """Of equal vectors the least ids count, behind a floor of score and id those up to its id."""
+    rng = np.random.default_rng(4)
+    n, k, done = 900, 12, []
+    few = rng.normal(size=(6, WIDTH)).astype(np.float32)
+    of = rng.integers(0, 6, n)
+    ids = [str(i) for i in rng.permutation(n)]
+    stamps = [i % 30 for i in range(n)]
+    table = pa.table({"article_id": ids, "v": few[of].tolist(), "tags": pa.nulls(n, pa.list_(pa.string())), "timestamp": stamps})
+    stored = search._block(table, "article_id", ["v"], "timestamp", "tags", WIDTH)
+    queries, cutoffs = rng.normal(size=(8, WIDTH)).astype(np.float32), [None, 5, 29, None] * 2
+    asked = search._block(
+        pa.table({
+            "request_id": [f"r{i}" for i in range(8)], "v": queries.tolist(),
+            "categories": pa.nulls(8, pa.list_(pa.string())), "cutoff_ms": pa.array(cutoffs, pa.int64()),
+        }), "request_id", ["v"], "cutoff_ms", "categories", WIDTH,
+    )
+    product = search._product
+    monkeypatch.setattr(search, "_product", lambda q, u: done.append(len(q) * len(u)) or product(q, u))
+
+    def best(block):
+        out = {}
+        for _, rows, scores, found in search._cell(block, stored, k):
+            for r, s, a in zip(rows, scores, found, strict=True):
+                out.setdefault(int(r), []).append((-float(s), a))
+        return out
+
+    got = best(asked)
+    exact = queries.astype(np.float64) @ few.astype(np.float64).T
+    exact /= np.linalg.norm(queries.astype(np.float64), axis=1)[:, None] * np.linalg.norm(few.astype(np.float64), axis=1)
+    for r in range(8):
+        allowed = [i for i in range(n) if cutoffs[r] is None or stamps[i] >= cutoffs[r]]
+        want = sorted((-round(exact[r, of[i]], 9) + 0.0, ids[i]) for i in allowed)[:k]
+        assert [a for _, a in got[r]] == [a for _, a in want]
+    assert sum(done) <= 8 * 6
+    floors = np.array([[-got[r][-1][0]] for r in range(8)])
+    last = np.array([[got[r][4][1]] for r in range(8)], dtype=object)
+    behind = best(replace(asked, floors=floors, floor_ids=last))
+    for r in range(8):
+        assert behind[r] == [x for x in got[r] if x[0] < got[r][-1][0] or x[1] <= last[r, 0]]
+
+
+def test_bounds_of_a_sample_keep_ties_few(spark):
+    """Articles that tie with the bound count up to the id of it, however many there are."""
+    rng = np.random.default_rng(9)
+    few = rng.normal(size=(4, WIDTH)).astype(np.float32)
+    rows = [(str(i), few[i % 4].tolist(), None, None) for i in range(6000)]
+    corpus = spark.createDataFrame(rows, "article_id string, title_vec array<float>, tags array<string>, timestamp bigint")
+    asked = spark.createDataFrame(
+        [(f"r{i}", rng.normal(size=WIDTH).astype(np.float32).tolist(), None, None, None) for i in range(5)],
+        "request_id string, query_vec array<float>, categories array<string>, days int, as_of_ms bigint",
+    )
+    ready = search.requests_for_search(asked)
+    sample = corpus.where(F.pmod(F.xxhash64("article_id"), F.lit(8)) == 0)
+    floors = search._nearest_in_broadcast(ready, sample, ["title_vec"], [0], 10, only_last=True)
+    assert floors.count() == 5
+    tight = search._nearest_in_place(ready, corpus.repartition(40), ["title_vec"], [0], 10, floors)
+    assert tight.count() <= 5 * 10 * 20
+    want = search.topk(asked, corpus, 10)
+    got = search.topk(asked, corpus, 10, broadcast_bytes=0, sample_rows=10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_search_of_nothing(spark, tables):
     corpus, asked, *_ = tables
     assert search.topk(asked.limit(0), corpus, 5).count() == 0
