@@ -7,16 +7,18 @@ import threading
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.operators import embedding
 from tidewire.operators.embedding import HashingEncoder, ProjectedEncoder, isolated
 from tidewire.operators.increment import presence
-from tidewire.operators.normalise import hourly_parsed
+from tidewire.operators.normalise import hourly_parsed, known_columns
 from tidewire.plans import ingest as jobs
 from tidewire.plans.embed import common_vector
 from tidewire.schemas import ARTICLE_COLUMNS, LAKE_ARTICLE
-from tidewire.sources import readers
+from tidewire.sources import readers, splits
 from tidewire.sources.tables import Store, load_model, save_model
 from tidewire.sources.vector_cache import VectorCache
 from tidewire.streaming import jobs as streams
@@ -553,3 +555,53 @@ def test_a_second_store_encodes_nothing(spark, tmp_path):
         streams.stream_hourly(hourly, folder, encoder, str(tmp_path / f"c{n}"), cache=cache).awaitTermination()
         assert hourly.read("vectors").count() == 6 and hourly.read("quarantine").count() == 0
     assert cache.read(HashingEncoder(8)).count() == 0
+
+
+def test_long_texts_reach_the_encoder_in_portions(monkeypatch):
+    monkeypatch.setattr(embedding, "ENCODED_CHARS", 100)
+    monkeypatch.setattr(embedding, "REMEMBERED_WORDS", 8)
+    texts = [f"w{i} " * (i % 7) for i in range(60)] + [None, "x" * 500, ""]
+    sizes = []
+    encode = HashingEncoder(8).load()
+
+    def told(some):
+        sizes.append(sum(map(len, some)) - max(map(len, some), default=0))  # a longer text comes alone
+        return encode(some)
+
+    got = embedding._encoded(pa.array(texts), told, 8).to_pylist()
+    whole = HashingEncoder(8).load()
+    assert got == [None if t is None else whole([t])[0].tolist() for t in texts]
+    assert len(sizes) > 5 and max(sizes) <= 100
+    assert embedding._encoded(pa.array([], pa.string()), told, 8).to_pylist() == []
+
+
+def test_rows_of_a_split_are_unpacked_in_slices():
+    class Batch:
+        def __init__(self, rows, taken):
+            self.rows, self.taken, self.num_rows = rows, taken, rows.num_rows
+
+        def slice(self, at, n):
+            self.taken.append(n)
+            return self.rows.slice(at, n)
+
+    n, taken = 1000, []
+    rows = pa.RecordBatch.from_pydict({"file": ["f"] * n, "block": [i // 400 for i in range(n)], "value": [str(i) for i in range(n)]})
+    found = [(key, list(values)) for key, values in splits._by_chunk(iter([Batch(rows, taken)]))]
+    assert [k for k, _ in found] == [("f", 0), ("f", 1), ("f", 2)]
+    assert [v for _, values in found for v in values] == [str(i) for i in range(n)]
+    assert max(taken) < n
+
+
+def test_ingest_sends_python_small_batches(spark, tmp_path):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+
+    def vectorise(rows, encoder, **more):
+        seen.append(int(spark.conf.get(name)))
+        return common_vector(rows, encoder, **more)
+
+    raw = spark.createDataFrame([("1", "t", "text")], "id string, title string, introductory_paragraph string")
+    raw = known_columns(raw.withColumn("_seq", F.lit(1)))
+    store = Store(spark, str(tmp_path / "small"), 8)
+    assert jobs.ingest(store, raw, HashingEncoder(8), "small", vectorise)["ingested"] == 1
+    assert seen == [jobs.PYTHON_BYTES] and spark.conf.get(name) == before

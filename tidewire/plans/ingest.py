@@ -15,13 +15,15 @@ from tidewire.operators.skew import few
 from tidewire.plans.embed import ARTICLE_OF_ROW, common_vector, named_vectors
 from tidewire.plans.progress import Reporter
 from tidewire.schemas import ARTICLE
-from tidewire.session import materialise
+from tidewire.session import batches_of, materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
 from tidewire.sources.vector_cache import VectorCache
 
 Vectorise = Callable[..., DataFrame]
 _ROW = "_row"
+#: Bytes of a batch of rows that a Python worker gets while a source is taken in.
+PYTHON_BYTES = 4 << 20
 
 
 def _new_rows(store: Store, named: DataFrame, state, order: list[str], limit: int | None) -> tuple[DataFrame, int, int, bool]:
@@ -76,7 +78,7 @@ def ingest(
     if readers.CORRUPT not in raw.columns:
         raw = raw.withColumn(readers.CORRUPT, F.lit(None).cast("string"))
     batch, others = store.claim(state)
-    with Reporter(store, batch, source, every) as report:
+    with Reporter(store, batch, source, every) as report, batches_of(store.spark, PYTHON_BYTES):
         staged = materialise(normalise(raw, trim).withColumn(_ROW, F.monotonically_increasing_id()))
         unreadable = F.col(readers.CORRUPT).isNotNull()
         counts = staged.agg(

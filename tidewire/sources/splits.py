@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.skew import few
 
+#: Rows of an Arrow batch that are Python objects at once.
+UNPACKED_ROWS = 256
 _CHUNK = ["file", "block"]
 _RECORDS = "file string, block long, row long, text string, head boolean, open boolean"
 _ESCAPED = re.compile(r"\\.", re.S)
@@ -151,7 +153,9 @@ def _by_chunk(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) ->
 
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in (*_CHUNK, *more, "value")), strict=True)
+            for at in range(0, batch.num_rows, UNPACKED_ROWS):
+                some = batch.slice(at, UNPACKED_ROWS)
+                yield from zip(*(some.column(c).to_pylist() for c in (*_CHUNK, *more, "value")), strict=True)
 
     for key, group in groupby(rows(), key=lambda r: r[:-1]):
         yield key, (r[-1] for r in group)
