@@ -16,6 +16,7 @@ from tidewire.operators.normalise import hourly_items, hourly_parsed
 from tidewire.plans.embed import common_vector, encoded, vector_rows
 from tidewire.plans.ingest import ingest
 from tidewire.schemas import ARTICLE_COLUMNS
+from tidewire.session import materialise
 from tidewire.sources import readers
 from tidewire.sources.tables import Store
 from tidewire.sources.vector_cache import VectorCache
@@ -78,6 +79,8 @@ def stream_hourly(
     source = f"hourly:{path}"
 
     def each(files: DataFrame, epoch: int) -> None:
+        # A file is opened once: what it lists, and what is refused, come from the kept rows.
+        files = materialise(files)
         listed = F.col("articles").isNotNull()
         unreadable = files.where(~listed & F.col(readers.CORRUPT).isNotNull()).select(
             F.col("file").alias("id"),
