@@ -78,6 +78,22 @@ def test_sentences():
     assert spans.strip("a. b.", []) == ("a. b.", 2, 0)
 
 
+def test_wordings_are_the_words_of_sentences(monkeypatch):
+    """The words alone are those of the sentences, and a worker keeps a bounded number of hashes."""
+    rng = random.Random(5)
+    texts = ["", "a. b.", "\x1cA B\x85C\u2003D. " * 9, "\u03a3\u0391\u03a3 \u0130x " * 40]
+    for n in (30, 90, 400):
+        words = [rng.choice(["Mill", "road.", "x\n", "\u3002", f"W{rng.random()}", "!"]) for _ in range(n)]
+        texts += [" ".join(words), " ".join(w.strip(".!\n") for w in words)]
+    monkeypatch.setattr(spans, "REMEMBERED_WORDS", 16)
+    for text in texts:
+        found = spans.sentences(text)
+        assert spans.wordings(text) == [w for _, _, w in found]
+        assert spans.runs_of(spans.wordings(text)) == spans.runs(found)
+        assert spans.strip(text, []) == (text, len(found), 0)
+        assert len(spans._hashes) <= 16 or spans._hash("new") and len(spans._hashes) <= 16
+
+
 def test_spans(spark):
     passage = "The mill stood by the old road and turned all night. No one knew who had built it first. The wheel was of oak, and the stones came from far away. Children were told to keep away from it."
     rows = [(i, f"Start {i} here and there. {passage} Finish {i} is a sentence of its own.", "en", "s", i) for i in range(20, 25)]

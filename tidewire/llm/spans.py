@@ -34,6 +34,8 @@ SENTENCES, WORDS = 2, 12
 LONG, WINDOW = 24, 10
 #: Places of removed runs that are broadcast to the texts; more are joined by shuffle.
 BROADCAST_PLACES = 1_000_000
+#: Words whose hashes a worker keeps.
+REMEMBERED_WORDS = 1 << 16
 RESULT = ["n_sentences", "n_removed"]
 #: The second way starts where white space does, so that a long run of it is read once.
 _END = re.compile(r"(?<=[.!?…。])\s+|(?<!\s)\s*\n\s*")
@@ -64,9 +66,39 @@ def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int, list[s
             at = cut + 1
 
 
+def wordings(text: str) -> list[list[str]]:
+    """The words of ``sentences`` alone, for texts whose sentences stay where they are."""
+    out, at = [], 0
+    for stop in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
+        words = text[at : stop[0]].lower().split()
+        if len(words) > LONG:
+            last = 0
+            for cut in [*_cuts(words), len(words) - 1]:
+                if cut >= last:
+                    out.append(words[last : cut + 1])
+                    last = cut + 1
+        elif words:
+            out.append(words)
+        at = stop[1]
+    return out
+
+
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    """The word's hash; so many words are remembered by a worker."""
+    found = _hashes.get(word)
+    if found is None:
+        if len(_hashes) >= REMEMBERED_WORDS:
+            _hashes.clear()
+        found = _hashes[word] = xxhash.xxh3_64_intdigest(word)
+    return found
+
+
 def _cuts(words: list[str]) -> list[int]:
     """The words with the least hash of a window, the last one of equals."""
-    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    hashes = [_hash(w) for w in words]
     out, least = [], 0
     for end, h in enumerate(hashes):
         if least <= end - WINDOW:
@@ -79,10 +111,15 @@ def _cuts(words: list[str]) -> list[int]:
 
 
 def runs(found: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, int]]:
+    """The runs of ``sentences``."""
+    return runs_of([words for _, _, words in found])
+
+
+def runs_of(found: list[list[str]]) -> list[tuple[int, int, int]]:
     """(hash, first sentence, sentence behind the last) of the shortest run from each
     sentence and of the shortest up to each, in order; or of all if that is too short."""
-    counts = [len(w) for _, _, w in found]
-    joined = [" ".join(w) for _, _, w in found]
+    counts = [len(w) for w in found]
+    joined = [" ".join(w) for w in found]
     places: set[tuple[int, int]] = set()
     end = held = 0
     for i in range(len(found)):
@@ -108,9 +145,11 @@ def runs(found: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, int]]:
 
 def strip(text: str, places: list[int]) -> tuple[str, int, int]:
     """The text without the sentences under the runs of these numbers."""
+    if not places:
+        return text, len(wordings(text)), 0
     found = sentences(text)
     gone: set[int] = set()
-    of_text = runs(found) if places else []
+    of_text = runs(found)
     for i in places:
         gone.update(range(*of_text[i][1:]))
     if not gone:
@@ -126,7 +165,7 @@ def strip(text: str, places: list[int]) -> tuple[str, int, int]:
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = [[h for h, _, _ in runs(sentences(t or ""))] for t in batch.column("_text").to_pylist()]
+        hashes = [[h for h, _, _ in runs_of(wordings(t or ""))] for t in batch.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_node"), pa.array(hashes, pa.list_(pa.int64()))], ["_id", "_node", "runs"]
         )
