@@ -605,3 +605,21 @@ def test_ingest_sends_python_small_batches(spark, tmp_path):
     store = Store(spark, str(tmp_path / "small"), 8)
     assert jobs.ingest(store, raw, HashingEncoder(8), "small", vectorise)["ingested"] == 1
     assert seen == [jobs.PYTHON_BYTES] and spark.conf.get(name) == before
+
+
+def test_hourly_files_are_opened_once(spark, tmp_path, monkeypatch):
+    """What a batch lists, and what it refuses, come from rows kept before the vectors are made."""
+    folder = tmp_path / "hourly"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"articles": [{"id": "1", "formatted_data": {"title": "t"}}, 5]}))
+    made = streams.hourly_vectors
+
+    def gone(*plan):
+        (folder / "a.json").unlink()
+        return made(*plan)
+
+    monkeypatch.setattr(streams, "hourly_vectors", gone)
+    store = Store(spark, str(tmp_path / "store"), 16)
+    streams.stream_hourly(store, str(folder), ENCODER, str(tmp_path / "checkpoint")).awaitTermination()
+    assert [r["article_id"] for r in store.read("vectors").collect()] == ["1"]
+    assert [r["reason"] for r in store.read("quarantine").collect()] == ["unreadable article"]
