@@ -1,15 +1,18 @@
 """Golden rows for the column functions."""
 
+import hashlib
 import html
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import ids, portfolio, scoring, semistructured, text, times, vectors
+from tidewire.operators import embedding
 
 
 def one(spark, fn, *values, schema=None):
@@ -276,3 +279,33 @@ def test_section_counts(spark):
     doc = '{"EQUITIES":{"a":{},"b":{}},"DEPOSIT_V2":{"summary":[{},{},{}]},"REIT":{}}'
     got = one(spark, lambda d: portfolio.section_counts(portfolio.sections_of(d)), doc)
     assert (got["deposits"], got["equities"], got["reit"], got["sip"]) == (3, 2, 0, None)
+
+
+def test_encoder_runs_once_below_a_filter_on_its_vectors(spark):
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id int, t string").repartition(2)
+    rows = embedding.embed(df, {"v": F.col("t")}, embedding.HashingEncoder(8), seen=calls)
+    same = rows.select("id", F.col("v").alias("a"), F.col("v").alias("b")).where(F.col("a") == F.col("b"))
+    assert same.count() == 20 and len(same.collect()) == 20
+    before = calls.value
+    same.select("id", "a").collect()
+    assert calls.value - before == 20
+
+
+def test_words_of_ascii_texts_are_those_of_the_pattern():
+    encode = embedding.HashingEncoder(16).load()
+    texts = ["A_b c1-D\x1c\x1fe\x00f", "", "_ _", "".join(map(chr, range(128))), "Élan_vital İx ² ½ 漢字 a"]
+    for text, got in zip(texts, encode(texts), strict=True):
+        want = np.zeros(16)
+        for word in re.findall(r"[^\W_]+", text.lower()):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            want[int(digest[:8], 16) % 16] += 1 if int(digest[8], 16) % 2 == 0 else -1
+        length = np.sqrt((want * want).sum())
+        assert (got == (want / (length or 1)).astype(np.float32)).all()
+
+
+def test_white_space_is_trimmed_whatever_its_kind(spark):
+    signs = [chr(i) for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000] + ["﻿"]
+    df = spark.createDataFrame([(f"{c} a{c}b{c}{c}",) for c in signs] + [("",), (None,)], "t string")
+    old = F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    assert df.where(~old.eqNullSafe(text.strip_space(F.col("t")))).isEmpty()
