@@ -299,3 +299,27 @@ def test_refit_warm_starts_and_versions(spark, tmp_path):
     assert np.allclose(newest["w0"], second.params["w0"])
     moved = np.abs(second.params["w0"] - first.params["w0"]).max()
     assert 0 < moved < 0.01
+
+
+def test_a_step_makes_no_copy_of_the_moments_and_the_same_update():
+    rng = np.random.default_rng(1)
+    params, grads = rng.normal(size=20_001), rng.normal(size=(5, 20_001))
+    got, optimiser = params, training.AdamW(20_001)
+    m, v, held = np.zeros(20_001), np.zeros(20_001), optimiser.m
+    for t, grad in enumerate(grads, 1):
+        got = optimiser.step(got, grad, 0.01)
+        g = grad * min(1.0, training.CLIP / (float(np.sqrt((grad * grad).sum())) + 1e-6))
+        m, v = 0.9 * m + (1 - 0.9) * g, 0.999 * v + (1 - 0.999) * g * g
+        move = 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + training.ADAM_EPS)
+        params = params * (1 - 0.01 * training.DECAY) - move
+        assert (got == params).all()
+    assert optimiser.m is held
+
+
+def test_dropout_keeps_the_shares_of_the_mixed_numbers():
+    ids, shares = np.arange(40), (0.3, 0.2)
+    for layer, (mask, share) in enumerate(zip(training.dropout_masks(ids, [64, 16], 1, 5), shares, strict=True)):
+        rows = training._mixed(ids, 1 + 5 + 1000 + 100 * layer)[:, None]
+        u = training._mixed(rows + np.arange(mask.shape[1], dtype=np.uint64), 2).astype(np.float64) / 2.0**64
+        assert (mask == (u >= share) / (1.0 - share)).all()
+    assert float(training._least(0.3)) / 2.0**64 >= 0.3 > float(int(training._least(0.3)) - 1) / 2.0**64

@@ -14,6 +14,7 @@ import base64
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ ADAM_EPS = 1e-8
 CLIP = 1.0
 PAIRS, EPOCHS, BATCH, ARTICLES = 2000, 2, 128, 500
 _PART = 1 << 14
+_PORTION = 1 << 13
 _SUM_FAN_IN = 32
 #: Pairs of a mini-batch that one barrier task takes, and bytes of gradients that
 #: all tasks of a step may send each other: half of what a message of Spark may hold.
@@ -68,9 +70,22 @@ def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
     """Well-spread 64-bit numbers from whole numbers."""
     with np.errstate(over="ignore"):
         z = keys.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        return z
+
+
+@cache
+def _least(share: float) -> np.uint64:
+    """The smallest 64-bit number that is at least that share of 2^64, as a float."""
+    low, high = 0, (1 << 64) - 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if float(middle) / 2.0**64 >= share else (middle + 1, high)
+    return np.uint64(low)
 
 
 def dropout_masks(pair_ids: np.ndarray, widths: list[int], epoch: int, seed: int) -> list[np.ndarray]:
@@ -80,8 +95,7 @@ def dropout_masks(pair_ids: np.ndarray, widths: list[int], epoch: int, seed: int
     for layer, (share, width) in enumerate(zip(DROPOUT, widths, strict=False)):
         rows = _mixed(pair_ids, 1 + seed + 1000 * epoch + 100 * layer)[:, None]
         units = np.arange(width, dtype=np.uint64)[None, :]
-        u = _mixed(rows + units, 2).astype(np.float64) / 2.0**64
-        masks.append((u >= share) / (1.0 - share))
+        masks.append((_mixed(rows + units, 2) >= _least(share)) * (1 / (1.0 - share)))
     return masks
 
 
@@ -179,15 +193,31 @@ class AdamW:
         self.t = 0
 
     def step(self, params: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
+        """New weights. The moments are updated in place, in portions that stay in the cache."""
         length = float(np.sqrt((grad * grad).sum()))
-        grad = grad * min(1.0, CLIP / (length + 1e-6))
+        clip = min(1.0, CLIP / (length + 1e-6))
         self.t += 1
         first, second = BETAS
-        self.m = first * self.m + (1 - first) * grad
-        self.v = second * self.v + (1 - second) * grad * grad
-        mean = self.m / (1 - first**self.t)
-        spread = np.sqrt(self.v / (1 - second**self.t)) + ADAM_EPS
-        return params * (1 - rate * DECAY) - rate * mean / spread
+        out = np.empty_like(params)
+        for at in range(0, len(params), _PORTION):
+            part = slice(at, at + _PORTION)
+            g = grad[part] * clip
+            m, v = self.m[part], self.v[part]
+            m *= first
+            m += (1 - first) * g
+            v *= second
+            square = (1 - second) * g
+            square *= g
+            v += square
+            spread = np.divide(v, 1 - second**self.t, out=square)
+            np.sqrt(spread, out=spread)
+            spread += ADAM_EPS
+            move = np.divide(m, 1 - first**self.t, out=g)
+            move *= rate
+            move /= spread
+            np.multiply(params[part], 1 - rate * DECAY, out=out[part])
+            out[part] -= move
+        return out
 
 
 def cosine_rate(epoch: int, epochs: int, rate: float = RATE) -> float:
@@ -244,7 +274,8 @@ def _epoch_in_stage(
         context = BarrierTaskContext.get()
         like = {k: np.empty(s) for k, s in shapes.items()}
         optimiser = AdamW(0)
-        weights, optimiser.m, optimiser.v, optimiser.t = sent.value
+        weights, mean, spread, optimiser.t = sent.value
+        optimiser.m, optimiser.v = mean.copy(), spread.copy()
         total, seen = 0.0, 0
         for rows in _steps(batches, batch, n_steps):
             packed = np.zeros(len(weights) + 2)
@@ -274,7 +305,8 @@ def _epoch_in_stage(
 
 def _restored(row, losses: list[float]) -> _Progress:
     optimiser = AdamW(len(row["mean"]) // 8)
-    optimiser.m, optimiser.v, optimiser.t = np.frombuffer(row["mean"]), np.frombuffer(row["spread"]), row["turns"]
+    optimiser.m, optimiser.v = np.frombuffer(row["mean"]).copy(), np.frombuffer(row["spread"]).copy()
+    optimiser.t = row["turns"]
     return _Progress(np.frombuffer(row["weights"]), optimiser, losses)
 
 
