@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import ids, portfolio, scoring, semistructured, text, times, vectors
-from tidewire.operators import embedding
+from tidewire.operators import embedding, filters
 
 
 def one(spark, fn, *values, schema=None):
@@ -309,3 +309,11 @@ def test_white_space_is_trimmed_whatever_its_kind(spark):
     df = spark.createDataFrame([(f"{c} a{c}b{c}{c}",) for c in signs] + [("",), (None,)], "t string")
     old = F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     assert df.where(~old.eqNullSafe(text.strip_space(F.col("t")))).isEmpty()
+
+
+def test_a_filter_on_the_text_parses_a_document_once(spark, capsys):
+    df = spark.createDataFrame([("1", '{"EQUITIES":{}}', ""), ("2", "{}", " \t"), ("3", None, None)], "request_id string, portfolio string, interests string")
+    _, rejected = filters.split_blank(portfolio.with_portfolio_text(df), "query_text")
+    assert sorted(r["request_id"] for r in rejected.collect()) == ["2", "3"]
+    rejected.explain()
+    assert len(re.findall(r"from_json\([^()]*portfolio#", capsys.readouterr().out)) == 1
