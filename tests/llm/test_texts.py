@@ -172,6 +172,39 @@ def test_mixer_is_a_distribution():
     assert 0.1 < (10**one).sum() + 10 ** empty[0] <= 1 + 1e-6
 
 
+def _coded(text, odds):
+    """log10 of the probability of a text of one segment, a bit at a time: mixed, refined, and the mean of both."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    data, ends = mixer.ended(raw, np.array([0, len(raw)]))
+    slots = mixer.contexts(data, ends)
+    weights, added, sum_ = np.full((8, mixer.CONTEXTS), mixer.START / mixer.SCALE), {}, 0.0
+    for i, byte in enumerate(data.tolist()):
+        for bit in range(8):
+            node, one = (byte | 256) >> (8 - bit), byte >> (7 - bit) & 1
+            x = np.array([float(odds[k][slots[k, i] << 8 | node]) for k in range(mixer.CONTEXTS)])
+            z = float(x @ weights[bit])
+            key = bit, int(max(-mixer.CLASS_EDGE, min(mixer.CLASS_EDGE, z)))
+            lean = [z, z + added.get(key, 0.0)]
+            p = [1 / (1 + math.exp(-max(-mixer.EDGE, min(mixer.EDGE, v)))) for v in lean]
+            sum_ += math.log10(sum(q if one else 1 - q for q in p) / 2)
+            weights[bit] += mixer.RATE / mixer.SCALE**2 * (one - p[0]) * x
+            if z:
+                added[key] = added.get(key, 0.0) + mixer.MAP_RATE * (one - p[1])
+    return sum_
+
+
+def test_mixer_is_refined_adaptively(monkeypatch):
+    """An adaptive map stands behind the mixer: the same as bit by bit, and shorter codes where the model is off."""
+    odds = [mixer.odds(t) for t in _tables([cases.PROSE] * 3)]
+    for text in ["", "q", cases.PROSE[:200], "0123456789" * 20, "日本語 " * 12]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert mixer.score(raw, np.array([0, len(raw)]), odds)[0] == pytest.approx(_coded(text, odds), rel=1e-3)
+    raw = np.frombuffer(cases.PROSE[:200][::-1].encode(), np.uint8)
+    refined = mixer.score(raw, np.array([0, len(raw)]), odds)[0]
+    monkeypatch.setattr(mixer, "MAP_RATE", 0.0)
+    assert refined > mixer.score(raw, np.array([0, len(raw)]), odds)[0]
+
+
 def test_mixer_counts_add_up():
     a, b = _tables([cases.PROSE, "x"]), _tables(["other words", ""])
     for x, y, z in zip(a, b, _tables([cases.PROSE, "x", "other words", ""]), strict=True):

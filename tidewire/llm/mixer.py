@@ -4,7 +4,9 @@ Each predictor looks at one context of the next byte and has, per hashed context
 of 255 bit probabilities. They are learned as counts of (context, byte), which add up
 over any partition of the corpus. A mixer sums the predictors' log odds under weights
 chosen by the bit's place in the byte, and moves the weights after every bit against the
-gradient of the code length.
+gradient of the code length. An adaptive map refines what the mixer says: per place in
+the byte and class of the mixed log odds it keeps what came of them, as log odds that
+move after every bit in the same way, and the bit is coded by the mean of both.
 
 Texts are coded in segments: the mixer starts afresh in each, the contexts do not. All
 segments of a slice advance side by side, a bit at a time, as numpy vectors.
@@ -22,6 +24,11 @@ CONTEXTS = len(SLOT_BITS)
 SEGMENT = 256
 SLICE_BYTES = 1 << 19
 RATE = 0.03
+#: Classes of the mixed log odds, whole numbers up to this on both sides, and the map's rate.
+CLASS_EDGE = 4
+MAP_RATE = 0.15
+#: Log odds that a bit is coded with lie between -EDGE and EDGE.
+EDGE = 9
 START = 0.4
 SCALE = 16.0
 _PRIOR = 0.3
@@ -133,6 +140,10 @@ def score(data: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.nd
     longest = int(length[0])
     active = np.searchsorted(-length, -np.arange(longest), side="left")  # lanes longer than t
     weights = np.full((8, CONTEXTS, lanes), START / SCALE, dtype=np.float32)
+    # what the map adds to the mixed log odds, by place, class and lane
+    classes = 2 * CLASS_EDGE + 1
+    refined = np.zeros((8, classes * lanes), dtype=np.float32)
+    middle = np.arange(lanes, dtype=np.int32) + CLASS_EDGE * lanes
     cost = np.zeros(lanes, dtype=np.float64)
     block = 32
     for t0 in range(0, longest, block):
@@ -150,7 +161,9 @@ def score(data: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.nd
             for k in range(CONTEXTS):
                 tables[k].take(slot[k] | node, mode="clip", out=one)
                 lean[:, bit, k] = one
-        steps_rate = signs * np.float32(RATE / SCALE**2)
+        rates = np.empty((8, steps, 2, n), dtype=np.float32)
+        np.multiply(signs, np.float32(RATE / SCALE**2), out=rates[:, :, 0])
+        np.multiply(signs, np.float32(MAP_RATE), out=rates[:, :, 1])
         for t in range(steps):
             m = int(active[t0 + t])
             product = np.ones(m, dtype=np.float32)
@@ -160,14 +173,26 @@ def score(data: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.nd
                 z = x[0] * w[0]
                 for k in range(1, CONTEXTS):
                     z += x[k] * w[k]
-                z *= signs[bit, t, :m]
-                np.minimum(z, 9, out=z)
-                e = np.exp(z, out=z)
-                total = e + 1
-                product *= total
-                e /= total  # the probability that was put on the wrong bit
-                e *= steps_rate[bit, t, :m]
-                x *= e
+                sign = signs[bit, t, :m]
+                place = np.clip(z, -CLASS_EDGE, CLASS_EDGE).astype(np.int32)
+                place *= lanes
+                place += middle[:m]
+                added = refined[bit].take(place)
+                # log odds of the wrong bit: as mixed, and as refined
+                wrong = np.empty((2, m), dtype=np.float32)
+                np.multiply(z, sign, out=wrong[0])
+                np.multiply(added, sign, out=wrong[1])
+                wrong[1] += wrong[0]
+                np.clip(wrong, -EDGE, EDGE, out=wrong)
+                np.exp(wrong, out=wrong)
+                total = wrong + 1
+                product *= total[0] * total[1] / (total[0] + total[1])  # one over the sum of both probabilities
+                wrong /= total  # the probability that was put on the wrong bit
+                wrong *= rates[bit, t, :, :m]
+                wrong[1] *= z != 0  # where nothing is known, nothing is refined
+                added -= wrong[1]
+                refined[bit][place] = added
+                x *= wrong[0]
                 w -= x
-            cost[:m] += np.log(product)
+            cost[:m] += np.log(product) + 8 * np.log(2)
     return np.bincount(text, weights=-cost / np.log(10), minlength=texts)
