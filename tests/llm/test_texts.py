@@ -205,6 +205,31 @@ def test_mixer_is_refined_adaptively(monkeypatch):
     assert refined > mixer.score(raw, np.array([0, len(raw)]), odds)[0]
 
 
+def test_mixer_moves_by_bytes(monkeypatch):
+    """A byte's eight bits are one step, and segments score the same however many go side by side."""
+    texts = ["", "q", cases.PROSE, cases.PROSE[::-1] * 3, "日本語 " * 12, "", "0123456789" * 20]
+    odds = [mixer.odds(t) for t in _tables([cases.PROSE] * 3)]
+    raw = [t.encode() for t in texts]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    steps, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *args, **named: steps.append(1) or exp(*args, **named))
+    together = mixer.score(data, ends, odds)
+    assert len(steps) <= mixer.SEGMENT
+    monkeypatch.setattr(mixer, "LANES", 2)
+    monkeypatch.setattr(mixer, "BLOCK", 3)
+    assert mixer.score(data, ends, odds).tolist() == together.tolist()
+    alone = [mixer.score(np.frombuffer(r, np.uint8), np.array([0, len(r)]), odds)[0] for r in raw]
+    assert alone == together.tolist()
+
+
+def test_mixer_contexts_end_with_their_text():
+    texts = [b"", b"a", b"ab", b"", b"abc d", b"abcdefgh", b"x y"]
+    ends = np.cumsum([0, *map(len, texts)])
+    together = mixer.contexts(*mixer.ended(np.frombuffer(b"".join(texts), np.uint8), ends))
+    alone = [mixer.contexts(*mixer.ended(np.frombuffer(t, np.uint8), np.array([0, len(t)]))) for t in texts]
+    assert (together == np.concatenate(alone, axis=1)).all()
+
+
 def test_mixer_counts_add_up():
     a, b = _tables([cases.PROSE, "x"]), _tables(["other words", ""])
     for x, y, z in zip(a, b, _tables([cases.PROSE, "x", "other words", ""]), strict=True):

@@ -8,8 +8,9 @@ gradient of the code length. An adaptive map refines what the mixer says: per pl
 the byte and class of the mixed log odds it keeps what came of them, as log odds that
 move after every bit in the same way, and the bit is coded by the mean of both.
 
-Texts are coded in segments: the mixer starts afresh in each, the contexts do not. All
-segments of a slice advance side by side, a bit at a time, as numpy vectors.
+Texts are coded in segments: the mixer starts afresh in each, the contexts do not. Many
+segments advance side by side, a byte at a time, as numpy vectors: weights and maps belong
+to one place in the byte, so its eight bits do not wait for each other.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from tidewire.llm import grams
 SLOT_BITS = (13, 15, 16)
 CONTEXTS = len(SLOT_BITS)
 SEGMENT = 256
-SLICE_BYTES = 1 << 19
+#: Segments side by side, and bytes of each whose odds are looked up at once.
+LANES = 2048
+BLOCK = 8
 RATE = 0.03
 #: Classes of the mixed log odds, whole numbers up to this on both sides, and the map's rate.
 CLASS_EDGE = 4
@@ -34,6 +37,9 @@ SCALE = 16.0
 _PRIOR = 0.3
 #: Ends every text; UTF-8 has no such byte.
 END = 0xFF
+#: Per place in the byte: how far down its node lies, and of every byte -1 for a one, 1 for a zero.
+_DOWN = np.arange(8, 0, -1)[:, None, None]
+_SIGNS = (1 - 2 * (np.arange(256) >> np.arange(7, -1, -1)[:, None] & 1)).astype(np.float32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = ~grams.SPACE_WORD
 
@@ -68,12 +74,11 @@ def ended(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contexts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Slots of every byte's contexts: CONTEXTS rows."""
     n = len(data)
-    start = np.repeat(ends[:-1], np.diff(ends))
-    depth = np.arange(n) - start
     past = np.zeros((4, n), dtype=np.uint32)
     for k in range(4):
         past[k, k + 1 :] = data[: max(0, n - k - 1)]
-        past[k][depth <= k] = 0
+    for depth in range(4):  # no text sees the one before it
+        past[depth:, ends[:-1][np.diff(ends) > depth] + depth] = 0
     two = past[0] | past[1] << np.uint32(8)
     four = two | past[2] << np.uint32(16) | past[3] << np.uint32(24)
     out = np.empty((CONTEXTS, n), dtype=np.intp)
@@ -130,69 +135,79 @@ def _segments(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[order], length[order], text[order]
 
 
-def score(data: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """log10 of the probability of every text, its END included."""
-    texts = len(ends) - 1
-    data, ends = ended(data, ends)
-    slots = contexts(data, ends)
-    start, length, text = _segments(ends)
+def _cost(
+    data: np.ndarray, slots: np.ndarray, start: np.ndarray, length: np.ndarray, tables: list[np.ndarray]
+) -> np.ndarray:
+    """Natural logarithms of one over the probability of some segments, longest first."""
     lanes = len(start)
     longest = int(length[0])
     active = np.searchsorted(-length, -np.arange(longest), side="left")  # lanes longer than t
-    weights = np.full((8, CONTEXTS, lanes), START / SCALE, dtype=np.float32)
-    # what the map adds to the mixed log odds, by place, class and lane
-    classes = 2 * CLASS_EDGE + 1
-    refined = np.zeros((8, classes * lanes), dtype=np.float32)
-    middle = np.arange(lanes, dtype=np.int32) + CLASS_EDGE * lanes
+    weights = np.full((CONTEXTS, 8, lanes), START / SCALE, dtype=np.float32)
+    # what the map adds to the mixed log odds, by class, place and lane
+    refined = np.zeros((2 * CLASS_EDGE + 1) * 8 * lanes, dtype=np.float32)
+    middle = np.arange(8 * lanes, dtype=np.int32).reshape(8, lanes) + CLASS_EDGE * 8 * lanes
     cost = np.zeros(lanes, dtype=np.float64)
-    block = 32
-    for t0 in range(0, longest, block):
+    for t0 in range(0, longest, BLOCK):
         n = int(active[t0])
-        steps = min(block, longest - t0)
+        steps = min(BLOCK, longest - t0)
         at = np.minimum(start[:n] + t0 + np.arange(steps)[:, None], len(data) - 1)
-        byte = data[at].astype(np.intp)
-        slot = [slots[k].take(at) << 8 for k in range(CONTEXTS)]
-        lean = np.empty((steps, 8, CONTEXTS, n), dtype=np.int8)
-        one = np.empty((steps, n), dtype=np.int8)
-        signs = np.empty((8, steps, n), dtype=np.float32)
-        for bit in range(8):
-            node = (byte | 256) >> (8 - bit)
-            signs[bit] = 1 - 2 * (byte >> (7 - bit) & 1)
-            for k in range(CONTEXTS):
-                tables[k].take(slot[k] | node, mode="clip", out=one)
-                lean[:, bit, k] = one
-        rates = np.empty((8, steps, 2, n), dtype=np.float32)
-        np.multiply(signs, np.float32(RATE / SCALE**2), out=rates[:, :, 0])
-        np.multiply(signs, np.float32(MAP_RATE), out=rates[:, :, 1])
+        byte = data[at]
+        node = (byte.astype(np.intp) | 256) >> _DOWN
+        lean = np.empty((CONTEXTS, 8, steps, n), dtype=np.int8)
+        for k in range(CONTEXTS):
+            tables[k].take(slots[k].take(at) << 8 | node, mode="clip", out=lean[k])
+        signs = _SIGNS.take(byte, axis=1)
+        rates = np.empty((2, 8, steps, n), dtype=np.float32)
+        np.multiply(signs, np.float32(RATE / SCALE**2), out=rates[0])
+        np.multiply(signs, np.float32(MAP_RATE), out=rates[1])
+        products = np.ones((steps, n), dtype=np.float32)
+        for t in range(steps):
+            # every place in the byte has weights and a map of its own, so a byte's bits move at once
+            m = int(active[t0 + t])
+            x, w, sign = lean[:, :, t, :m].astype(np.float32), weights[:, :, :m], signs[:, t, :m]
+            part = x * w
+            z = part[0]
+            for k in range(1, CONTEXTS):
+                z += part[k]
+            place = np.clip(z, -CLASS_EDGE, CLASS_EDGE).astype(np.int32)
+            place *= 8 * lanes
+            place += middle[:, :m]
+            place = place.astype(np.intp)
+            added = refined.take(place)
+            # log odds of the wrong bit: as mixed, and as refined
+            wrong = np.empty((2, 8, m), dtype=np.float32)
+            np.multiply(z, sign, out=wrong[0])
+            np.multiply(added, sign, out=wrong[1])
+            wrong[1] += wrong[0]
+            np.clip(wrong, -EDGE, EDGE, out=wrong)
+            np.exp(wrong, out=wrong)
+            total = wrong + 1
+            wrong /= total  # the probability that was put on the wrong bit
+            wrong *= rates[:, :, t, :m]
+            known = z != 0
+            if not known.all():
+                wrong[1] *= known  # where nothing is known, nothing is refined
+            added -= wrong[1]
+            refined[place] = added
+            x *= wrong[0]
+            w -= x
+            # one over the sum of both probabilities, over all bits
+            np.multiply.reduce(total[0] * total[1] / (total[0] + total[1]), axis=0, out=products[t, :m])
+        spent = np.log(products) + 8 * np.log(2)
         for t in range(steps):
             m = int(active[t0 + t])
-            product = np.ones(m, dtype=np.float32)
-            steps_x = lean[t, :, :, :m].astype(np.float32)
-            for bit in range(8):
-                x, w = steps_x[bit], weights[bit, :, :m]
-                z = x[0] * w[0]
-                for k in range(1, CONTEXTS):
-                    z += x[k] * w[k]
-                sign = signs[bit, t, :m]
-                place = np.clip(z, -CLASS_EDGE, CLASS_EDGE).astype(np.int32)
-                place *= lanes
-                place += middle[:m]
-                added = refined[bit].take(place)
-                # log odds of the wrong bit: as mixed, and as refined
-                wrong = np.empty((2, m), dtype=np.float32)
-                np.multiply(z, sign, out=wrong[0])
-                np.multiply(added, sign, out=wrong[1])
-                wrong[1] += wrong[0]
-                np.clip(wrong, -EDGE, EDGE, out=wrong)
-                np.exp(wrong, out=wrong)
-                total = wrong + 1
-                product *= total[0] * total[1] / (total[0] + total[1])  # one over the sum of both probabilities
-                wrong /= total  # the probability that was put on the wrong bit
-                wrong *= rates[bit, t, :, :m]
-                wrong[1] *= z != 0  # where nothing is known, nothing is refined
-                added -= wrong[1]
-                refined[bit][place] = added
-                x *= wrong[0]
-                w -= x
-            cost[:m] += np.log(product) + 8 * np.log(2)
+            cost[:m] += spent[t, :m]
+    return cost
+
+
+def score(data: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """log10 of the probability of every text, its END included."""
+    texts = len(ends) - 1
+    data, ends = ended(data, ends)
+    slots = contexts(data, ends)
+    start, length, text = _segments(ends)
+    cost = np.empty(len(start), dtype=np.float64)
+    for a in range(0, len(start), LANES):
+        some = slice(a, a + LANES)
+        cost[some] = _cost(data, slots, start[some], length[some], tables)
     return np.bincount(text, weights=-cost / np.log(10), minlength=texts)
