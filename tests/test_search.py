@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import filters, ranking, search
-from tidewire.operators.scorer import DotScorer
+from tidewire.operators.scorer import DotScorer, NeuralScorer, initial_params
 from tidewire.operators.skew import hot_keys, skew_join
 from tidewire.plans import recommend as rec
 from tidewire.schemas import VECTOR_COLUMNS
@@ -364,3 +364,84 @@ def test_ranking_does_not_depend_on_partitions(tables):
         return sorted(map(tuple, search.fusion_topk(asked.repartition(parts), corpus.repartition(parts), 7).select(
             "request_id", "article_id", "retrieval_score", "retrieval_rank").collect()))
     assert rows(1) == rows(5)
+
+
+def test_waves_share_one_pass_over_the_corpus(tables, monkeypatch):
+    """Several waves of requests are met by one job, each held by itself."""
+    corpus, asked, articles, requests = tables
+    passes, in_place = [], search._nearest_in_place
+    monkeypatch.setattr(search, "_nearest_in_place", lambda *a: passes.append(a) or in_place(*a))
+    found = search.topk(asked, corpus, 5, broadcast_bytes=0, wave_bytes=1500, sample_rows=10_000)
+    want = brute(articles, requests, 5, 0)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["request_id"], {})[r["retrieval_rank"]] = r["article_id"]
+    assert all([got[rid][i + 1] for i in range(len(rows))] == [a for a, _ in rows] for rid, rows in want.items() if rows)
+    assert len(passes) == 1
+
+
+@pytest.fixture
+def travelling(monkeypatch):
+    """Articles travel in small blocks and several rounds, however few the requests."""
+    monkeypatch.setattr(search, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(search, "ROUND_BYTES", 22_000)
+    monkeypatch.setattr(search, "HIT_BYTES", 1 << 20)
+    rounds, made = [], search._round
+    monkeypatch.setattr(search, "_round", lambda *a: rounds.append(a) or made(*a))
+    return rounds
+
+
+@pytest.mark.parametrize("law", [{}, {"rrf_k": 60, "rank_base": 1}])
+def test_travelling_articles_need_no_shuffle_of_hits(tables, travelling, law):
+    """In rounds the fused lists are those of a corpus that travels as a whole, to the digit."""
+    corpus, asked, *_ = tables
+    found = search.fusion_topk(asked, corpus, 10, broadcast_bytes=1, **law)
+    assert len(travelling) > 2
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["request_id", "article_id", "retrieval_score", "retrieval_rank"]
+    whole = search.fusion_topk(asked, corpus, 10, **law).select(columns)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_travelling_articles_with_repeated_ids(spark, tables, travelling):
+    """Ids of requests and of articles may repeat, also past the end of a block."""
+    corpus, asked, *_ = tables
+    turned = asked.withColumn("query_vec", F.transform("query_vec", lambda x: -x))
+    twice = asked.unionByName(turned.where("request_id < 'r2'"))
+    again = corpus.unionByName(corpus.where("article_id < '3'").withColumn("timestamp", F.lit(NOW)))
+    for requests in (asked, twice):
+        for k in (5, 120):
+            found = search.topk(requests, again, k, broadcast_bytes=1)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.topk(requests, again, k).collect()))
+        fused = [search.fusion_topk(requests, again, 7, broadcast_bytes=b).collect() for b in (1, 1 << 20)]
+        rows = [sorted((r["request_id"], r["retrieval_rank"], r["article_id"], r["retrieval_score"]) for r in f) for f in fused]
+        assert rows[0] == rows[1]
+    assert len(travelling) > 12
+
+
+def test_sums_are_rounded_as_sql_does(spark):
+    values = [0.5 + 2**-10, 2**-10, 1 / 3, -(2**-10), 1.0000000005, 0.1234567895, 1.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9)).collect()
+    assert search._half_up(np.array(values), 9).tolist() == [r[0] for r in rows]
+
+
+@pytest.mark.parametrize("kind", ["recommend", "recommend_mlp", "recommend_cosine"])
+def test_recommendations_of_travelling_articles(tables, travelling, monkeypatch, kind):
+    corpus, asked, *_ = tables
+    vectors = corpus.select("*", F.lit("").alias("title"), F.lit("").alias("summary"))
+    full = corpus.select(
+        F.col("article_id").alias("id"), F.concat(F.lit("T"), "article_id").alias("title"),
+        F.lit("i").alias("introductory_paragraph"), F.col("timestamp").alias("published_time_unix"),
+    )
+    scorer = NeuralScorer(initial_params(WIDTH, 7)) if kind == "recommend_mlp" else DotScorer(WIDTH)
+    law = {"blend_on": "cosine", "filter_latest": True, "rrf_k": 60, "rank_base": 1} if kind == "recommend_cosine" else {}
+
+    def rows():
+        found = rec.recommend(asked, vectors, full, scorer, 20, **law)
+        return sorted((r["request_id"], r["rank"], r["article_id"], round(r["score"], 6), r["title"]) for r in found.collect())
+
+    want = rows()
+    assert not travelling
+    monkeypatch.setattr(rec, "fusion_topk", lambda *a, **b: search.fusion_topk(*a, **b, broadcast_bytes=1))
+    assert rows() == want
+    assert len(travelling) > 2
