@@ -317,3 +317,12 @@ def test_a_filter_on_the_text_parses_a_document_once(spark, capsys):
     assert sorted(r["request_id"] for r in rejected.collect()) == ["2", "3"]
     rejected.select("request_id").explain()
     assert len(re.findall(r"from_json\(MapType\([^()]*\), portfolio#", capsys.readouterr().out)) == 1
+
+
+def test_the_text_that_is_searched_for_is_made_once(spark, capsys):
+    """Once for the filter on blank texts and whoever reads the accepted ones."""
+    df = spark.createDataFrame([("1", '{"EQUITIES":{}}', ""), ("2", "{}", " \t"), ("3", None, "gold")], "request_id string, portfolio string, interests string")
+    accepted, _ = filters.split_blank(portfolio.with_portfolio_text(df), "query_text")
+    assert sorted(r["request_id"] for r in accepted.collect()) == ["1", "3"]
+    accepted.select("request_id", "query_text").explain()
+    assert len(re.findall(r"from_json\(MapType\([^()]*\), portfolio#", capsys.readouterr().out)) == 1
